@@ -39,9 +39,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(raw: np.ndarray, cuts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of raw; a word also ends at each of cuts (starts of texts)."""
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     if not len(raw) or not solid.any():
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty
@@ -60,9 +60,28 @@ def _piece(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _LENGTH), start, end
 
 
+def letters_only() -> np.ndarray:
+    """Separators for words of letters: every ASCII byte that is no letter."""
+    space = np.zeros(256, bool)
+    space[:128] = [not chr(i).isalpha() for i in range(128)]
+    return space
+
+
+def pieces_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-byte substrings of words raw[start:end], and the index of each one's word."""
+    count = np.maximum(end - start - n + 1, 0)
+    word = np.repeat(np.arange(len(start)), count)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + start[word]
+    up = _powers(1 << PIECE.bit_length())[0]
+    x = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        x += _BYTE[raw[at + k]] * up[k]
+    return mixed(x), word
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and len + 1 offsets into them; null is empty."""
-    texts = texts.cast(pa.large_binary()) if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else texts.cast(pa.large_binary())
+    texts = texts.cast(pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
     _, offsets, data = texts.buffers()
@@ -81,32 +100,32 @@ def groups(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed(raw: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts raw[at[i]:at[i+1]]: word hashes, word starts and ends in raw, and each text's first word (len + 1)."""
     if len(at) != 2 or len(raw) <= 2 * PIECE:
-        h, s, e = _piece(raw, at[:-1])
+        h, s, e = _piece(raw, at[:-1], space)
         return h, s, e, np.searchsorted(s, at)
     out, i = [], 0
     while i < len(raw):
         j = min(len(raw), i + PIECE)
         while j < len(raw):  # on to the next white space
-            gap = np.flatnonzero(_SPACE[raw[j : j + 65536]])
+            gap = np.flatnonzero(space[raw[j : j + 65536]])
             j = j + int(gap[0]) if len(gap) else min(len(raw), j + 65536)
             if len(gap):
                 break
-        h, s, e = _piece(raw[i:j], np.zeros(0, np.int64))
+        h, s, e = _piece(raw[i:j], np.zeros(0, np.int64), space)
         out.append((h, s + i, e + i))
         i = j
     h, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
     return h, s, e, np.array([0, len(h)])
 
 
-def texts_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def texts_of(texts: pa.Array, space: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of texts: first and last index, their bytes, word hashes, starts, ends, and each text's first word."""
     raw, at = buffers(texts)
     for i, j in groups(raw, at):
         part = raw[at[i] : at[j]]
-        yield i, j, part, *hashed(part, at[i : j + 1] - at[i])
+        yield i, j, part, *hashed(part, at[i : j + 1] - at[i], space)
 
 
 def grams(words: np.ndarray) -> np.ndarray:

@@ -10,8 +10,8 @@ threshold. It yields exact overlaps; nothing is dropped, sampled or capped.
 Steps, all in Spark: equal word sequences collapse to one set; shingles are dealt by hash as packed
 blocks and those of one set alone fall out (sets with enough of them can have no partner); the others
 return to their sets, which give their prefixes; sets that meet in a prefix are first compared to one
-leader each, and then, across the components so far, with every other set that they meet, unless the
-count of shared prefix shingles rules the pair out.
+leader each, then, in a few rounds, one pair for each two components that meet, and at last, across the components so far, every
+set with every other that it meets, unless the count of shared prefix shingles rules the pair out.
 
 Results for odd input: null, empty or blank text has no shingles and is linked with nothing; a text of
 fewer than five words is one shingle; repeated rows each get their row; a null id is never the least
@@ -39,6 +39,8 @@ FILTER_BITS = 1 << 25
 #: Members that one task compares with a leader.
 SALT_ROWS = 512
 RUN = 64
+#: Sets in a row that link no other, after which a group's search around its leader ends; rounds of leaders across components.
+PROBES, TURNS = 8, 4
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -244,6 +246,29 @@ def _led(batches):
         yield _pair_rows(s[keep], s[lead][keep], n[keep], n[lead][keep])
 
 
+def _led_across(turn: int):
+    """For each shingle whose sets lie in several components, the pairs of one leader with the sets of the others."""
+
+    def run(batches):
+        t, s, n, label = _columns(batches, "token", "sid", "n", "label")
+        if not len(t):
+            return
+        rank = mixed(label.view(np.uint64) + np.uint64(turn))
+        order = np.lexsort((s, rank, t))
+        t, s, n, label = t[order], s[order], n[order], label[order]
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        lead = np.repeat(first, np.diff(np.append(first, len(t))))
+        keep = (label != label[lead]) & (5 * np.minimum(n, n[lead]) >= 4 * np.maximum(n, n[lead]))
+        if keep.any():
+            at = lead[keep]
+            order = np.lexsort((s[at], s[keep]))
+            a, b, la, lb = s[keep][order], s[at][order], label[keep][order], label[at][order]
+            head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (a, b, la, lb)] + [pa.array(np.diff(np.append(head, len(a))))], ["a", "b", "la", "lb", "c"])
+
+    return run
+
+
 def _across(batches):
     """For each shingle the pairs of its sets that lie in different components; streams in blocks."""
     t, s, n, label = _columns(batches, "token", "sid", "n", "label")
@@ -338,14 +363,30 @@ def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return done
 
 
+def linked(lead: int, probe: np.ndarray, ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Linked pairs that join sets to lead, directly or by each other; it stops after PROBES sets in a row that link no other."""
+    pairs, rest, queue, misses = [], list(range(len(sets))), [(lead, probe)], 0
+    while rest and misses < PROBES and (queue or len(rest) > 1):
+        if not queue:
+            k = rest.pop(0)
+            queue.append((ids[k], sets[k]))
+        name, p = queue.pop(0)
+        over = trie_overlaps(p, [sets[i] for i in rest])
+        hit = [i for i, x in zip(rest, over.tolist(), strict=True) if x >= 0]
+        rest = [i for i, x in zip(rest, over.tolist(), strict=True) if x < 0]
+        pairs += [(ids[i], name) for i in hit]
+        queue += [(ids[i], sets[i]) for i in hit]
+        misses = 0 if hit else misses + 1
+    return pairs
+
+
 def _compared(batches):
     """Rows sorted by (b, salt, member): the leader's set, then its members' sets; yields linked pairs."""
     lead, probe, ids, sets = None, None, [], []
 
     def out():
-        over = trie_overlaps(probe, sets)
-        got = [i for i, x in zip(ids, over, strict=True) if x >= 0]
-        return pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array([lead] * len(got), pa.int64())], ["a", "b"])
+        got = linked(lead, probe, ids, sets)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
     for batch in batches:
         for b, member, a, x in zip(batch.column("b").to_pylist(), batch.column("member").to_pylist(), batch.column("a").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
@@ -363,20 +404,23 @@ def _compared(batches):
         yield out()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are alike enough."""
-    pairs = written(pairs.select("a", "b"), f"{name}-pairs")
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the wanted sets."""
+    sets = docs.select("text").mapInArrow(_sets(_filter_bits(wanted)), "sid long, shingles binary")
+    return written(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among pairs (a, b) and around them, whole sets compared."""
+    pairs = written(pairs.select("a", "b"), "pairs")
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = docs.select("text").mapInArrow(_sets(_filter_bits(wanted)), "sid long, shingles binary")
-    sets = written(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
     salts = pairs.groupBy("b").agg(F.expr(f"cast(count(*) div {SALT_ROWS} + 1 as int)").alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.expr("cast(pmod(xxhash64(a), salts) as int)"))
     members = dealt.join(sets.withColumnRenamed("sid", "a"), "a").select("b", "salt", F.lit(1).alias("member"), "a", "shingles")
     leads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("sid", "b"), "b").select("b", "salt", F.lit(0).alias("member"), F.col("b").alias("a"), "shingles")
     rows = leads.unionAll(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
-    return written(rows.mapInArrow(_compared, "a long, b long"), f"{name}-links")
+    return written(rows.mapInArrow(_compared, "a long, b long"), "links")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,15 +433,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = docs.select("text").mapInArrow(_shingles(parts), BLOCKS).repartition("part").mapInArrow(_shared(parts), BLOCKS)
     sizes = ids.select("sid", "n", "low").mapInArrow(_sizes(parts), BLOCKS)
     prefixes = written(shared.unionAll(sizes).repartition("part").mapInArrow(_prefixes, PREFIXES), "prefixes")
-    led = prefixes.repartition("token").mapInArrow(_led, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    best = led.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
-    links = _verified(docs, best, "first")
+    led = written(prefixes.repartition("token").mapInArrow(_led, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c")), "led")
+    sets = _sets_of(docs, led.select(F.col("a").alias("sid")).unionAll(led.select(F.col("b").alias("sid"))).distinct())
+    links = _verified(sets, led.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b"))
     labels = components(links)
-    marked = prefixes.join(labels.toDF("sid", "label"), "sid", "left").select("token", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    pairs = marked.repartition("token").mapInArrow(_across, PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+
+    def marked() -> DataFrame:
+        return prefixes.join(labels.toDF("sid", "label"), "sid", "left").select("token", "sid", "n", F.coalesce("label", "sid").alias("label")).repartition("token")
+
+    for turn in range(1, TURNS + 1):  # one pair for each two components that meet at a leader
+        near = marked().mapInArrow(_led_across(turn), "a long, b long, la long, lb long, c long").groupBy("a", "b", "la", "lb").agg(F.sum("c").alias("c"))
+        more = _verified(sets, near.groupBy("la", "lb").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b"))
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        labels = components(links)
+    pairs = marked().mapInArrow(_across, PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     rest = lambda x: f"({x} - ({x} - (4 * {x} + 4) div 5 + 1))"
     able = pairs.where(f"c + greatest({rest('na')}, {rest('nb')}) >= (4 * (na + nb) + 8) div 9")
-    more = _verified(docs, able, "second")
+    able = written(able.select("a", "b"), "able")
+    missing = able.select(F.col("a").alias("sid")).unionAll(able.select(F.col("b").alias("sid"))).distinct().join(sets, "sid", "left_anti")
+    if not missing.isEmpty():  # sets that no leader's size allowed
+        sets = sets.unionAll(_sets_of(docs, missing))
+    more = _verified(sets, able)
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     least = ids.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
@@ -405,3 +463,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tops = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     found = written(classes.join(tops, "label").select("sid", "component_id"), "classes")
     return ids.join(found, "sid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, id)").alias("component_id"))
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of the least id of each class; rows without shingles stay, and rows that share an id share a fate."""
+    rows = ngram_join(docs, id_col, text_col)
+    stay = written(rows.where("n_shingles = 0 or component_id <=> " + id_col).select(F.col(id_col).alias("__id")).distinct(), "stay")
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
