@@ -1,0 +1 @@
+"""Document-corpus processing and hybrid retrieval on Spark DataFrames."""
