@@ -281,12 +281,12 @@ def ocr_gate(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT date_trunc('minute', ts) AS bucket, CAST(value * 100 AS BIGINT) AS ms, event_type, user_id FROM events),
-    r AS (SELECT bucket, count(*) AS shards_done, count(*) FILTER (WHERE event_type = 'refund') AS shards_failed, CAST(sum(user_id % 20 + 1) AS BIGINT) AS pages_parsed FROM b GROUP BY bucket),
-    d AS (SELECT bucket, list_sort(list(ms)) AS x FROM b WHERE event_type <> 'refund' GROUP BY bucket)
+    r AS (SELECT bucket, count(*) AS shards_done, count(*) FILTER (WHERE event_type = 'error') AS shards_failed, CAST(sum(user_id % 20 + 1) AS BIGINT) AS pages_parsed FROM b GROUP BY bucket),
+    d AS (SELECT bucket, list_sort(list(ms)) AS x FROM b WHERE event_type <> 'error' GROUP BY bucket)
     SELECT r.*, x[(len(x) - 1) * 50 // 100 + 1] AS parse_p50_ms, x[(len(x) - 1) * 95 // 100 + 1] AS parse_p95_ms FROM r LEFT JOIN d USING (bucket)""")
 def minute_rollup_p50_p95(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(
-        F.col("ts").alias("done_at"), F.lit(1).alias("page_start"), (F.col("user_id") % 20 + 1).alias("page_end"), F.when(F.col("event_type") == "refund", "failed").otherwise("done").alias("state"),
+        F.col("ts").alias("done_at"), F.lit(1).alias("page_start"), (F.col("user_id") % 20 + 1).alias("page_end"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"),
         F.round(F.col("value") * 100).cast("long").alias("duration_ms"), F.lit(None).cast("int").alias("peak_rss_mb"),
     )
     return metrics.minute_rollup(e).select("bucket", "shards_done", "shards_failed", "pages_parsed", "parse_p50_ms", "parse_p95_ms")
@@ -320,19 +320,19 @@ def collection_stats(spark, sf_dir):
     return metrics.collection_stats(ids, docs)
 
 
-@query("""WITH t AS (SELECT user_id AS id, count(*) AS true_total, count(*) FILTER (WHERE event_type <> 'refund') AS true_done, count(*) FILTER (WHERE event_type = 'refund') AS true_failed FROM events GROUP BY user_id),
+@query("""WITH t AS (SELECT user_id AS id, count(*) AS true_total, count(*) FILTER (WHERE event_type <> 'error') AS true_done, count(*) FILTER (WHERE event_type = 'error') AS true_failed FROM events GROUP BY user_id),
     d AS (SELECT id, true_total AS total_shards, true_done - CAST(id % 3 = 0 AS INTEGER) AS shards_done, true_failed AS shards_failed FROM t)
     SELECT d.id, shards_done, CAST(true_done AS INTEGER) AS true_done FROM d JOIN t USING (id) WHERE shards_done <> true_done""")
 def drift_docs(spark, sf_dir):
-    s = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "refund", "failed").otherwise("done").alias("state"))
+    s = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"))
     d = s.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("total_shards"), (F.count_if(F.col("state") == "done") - F.max((F.col("doc_id") % 3 == 0).cast("int"))).alias("shards_done"), F.count_if(F.col("state") == "failed").alias("shards_failed"))
     return metrics.drifted(d.withColumn("created_at", F.lit(0)), s).select("id", "shards_done", "true_done")
 
 
-@query("""SELECT user_id, CAST(round(least(1, greatest(0, (count(*) - 3 * count(*) FILTER (WHERE event_type = 'refund')) / CAST(count(*) AS DOUBLE))), 4) AS DOUBLE) AS completeness,
-    CASE WHEN count(*) FILTER (WHERE event_type = 'refund') > 0 THEN 'partial' ELSE 'ready' END AS state FROM events GROUP BY user_id""")
+@query("""SELECT user_id, CAST(round(least(1, greatest(0, (count(*) - 3 * count(*) FILTER (WHERE event_type = 'error')) / CAST(count(*) AS DOUBLE))), 4) AS DOUBLE) AS completeness,
+    CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'partial' ELSE 'ready' END AS state FROM events GROUP BY user_id""")
 def completeness(spark, sf_dir):
-    g = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "refund").alias("failed"))
+    g = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("failed"))
     return g.select("user_id", metrics.completeness(F.col("total"), F.col("failed") * 3).cast("double").alias("completeness"), metrics.final_state(F.col("failed")).alias("state"))
 
 
@@ -411,3 +411,100 @@ def run_compare(spark, sf_dir):
 def junk_filter(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
     return p.select("page_id", T.is_junk(F.array(F.lit("x"), F.regexp_extract("url", "/([^/]*)$", 1)), F.col("url")).alias("junk"))
+
+
+# ---------------------------------------------------------------- chunking: Python state machines, tested by their invariants
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    from .operators.chunks import chunked
+
+    return chunked(_table(spark, sf_dir, "documents")).select("id", "doc_id", "parent_id", "is_parent", "seq", "start", "end", "token_count", "chunk_hash")
+
+
+@query()
+def chunk_pages_markdown(spark, sf_dir):
+    from .plans.ingest import from_html
+
+    return from_html(_table(spark, sf_dir, "pages")).select("id", "doc_id", "is_parent", "seq", "heading_path", "header_breadcrumb", "text")
+
+
+@query()
+def document_profiles(spark, sf_dir):
+    from .operators.chunks import profiles
+
+    return profiles(_table(spark, sf_dir, "documents")).drop("heading_counts")
+
+
+def _shard_rows(spark, sf_dir) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    body = F.concat(F.when(F.col("turn") == 0, F.concat(F.lit("# Conversation "), F.col("conv_id"), F.lit("\n\n"))).otherwise(""), F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), (F.col("turn") * 2 + 1).cast("int").alias("page_start"), (F.col("turn") * 2 + 2).cast("int").alias("page_end"), body.alias("payload"))
+
+
+@query()
+def stitch_conversations(spark, sf_dir):
+    from .operators.stitch import stitch
+
+    return stitch(_shard_rows(spark, sf_dir))
+
+
+@query()
+def ingest_conversations(spark, sf_dir):
+    from .plans.ingest import from_shards
+
+    return from_shards(_shard_rows(spark, sf_dir)).select("id", "doc_id", "parent_id", "is_parent", "seq", "page_start", "page_end", "heading_path", "text")
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    from .operators.embedding import HashEmbedder, embedded
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return embedded(docs, HashEmbedder)
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    from .sources.html import markdown
+
+    return _table(spark, sf_dir, "pages").select("page_id", markdown(F.col("html")).alias("markdown"))
+
+
+@query("SELECT user_id AS doc_id, event_id AS idx FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-10'")
+def expired_leases(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("idx"), F.when(F.col("event_type") == "view", "running").otherwise("done").alias("state"), F.col("ts").alias("lease_until"))
+    return jobs.expired(e, F.lit("2024-01-10").cast("timestamp_ntz")).select("doc_id", "idx")
+
+
+@query("SELECT user_id AS doc_id, count(*) AS newly_failed FROM events WHERE event_type = 'error' AND event_id % 8 >= 4 GROUP BY user_id")
+def escalated_shards(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "error", "pending").otherwise("done").alias("state"), (F.col("event_id") % 8).alias("attempts"))
+    return jobs.escalated(e)[1]
+
+
+@query("""WITH t AS (SELECT event_type AS k, min(event_id) AS first_id FROM events WHERE event_id < 500 GROUP BY event_type)
+    SELECT e.event_type AS k, coalesce(t.first_id, -1) AS first_id, max(e.value) AS top FROM events e LEFT JOIN t ON t.k = e.event_type GROUP BY ALL""")
+def upsert_rollup(spark, sf_dir):
+    from .operators import tables
+
+    e = _table(spark, sf_dir, "events")
+    old = e.where("event_id < 500").groupBy(F.col("event_type").alias("k")).agg(F.min("event_id").alias("first_id"), F.lit(-1.0).alias("top"))
+    new = e.groupBy(F.col("event_type").alias("k")).agg(F.max("value").alias("top"))
+    rows = new.join(old.select("k", "first_id"), "k", "left").select("k", F.coalesce("first_id", F.lit(-1)).alias("first_id"), "top")
+    return tables.upsert(old, rows, ["k"])
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id < 100 UNION ALL (SELECT doc_id, source FROM documents WHERE doc_id >= 100 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY source) = 1)")
+def insert_ignore(spark, sf_dir):
+    from .operators import tables
+
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return tables.insert_ignore(d.where("doc_id < 100"), d, ["doc_id"], ["source"])
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def pricing_summary(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Characters a token by language.
 CHARS_PER_TOKEN = {"en": 4.0, "de": 4.5, "zh": 1.7, "mixed": 3.0}
@@ -30,7 +31,7 @@ def chars_for_tokens(tokens: int, lang: str = "mixed") -> int:
     return int(tokens * CHARS_PER_TOKEN.get(lang, 3.0) * 0.9) if tokens > 0 else 0
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _head_bytes(text: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else t.encode()[: max(int(k), 0)].decode("utf-8", "ignore") for t, k in zip(text, n, strict=True)])
 
@@ -46,8 +47,9 @@ def preview(text: Column, n: int = 500) -> Column:
 
 def language(text: Column) -> Column:
     """Coarse label by script: mixed, zh, de or en."""
-    cjk, umlaut = F.regexp_count(text, F.lit(CJK)), F.regexp_count(text, F.lit(f"[{UMLAUTS}]"))
-    latin = umlaut + F.regexp_count(text, F.lit("[a-zA-Z]"))
+    kept = lambda c: F.length(F.regexp_replace(text, f"[^{c}]+", ""))  # noqa: E731  runs of the rest go in one match each
+    cjk, umlaut = kept(CJK.strip("[]")), kept(UMLAUTS)
+    latin = umlaut + kept("a-zA-Z")
     total = cjk + latin
     head = F.lower(truncated_bytes(text, 512))
     german = F.lit(False)

@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 #: MIME type of each format; its name is its file extension.
 MIME = {
@@ -44,7 +45,7 @@ def by_mime(mime: Column) -> Column:
     return F.coalesce(_mapped(mime, {v: k for k, v in MIME.items()}), F.lit("pdf"))
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def _printable(head: pd.Series) -> pd.Series:
     def one(b: bytes | None) -> bool:
         b = (b or b"")[:512]
@@ -73,7 +74,7 @@ def html_ok(body: Column) -> Column:
     return F.contains(body, F.lit(b"<"))
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def zip_ok(body: pd.Series) -> pd.Series:
     """An archive with a member."""
 
@@ -96,7 +97,7 @@ def verified(fmt: Column, body: Column, claimed_sha: Column | None = None, most_
     return F.coalesce(wrong, by_format, F.when(fmt.isNull(), "unknown format"))
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def _utf8(body: pd.Series) -> pd.Series:
     def one(b: bytes | None) -> bool:
         try:
