@@ -21,10 +21,10 @@ def normal_line_ends(text: Column) -> Column:
 
 
 def token_estimate(text: Column, lang: str | Column = "mixed") -> Column:
-    """Code points / ratio, rounded half up, at least 1; 0 for empty."""
+    """Code points / ratio, rounded half up, at least 1; 0 for empty or null."""
     ratio = F.lit(CHARS_PER_TOKEN.get(lang, 3.0)) if isinstance(lang, str) else F.coalesce(F.create_map(*[F.lit(x) for kv in CHARS_PER_TOKEN.items() for x in kv])[lang], F.lit(3.0))
     n = F.length(text) / ratio
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n + 0.5))).cast("int")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n + 0.5))).cast("int")
 
 
 def chars_for_tokens(tokens: int, lang: str = "mixed") -> int:
