@@ -8,8 +8,8 @@ partial overlap, and leaves a subtree once the overlap and what remains on eithe
 threshold. It yields exact overlaps; nothing is dropped, sampled or capped.
 
 Steps, all in Spark: equal word sequences collapse to one set; shingles are dealt by hash as packed
-blocks and those of one set alone fall out (sets with enough of them can have no partner); the others
-return to their sets, which give their prefixes; sets that meet in a prefix are first compared to one
+blocks and those of one set alone fall out (sets with enough of them can have no partner): first a part of the hash
+range over all sets, then all of it over the sets that are left; the others return to their sets, which give their prefixes; sets that meet in a prefix are first compared to one
 leader each, then, in a few rounds, one pair for each two components that meet, and at last, across the components so far, every
 set with every other that it meets, unless the count of shared prefix shingles rules the pair out.
 
@@ -188,31 +188,73 @@ def _shared(parts: int):
 PREFIXES = "token long, sid long, n int, lone int"
 
 
-def _prefixes(batches):
-    """From blocks dealt by set: (shingle, set, size, lone shingles) of each set's prefix; sets without shared ones go."""
-    shared, sizes = [], []
-    for b in batches:
-        for kind, x in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
-            (sizes if kind else shared).append(x)
-    s, t, held = unpacked(shared, "u8", "u8", "u4")
-    if not len(s):
-        return
-    ms, mn, ml = unpacked(sizes, "u8", "u4", "u4")
-    order = np.argsort(ms)
-    ms, mn, ml = ms[order], mn[order].astype(np.int64), ml[order].astype(np.int64)
-    high = t >= LOW
-    held[high] = 0  # beyond the low part the order is by hash alone
-    order = np.lexsort((t, held, high, s))
-    s, t, high = s[order], t[order], high[order]
-    at = np.searchsorted(ms, s)
-    n, low = mn[at], ml[at]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    count = np.diff(np.append(first, len(s)))
-    rank = np.arange(len(s)) - np.repeat(first, count)
-    lone = low - np.repeat(np.add.reduceat((~high).astype(np.int64), first), count)
-    keep = high | (lone + rank < prefix(n))
-    if keep.any():
-        yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32))], ["token", "sid", "n", "lone"])
+def _prefixes(all_low: bool):
+    """From blocks dealt by set: (shingle, set, size, lone shingles) of each set's prefix; sets without shared ones in it go.
+
+    all_low: every shingle of a set was dealt, not only those of the low part of the hash range.
+    """
+
+    def run(batches):
+        shared, sizes = [], []
+        for b in batches:
+            for kind, x in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
+                (sizes if kind else shared).append(x)
+        s, t, held = unpacked(shared, "u8", "u8", "u4")
+        if not len(s):
+            return
+        ms, mn, ml = unpacked(sizes, "u8", "u4", "u4")
+        order = np.argsort(ms)
+        ms, mn, ml = ms[order], mn[order].astype(np.int64), ml[order].astype(np.int64)
+        high = np.zeros(len(t), bool) if all_low else t >= LOW
+        held[high] = 0  # beyond the low part the order is by hash alone
+        order = np.lexsort((t, held, high, s))
+        s, t, high = s[order], t[order], high[order]
+        at = np.searchsorted(ms, s)
+        n, low = mn[at], mn[at] if all_low else ml[at]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        count = np.diff(np.append(first, len(s)))
+        rank = np.arange(len(s)) - np.repeat(first, count)
+        lone = low - np.repeat(np.add.reduceat((~high).astype(np.int64), first), count)
+        keep = high | (lone + rank < prefix(n))
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32))], ["token", "sid", "n", "lone"])
+
+    return run
+
+
+def _survivors(batches):
+    """Sets that may have a partner as far as their low shingles tell."""
+    for b in _prefixes(False)(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.column("sid").to_numpy()))], ["sid"])
+
+
+def _whole_sets(parts: int):
+    """Blocks of (shingle, set) of whole sets, dealt by shingle."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
+                t = np.concatenate(sets)
+                yield _blocks(0, list(packed(t, parts, t, np.repeat(part.column("sid").to_numpy().view(np.uint64), [len(x) for x in sets]))))
+
+    return run
+
+
+def _whole_sizes(parts: int):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                s, n = b.column("sid").to_numpy().view(np.uint64), (b.column("size").to_numpy() // 8).astype(np.uint32)
+                yield _blocks(1, list(packed(s, parts, s, n, n)))
+
+    return run
+
+
+def reach(a, lone_a, b, lone_b):
+    """Whether sets of a and b can overlap enough when so many shingles of each are in no other set."""
+    return needed(a, b) <= np.minimum(a - lone_a, b - lone_b)
 
 
 def _columns(batches, *names: str) -> list[np.ndarray]:
@@ -238,10 +280,10 @@ def _led(batches):
     if not len(t):
         return
     order = np.lexsort((s, lone * 10_000 // np.maximum(n, 1), t))
-    t, s, n = t[order], s[order], n[order]
+    t, s, n, lone = t[order], s[order], n[order], lone[order]
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     lead = np.repeat(first, np.diff(np.append(first, len(t))))
-    keep = (np.arange(len(t)) != lead) & (5 * np.minimum(n, n[lead]) >= 4 * np.maximum(n, n[lead]))
+    keep = (np.arange(len(t)) != lead) & reach(n, lone, n[lead], lone[lead])
     if keep.any():
         yield _pair_rows(s[keep], s[lead][keep], n[keep], n[lead][keep])
 
@@ -250,15 +292,15 @@ def _led_across(turn: int):
     """For each shingle whose sets lie in several components, the pairs of one leader with the sets of the others."""
 
     def run(batches):
-        t, s, n, label = _columns(batches, "token", "sid", "n", "label")
+        t, s, n, lone, label = _columns(batches, "token", "sid", "n", "lone", "label")
         if not len(t):
             return
-        rank = mixed(label.view(np.uint64) + np.uint64(turn))
-        order = np.lexsort((s, rank, t))
-        t, s, n, label = t[order], s[order], n[order], label[order]
+        rank = mixed(label.view(np.uint64) ^ mixed(t.view(np.uint64) + np.uint64(turn)))
+        order = np.lexsort((lone * 10_000 // np.maximum(n, 1), rank, t))
+        t, s, n, lone, label = t[order], s[order], n[order], lone[order], label[order]
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         lead = np.repeat(first, np.diff(np.append(first, len(t))))
-        keep = (label != label[lead]) & (5 * np.minimum(n, n[lead]) >= 4 * np.maximum(n, n[lead]))
+        keep = (label != label[lead]) & reach(n, lone, n[lead], lone[lead])
         if keep.any():
             at = lead[keep]
             order = np.lexsort((s[at], s[keep]))
@@ -270,23 +312,23 @@ def _led_across(turn: int):
 
 
 def _across(batches):
-    """For each shingle the pairs of its sets that lie in different components; streams in blocks."""
-    t, s, n, label = _columns(batches, "token", "sid", "n", "label")
+    """For each shingle the pairs of its sets that lie in different components and can reach each other; streams in blocks."""
+    t, s, n, lone, label = _columns(batches, "token", "sid", "n", "lone", "label")
     if not len(t):
         return
     order = np.lexsort((s, label, t))
-    t, s, n, label = t[order], s[order], n[order], label[order]
+    t, s, n, lone, label = t[order], s[order], n[order], lone[order], label[order]
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     end = np.append(first[1:], len(t))
-    mixed_up = label[first] != label[end - 1]
+    several = label[first] != label[end - 1]
     found, held = [], 0
 
     def out():
         return _pair_rows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    for i, j in zip(first[mixed_up].tolist(), end[mixed_up].tolist(), strict=True):
+    for i, j in zip(first[several].tolist(), end[several].tolist(), strict=True):
         for k in range(i, j - 1):
-            m = k + 1 + np.flatnonzero((label[k + 1 : j] != label[k]) & (5 * np.minimum(n[k + 1 : j], n[k]) >= 4 * np.maximum(n[k + 1 : j], n[k])))
+            m = k + 1 + np.flatnonzero((label[k + 1 : j] != label[k]) & reach(n[k + 1 : j], lone[k + 1 : j], n[k], lone[k]))
             if len(m):
                 less = s[m] < s[k]
                 found.append((np.where(less, s[m], s[k]), np.where(less, s[k], s[m]), np.where(less, n[m], n[k]), np.where(less, n[k], n[m])))
@@ -382,21 +424,23 @@ def linked(lead: int, probe: np.ndarray, ids: list[int], sets: list[np.ndarray])
 
 def _compared(batches):
     """Rows sorted by (b, salt, member): the leader's set, then its members' sets; yields linked pairs."""
-    lead, probe, ids, sets = None, None, [], []
+    lead, salt, probe, ids, sets = None, None, None, [], []
 
     def out():
         got = linked(lead, probe, ids, sets)
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for b, member, a, x in zip(batch.column("b").to_pylist(), batch.column("member").to_pylist(), batch.column("a").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+        for b, part, member, a, x in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "member", "a", "shingles")), strict=True):
+            if member and (b, part) != (lead, salt):
+                raise ValueError("a group of sets came without its leader")
             if not member or len(ids) >= SALT_ROWS:
                 if ids:
                     yield out()
                 ids, sets = [], []
             x = np.frombuffer(x, np.uint64)
             if not member:
-                lead, probe = b, x
+                lead, salt, probe = b, part, x
             else:
                 ids.append(a)
                 sets.append(x)
@@ -430,20 +474,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["id"].dataType.simpleString()
     ids = written(docs.mapInArrow(_ids, f"id {kind}, n long, low long, sid long"), "ids")
-    shared = docs.select("text").mapInArrow(_shingles(parts), BLOCKS).repartition("part").mapInArrow(_shared(parts), BLOCKS)
-    sizes = ids.select("sid", "n", "low").mapInArrow(_sizes(parts), BLOCKS)
-    prefixes = written(shared.unionAll(sizes).repartition("part").mapInArrow(_prefixes, PREFIXES), "prefixes")
-    led = written(prefixes.repartition("token").mapInArrow(_led, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c")), "led")
-    sets = _sets_of(docs, led.select(F.col("a").alias("sid")).unionAll(led.select(F.col("b").alias("sid"))).distinct())
+
+    def shared(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+        return blocks.repartition("part").mapInArrow(_shared(parts), BLOCKS).unionAll(sizes).repartition("part")
+
+    some = shared(docs.select("text").mapInArrow(_shingles(parts), BLOCKS), ids.select("sid", "n", "low").mapInArrow(_sizes(parts), BLOCKS))
+    sets = _sets_of(docs, written(some.mapInArrow(_survivors, "sid long").distinct(), "survivors"))
+    whole = shared(sets.mapInArrow(_whole_sets(parts), BLOCKS), sets.select("sid", F.octet_length("shingles").alias("size")).mapInArrow(_whole_sizes(parts), BLOCKS))
+    prefixes = written(whole.mapInArrow(_prefixes(True), PREFIXES), "prefixes")
+    led = prefixes.repartition("token").mapInArrow(_led, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"))
     links = _verified(sets, led.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b"))
     labels = components(links)
 
     def marked() -> DataFrame:
-        return prefixes.join(labels.toDF("sid", "label"), "sid", "left").select("token", "sid", "n", F.coalesce("label", "sid").alias("label")).repartition("token")
+        return prefixes.join(labels.toDF("sid", "label"), "sid", "left").select("token", "sid", "n", "lone", F.coalesce("label", "sid").alias("label")).repartition("token")
 
-    for turn in range(1, TURNS + 1):  # one pair for each two components that meet at a leader
+    for turn in range(1, TURNS + 1):  # for each component its best pair with the leaders that it meets
         near = marked().mapInArrow(_led_across(turn), "a long, b long, la long, lb long, c long").groupBy("a", "b", "la", "lb").agg(F.sum("c").alias("c"))
-        more = _verified(sets, near.groupBy("la", "lb").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b"))
+        more = _verified(sets, near.groupBy("la").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b"))
         if more.isEmpty():
             break
         links = links.unionAll(more)
@@ -451,10 +499,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = marked().mapInArrow(_across, PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     rest = lambda x: f"({x} - ({x} - (4 * {x} + 4) div 5 + 1))"
     able = pairs.where(f"c + greatest({rest('na')}, {rest('nb')}) >= (4 * (na + nb) + 8) div 9")
-    able = written(able.select("a", "b"), "able")
-    missing = able.select(F.col("a").alias("sid")).unionAll(able.select(F.col("b").alias("sid"))).distinct().join(sets, "sid", "left_anti")
-    if not missing.isEmpty():  # sets that no leader's size allowed
-        sets = sets.unionAll(_sets_of(docs, missing))
     more = _verified(sets, able)
     if not more.isEmpty():
         labels = components(links.unionAll(more))

@@ -156,7 +156,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5
             other = rng.integers(head, tail)[labels[full] == 0]  # a clean text is clean everywhere
             pick = np.concatenate([worst, other])
             lo, hi, y, w = start[pick], end[pick], labels[text[pick]], weight[text[pick]]
-        for part in np.array_split(rng.permutation(len(lo)), max(1, len(lo) // 256)):
+        for part in np.array_split(rng.permutation(len(lo)), max(1, len(lo) // min(256, max(16, len(lo) // 24)))):
             step(lo[part], hi[part], y[part], w[part])
     return Model(embed @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
 
