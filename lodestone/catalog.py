@@ -100,8 +100,8 @@ def bm25_postings_stats(spark, sf_dir):
 def hybrid_rrf_topk(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     dense = retrieval.dense_top(_table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), K, "vec_id")
-    hits = retrieval.fused(dense, retrieval.bm25_top(docs, ASKED, K, "doc_id"), K)
-    rows = docs.join(F.broadcast(hits), docs["doc_id"] == hits["id"])  # K rows
+    hits = retrieval.fused(dense, retrieval.bm25_top(docs, ASKED, K, "doc_id"))
+    rows = docs.join(F.broadcast(hits), docs["doc_id"] == hits["id"]).orderBy(F.desc("score"), "doc_id").limit(K)  # 2 * K rows
     return rows.select("doc_id", F.round("score", 12).alias("score"), "dense_rank", "bm25_rank", "lang", F.substring("text", 1, 80).alias("head"))
 
 
@@ -114,7 +114,7 @@ def multi_group_rrf(spark, sf_dir):
     docs, vectors, q = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)
     legs = [(retrieval.bm25_top(docs, ASKED, K, "doc_id"), 0.3)]
     legs += [(retrieval.dense_top(vectors.where(F.col("label") == g), q, K, "vec_id"), 1.0) for g in range(3)]
-    top = retrieval.fused_legs(legs, docs.select(F.col("doc_id").alias("id"), "text"), K)
+    top = retrieval.fused_legs(legs, docs.select(F.col("doc_id").alias("id"), "text")).orderBy(F.desc("score"), "id").limit(K)
     return top.select(F.col("id").alias("doc_id"), F.round("score", 12).alias("score"), F.octet_length("text").cast("long").alias("bytes"))
 
 

@@ -109,22 +109,22 @@ def rrf(rank: Column, weight: float) -> Column:
     return F.coalesce(F.lit(weight) / (F.lit(float(RRF_K)) + rank), F.lit(0.0))
 
 
-def fused(dense: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """(id, score, dense_rank, bm25_rank): both legs by weighted reciprocal rank."""
+def fused(dense: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, score, dense_rank, bm25_rank): both legs by weighted reciprocal rank. At most the rows of both; the final limit
+    comes after the join with documents, which drops hits without one."""
     d, w = dense.select("id", F.col("rank").alias("dense_rank")), words.select("id", F.col("rank").alias("bm25_rank"))
     both = d.join(w, "id", "full").withColumn("score", rrf(F.col("dense_rank"), DENSE_WEIGHT) + rrf(F.col("bm25_rank"), BM25_WEIGHT))
-    return both.orderBy(F.desc("score"), "id").limit(k).select("id", "score", "dense_rank", "bm25_rank")
+    return both.select("id", "score", "dense_rank", "bm25_rank")
 
 
-def fused_legs(legs: list[tuple[DataFrame, float]], texts: DataFrame, k: int) -> DataFrame:
+def fused_legs(legs: list[tuple[DataFrame, float]], texts: DataFrame) -> DataFrame:
     """(id, score, text): any number of legs (id, rank) with weights; an id's scores add up, its longest text in bytes stays."""
     rows = None
     for leg, weight in legs:
         one = leg.select("id", rrf(F.col("rank"), weight).alias("s"))
         rows = one if rows is None else rows.unionByName(one)
-    rows = rows.join(texts, "id")
-    top = rows.groupBy("id").agg(F.sum("s").alias("score"), F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
-    return top.orderBy(F.desc("score"), "id").limit(k)
+    rows = F.broadcast(rows).join(texts, "id")  # at most k rows of each leg
+    return rows.groupBy("id").agg(F.sum("s").alias("score"), F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
 
 
 def enriched(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def enriched(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFr
     own = chunks.select("id", "doc_id", "parent_id", "page_start", "page_end", F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"), "text")
     parents = chunks.where("is_parent").select(F.col("id").alias("parent_id"), F.col("text").alias("parent"))
     docs = documents.select(F.col("id").alias("doc_id"), "title", "completeness")
-    rows = F.broadcast(hits).join(own, "id")  # hits: at most k rows
+    rows = F.broadcast(hits).join(own, "id")  # hits: at most k rows of each leg
     rows = F.broadcast(rows).join(docs, "doc_id")
     rows = rows.join(parents, "parent_id", "left")
     return rows.select(
@@ -144,8 +144,8 @@ def enriched(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFr
 def hybrid_search(chunks: DataFrame, documents: DataFrame, vector, query: str, k: int, **filters) -> DataFrame:
     rows = candidates(chunks, documents=documents, **filters)
     extra = "header_breadcrumb" if "header_breadcrumb" in chunks.columns else None
-    hits = fused(dense_top(rows, vector, k), bm25_top(rows, query, k, extra_col=extra), k)
-    return enriched(hits, chunks, documents).orderBy(F.desc("score"), "chunk_id")
+    hits = fused(dense_top(rows, vector, k), bm25_top(rows, query, k, extra_col=extra))
+    return enriched(hits, chunks, documents).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def multi_search(chunks: DataFrame, documents: DataFrame, collections: DataFrame, query: str, k: int, embed: Callable[[str, str], list[float]], targets: list[str] | None = None, scope: list[str] | None = None, metadata: Column | None = None) -> DataFrame:
@@ -160,8 +160,8 @@ def multi_search(chunks: DataFrame, documents: DataFrame, collections: DataFrame
     for model in sorted({r["embedding_model_id"] for r in allowed if r["embedding_model_id"]}):
         own = [r["id"] for r in allowed if r["embedding_model_id"] == model]
         legs.append((dense_top(base.where(F.col("collection_id").isin(own)), embed(model, query), k), DENSE_WEIGHT))
-    hits = fused_legs(legs, chunks.select("id", "text"), k).select("id", "score")
-    return enriched(hits, chunks, documents).orderBy(F.desc("score"), "chunk_id")
+    hits = fused_legs(legs, chunks.select("id", "text")).select("id", "score")
+    return enriched(hits, chunks, documents).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def reranked(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]] | None, k: int, id_col: str = "chunk_id") -> DataFrame:
