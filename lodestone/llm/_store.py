@@ -30,12 +30,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files behind a table made by `written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/lodestone-" in folder or folder.startswith(shared_dir(spark).replace("file://", "file:")) or shared_dir(spark) in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,8 +10,8 @@ threshold. It yields exact overlaps; nothing is dropped, sampled or capped.
 Steps, all in Spark: equal word sequences collapse to one set; shingles are dealt by hash as packed
 blocks and those of one set alone fall out (sets with enough of them can have no partner): first a part of the hash
 range over all sets, then all of it over the sets that are left; the others return to their sets, which give their prefixes; sets that meet in a prefix are first compared to one
-leader each, then, in a few rounds, one pair for each two components that meet, and at last, across the components so far, every
-set with every other that it meets, unless the count of shared prefix shingles rules the pair out.
+leader each, then, in a few rounds, a pair for each component, and at last, across the components so far, every set with every
+other that it meets where that can be their first shared shingle (with a large component as a whole, block by block).
 
 Results for odd input: null, empty or blank text has no shingles and is linked with nothing; a text of
 fewer than five words is one shingle; repeated rows each get their row; a null id is never the least
@@ -41,6 +41,8 @@ SALT_ROWS = 512
 RUN = 64
 #: Sets in a row that link no other, after which a group's search around its leader ends; rounds of leaders across components.
 PROBES, TURNS = 8, 4
+#: Sets of a component from which on others are compared with its blocks of about SALT_ROWS sets, not dealt as pairs.
+LARGE = 64
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -185,11 +187,11 @@ def _shared(parts: int):
     return run
 
 
-PREFIXES = "token long, sid long, n int, lone int"
+PREFIXES = "token long, sid long, n int, lone int, at int"
 
 
 def _prefixes(all_low: bool):
-    """From blocks dealt by set: (shingle, set, size, lone shingles) of each set's prefix; sets without shared ones in it go.
+    """From blocks dealt by set: (shingle, set, size, lone shingles, place in the order) of each set's prefix; sets without shared ones in it go.
 
     all_low: every shingle of a set was dealt, not only those of the low part of the hash range.
     """
@@ -217,7 +219,7 @@ def _prefixes(all_low: bool):
         lone = low - np.repeat(np.add.reduceat((~high).astype(np.int64), first), count)
         keep = high | (lone + rank < prefix(n))
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32))], ["token", "sid", "n", "lone"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32)), pa.array((lone + rank)[keep].astype(np.int32))], ["token", "sid", "n", "lone", "at"])
 
     return run
 
@@ -311,27 +313,45 @@ def _led_across(turn: int):
     return run
 
 
+def first_shared(a, at_a, b, at_b):
+    """Whether a shingle at these places can be the first that sets of a and b share, if they are alike enough."""
+    return 1 + np.minimum(a - at_a - 1, b - at_b - 1) >= needed(a, b)
+
+
 def _across(batches):
-    """For each shingle the pairs of its sets that lie in different components and can reach each other; streams in blocks."""
-    t, s, n, lone, label = _columns(batches, "token", "sid", "n", "lone", "label")
+    """For each shingle what is left to compare across components: (a, b, false) for sets a and b of small ones, or (a, b, true)
+    for a set a and the large component b, larger than its own. Only sets that can reach each other, at a shingle that can be the first they share."""
+    t, s, n, lone, at, label, size = _columns(batches, "token", "sid", "n", "lone", "at", "label", "size")
     if not len(t):
         return
-    order = np.lexsort((s, label, t))
-    t, s, n, lone, label = t[order], s[order], n[order], lone[order], label[order]
+    order = np.lexsort((s, label, size, t))
+    t, s, n, lone, at, label, size = (x[order] for x in (t, s, n, lone, at, label, size))
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     end = np.append(first[1:], len(t))
     several = label[first] != label[end - 1]
     found, held = [], 0
 
     def out():
-        return _pair_rows(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        a, b = (np.concatenate(x) for x in zip(*((f[0], f[1]) for f in found), strict=True))
+        big = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
+        order = np.lexsort((b, a, big))
+        a, b, big = a[order], b[order], big[order]
+        head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (big[1:] != big[:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(big[head])], ["a", "b", "big"])
 
     for i, j in zip(first[several].tolist(), end[several].tolist(), strict=True):
-        for k in range(i, j - 1):
-            m = k + 1 + np.flatnonzero((label[k + 1 : j] != label[k]) & reach(n[k + 1 : j], lone[k + 1 : j], n[k], lone[k]))
+        for k in range(i, j - 1):  # components with larger size stand behind
+            m = k + 1 + np.flatnonzero((label[k + 1 : j] != label[k]) & reach(n[k + 1 : j], lone[k + 1 : j], n[k], lone[k]) & first_shared(n[k + 1 : j], at[k + 1 : j], n[k], at[k]))
+            if not len(m):
+                continue
+            large = size[m] >= LARGE
+            if large.any():
+                groups_ = np.unique(label[m[large]])
+                found.append((np.full(len(groups_), s[k]), groups_, True))
+                held += len(groups_)
+            m = m[~large]
             if len(m):
-                less = s[m] < s[k]
-                found.append((np.where(less, s[m], s[k]), np.where(less, s[k], s[m]), np.where(less, n[m], n[k]), np.where(less, n[k], n[m])))
+                found.append((np.minimum(s[m], s[k]), np.maximum(s[m], s[k]), False))
                 held += len(m)
             if held > 500_000:
                 yield out()
@@ -467,6 +487,37 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_compared, "a long, b long"), "links")
 
 
+def _blocked(batches):
+    """Rows sorted by (label, block, guest): a block of a component's sets, then guests; yields one link for each guest that has one."""
+    key, ids, sets = None, [], []
+    for batch in batches:
+        got = []
+        for label, block, guest, a, x in zip(*(batch.column(c).to_pylist() for c in ("label", "block", "guest", "a", "shingles")), strict=True):
+            if (label, block) != key:
+                key, ids, sets = (label, block), [], []
+            x = np.frombuffer(x, np.uint64)
+            if not guest:
+                ids.append(a)
+                sets.append(x)
+                continue
+            for i in range(0, len(sets), SALT_ROWS):
+                hit = np.flatnonzero(trie_overlaps(x, sets[i : i + SALT_ROWS]) >= 0)
+                if len(hit):
+                    got.append((a, ids[i + hit[0]]))
+                    break
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
+
+
+def _verified_in_blocks(sets: DataFrame, guests: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between guests (a, label) and the sets of that component, each compared with all of them."""
+    counts = labels.join(guests.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.expr(f"cast(count(*) div {SALT_ROWS} + 1 as int)").alias("blocks"))
+    own = labels.join(counts, "label").select("label", F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block"), F.lit(0).alias("guest"), F.col("v").alias("a"))
+    others = guests.join(counts, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("guest"), "a")
+    rows = own.unionAll(others).join(sets.withColumnRenamed("sid", "a"), "a").repartition("label", "block").sortWithinPartitions("label", "block", "guest")
+    return written(rows.mapInArrow(_blocked, "a long, b long"), "links")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row: the size of its set and the least id reachable by links."""
     spark = docs.sparkSession
@@ -487,7 +538,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = components(links)
 
     def marked() -> DataFrame:
-        return prefixes.join(labels.toDF("sid", "label"), "sid", "left").select("token", "sid", "n", "lone", F.coalesce("label", "sid").alias("label")).repartition("token")
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        known = labels.join(sizes, "label").select(F.col("v").alias("sid"), "label", "size")
+        return prefixes.join(known, "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "size": F.coalesce("size", F.lit(1))}).repartition("token")
 
     for turn in range(1, TURNS + 1):  # for each component its best pair with the leaders that it meets
         near = marked().mapInArrow(_led_across(turn), "a long, b long, la long, lb long, c long").groupBy("a", "b", "la", "lb").agg(F.sum("c").alias("c"))
@@ -496,10 +549,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             break
         links = links.unionAll(more)
         labels = components(links)
-    pairs = marked().mapInArrow(_across, PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    rest = lambda x: f"({x} - ({x} - (4 * {x} + 4) div 5 + 1))"
-    able = pairs.where(f"c + greatest({rest('na')}, {rest('nb')}) >= (4 * (na + nb) + 8) div 9")
-    more = _verified(sets, able)
+    rest = written(marked().mapInArrow(_across, "a long, b long, big boolean").distinct(), "rest")
+    more = _verified(sets, rest.where("not big"))
+    if not (guests := rest.where("big").select("a", F.col("b").alias("label"))).isEmpty():
+        more = more.select("a", "b").unionAll(_verified_in_blocks(sets, guests, labels))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     least = ids.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))

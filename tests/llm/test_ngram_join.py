@@ -98,3 +98,19 @@ def test_long_text_in_pieces(monkeypatch):
     whole = next(_words.shingle_sets(pa.array([text])))
     monkeypatch.setattr(_words, "PIECE", 512)
     assert (next(_words.shingle_sets(pa.array([text]))) == whole).all() and len(whole) == len(shingles(text))
+
+
+def test_large_loose_group(spark):
+    """Copies of one text with few to many edits: a component of over LARGE sets, and sets around it at the threshold."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5])):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), 0, ""))
+    want = brute(rows)
+    assert max(sum(r[2] == x[2] for x in want) for r in want) > 64
+    got = ngram_join(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert sorted(map(tuple, got), key=str) == want
