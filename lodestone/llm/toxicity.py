@@ -84,24 +84,32 @@ class Model:
         return out
 
 
+def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts as numbers by first occurrence, each text's first word (len + 1), and the subword buckets of the distinct words: flat, and how many each has."""
+    hashes, firsts, flat, sizes, passed = [np.zeros(0, np.uint64)], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for _, _, _, h, _, _, first in texts_of(texts, SPACE):
+        hashes.append(h)
+        firsts += (first[1:] + firsts[-1]).tolist()
+    _, seen_at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    order = np.argsort(seen_at)
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    seen_at = seen_at[order]
+    for _, _, raw, h, start, end, _ in texts_of(texts, SPACE):
+        lo, hi = np.searchsorted(seen_at, (passed, passed + len(h)))
+        new = seen_at[lo:hi] - passed
+        ids, word = subwords(raw, h[new], start[new], end[new])
+        flat.append(ids)
+        sizes.append(np.bincount(word, minlength=len(new)))
+        passed += len(h)
+    return number[which], np.array(firsts), np.concatenate(flat), np.concatenate(sizes)
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5, seed: int = 7) -> Model:
     """Joint AdaGrad of embeddings and softmax over the labelled texts."""
     rng = np.random.default_rng(seed)
-    known: dict[int, int] = {}
-    bags, words, firsts = [], [], [0]
-    for _, _, raw, h, start, end, first in texts_of(texts, SPACE):
-        distinct, some, which = np.unique(h, return_index=True, return_inverse=True)
-        new = np.array([i for i, x in enumerate(distinct.tolist()) if x not in known], int)
-        if len(new):
-            known.update(zip(distinct[new].tolist(), range(len(bags), len(bags) + len(new)), strict=True))
-            ids, word = subwords(raw, distinct[new], start[some[new]], end[some[new]])
-            bags += np.split(ids, np.flatnonzero(word[1:] != word[:-1]) + 1)
-        words.append(np.array([known[x] for x in distinct.tolist()], np.int32)[which])
-        firsts += (first[1:] + firsts[-1]).tolist()
-    first = np.array(firsts)
-    words = np.concatenate(words) if words else np.zeros(0, np.int32)
-    size = np.array([len(x) for x in bags])
-    flat, at = (np.concatenate(bags), np.concatenate(([0], np.cumsum(size)))) if bags else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    words, first, flat, size = _vocabulary(texts)
+    at = np.concatenate(([0], np.cumsum(size)))
     start, end, text = windows(first)
     head = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, int)
     tail = np.append(head[1:], len(text))
