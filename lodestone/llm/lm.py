@@ -6,8 +6,9 @@ gives the token's conditional log-probability. The sum over all tokens of a text
 
 Counts of all words of all documents give the vocabulary (the VOCAB - RARE most frequent; others share RARE tokens by
 hash). Training reads all documents: in every round each task starts from the shared parameters, takes AdaGrad
-steps on every STRIDE-th token of its documents, and the tasks' parameters are averaged, weighed by tokens, in Spark by
-blocks; the driver sees one set of parameters a round, of fixed size. All tokens of all texts are scored.
+steps on the tokens of its documents that are due, and the tasks' parameters are averaged, weighed by tokens, in Spark by
+blocks; the driver sees one set of parameters a round, of fixed size. The token at position p of a text is due in the rounds
+r = p modulo STRIDE; STRIDE is no more than ROUNDS, so every token is a target. All tokens of all texts are scored.
 
 Words are runs of anything but ASCII white space, A-Z as a-z. Null, empty and blank texts have no tokens, score 0 and mean null.
 Repeated rows each get their row; extra columns are ignored; an empty table gives no rows.
@@ -26,7 +27,7 @@ from .ngram_join import BLOCKS, _blocks, packed, unpacked
 CLASSES = PER_CLASS = 64
 VOCAB, RARE = CLASSES * PER_CLASS, PER_CLASS
 WINDOW, DIM = 2, 16
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 2048, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 2048, 0.1
 AVERAGED = 16
 _SHAPES = {"embed": (2 * WINDOW, VOCAB + 1, DIM), "bias": (DIM,), "top": (CLASSES, DIM), "top_bias": (CLASSES,), "low": (CLASSES, PER_CLASS, DIM), "low_bias": (CLASSES, PER_CLASS)}
 
@@ -123,33 +124,43 @@ class Network:
         return np.tanh(total + self.bias)
 
     def by_class(self, ids):
+        """The order of ids by class, and (class, start, end) in it of the classes that occur."""
         which = ids // PER_CLASS
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(CLASSES + 1))
-        return which, [(c, order[cuts[c] : cuts[c + 1]]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        order = np.argsort(which.astype(np.uint8), kind="stable")  # by radix
+        cuts = np.searchsorted(which[order], np.arange(CLASSES + 1)).tolist()
+        return which, order, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+
+    def low_logits(self, h: np.ndarray, groups) -> np.ndarray:
+        z = np.empty((len(h), PER_CLASS), np.float32)
+        for c, i, j in groups:
+            np.matmul(h[i:j], self.low[c].T, out=z[i:j])
+            z[i:j] += self.low_bias[c]
+        return z
 
     def log_probs(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
-        which, groups = self.by_class(ids)
-        z = h @ self.top.T + self.top_bias
-        z -= z.max(1, keepdims=True)
-        out = (z[np.arange(len(ids)), which] - np.log(np.exp(z).sum(1))).astype(np.float64)
-        for c, rows in groups:
-            z = h[rows] @ self.low[c].T + self.low_bias[c]
+        which, order, groups = self.by_class(ids)
+
+        def logs(z, own):
             z -= z.max(1, keepdims=True)
-            out[rows] += z[np.arange(len(rows)), ids[rows] % PER_CLASS] - np.log(np.exp(z).sum(1))
+            return (z[np.arange(len(own)), own] - np.log(np.exp(z).sum(1))).astype(np.float64)
+
+        out = logs(h @ self.top.T + self.top_bias, which)
+        out[order] += logs(self.low_logits(h[order], groups), ids[order] % PER_CLASS)
         return out
 
     def step(self, ids: np.ndarray, around: np.ndarray, memory: Network, rate: float) -> None:
         """One AdaGrad step up the mean log-probability; memory holds the sums of squares."""
         h, n = self.hidden(around), len(ids)
-        which, groups = self.by_class(ids)
+        which, order, groups = self.by_class(ids)
 
         def softmax(z, own):
-            e = np.exp(z - z.max(1, keepdims=True))
+            z -= z.max(1, keepdims=True)
+            e = np.exp(z, out=z)
             e /= e.sum(1, keepdims=True)
             e[np.arange(len(own)), own] -= 1
-            return e / n
+            e /= n
+            return e
 
         def move(name, at, grad):
             m = getattr(memory, name)
@@ -160,20 +171,32 @@ class Network:
         back = d @ self.top
         move("top", ..., d.T @ h)
         move("top_bias", ..., d.sum(0))
-        for c, rows in groups:
-            d = softmax(h[rows] @ self.low[c].T + self.low_bias[c], ids[rows] % PER_CLASS)
-            back[rows] += d @ self.low[c]
-            move("low", c, d.T @ h[rows])
-            move("low_bias", c, d.sum(0))
+        own, low = h[order], np.zeros_like(self.low)
+        d = softmax(self.low_logits(own, groups), ids[order] % PER_CLASS)
+        through = np.empty_like(own)
+        for c, i, j in groups:
+            np.matmul(d[i:j], self.low[c], out=through[i:j])
+            np.matmul(d[i:j].T, own[i:j], out=low[c])
+        back[order] += through
+        held = [c for c, _, _ in groups]
+        move("low", held, low[held])
+        move("low_bias", held, np.add.reduceat(d, [i for _, i, _ in groups]))
         back *= 1 - h * h
         move("bias", ..., back.sum(0))
         for k in range(2 * WINDOW):
-            hit, where = np.unique(around[k], return_inverse=True)
-            grad = np.stack([np.bincount(where, back[:, j], len(hit)) for j in range(DIM)], 1).astype(np.float32)
-            move("embed", (k, hit), grad)
+            order = np.argsort(around[k].astype(np.uint16), kind="stable")  # by radix
+            own = around[k][order]
+            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            move("embed", (k, own[start]), np.add.reduceat(back[order], start))
+
+
+def due(first: np.ndarray, turn: int, stride: int) -> np.ndarray:
+    """The tokens at positions of their text that are turn modulo stride."""
+    at = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(at % stride == turn % stride)
 
 
-def _trained(words, flat, seed: int, stride: int):
+def _trained(words, flat, turn: int, stride: int):
     def run(batches):
         net = Network(words, flat.copy())
         memory = Network(words, np.full_like(flat, 1e-6))
@@ -181,7 +204,7 @@ def _trained(words, flat, seed: int, stride: int):
         for b in batches:
             for _, _, _, h, _, _, first in texts_of(b.column("text")):
                 t = net.tokens(h)
-                pick = np.arange((seed * 5 + total) % stride, len(t), stride)
+                pick = due(first, turn, stride)
                 total += len(t)
                 if not len(pick):
                     continue
@@ -214,6 +237,8 @@ def _averaged(batches):
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
+    if stride > rounds:
+        raise ValueError(f"with stride {stride}, {rounds} rounds leave tokens out")
     docs = docs.select(F.col(text_col).alias("text"))
     net = Network(vocabulary(docs))
     sc = docs.sparkSession.sparkContext

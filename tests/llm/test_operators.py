@@ -184,6 +184,21 @@ def test_lm_prefers_real_order(spark):
     assert lm.scored(docs_of(spark, [])).collect() == []
 
 
+def test_every_token_is_a_target(spark, monkeypatch):
+    from collections import Counter
+
+    seen = Counter()
+    monkeypatch.setattr(lm.Network, "step", lambda self, ids, *_: seen.update(ids.tolist()))
+    hashes = np.arange(40, dtype=np.uint64)
+    monkeypatch.setattr(lm, "texts_of", lambda column: iter([(0, 4, None, hashes, None, None, np.array([0, 1, 1, 8, 40]))]))
+    batch = pa.RecordBatch.from_pydict({"text": ["", "", "", ""]})
+    for turn in range(lm.ROUNDS):
+        list(lm._trained(hashes, lm.Network(hashes).flat, turn, lm.STRIDE)([batch]))
+    assert seen == dict.fromkeys(range(40), 1)
+    with pytest.raises(ValueError):
+        lm.train(docs_of(spark, []), rounds=2, stride=3)
+
+
 def test_vocabulary_counts_all(spark):
     rows = [(i, "b b a c" if i % 2 else "a b", "en", "s") for i in range(20)]
     from lodestone.llm._words import texts_of
