@@ -4,8 +4,10 @@ Method: each token is masked and predicted from the WINDOW tokens on both sides:
 of the neighbours are summed, go through tanh, and a two-level softmax (class, then word in the class)
 gives the token's conditional log-probability. The sum over all tokens of a text is its score.
 
-Counts of all words of all documents give the vocabulary (the VOCAB - RARE most frequent; others share RARE tokens by
-hash). Training reads all documents: in every round each task starts from the shared parameters, takes AdaGrad
+Counts of all words of all documents give the network's tokens (the VOCAB - RARE most frequent words; others share RARE
+tokens by hash). A shared token's probability is split among its words by their counts, which are kept for every word in
+blocks and joined with the words to score in Spark, so they grow with the corpus: n of N + 1, one part for all words that
+training has not seen. Training reads all documents: in every round each task starts from the shared parameters, takes AdaGrad
 steps on the tokens of its documents that are due, and the tasks' parameters are averaged, weighed by tokens, in Spark by
 blocks; the driver sees one set of parameters a round, of fixed size. The token at position p of a text is due in the rounds
 r = p modulo STRIDE; STRIDE is no more than ROUNDS, so every token is a target. All tokens of all texts are scored.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import written
-from ._words import texts_of
+from ._words import mixed, texts_of
 from .ngram_join import BLOCKS, _blocks, packed, unpacked
 
 CLASSES = PER_CLASS = 64
@@ -60,21 +62,42 @@ def _counts(parts: int):
     return run
 
 
-def _top(batches):
-    blocks = [x for b in batches for x in b.column("block").to_pylist()]
-    if not blocks:
-        return
-    k, n = unpacked(blocks, "u8", "i8")
+def _sums(blocks: list[bytes], kind: str, size: str) -> tuple[np.ndarray, np.ndarray]:
+    k, n = unpacked(blocks, kind, size)
     k, which = np.unique(k, return_inverse=True)
-    n = np.bincount(which, n).astype(np.int64)
-    best = np.lexsort((k, -n))[: VOCAB - RARE]
-    yield pa.RecordBatch.from_arrays([pa.array(k[best].view(np.int64)), pa.array(n[best])], ["word", "n"])
+    return k, np.bincount(which, n, len(k)).astype(size)
+
+
+def _summed(parts: int):
+    def run(batches):
+        blocks = [x for b in batches for x in b.column("block").to_pylist()]
+        if blocks:
+            k, n = _sums(blocks, "u8", "i8")
+            yield _blocks(0, list(packed(k, parts, k, n)))
 
+    return run
+
+
+def _top(batches):
+    for b in batches:
+        k, n = unpacked(b.column("block").to_pylist(), "u8", "i8")
+        best = np.lexsort((k, -n))[: VOCAB - RARE]
+        yield pa.RecordBatch.from_arrays([pa.array(k[best].view(np.int64)), pa.array(n[best])], ["word", "n"])
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
+
+def _parts(docs: DataFrame) -> int:
+    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def counted(docs: DataFrame, parts: int) -> DataFrame:
+    """Counts of all words of docs (text), in blocks of (word, n) by the word modulo parts."""
+    return written(docs.mapInArrow(_counts(parts), BLOCKS).repartition("part").mapInArrow(_summed(parts), BLOCKS), "counts")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
     """Hashes of the most frequent words of docs (text), most frequent first."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tops = written(docs.mapInArrow(_counts(parts), BLOCKS).repartition("part").mapInArrow(_top, "word long, n long"), "counts")
+    counts = counted(docs, _parts(docs)) if counts is None else counts
+    tops = written(counts.mapInArrow(_top, "word long, n long"), "tops")
     left, least = VOCAB - RARE, 1
     for r in tops.groupBy(F.length(F.bin("n")).alias("bits")).count().orderBy(F.desc("bits")).collect():  # at most 63 rows
         left, least = left - r["count"], 2 ** (r["bits"] - 1)
@@ -84,7 +107,86 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
     return rows["word"].to_numpy().view(np.uint64)
 
 
+class Rare:
+    """The words that share tokens: their counts in blocks by the word modulo parts, and the sum of counts of each shared token."""
+
+    def __init__(self, counts: DataFrame, parts: int, words: np.ndarray):
+        self.counts, self.parts = counts, parts
+        known = counts.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches):
+            net = Network(known.value)
+            for b in batches:
+                k, n = unpacked(b.column("block").to_pylist(), "u8", "i8")
+                t = net.tokens(k) - (VOCAB - RARE)
+                yield pa.RecordBatch.from_arrays([pa.array(range(RARE), pa.int32()), pa.array(np.bincount(t[t >= 0], n[t >= 0], RARE).astype(np.int64))], ["token", "n"])
+
+        self.totals = np.zeros(RARE)
+        for r in counts.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # RARE rows
+            self.totals[r["token"]] = r["n"]
+
+    def logs(self, asked: DataFrame) -> DataFrame:
+        """(key, more): the summed log shares of the words of each row of asked (key, words: packed hashes), where there are any."""
+        parts, totals = self.parts, self.totals
+
+        def ask(batches):
+            keys, words, held = [], [], 0
+            for b in batches:
+                for key, x in zip(b.column("key").to_pylist(), b.column("words"), strict=True):
+                    h = np.frombuffer(x.as_buffer(), np.uint64)
+                    keys.append(np.full(len(h), key, np.int64))
+                    words.append(h)
+                    held += len(h)
+                    if held >= 1_000_000:
+                        h = np.concatenate(words)
+                        yield _blocks(1, list(packed(h, parts, h, np.concatenate(keys))))
+                        keys, words, held = [], [], 0
+            if held:
+                h = np.concatenate(words)
+                yield _blocks(1, list(packed(h, parts, h, np.concatenate(keys))))
+
+        def answer(batches):  # counts come before what is asked
+            counts, found, out, held = [], None, [], 0
+
+            def dealt():
+                key, x = (np.concatenate(c) for c in zip(*out, strict=True))
+                return _blocks(0, list(packed(mixed(key.view(np.uint64)), parts, key, x)))
+
+            for b in batches:
+                for kind, block in zip(b.column("kind").to_pylist(), b.column("block"), strict=True):
+                    if kind == 0:
+                        counts.append(block.as_py())
+                        continue
+                    if found is None:
+                        found = _sums(counts, "u8", "i8")
+                    (k, n), (h, key) = found, unpacked([block.as_py()], "u8", "i8")
+                    own = np.ones(len(h))
+                    if len(k):
+                        at = np.minimum(np.searchsorted(k, h), len(k) - 1)
+                        own = np.where(k[at] == h, n[at], 1)
+                    x = np.log(own / (totals[(h % np.uint64(RARE)).astype(np.int64)] + 1))
+                    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    out.append((key[start], np.add.reduceat(x, start)))
+                    held += len(start)
+                    if held >= 1_000_000:
+                        yield dealt()
+                        out, held = [], 0
+            if held:
+                yield dealt()
+
+        def add(batches):
+            blocks = [x for b in batches for x in b.column("block").to_pylist()]
+            if blocks:
+                k, x = _sums(blocks, "i8", "f8")
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x)], ["key", "more"])
+
+        both = self.counts.unionAll(asked.mapInArrow(ask, BLOCKS)).repartition("part").sortWithinPartitions("kind")
+        return both.mapInArrow(answer, BLOCKS).repartition("part").mapInArrow(add, "key long, more double")
+
+
 class Network:
+    rare: Rare | None = None  # without it, a rare word has the probability of its shared token
+
     def __init__(self, words: np.ndarray, flat: np.ndarray | None = None, seed: int = 11):
         order = np.argsort(words)
         self.words, self.sorted, self.order = words, words[order], order
@@ -106,10 +208,10 @@ class Network:
         return out
 
     @staticmethod
-    def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The 2 * WINDOW neighbours of each token within its text; VOCAB where there is none."""
+    def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The 2 * WINDOW neighbours of each token (of those at, if given) within its text; VOCAB where there is none."""
         n, text = len(ids), np.repeat(np.arange(len(first) - 1), np.diff(first))
-        at = np.arange(n)
+        at, text = (np.arange(n), text) if at is None else (at, text[at])
         lo, hi = first[:-1][text], first[1:][text]
         out = []
         for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
@@ -209,7 +311,7 @@ def _trained(words, flat, turn: int, stride: int):
                 if not len(pick):
                     continue
                 ids.append(t[pick])
-                around.append(net.contexts(t, first)[:, pick])
+                around.append(net.contexts(t, first, pick))
                 held += len(pick)
                 if held >= BATCH:
                     i, a = np.concatenate(ids), np.concatenate(around, axis=1)
@@ -240,7 +342,10 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
     if stride > rounds:
         raise ValueError(f"with stride {stride}, {rounds} rounds leave tokens out")
     docs = docs.select(F.col(text_col).alias("text"))
-    net = Network(vocabulary(docs))
+    parts = _parts(docs)
+    counts = counted(docs, parts)
+    net = Network(vocabulary(docs, counts))
+    rare = Rare(counts, parts, net.words)
     sc = docs.sparkSession.sparkContext
     for r in range(rounds):
         shared = sc.broadcast((net.words, net.flat))
@@ -252,19 +357,20 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
         rows = own.mapInArrow(_averaged, "block int, x binary").collect()  # AVERAGED rows
         if rows:
             net = Network(net.words, np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]).copy())
+    net.rare = rare
     return net
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob) for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("key"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((net.words, net.flat))
 
     def run(batches):
         own = Network(*shared.value)
         for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            n, total, words = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), []
             for i, j, _, h, _, _, first in texts_of(b.column("text")):
                 ids = own.tokens(h)
                 around, p = own.contexts(ids, first), np.zeros(len(ids))
@@ -272,10 +378,18 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                     p[k : k + 8192] = own.log_probs(ids[k : k + 8192], around[:, k : k + 8192])
                 n[i:j] = np.diff(first)
                 total[i:j] = np.bincount(np.repeat(np.arange(j - i), n[i:j]), p, j - i)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(total), mean], ["id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, log_prob double, mean_log_prob double").withColumnRenamed("id", id_col)
+                rare = ids >= VOCAB - RARE
+                raw, cuts = memoryview(h[rare].tobytes()), (8 * np.concatenate(([0], np.cumsum(rare)))[first]).tolist()
+                words += [raw[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(n), pa.array(total), pa.array(words, pa.binary())], ["id", "key", "n_tokens", "log_prob", "words"])
+
+    out = rows.mapInArrow(run, f"id {kind}, key long, n_tokens long, log_prob double, words binary")
+    if net.rare is not None:
+        out = written(out, "scores")  # keys are settled once
+        more = net.rare.logs(out.where(F.length("words") > 0).select("key", "words"))
+        out = out.drop("words").join(more, "key", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
 
 def scored(docs: DataFrame) -> DataFrame:

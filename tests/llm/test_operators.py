@@ -199,6 +199,39 @@ def test_every_token_is_a_target(spark, monkeypatch):
         lm.train(docs_of(spark, []), rounds=2, stride=3)
 
 
+def test_rare_words_have_their_share(spark):
+    from collections import Counter
+
+    from lodestone.llm._words import texts_of
+
+    common = [f"w{i}" for i in range(lm.VOCAB - lm.RARE)]
+    rare = [f"r{i}" for i in range(400)]
+    said = common * 6 + [w for i, w in enumerate(rare) for _ in range(1 + i % 4)]
+    random.Random(3).shuffle(said)
+    rows = [(i, " ".join(said[i * 50 : i * 50 + 50]), "en", "s") for i in range(len(said) // 50 + 1)]
+    rows += [(None, "r0 w1", "en", "s"), (1, "r0 w1", "en", "s"), (5000, None, "en", "s")]
+    net = lm.train(docs_of(spark, rows))
+    unseen = [(6000, "never r3 seen w7", "en", "s")]
+    n = Counter(w for r in rows for w in (r[1] or "").split())
+    h = {w: next(texts_of(pa.array([w])))[3] for w in [*n, "never", "seen"]}
+    token = {w: int(net.tokens(x)[0]) for w, x in h.items()}
+    assert all((token[w] >= lm.VOCAB - lm.RARE) == (w[0] != "w") for w in h)
+    total = Counter()
+    for w in n:
+        total[token[w]] += n[w]
+
+    def brute(text):
+        ids = np.array([token[w] for w in text.split()], np.int64)
+        p = net.log_probs(ids, net.contexts(ids, np.array([0, len(ids)])))
+        return p.sum() + sum(np.log(max(n[w], 1) / (total[token[w]] + 1)) for w in text.split() if w[0] != "w")
+
+    got = lm.score(docs_of(spark, rows + unseen), net).collect()
+    assert len(got) == len(rows) + 1
+    a = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 3)) for r in got)
+    b = sorted((str(r[0]), len((r[1] or "").split()), round(float(brute(r[1])) if r[1] else 0.0, 3)) for r in rows + unseen)
+    assert all(x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=0.01) for x, y in zip(a, b, strict=True))
+
+
 def test_vocabulary_counts_all(spark):
     rows = [(i, "b b a c" if i % 2 else "a b", "en", "s") for i in range(20)]
     from lodestone.llm._words import texts_of
