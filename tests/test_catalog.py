@@ -1,5 +1,6 @@
 """Every query of the catalogue against its SQL in DuckDB, on the smallest tables."""
 
+import hashlib
 import math
 
 import duckdb
@@ -44,6 +45,18 @@ def test_others_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_document_has_its_hash(spark, tmp_path):
+    spaces = "\x0b\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [f"{c}ein{c} {c}Wort{c}" for c in spaces] + ["ein Wort", "", "\u3000", None, "ein\u200bWort"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, text in enumerate(texts):
+        h = hashlib.sha256(" ".join((text or "").split()).encode()).hexdigest()
+        want[h] = (min(i, want.get(h, (i, 0))[0]), want.get(h, (i, 0))[1] + 1)
+    got = catalog.chunk_hash_dedupe(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) == 3 and {r["hash"]: (r["first_id"], r["n"]) for r in got} == want
+
+
 def test_entry_does_without_the_subpackage():
     import __spark_entry__ as e
 
