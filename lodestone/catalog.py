@@ -458,10 +458,12 @@ def ingest_conversations(spark, sf_dir):
 
 @query()
 def embed_documents(spark, sf_dir):
+    from .operators.chunks import raw_chunks
     from .operators.embedding import HashEmbedder, embedded
 
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return embedded(docs, HashEmbedder)
+    raw = raw_chunks(_table(spark, sf_dir, "documents")).where("not is_parent").withColumn("chunk_hash", T.chunk_hash(F.col("text")))
+    first = raw.groupBy("doc_id", "chunk_hash").agg(F.min_by(F.struct("breadcrumb", "text"), "ord").alias("c"))  # children that repeat a parent too: parents have no vectors
+    return embedded(first.select(T.chunk_id(F.col("doc_id"), F.col("chunk_hash")).alias("id"), F.col("c.breadcrumb").alias("header_breadcrumb"), "c.text"), HashEmbedder)
 
 
 @query()

@@ -57,6 +57,21 @@ def test_every_document_has_its_hash(spark, tmp_path):
     assert len(got) == len(want) == 3 and {r["hash"]: (r["first_id"], r["n"]) for r in got} == want
 
 
+def test_whole_documents_are_embedded(spark, tmp_path):
+    from lodestone.functions.text import embedding_text
+    from lodestone.operators.chunks import chunked
+    from lodestone.operators.embedding import HashEmbedder
+
+    texts = [" ".join(f"Word{i} is here." + "\n\n" * (i % 9 == 8) for i in range(900)), "short", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: r["embedding"] for r in catalog.embed_documents(spark, str(tmp_path)).collect()}
+    rows = chunked(docs).where("not is_parent").select("id", "doc_id", embedding_text("header_breadcrumb", "text").alias("text")).collect()
+    assert {r["doc_id"] for r in rows} == {"0", "1"} and set(got) >= {r["id"] for r in rows}
+    assert {w for r in rows for w in r["text"].split()} == {w for t in texts for w in (t or "").split()}
+    assert all(got[r["id"]] == pytest.approx(HashEmbedder()([r["text"]])[0], abs=1e-6) for r in rows)
+
+
 def test_entry_does_without_the_subpackage():
     import __spark_entry__ as e
 
