@@ -3,9 +3,10 @@
 Method: hosts are the nodes; an edge holds how many links pages of one host have to another. Trust is a
 personalised PageRank from the hosts that allowing rules name (and their subdomains), walked along links.
 Distrust is a personalised PageRank from those that blocking rules name, walked against the links: who
-links to a blocked host takes its share. Both run as a fixed number of rounds of joins and sums over the
-edges in Spark. A host with more distrust than THRESHOLD times its trust is blocked, so a host that
-neither reaches is allowed. A url that a rule fits takes that rule's verdict.
+links to a blocked host takes its share. Both run as rounds of joins and sums over the edges in Spark, until the
+ranks change by less than TOLERANCE in all and no further host is reached. A host with more distrust than
+THRESHOLD times its trust is blocked, so a host that neither reaches is allowed. A url that a rule fits takes
+that rule's verdict.
 
 Results for odd input: a null url or one without `://` has empty host and path, fits no rule and is allowed; null html has no
 links; relative links and links to the own host make no edge; repeated pages count again as links; extra
@@ -15,12 +16,17 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._store import written
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 1.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 1.0
+#: Rounds after which the change of a round is below TOLERANCE on any graph.
+ROUNDS = ceil(log(TOLERANCE) / log(DAMPING))
+#: Rounds between tests of convergence, each on a table of its own.
+EVERY = 4
 _LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 #: Number of edges up to which the ranks of a round are sent to every task; they are at most two for each edge.
 SMALL = 100_000
@@ -67,17 +73,23 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, small: bool = True) -> DataFrame:
+def propagated(links: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, small: bool = True) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, weight), weights of sum 1, along links (src, dst, share)."""
     hint = F.broadcast if small else (lambda x: x)
+    seeds = written(seeds, "seeds")
     ranks = seeds.select("host", F.col("weight").alias("rank"))
-    for k in range(rounds):
-        flow = links.join(hint(ranks.withColumnRenamed("host", "src")), "src").select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
-        start = seeds.select("host", (F.lit(1 - damping) * F.col("weight")).alias("rank"))
-        ranks = flow.unionAll(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3 or k == rounds - 1:
-            ranks = written(ranks, "ranks")
-    return ranks
+    start = seeds.select("host", (F.lit(1 - damping) * F.col("weight")).alias("rank"))
+    while True:
+        before = ranks
+        for _ in range(EVERY):
+            flow = links.join(hint(ranks.withColumnRenamed("host", "src")), "src").select(F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
+            ranks = flow.unionAll(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+        ranks = written(ranks, "ranks")
+        both = ranks.select("host", "rank", F.lit(1).alias("n")).unionAll(before.select("host", -F.col("rank"), F.lit(-1)))
+        both = both.groupBy("host").agg(F.abs(F.sum("rank")).alias("change"), F.sum("n").alias("n"))  # n is 1 for a host first reached
+        change, reached = both.agg(F.coalesce(F.sum("change"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if change < tolerance and not reached:
+            return ranks
 
 
 def shares(links: DataFrame, source: str, target: str) -> DataFrame:

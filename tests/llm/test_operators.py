@@ -446,6 +446,13 @@ def test_url_filter(spark):
     assert url_filter.url_filter(d.limit(0)).collect() == []
 
 
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    hops = 40
+    pages = [(i, f"http://h{i}.info/", f'<a href="http://h{i - 1}.info/">x</a>' if i > 1 else '<a href="http://bad.net/">x</a>') for i in range(1, hops + 1)]
+    got = {r["page_id"]: r for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.15 * 0.85**i) for i in range(1, hops + 1))
+
+
 # ---------------------------------------------------------------- chat
 
 
