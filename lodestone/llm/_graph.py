@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import written
+from ._store import sized, written
+
+#: Rounds whose moves one plan puts together.
+CHAINED = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,16 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     Only tables in the shared folder are kept between rounds; no link or label reaches the driver.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels, turn = None, 0
+    while rows := edges.count():
+        edges = sized(edges, rows)
+        both = sized(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
         hooks = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("to")), "hooks")
-        if labels is None:
-            labels = hooks.select("v", F.col("to").alias("label"))
-        else:
-            moved = hooks.select(F.col("v").alias("label"), "to")
-            labels = labels.join(moved, "label", "left").select("v", F.coalesce("to", "label").alias("label"))
-        labels = written(labels, "labels")
+        hooks = sized(hooks, rows)
+        moved = hooks.select(F.col("v").alias("label"), "to")
+        labels = hooks.select("v", F.col("to").alias("label")) if labels is None else labels.join(moved, "label", "left").select("v", F.coalesce("to", "label").alias("label"))
         left, right = hooks.toDF("a", "x"), hooks.toDF("b", "y")
         edges = written(edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return edges.sparkSession.createDataFrame([], "v long, label long") if labels is None else labels
+        turn += 1
+        if turn % CHAINED == 0:
+            labels = written(labels, "labels")
+    return edges.sparkSession.createDataFrame([], "v long, label long") if labels is None else written(labels, "labels")

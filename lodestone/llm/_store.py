@@ -30,3 +30,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+#: Rows of a table that one task works through.
+TASK_ROWS = 50_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in one partition where it has few rows, so that joins and sums of such tables need no exchange."""
+    return df.coalesce(1) if rows <= TASK_ROWS else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

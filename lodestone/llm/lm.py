@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import written
 from ._words import mixed, texts_of
-from .ngram_join import BLOCKS, _blocks, packed, unpacked
+from ._blocks import BLOCKS, _blocks, packed, unpacked
 
 CLASSES = PER_CLASS = 64
 VOCAB, RARE = CLASSES * PER_CLASS, PER_CLASS

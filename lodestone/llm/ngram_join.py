@@ -7,43 +7,58 @@ edges hold runs of shingles, walks it level by level so that sets with a common
 partial overlap, and leaves a subtree once the overlap and what remains on either side can't reach the
 threshold. It yields exact overlaps; nothing is dropped, sampled or capped.
 
-Steps, all in Spark: equal word sequences collapse to one set; shingles are dealt by hash as packed
-blocks and those of one set alone fall out (sets with enough of them can have no partner): first a part of the hash
-range over all sets, then all of it over the sets that are left; the others return to their sets, which give their prefixes; sets that meet in a prefix are first compared to one
-leader each, then, in a few rounds, a pair for each component, and at last, across the components so far, every set with every
-other that it meets where that can be their first shared shingle (with a large component as a whole, block by block).
+Steps, all in Spark:
+
+1. Equal word sequences collapse to one set, named by a 128-bit digest of the words themselves.
+2. A part of the hash range of all shingles is dealt by shingle, at most two rows for each shingle of a run of some million;
+   a set with so many shingles of its own (held by no other set) that it can have no partner falls out.
+3. The sets left are dealt into chunks of bounded size. A chunk sends each distinct shingle once, with the number of
+   its sets that hold it, and gets back how many sets hold it in all, so that a shingle in a third of all sets is no larger
+   than another. That gives the order and each set's prefix.
+4. Sets that meet in a prefix are compared to one leader of the shingle each, then, where components meet in very many pairs, for a few turns one pair for each
+   component, and at last every set with every other of another component that it meets where that can be their
+   first shared shingle (with a large component as a whole, block by block). Rows of a shingle in many sets are dealt by
+   (shingle, salt), so that a task gets about HOT of them, and every pair of salts still meets.
 
 Results for odd input: null, empty or blank text has no shingles and is linked with nothing; a text of
 fewer than five words is one shingle; repeated rows each get their row; a null id is never the least
-one, and a component of null ids alone has a null id; other columns, whatever their names, are ignored.
-Shingles are compared as 64-bit hashes of their words.
+one, and a component of null ids alone has a null id; ids of any type; other columns, whatever their names, are ignored.
+Shingles are compared as 64-bit hashes of their words: two sets of 10 000 shingles count one too many in about one of 10^11 pairs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._graph import components
-from ._store import written
-from ._words import buffers, grams, groups, hashed, mixed
+from ._store import TASK_ROWS, fresh, sized, written
+from ._words import buffers, grams, groups, hashed
 
 #: Part of the hash range whose shingles are dealt to count sets; more only where a prefix needs more.
 LOW_SHARE = 0.4
 LOW = np.uint64(int(LOW_SHARE * 2**64))
-#: Bits of the filter that keeps the texts of candidates: its size is fixed, whatever the input.
-FILTER_BITS = 1 << 25
-#: Members that one task compares with a leader.
-SALT_ROWS = 512
+#: Bits of the filter that picks the texts of candidates: FILTER_EACH for each, in a power of two up to MOST_BITS (32 MB); chunks then leave out what it lets through.
+FILTER_EACH, MOST_BITS = 16, 1 << 28
+#: Shingles that a task holds before it sends them; shingles of a chunk of sets on average.
+RUN_SHINGLES, CHUNK_SHINGLES = 2_000_000, 250_000
+#: Sets that one task compares with a leader; rows of one shingle that are dealt together.
+SALT_ROWS, HOT = 128, 4096
 RUN = 64
-#: Sets in a row that link no other, after which a group's search around its leader ends; rounds of leaders across components.
+#: Sets in a row that link no other, after which a group's search around its leader ends; turns of leaders across components.
 PROBES, TURNS = 8, 4
+#: Pairs for each prefix row that components may have between them before a turn of leaders goes ahead.
+PAIRS_EACH = 64
 #: Sets of a component from which on others are compared with its blocks of about SALT_ROWS sets, not dealt as pairs.
 LARGE = 64
-_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of a text that are digested at a time.
+PIECE = 1 << 20
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def prefix(n):
@@ -56,10 +71,22 @@ def needed(a, b):
     return (4 * (a + b) + 8) // 9
 
 
-def _sequence(words: np.ndarray) -> np.ndarray:
-    """One hash of a sequence of words."""
-    with np.errstate(over="ignore"):
-        return mixed(np.array([np.sum(mixed(words + np.arange(len(words), dtype=np.uint64) * _ODD)) + np.uint64(len(words))], np.uint64))[0]
+def sequence_digest(raw: bytes) -> bytes:
+    """128 bits of the words of a text, A-Z as a-z, each with one space behind it."""
+    out, i = blake2b(digest_size=16), 0
+    while i < len(raw):
+        j = min(len(raw), i + PIECE)
+        if j < len(raw):
+            gap = _GAP.search(raw, j)
+            j = gap.start() if gap else len(raw)
+        if words := raw[i:j].lower().split():
+            out.update(b" ".join(words) + b" ")
+        i = j
+    return out.digest()
+
+
+def _short(sid: bytes) -> int:
+    return int.from_bytes(sid[:8], "little", signed=True)
 
 
 def _distinct(words: np.ndarray) -> np.ndarray:
@@ -68,328 +95,227 @@ def _distinct(words: np.ndarray) -> np.ndarray:
     return g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) > 1 else g
 
 
-def _each(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def _each(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """The index, bytes and word hashes of each text."""
     raw, at = buffers(texts)
     for i, j in groups(raw, at):
-        h, _, _, first = hashed(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        part = raw[at[i] : at[j]]
+        h, _, _, first = hashed(part, at[i : j + 1] - at[i])
         for k in range(j - i):
-            yield i + k, h[first[k] : first[k + 1]]
+            yield i + k, part[at[i + k] - at[i] : at[i + k + 1] - at[i]].tobytes(), h[first[k] : first[k + 1]]
+
+
+IDS = "n long, low long, sent long, sid binary, s long"
 
 
 def _ids(batches):
     for b in batches:
-        n, low, s = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64)
-        for k, words in _each(b.column("text")):
+        n, low, sent, sids = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [b""] * b.num_rows
+        for k, raw, words in _each(b.column("text")):
             g = _distinct(words)
-            n[k], low[k], s[k] = len(g), np.searchsorted(g, LOW), _sequence(words) if len(words) else 0
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(low), pa.array(s.view(np.int64))], ["id", "n", "low", "sid"])
-
-
-def packed(key: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Blocks of columns, one for each value of key modulo parts."""
-    where = (key % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
-    order = np.argsort(where, kind="stable")
-    found, start = np.unique(where[order], return_index=True)
-    columns = [c[order] for c in columns]
-    for k, i, j in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(order)], strict=True):
-        yield k, b"".join([np.int64(j - i).tobytes(), *(c[i:j].tobytes() for c in columns)])
-
-
-def unpacked(blocks: list[bytes], *kinds: str) -> list[np.ndarray]:
-    out = [[] for _ in kinds]
-    for x in blocks:
-        n, at = int(np.frombuffer(x, np.int64, 1)[0]), 8
-        for column, kind in zip(out, kinds, strict=True):
-            column.append(np.frombuffer(x, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
-
-
-def _blocks(kind: int, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([kind] * len(found), pa.int32()), pa.array([x for _, x in found], pa.binary())], ["part", "kind", "block"])
-
-
-BLOCKS = "part int, kind int, block binary"
+            n[k], low[k] = len(g), np.searchsorted(g, LOW)
+            sent[k], sids[k] = _sent(g), sequence_digest(raw)
+        yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, (n, low, sent)), pa.array(sids, pa.binary()), pa.array([_short(x) for x in sids], pa.int64())], ["id", "n", "low", "sent", "sid", "s"])
+
+
+def _sent(g: np.ndarray) -> int:
+    """How many of a sorted set's shingles are dealt to find candidates."""
+    return max(int(np.searchsorted(g, LOW)), min(len(g), prefix(len(g))))
+
+
+def _unseen(texts: pa.Array, seen: set[bytes], wanted=lambda sid: True) -> tuple[list[bytes], pa.Array]:
+    """The digests that are new to seen and wanted, and their texts."""
+    texts = texts.cast(pa.large_binary())
+    sids, at = [], []
+    for k, x in enumerate(texts):
+        sid = sequence_digest(x.as_py() or b"")
+        if sid not in seen and wanted(sid):
+            seen.add(sid)
+            sids.append(sid)
+            at.append(k)
+    return sids, texts.take(pa.array(at, pa.int64()))
+
+
+def _ends(tokens: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+    """For each token its least and its largest set, which are one row where they are the same."""
+    order = np.lexsort((sets, tokens))
+    t, s = tokens[order], sets[order]
+    first = np.concatenate(([True], t[1:] != t[:-1]))
+    keep = first | np.append(first[1:], True)
+    return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(s[keep])], ["token", "s"])
+
+
+def _dealt(batches):
+    """(token, set): for each run of shingles, the ends of each."""
+    seen: set[bytes] = set()
+    tokens, sets, held = [], [], 0
+    for b in batches:
+        sids, texts = _unseen(b.column("text"), seen)
+        for k, _, words in _each(texts):
+            g = _distinct(words)
+            g = g[: _sent(g)]
+            tokens.append(g)
+            sets.append(np.full(len(g), _short(sids[k]), np.int64))
+            held += len(g)
+            if held >= RUN_SHINGLES:
+                yield _ends(np.concatenate(tokens), np.concatenate(sets))
+                tokens, sets, held = [], [], 0
+    if held:
+        yield _ends(np.concatenate(tokens), np.concatenate(sets))
+
+
+def candidates(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(s, n) of the sets that may have a partner: by the shingles dealt they hold few enough alone, and some with others."""
+    ends = docs.select("text").mapInArrow(_dealt, "token long, s long").groupBy("token").agg(F.min("s").alias("s"), F.max("s").alias("other"))
+    alone = ends.where("s = other").groupBy("s").agg(F.count(F.lit(1)).alias("alone"), F.count_if(F.expr(f"token >= 0 and token < {int(LOW)}L")).alias("alone_low"))
+    # two sequences with the same 64 bits both stay: their counts are one
+    keys = ids.where("n > 0").groupBy("s").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.sum("n").alias("of_copies"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sent").alias("sent"))
+    known = keys.join(alone, "s", "left").fillna(0, ["alone", "alone_low"])
+    return known.where("x <> y or (alone < sent and alone_low < n - (4 * n + 4) div 5 + 1)").select("s", F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(F.col("of_copies")).alias("n"))
+
+
+def _filter_bits(keys: DataFrame, size: int) -> np.ndarray:
+    """A bit for each value of s; size / 64 rows at most reach the driver."""
+    rows = keys.groupBy(F.expr(f"cast(pmod(s, {size}) div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) as int)))").alias("x")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[rows["w"].to_numpy()] = rows["x"].to_numpy()
+    return bits
 
 
-def _shingles(parts: int):
-    """Blocks of (shingle, set) dealt by shingle, each set once in a task."""
+def _picked(shared, chunks: int):
+    """(chunk, s, sid, shingles) of texts that the filter lets through, each once in a task."""
 
     def run(batches):
-        seen: set[int] = set()
-        tokens, sets, held = [], [], 0
+        bits, seen = shared.value, set()
+        size = 64 * len(bits)
 
-        def out():
-            t, s = np.concatenate(tokens), np.concatenate(sets)
-            return _blocks(0, list(packed(t, parts, t, s)))
+        def wanted(sid):
+            s = _short(sid)
+            return bool((int(bits[(s % size) // 64]) >> (s % 64)) & 1)
 
         for b in batches:
-            for _, words in _each(b.column("text")):
-                if not len(words) or (s := int(_sequence(words))) in seen:
+            sids, texts = _unseen(b.column("text"), seen, wanted)
+            rows, held = [], 0
+            for k, _, words in _each(texts):
+                if not len(words):
                     continue
-                seen.add(s)
-                g = _distinct(words)
-                g = g[: max(int(np.searchsorted(g, LOW)), min(len(g), prefix(len(g))))]
-                tokens.append(g)
-                sets.append(np.full(len(g), s, np.uint64))
-                held += len(g)
-                if held > 2_000_000:
-                    yield out()
-                    tokens, sets, held = [], [], 0
-        if tokens:
-            yield out()
-
-    return run
-
-
-def _sizes(parts: int):
-    """Blocks of (set, size, low shingles) dealt by set, each set once in a batch."""
-
-    def run(batches):
-        for b in batches:
-            s, n, low = (b.column(x).to_numpy() for x in ("sid", "n", "low"))
-            s, at = np.unique(s.view(np.uint64), return_index=True)
-            at, s = at[n[at] > 0], s[n[at] > 0]
-            if len(s):
-                yield _blocks(1, list(packed(s, parts, s, n[at].astype(np.uint32), low[at].astype(np.uint32))))
-
-    return run
-
-
-def _shared(parts: int):
-    """From blocks dealt by shingle: blocks of (set, shingle, sets that hold it), dealt by set; lone shingles go."""
-
-    def run(batches):
-        blocks = [x for b in batches for x in b.column("block").to_pylist()]
-        if not blocks:
-            return
-        t, s = unpacked(blocks, "u8", "u8")
-        del blocks
-        order = np.argsort(t)
-        t, s = t[order], s[order]
-        again = np.zeros(len(t), bool)
-        again[1:] = t[1:] == t[:-1]
-        again[:-1] |= again[1:]
-        t, s = t[again], s[again]
-        order = np.lexsort((s, t))
-        t, s = t[order], s[order]
-        if not len(t):
-            return
-        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
-        t, s = t[fresh], s[fresh]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        size = np.diff(np.append(first, len(t)))
-        held = np.repeat(size, size)
-        keep = held > 1
-        if keep.any():
-            yield _blocks(0, list(packed(s[keep], parts, s[keep], t[keep], held[keep].astype(np.uint32))))
-
-    return run
-
-
-PREFIXES = "token long, sid long, n int, lone int, at int"
-
-
-def _prefixes(all_low: bool):
-    """From blocks dealt by set: (shingle, set, size, lone shingles, place in the order) of each set's prefix; sets without shared ones in it go.
-
-    all_low: every shingle of a set was dealt, not only those of the low part of the hash range.
-    """
-
-    def run(batches):
-        shared, sizes = [], []
-        for b in batches:
-            for kind, x in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
-                (sizes if kind else shared).append(x)
-        s, t, held = unpacked(shared, "u8", "u8", "u4")
-        if not len(s):
-            return
-        ms, mn, ml = unpacked(sizes, "u8", "u4", "u4")
-        order = np.argsort(ms)
-        ms, mn, ml = ms[order], mn[order].astype(np.int64), ml[order].astype(np.int64)
-        high = np.zeros(len(t), bool) if all_low else t >= LOW
-        held[high] = 0  # beyond the low part the order is by hash alone
-        order = np.lexsort((t, held, high, s))
-        s, t, high = s[order], t[order], high[order]
-        at = np.searchsorted(ms, s)
-        n, low = mn[at], mn[at] if all_low else ml[at]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        count = np.diff(np.append(first, len(s)))
-        rank = np.arange(len(s)) - np.repeat(first, count)
-        lone = low - np.repeat(np.add.reduceat((~high).astype(np.int64), first), count)
-        keep = high | (lone + rank < prefix(n))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(s[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(lone[keep].astype(np.int32)), pa.array((lone + rank)[keep].astype(np.int32))], ["token", "sid", "n", "lone", "at"])
-
-    return run
-
-
-def _survivors(batches):
-    """Sets that may have a partner as far as their low shingles tell."""
-    for b in _prefixes(False)(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.column("sid").to_numpy()))], ["sid"])
-
-
-def _whole_sets(parts: int):
-    """Blocks of (shingle, set) of whole sets, dealt by shingle."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                sets = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
-                t = np.concatenate(sets)
-                yield _blocks(0, list(packed(t, parts, t, np.repeat(part.column("sid").to_numpy().view(np.uint64), [len(x) for x in sets]))))
-
-    return run
-
-
-def _whole_sizes(parts: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                s, n = b.column("sid").to_numpy().view(np.uint64), (b.column("size").to_numpy() // 8).astype(np.uint32)
-                yield _blocks(1, list(packed(s, parts, s, n, n)))
+                rows.append((sids[k], _distinct(words).tobytes()))
+                held += len(rows[-1][1])
+                if held > 1 << 23:
+                    yield _set_rows(rows, chunks)
+                    rows, held = [], 0
+            if rows:
+                yield _set_rows(rows, chunks)
 
     return run
 
 
-def reach(a, lone_a, b, lone_b):
-    """Whether sets of a and b can overlap enough when so many shingles of each are in no other set."""
-    return needed(a, b) <= np.minimum(a - lone_a, b - lone_b)
-
+def _set_rows(rows, chunks: int) -> pa.RecordBatch:
+    s = [_short(x[0]) for x in rows]
+    return pa.RecordBatch.from_arrays([pa.array([x % chunks for x in s], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array(s, pa.int64()), pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary())], ["chunk", "kind", "s", "sid", "shingles"])
 
-def _columns(batches, *names: str) -> list[np.ndarray]:
-    got = [[b.column(x).to_numpy(zero_copy_only=False) for x in names] for b in batches]
-    return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64) for _ in names]
 
+PICKED, SETS = "chunk int, kind int, s long, sid binary, shingles binary", "chunk int, v long, sid binary, shingles binary"
 
-def _pair_rows(a, b, na, nb) -> pa.RecordBatch:
-    """Pairs with the count of equal ones."""
-    order = np.lexsort((b, a))
-    a, b, na, nb = a[order], b[order], na[order], nb[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    count = np.diff(np.append(first, len(a)))
-    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(na[first].astype(np.int32)), pa.array(nb[first].astype(np.int32)), pa.array(count)], ["a", "b", "na", "nb", "c"])
 
+def _numbered(batches):
+    """Rows sorted by (chunk, kind, sid): candidates, then sets. Each candidate's set once, numbered within its chunk."""
+    chunk, wanted, last, at = None, set(), None, 0
+    for b in batches:
+        rows = []
+        for i, (c, kind, s) in enumerate(zip(*(b.column(x).to_pylist() for x in ("chunk", "kind", "s")), strict=True)):
+            if c != chunk:
+                chunk, wanted, last, at = c, set(), None, 0
+            if not kind:
+                wanted.add(s)
+                continue
+            sid = b.column("sid")[i].as_py()
+            if sid != last and s in wanted:
+                rows.append((c, (c << 32) + at, i))
+                last, at = sid, at + 1
+        if rows:
+            pick = pa.array([x[2] for x in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int64()), b.column("sid").take(pick), b.column("shingles").take(pick)], ["chunk", "v", "sid", "shingles"])
 
-PAIRS = "a long, b long, na int, nb int, c long"
 
+def candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(chunk, v, sid, shingles) of the candidates (s, n), each set once; v numbers them."""
+    known = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = min(MOST_BITS, 1 << max(16, (FILTER_EACH * known[0]).bit_length()))
+    chunks = known[1] // CHUNK_SHINGLES + 1
+    sets = docs.select("text").mapInArrow(_picked(docs.sparkSession.sparkContext.broadcast(_filter_bits(keys, size)), chunks), PICKED)
+    wanted = keys.select(F.expr(f"cast(pmod(s, {chunks}) as int)").alias("chunk"), F.lit(0).alias("kind"), "s", F.lit(None).cast("binary").alias("sid"), F.lit(None).cast("binary").alias("shingles"))
+    return written(wanted.unionAll(sets).repartition("chunk").sortWithinPartitions("chunk", "kind", "sid").mapInArrow(_numbered, SETS), "sets")
 
-def _led(batches):
-    """For each shingle the pairs of its sets with one leader, the set with the fewest lone shingles for its size."""
-    t, s, n, lone = _columns(batches, "token", "sid", "n", "lone")
-    if not len(t):
-        return
-    order = np.lexsort((s, lone * 10_000 // np.maximum(n, 1), t))
-    t, s, n, lone = t[order], s[order], n[order], lone[order]
-    first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    lead = np.repeat(first, np.diff(np.append(first, len(t))))
-    keep = (np.arange(len(t)) != lead) & reach(n, lone, n[lead], lone[lead])
-    if keep.any():
-        yield _pair_rows(s[keep], s[lead][keep], n[keep], n[lead][keep])
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if len(keys) else []
 
-def _led_across(turn: int):
-    """For each shingle whose sets lie in several components, the pairs of one leader with the sets of the others."""
 
-    def run(batches):
-        t, s, n, lone, label = _columns(batches, "token", "sid", "n", "lone", "label")
-        if not len(t):
-            return
-        rank = mixed(label.view(np.uint64) ^ mixed(t.view(np.uint64) + np.uint64(turn)))
-        order = np.lexsort((lone * 10_000 // np.maximum(n, 1), rank, t))
-        t, s, n, lone, label = t[order], s[order], n[order], lone[order], label[order]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        lead = np.repeat(first, np.diff(np.append(first, len(t))))
-        keep = (label != label[lead]) & reach(n, lone, n[lead], lone[lead])
-        if keep.any():
-            at = lead[keep]
-            order = np.lexsort((s[at], s[keep]))
-            a, b, la, lb = s[keep][order], s[at][order], label[keep][order], label[at][order]
-            head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            yield pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (a, b, la, lb)] + [pa.array(np.diff(np.append(head, len(a))))], ["a", "b", "la", "lb", "c"])
+def _flat(shingles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of some sets, and the size of each."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingles]
+    return np.concatenate(sets), np.array([len(x) for x in sets])
 
-    return run
 
+def _counts(batches):
+    """(chunk, token, n): how many sets of a chunk hold a token, a row for each batch."""
+    for b in batches:
+        chunk = b.column("chunk").to_numpy()
+        for i, j in _runs(chunk):
+            t, n = np.unique(_flat(b.column("shingles").slice(i, j - i))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), chunk[i])), pa.array(t.view(np.int64)), pa.array(n)], ["chunk", "token", "n"])
 
-def first_shared(a, at_a, b, at_b):
-    """Whether a shingle at these places can be the first that sets of a and b share, if they are alike enough."""
-    return 1 + np.minimum(a - at_a - 1, b - at_b - 1) >= needed(a, b)
 
+PREFIXES = "token long, v long, n int, lone int, at int, held long"
 
-def _across(batches):
-    """For each shingle what is left to compare across components: (a, b, false) for sets a and b of small ones, or (a, b, true)
-    for a set a and the large component b, larger than its own. Only sets that can reach each other, at a shingle that can be the first they share."""
-    t, s, n, lone, at, label, size = _columns(batches, "token", "sid", "n", "lone", "at", "label", "size")
-    if not len(t):
-        return
-    order = np.lexsort((s, label, size, t))
-    t, s, n, lone, at, label, size = (x[order] for x in (t, s, n, lone, at, label, size))
-    first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    end = np.append(first[1:], len(t))
-    several = label[first] != label[end - 1]
-    found, held = [], 0
 
-    def out():
-        a, b = (np.concatenate(x) for x in zip(*((f[0], f[1]) for f in found), strict=True))
-        big = np.concatenate([np.full(len(f[0]), f[2]) for f in found])
-        order = np.lexsort((b, a, big))
-        a, b, big = a[order], b[order], big[order]
-        head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (big[1:] != big[:-1]))))
-        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(big[head])], ["a", "b", "big"])
-
-    for i, j in zip(first[several].tolist(), end[several].tolist(), strict=True):
-        for k in range(i, j - 1):  # components with larger size stand behind
-            m = k + 1 + np.flatnonzero((label[k + 1 : j] != label[k]) & reach(n[k + 1 : j], lone[k + 1 : j], n[k], lone[k]) & first_shared(n[k + 1 : j], at[k + 1 : j], n[k], at[k]))
-            if not len(m):
+def _prefixes(batches):
+    """Rows sorted by (chunk, kind): (token, sets that hold it) of shared tokens, then sets. The shared ones in each set's prefix: (token, set, size, lone tokens, place in the order, sets that hold it)."""
+    chunk, parts, known = None, [], None
+    for b in batches:
+        kinds = b.column("kind").to_numpy()
+        key = b.column("chunk").to_numpy() * np.int64(2) + kinds
+        for i, j in _runs(key):
+            if key[i] // 2 != chunk:
+                chunk, parts, known = key[i] // 2, [], None
+            if not kinds[i]:
+                parts.append((b.column("token").slice(i, j - i).to_numpy().view(np.uint64), b.column("held").slice(i, j - i).to_numpy()))
                 continue
-            large = size[m] >= LARGE
-            if large.any():
-                groups_ = np.unique(label[m[large]])
-                found.append((np.full(len(groups_), s[k]), groups_, True))
-                held += len(groups_)
-            m = m[~large]
-            if len(m):
-                found.append((np.minimum(s[m], s[k]), np.maximum(s[m], s[k]), False))
-                held += len(m)
-            if held > 500_000:
-                yield out()
-                found, held = [], 0
-    if found:
-        yield out()
-
-
-def _filter_bits(sids: DataFrame) -> np.ndarray:
-    """A bit for each value of sid's hash; FILTER_BITS / 64 rows at most reach the driver."""
-    rows = sids.groupBy(F.expr(f"cast(pmod(sid, {FILTER_BITS}) div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(sid, 64) as int)))").alias("x")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["w"].to_numpy()] = rows["x"].to_numpy()
-    return bits
-
-
-def _sets(bits: np.ndarray):
-    def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            ids, sets, held = [], [], 0
-            for _, words in _each(b.column("text")):
-                if not len(words):
-                    continue
-                s = int(_sequence(words).view(np.int64))
-                if not (int(bits[(s % FILTER_BITS) // 64]) >> (s % 64)) & 1 or s in seen:
-                    continue
-                seen.add(s)
-                ids.append(s)
-                sets.append(_distinct(words).tobytes())
-                held += len(sets[-1])
-                if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "shingles"])
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "shingles"])
-
-    return run
+            if known is None:
+                t, held = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                t, at = np.unique(t, return_index=True)
+                known, parts = (t, held[at]), []
+            for k in range(i, j, 256):
+                if len(known[0]) and len(out := _prefix_rows(*known, b.slice(k, min(256, j - k)))):
+                    yield out
+
+
+def _prefix_rows(shared: np.ndarray, many: np.ndarray, sets: pa.RecordBatch) -> pa.RecordBatch:
+    t, size = _flat(sets.column("shingles"))
+    which = np.repeat(np.arange(len(size)), size)
+    at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
+    hit = shared[at] == t
+    lone = size - np.bincount(which, hit, len(size)).astype(np.int64)
+    t, which, held = t[hit], which[hit], many[at[hit]]
+    order = np.lexsort((t, held, which))
+    t, which, held = t[order], which[order], held[order]
+    place = lone[which] + np.arange(len(which)) - np.searchsorted(which, which)
+    keep = place < prefix(size[which])
+    t, which, held, place = t[keep], which[keep], held[keep], place[keep]
+    v = sets.column("v").to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(v[which]), pa.array(size[which].astype(np.int32)), pa.array(lone[which].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(held)], ["token", "v", "n", "lone", "at", "held"])
+
+
+def prefixes_of(sets: DataFrame) -> DataFrame:
+    """PREFIXES of candidate_sets: what each set's prefix shares with other sets."""
+    counts = sets.select("chunk", "shingles").mapInArrow(_counts, "chunk int, token long, n long")
+    held = counts.withColumn("held", F.sum("n").over(Window.partitionBy("token"))).where("held > 1")  # at most a row for each batch of sets
+    answers = held.select("chunk", F.lit(0).alias("kind"), "token", "held", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("shingles"))
+    asked = sets.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("held"), "v", "shingles")
+    return written(answers.unionAll(asked).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_prefixes, PREFIXES), "prefixes")
 
 
 def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -468,21 +394,85 @@ def _compared(batches):
         yield out()
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the wanted sets."""
-    sets = docs.select("text").mapInArrow(_sets(_filter_bits(wanted)), "sid long, shingles binary")
-    return written(sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles")), "sets")
+def _needed(a: str, b: str) -> str:
+    return f"(4 * ({a} + {b}) + 8) div 9"
+
+
+#: How much of a set is lone, in hundredths of a percent; a leader has little of it.
+_RATIO = "lone * 10000L div n"
+#: Whether sets of n and of `o`, with so many shingles that no other set has, can overlap enough.
+_REACH = f"{_needed('n', 'o.n')} <= least(n - lone, o.n - o.lone)"
+
+
+def _met(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows (token, v, held, ...) with what tokens (token, held, o: a struct) has for their token, dealt by (token, salt)."""
+    rows = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(v), held div {HOT} + 1) as int)"))
+    tokens = tokens.select("token", F.explode(F.expr(f"sequence(0, cast(held div {HOT} as int))")).alias("salt"), "o")
+    return rows.join(tokens, ["token", "salt"])
+
+
+def led(prefixes: DataFrame) -> DataFrame:
+    """(a, b): for each set the leader that it shares most of its prefix with, of the leaders of its tokens."""
+    leads = prefixes.groupBy("token").agg(F.max("held").alias("held"), F.min(F.struct(F.expr(_RATIO).alias("ratio"), "v", "n", "lone")).alias("o"))
+    pairs = _met(prefixes, leads).where(f"v <> o.v and {_REACH}").groupBy(F.col("v").alias("a"), F.col("o.v").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return pairs.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b")
+
+
+def led_across(mixed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each component its best pair with the leaders, drawn anew each turn, of its tokens that lie in another."""
+    lead = F.struct(F.xxhash64("label", "token", F.lit(turn)).alias("rank"), F.expr(_RATIO).alias("ratio"), "v", "n", "lone", "label")
+    leads = mixed.groupBy("token").agg(F.max("held").alias("held"), F.min(lead).alias("o"))
+    pairs = _met(mixed, leads).where(f"label <> o.label and {_REACH}").groupBy("label", F.col("v").alias("a"), F.col("o.v").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return pairs.groupBy("label").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b")
+
+
+def mixed_tokens(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """PREFIXES with label and size of each set's component, of the tokens that several components have."""
+    labels = sized(labels, labels.count())
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    marked = rows.select(*PREFIXES_COLUMNS).join(labels.join(sizes, "label"), "v", "left").withColumns({"label": F.coalesce("label", "v"), "size": F.coalesce("size", F.lit(1))})
+    several = marked.groupBy("token").agg(F.max("held").alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "held", F.struct("x").alias("o"))
+    return written(_met(marked, several).select(*PREFIXES_COLUMNS, "label", "size"), "mixed")
+
+
+PREFIXES_COLUMNS = [x.split()[0] for x in PREFIXES.split(", ")]
+
+
+def many_pairs(mixed: DataFrame) -> bool:
+    """Whether the sets of small components meet in more than PAIRS_EACH pairs a row."""
+    met = mixed.where(f"size < {LARGE}").groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    rows, pairs = met.agg(F.coalesce(F.sum("c"), F.lit(0.0)), F.coalesce(F.sum(F.expr("c * (c - 1) / 2")), F.lit(0.0))).first()
+    return pairs > PAIRS_EACH * rows
+
+
+def pairs_across(mixed: DataFrame) -> DataFrame:
+    """(a, b): sets of different components, neither of them large, that a token can be the first to be shared by."""
+    small = mixed.where(f"size < {LARGE}").withColumns({"salts": F.expr(f"cast(held div {HOT} as int)"), "salt": F.expr(f"cast(pmod(xxhash64(v), held div {HOT} + 1) as int)")})
+    left = small.select("token", F.col("salt").alias("i"), F.explode(F.expr("sequence(salt, salts)")).alias("j"), "v", "n", "lone", "at", "label")
+    right = small.select("token", F.explode(F.expr("sequence(0, salt)")).alias("i"), F.col("salt").alias("j"), F.struct("v", "n", "lone", "at", "label").alias("o"))
+    meet = left.join(right, ["token", "i", "j"]).where(f"label <> o.label and (i < j or v < o.v) and {_needed('n', 'o.n')} <= least(n - lone, o.n - o.lone, n - at, o.n - o.at)")
+    return meet.select(F.least("v", "o.v").alias("a"), F.greatest("v", "o.v").alias("b")).distinct()
+
+
+def guests_across(mixed: DataFrame) -> DataFrame:
+    """(a, label): sets and large components, larger than their own, with a member that a token can be the first to be shared with."""
+    large = mixed.where(f"size >= {LARGE}").groupBy("token", "label", "size").agg(F.max("held").alias("held"), F.min("n").alias("n"), F.max(F.expr("n - lone")).alias("rest"), F.max(F.expr("n - at")).alias("tail"))
+    large = large.select("token", "held", F.struct("label", "size", "n", "rest", "tail").alias("o"))
+    meet = _met(mixed, large).where(f"label <> o.label and (size < o.size or size = o.size and label < o.label) and {_needed('n', 'o.n')} <= least(n - lone, o.rest, n - at, o.tail)")
+    return meet.select(F.col("v").alias("a"), F.col("o.label").alias("label")).distinct()
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links among pairs (a, b) and around them, whole sets compared."""
     pairs = written(pairs.select("a", "b"), "pairs")
-    if pairs.isEmpty():
+    if not (count := pairs.count()):
         return pairs
+    pairs, hint = sized(pairs, count), F.broadcast if count <= TASK_ROWS else (lambda x: x)
     salts = pairs.groupBy("b").agg(F.expr(f"cast(count(*) div {SALT_ROWS} + 1 as int)").alias("salts"))
-    dealt = pairs.join(salts, "b").withColumn("salt", F.expr("cast(pmod(xxhash64(a), salts) as int)"))
-    members = dealt.join(sets.withColumnRenamed("sid", "a"), "a").select("b", "salt", F.lit(1).alias("member"), "a", "shingles")
-    leads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.withColumnRenamed("sid", "b"), "b").select("b", "salt", F.lit(0).alias("member"), F.col("b").alias("a"), "shingles")
+    dealt = pairs.join(salts, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
+    members = sets.select(F.col("v").alias("a"), "shingles").join(hint(dealt), "a").select("b", "salt", F.lit(1).alias("member"), "a", "shingles")
+    heads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    leads = sets.select(F.col("v").alias("b"), "shingles").join(hint(heads), "b").select("b", "salt", F.lit(0).alias("member"), F.col("b").alias("a"), "shingles")
     rows = leads.unionAll(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
     return written(rows.mapInArrow(_compared, "a long, b long"), "links")
 
@@ -514,56 +504,60 @@ def _verified_in_blocks(sets: DataFrame, guests: DataFrame, labels: DataFrame) -
     counts = labels.join(guests.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.expr(f"cast(count(*) div {SALT_ROWS} + 1 as int)").alias("blocks"))
     own = labels.join(counts, "label").select("label", F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block"), F.lit(0).alias("guest"), F.col("v").alias("a"))
     others = guests.join(counts, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("guest"), "a")
-    rows = own.unionAll(others).join(sets.withColumnRenamed("sid", "a"), "a").repartition("label", "block").sortWithinPartitions("label", "block", "guest")
+    rows = own.unionAll(others).join(sets.select(F.col("v").alias("a"), "shingles"), "a").repartition("label", "block").sortWithinPartitions("label", "block", "guest")
     return written(rows.mapInArrow(_blocked, "a long, b long"), "links")
 
 
+def linked_sets(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate sets, and (v, label) of those that have a link."""
+    sets = candidate_sets(docs, written(candidates(docs, ids), "candidates"))
+    rows = prefixes_of(sets)
+    links = _verified(sets, led(rows))
+    labels, stale = components(links), True
+    for turn in range(1, TURNS + 1):
+        rows, stale = mixed_tokens(rows, labels), False
+        if not many_pairs(rows):
+            break
+        more = _verified(sets, led_across(rows, turn))
+        if more.isEmpty():
+            break
+        links, stale = links.unionAll(more), True
+        labels = components(links)
+    if stale:
+        rows = mixed_tokens(rows, labels)
+    more = _verified(sets, pairs_across(rows))
+    guests = written(guests_across(rows), "guests")
+    if not guests.isEmpty():
+        more = more.unionAll(_verified_in_blocks(sets, guests, labels))
+    return sets, labels if more.isEmpty() else components(links.unionAll(more))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row: the size of its set and the least id reachable by links."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["id"].dataType.simpleString()
-    ids = written(docs.mapInArrow(_ids, f"id {kind}, n long, low long, sid long"), "ids")
-
-    def shared(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-        return blocks.repartition("part").mapInArrow(_shared(parts), BLOCKS).unionAll(sizes).repartition("part")
-
-    some = shared(docs.select("text").mapInArrow(_shingles(parts), BLOCKS), ids.select("sid", "n", "low").mapInArrow(_sizes(parts), BLOCKS))
-    sets = _sets_of(docs, written(some.mapInArrow(_survivors, "sid long").distinct(), "survivors"))
-    whole = shared(sets.mapInArrow(_whole_sets(parts), BLOCKS), sets.select("sid", F.octet_length("shingles").alias("size")).mapInArrow(_whole_sizes(parts), BLOCKS))
-    prefixes = written(whole.mapInArrow(_prefixes(True), PREFIXES), "prefixes")
-    led = prefixes.repartition("token").mapInArrow(_led, PAIRS).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    links = _verified(sets, led.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", "x.b"))
-    labels = components(links)
-
-    def marked() -> DataFrame:
-        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        known = labels.join(sizes, "label").select(F.col("v").alias("sid"), "label", "size")
-        return prefixes.join(known, "sid", "left").withColumns({"label": F.coalesce("label", "sid"), "size": F.coalesce("size", F.lit(1))}).repartition("token")
-
-    for turn in range(1, TURNS + 1):  # for each component its best pair with the leaders that it meets
-        near = marked().mapInArrow(_led_across(turn), "a long, b long, la long, lb long, c long").groupBy("a", "b", "la", "lb").agg(F.sum("c").alias("c"))
-        more = _verified(sets, near.groupBy("la").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b"))
-        if more.isEmpty():
-            break
-        links = links.unionAll(more)
-        labels = components(links)
-    rest = written(marked().mapInArrow(_across, "a long, b long, big boolean").distinct(), "rest")
-    more = _verified(sets, rest.where("not big"))
-    if not (guests := rest.where("big").select("a", F.col("b").alias("label"))).isEmpty():
-        more = more.select("a", "b").unionAll(_verified_in_blocks(sets, guests, labels))
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
-    least = ids.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
-    classes = least.join(labels.toDF("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    tops = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = written(classes.join(tops, "label").select("sid", "component_id"), "classes")
-    return ids.join(found, "sid", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.expr("if(n > 0, component_id, id)").alias("component_id"))
+    ids = written(docs.mapInArrow(_ids, f"id {kind}, {IDS}"), "ids")
+    sets, labels = linked_sets(docs, ids)
+    least = ids.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    named = sets.select("sid", "v").join(labels, "v").select("sid", "label")
+    classes = written(least.join(named, "sid", "left"), "classes")
+    tops = classes.where("label is not null").groupBy("label").agg(F.min("least").alias("top"))
+    found = written(classes.join(tops, "label", "left").select("sid", "copies", F.expr("if(label is null, least, top)").alias("component_id")), "found")
+    rows = ids.select("id", "n", "sid")
+    most = ids.count() // MANY + 1
+    many, few = F.broadcast(found.where(F.col("copies") >= most).drop("copies")), found.where(F.col("copies") < most).drop("copies")  # many: MANY rows at most
+    some = rows.where("n > 0")
+    out = some.join(many, "sid").unionByName(some.join(many, "sid", "left_anti").join(few, "sid")).select("id", "n", "component_id").unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+#: Texts that fill more than 1 / MANY of all rows are joined apart from the others.
+MANY = 1000
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of the least id of each class; rows without shingles stay, and rows that share an id share a fate."""
-    rows = ngram_join(docs, id_col, text_col)
-    stay = written(rows.where("n_shingles = 0 or component_id <=> " + id_col).select(F.col(id_col).alias("__id")).distinct(), "stay")
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs, with all their columns, of the least id of each class; rows without shingles stay, and rows that share an id share a fate: they stay if one of them does."""
+    name = fresh(docs, "dropped")
+    rows = ngram_join(docs, id_col, text_col).select(F.col(id_col).alias(name), F.expr(f"n_shingles = 0 or component_id <=> `{id_col}`").alias("stays"))
+    gone = written(rows.groupBy(name).agg(F.bool_or("stays").alias("stays")).where("not stays").select(name), "gone")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")
