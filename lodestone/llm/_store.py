@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +46,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Keys with over 1 / MANY of all rows are joined apart from the others; there are MANY at most.
+MANY = 1000
+
+
+def joined_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of total rows with a table of one row for each key that has `size` of them: large keys by broadcast, so that no task gets all of one."""
+    least = total // MANY + 1
+    many, few = F.broadcast(table.where(F.col(size) >= least)), table.where(F.col(size) < least)
+    return rows.join(many, key).unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(few, key))

@@ -3,14 +3,14 @@
 Method: `build_index` turns the distinct digests of what is already held into a minimal perfect hash,
 in shards by digest prefix: levels of bit arrays in which a key owns a bit that no other key of its level
 claims, ranks being the slots. A slot holds the full digest, its group's size and the winner's locator
-(its id). `exact_dedup` first groups a new load by digest, so that a text that fills a third of the rows is
+(its id, and the number of its row, which tells repeated rows apart). `exact_dedup` first groups a new load by digest, so that a text that fills a third of the rows is
 one row before any shuffle, then looks each digest up: a slot whose full digest is equal to the byte makes
 it a repeat and adds it to that group; any other digest is no member and forms a group of its own.
 A shard's size is bounded, so that it fits a task.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest id of a group
-stays; of rows with the same id and text one stays. A null id counts as less than any other. An empty
-table gives no rows; other columns are ignored.
+stays; of rows with the same id and text one stays. A null id counts as less than any other. Ids are whole numbers,
+as a locator in a slot is; other types are refused. An empty table gives no rows; other columns are ignored, and kept by `kept` whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ._store import written
+from ._store import fresh, joined_by_size, written
 from ._words import mixed
 
 #: Digests that a shard holds on average at most.
@@ -29,7 +29,8 @@ SHARD_KEYS = 200_000
 SPREAD = 1.5
 LEVELS = 48
 NO_ID = -(2**63)
-_SLOT = np.dtype([("digest", "V32"), ("winner", "i8"), ("size", "i8")])
+_SLOT = np.dtype([("digest", "V32"), ("winner", "i8"), ("row", "i8"), ("size", "i8")])
+_FIELDS = ("winner", "row", "size")
 INDEX = "shard int, keys binary, bits binary, levels array<long>, slots binary"
 
 
@@ -40,7 +41,7 @@ def text_digest(text: bytes | None) -> bytes:
 def _digests(batches):
     for b in batches:
         texts = b.column("text").cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([text_digest(x.as_py()) for x in texts], pa.binary())], ["id", "digest"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([text_digest(x.as_py()) for x in texts], pa.binary())], ["id", "row", "digest"])
 
 
 def _keys(digests: np.ndarray) -> np.ndarray:
@@ -91,30 +92,29 @@ def _indexed(batches):
     rows: dict[int, list] = {}
     for b in batches:
         shard = b.column("shard").to_numpy()
-        digest, winner, size = _void(b.column("digest")), b.column("winner").to_numpy(), b.column("size").to_numpy()
+        part = np.zeros(b.num_rows, _SLOT)
+        part["digest"] = _void(b.column("digest"))
+        for name in _FIELDS:
+            part[name] = b.column(name).to_numpy()
         for k in np.unique(shard).tolist():
-            rows.setdefault(k, []).append((digest[shard == k], winner[shard == k], size[shard == k]))
+            rows.setdefault(k, []).append(part[shard == k])
     for shard, got in rows.items():
-        digest, winner, size = (np.concatenate(x) for x in zip(*got, strict=True))
-        keys = _keys(digest)
+        held = np.concatenate(got)
+        keys = _keys(np.ascontiguousarray(held["digest"]))
         order = np.argsort(keys, kind="stable")
         tied = keys[order][1:] == keys[order][:-1]
         apart = np.ones(len(keys), bool)  # digests that share the placing bits are kept in full beside the slots
         apart[order[1:][tied]] = False
         hash_ = PerfectHash.build(keys[apart])
         slots = np.zeros(int(apart.sum()), _SLOT)
-        at = hash_.slots(keys[apart])
-        for name, column in (("digest", digest), ("winner", winner), ("size", size)):
-            slots[name][at] = column[apart]
-        beside = np.zeros(int((~apart).sum()), _SLOT)
-        for name, column in (("digest", digest), ("winner", winner), ("size", size)):
-            beside[name] = column[~apart]
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([beside.tobytes()], pa.binary()), pa.array([np.packbits(hash_.bits).tobytes()], pa.binary()), pa.array([hash_.levels], pa.list_(pa.int64())), pa.array([slots.tobytes()], pa.binary())], ["shard", "keys", "bits", "levels", "slots"])
+        slots[hash_.slots(keys[apart])] = held[apart]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([held[~apart].tobytes()], pa.binary()), pa.array([np.packbits(hash_.bits).tobytes()], pa.binary()), pa.array([hash_.levels], pa.list_(pa.int64())), pa.array([slots.tobytes()], pa.binary())], ["shard", "keys", "bits", "levels", "slots"])
 
 
 def digest_groups(digests: DataFrame) -> DataFrame:
-    """(digest, winner, size) of (id, digest)."""
-    return digests.groupBy("digest").agg(F.coalesce(F.max("id"), F.lit(NO_ID)).alias("winner"), F.count(F.lit(1)).alias("size"))
+    """(digest, winner, row, size) of (id, row, digest): the largest id, then the largest row."""
+    best = F.max(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row")).alias("best")
+    return digests.groupBy("digest").agg(best, F.count(F.lit(1)).alias("size")).select("digest", F.col("best.id").alias("winner"), "best.row", "size")
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
@@ -122,25 +122,32 @@ def _sharded(groups: DataFrame, shards: int) -> DataFrame:
 
 
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
-    """The index of (digest, winner, size) with distinct digests, one row a shard."""
+    """The index of (digest, winner, row, size) with distinct digests, one row a shard."""
     return _sharded(groups, shards).repartition("shard").mapInArrow(_indexed, INDEX)
 
 
-LOOKED = "digest binary, winner long, size long, member boolean"
+LOOKED = "digest binary, winner long, row long, size long, member boolean"
+
+
+def _taken_in(slots: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+    """Adds groups to the slots at: sizes are summed, the larger (id, row) wins. No slot occurs twice."""
+    more = (new["winner"] > slots["winner"][at]) | ((new["winner"] == slots["winner"][at]) & (new["row"] > slots["row"][at]))
+    for name in ("winner", "row"):
+        slots[name][at[more]] = new[name][more]
+    slots["size"][at] += new["size"]
 
 
 def _looked_up(batches):
-    """Rows sorted by (shard, kind): a shard's index, if it has one, then digests to look up. Yields whole groups."""
+    """Rows sorted by (shard, kind): a shard's index, if it has one, then distinct digests to look up. Yields whole groups."""
     state: dict = {"shard": None}
 
-    def rows(digest, winner, size, member):
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in digest], pa.binary()), pa.array(winner), pa.array(size), pa.array(member)], ["digest", "winner", "size", "member"])
+    def rows(part, member):
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in part["digest"]], pa.binary()), *[pa.array(np.ascontiguousarray(part[x])) for x in _FIELDS], pa.array(np.full(len(part), member))], ["digest", *_FIELDS, "member"])
 
     def held():
         for slots in (state.get("slots"), state.get("beside")):
             for i in range(0, 0 if slots is None else len(slots), 50_000):
-                part = slots[i : i + 50_000]
-                yield rows(part["digest"], np.ascontiguousarray(part["winner"]), np.ascontiguousarray(part["size"]), np.ones(len(part), bool))
+                yield rows(slots[i : i + 50_000], True)
 
     for b in batches:
         shard, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
@@ -154,71 +161,76 @@ def _looked_up(batches):
                 bits = np.unpackbits(np.frombuffer(b.column("bits")[i].as_py(), np.uint8))[: sum(levels)].astype(bool)
                 state |= {"hash": PerfectHash(levels, bits), "slots": np.frombuffer(b.column("slots")[i].as_py(), _SLOT).copy(), "beside": np.frombuffer(b.column("keys")[i].as_py(), _SLOT).copy()}
                 continue
-            digest, winner, size = _void(b.column("digest").slice(i, j - i)), b.column("winner").slice(i, j - i).to_numpy(), b.column("size").slice(i, j - i).to_numpy()
+            new = np.zeros(j - i, _SLOT)
+            new["digest"] = _void(b.column("digest").slice(i, j - i))
+            for name in _FIELDS:
+                new[name] = b.column(name).slice(i, j - i).to_numpy()
             member = np.zeros(j - i, bool)
             if "hash" in state and len(state["slots"]):
                 slots = state["slots"]
-                at = state["hash"].slots(_keys(digest))
-                member = (at >= 0) & (slots["digest"][np.maximum(at, 0)] == digest)
-                slots["winner"][at[member]] = np.maximum(slots["winner"][at[member]], winner[member])
-                slots["size"][at[member]] += size[member]
+                at = state["hash"].slots(_keys(np.ascontiguousarray(new["digest"])))
+                member = (at >= 0) & (slots["digest"][np.maximum(at, 0)] == new["digest"])
+                _taken_in(slots, at[member], new[member])
                 for k in range(len(state["beside"])):
-                    same = ~member & (digest == state["beside"]["digest"][k])
-                    if same.any():
-                        state["beside"]["winner"][k] = max(int(state["beside"]["winner"][k]), int(winner[same].max()))
-                        state["beside"]["size"][k] += size[same].sum()
-                        member |= same
+                    same = ~member & (new["digest"] == state["beside"]["digest"][k])
+                    _taken_in(state["beside"], np.full(int(same.sum()), k), new[same])
+                    member |= same
             if not member.all():
-                yield rows(digest[~member], winner[~member], size[~member], member[~member])
+                yield rows(new[~member], False)
     yield from held()
 
 
 def merged_groups(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
-    """(digest, winner, size, member): the index's groups with what groups adds to them, and the groups of nonmembers."""
+    """(digest, winner, row, size, member): the index's groups with what groups adds to them, and the groups of nonmembers."""
     empty = F.lit(None)
-    held = index.select("shard", F.lit(0).alias("kind"), empty.cast("binary").alias("digest"), F.lit(0).cast("long").alias("winner"), F.lit(0).cast("long").alias("size"), "keys", "bits", "levels", "slots")
-    new = _sharded(groups, shards).select("shard", F.lit(1).alias("kind"), "digest", "winner", "size", empty.cast("binary").alias("keys"), empty.cast("binary").alias("bits"), empty.cast("array<long>").alias("levels"), empty.cast("binary").alias("slots"))
+    held = index.select("shard", F.lit(0).alias("kind"), empty.cast("binary").alias("digest"), *[F.lit(0).cast("long").alias(x) for x in _FIELDS], "keys", "bits", "levels", "slots")
+    new = _sharded(groups, shards).select("shard", F.lit(1).alias("kind"), "digest", *_FIELDS, empty.cast("binary").alias("keys"), empty.cast("binary").alias("bits"), empty.cast("array<long>").alias("levels"), empty.cast("binary").alias("slots"))
     return held.unionAll(new).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, LOOKED)
 
 
+def _whole(docs: DataFrame, id_col: str) -> None:
+    if not isinstance(docs.schema[id_col].dataType, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} is no column of whole numbers")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loads: int = 2) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
     The rows come as `loads` loads, dealt by a hash of the id; each is looked up in the index of those before it.
     """
+    _whole(docs, id_col)
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digests = written(docs.mapInArrow(_digests, "id long, digest binary"), "digests")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    digests = written(docs.mapInArrow(_digests, "id long, row long, digest binary"), "digests")  # the numbers of rows are settled once
     load = F.pmod(F.xxhash64("id"), F.lit(loads))
-    first = written(digest_groups(digests.where(load == 0)), "groups")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), digests.count() // SHARD_KEYS + 1)
+    groups = written(digest_groups(digests.where(load == 0)), "groups")
+    total = digests.count()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_KEYS + 1)
     for k in range(1, loads):
-        index = written(build_index(first.select("digest", "winner", "size"), shards), "index")
-        first = written(merged_groups(index, digest_groups(digests.where(load == k)), shards), "groups")
-    turn = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(1)))
-    rows = digests.withColumn("turn", turn)
-    winner = F.when(F.col("winner") != NO_ID, F.col("winner"))
-    out = rows.join(first.select("digest", "winner", "size"), "digest", "left")
+        index = written(build_index(groups.select("digest", *_FIELDS), shards), "index")
+        groups = written(merged_groups(index, digest_groups(digests.where(load == k)), shards), "groups")
+    out = joined_by_size(digests.withColumnRenamed("row", "own"), groups.select("digest", *_FIELDS), "digest", "size", total)
     return out.select(
-        F.col("id").alias(id_col), winner.alias("keep_id"), F.col("size").alias("group_size"),
-        (F.coalesce("id", F.lit(NO_ID)).eqNullSafe(F.col("winner")) & (F.col("turn") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("id").alias(id_col), F.when(F.col("winner") != NO_ID, F.col("winner")).alias("keep_id"), F.col("size").alias("group_size"),
+        (F.col("own") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay; of rows with the same id and text one."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__digest"))
+    own, winner, digest, turn = (fresh(docs, x) for x in ("own", "winner", "digest", "turn"))
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(winner), F.unhex("text_sha256").alias(digest))
     stay = written(stay, "stay")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__own", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            own = pa.array([text_digest(x.as_py()) for x in b.column(text_col).cast(pa.large_binary())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, "__own"])
+            digests = pa.array([text_digest(x.as_py()) for x in b.column(text_col).cast(pa.large_binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, digests], [*b.schema.names, own])
 
     rows = docs.mapInArrow(run, schema)
-    rows = rows.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    rows = rows.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(winner)) & (F.col(own) == F.col(digest)), "left_semi")
     if docs.select(id_col).groupBy(id_col).count().where("count > 1").isEmpty():
-        return rows.select(*docs.columns)
-    turn = F.row_number().over(Window.partitionBy(id_col, "__own").orderBy(F.lit(1)))
-    return rows.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+        return rows.drop(own)
+    order = F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.lit(1)))  # each task sends one row of a group
+    return rows.withColumn(turn, order).where(F.col(turn) == 1).drop(own, turn)

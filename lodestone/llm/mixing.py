@@ -11,7 +11,7 @@ Targets: sources by code point, null last, weigh `weights`, repeating, and share
 at `cap` times its source's words and the excess is shared again by weight until none is above.
 
 Results for odd input: a null text has size 0, and nothing is taken of texts without words; repeated rows count and are taken each
-for itself; a null id is allowed; extra columns are ignored; an empty table gives no rows.
+for itself; a null id is allowed, and such rows are told apart by their place in the table; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +97,8 @@ def duals(counts: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken, copies) for every row."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), own.alias("row")), "sizes")
     counts = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     sources = written(with_targets(numbered(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n"))), weights, cap), "targets")
     many = sources.count()
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id"
     known = solved.select(F.col("source").alias("own"), "place", "words", "target", "n", "mean", "full", "dual")
     rates = rows.join(_small(known, many), F.col("source").eqNullSafe(F.col("own")))
     rate = F.when(F.col("size") > 0, _rate(F.col("dual"), F.col("size") / F.col("mean"), cap)).otherwise(0.0)
-    rates = rates.select("id", "place", "size", "words", "target", rate.alias("rate"), F.pmod(F.xxhash64("id", "size"), F.expr(f"n div {WINDOW_ROWS} + 1")).alias("part"))
+    rates = rates.select("id", "place", "size", "words", "target", rate.alias("rate"), F.pmod(F.xxhash64("id", "size", "row"), F.expr(f"n div {WINDOW_ROWS} + 1")).alias("part"))
     order = Window.partitionBy("place", "part").orderBy("size", "id")
     rates = rates.withColumn("sum", F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("row", F.row_number().over(order))
     before = F.coalesce(F.lag("sum").over(order), F.lit(0.0))

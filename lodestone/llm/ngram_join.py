@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._graph import components
-from ._store import TASK_ROWS, fresh, sized, written
+from ._store import TASK_ROWS, fresh, joined_by_size, sized, written
 from ._words import buffers, grams, groups, hashed
 
 #: Part of the hash range whose shingles are dealt to count sets; more only where a prefix needs more.
@@ -544,17 +544,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tops = classes.where("label is not null").groupBy("label").agg(F.min("least").alias("top"))
     found = written(classes.join(tops, "label", "left").select("sid", "copies", F.expr("if(label is null, least, top)").alias("component_id")), "found")
     rows = ids.select("id", "n", "sid")
-    most = ids.count() // MANY + 1
-    many, few = F.broadcast(found.where(F.col("copies") >= most).drop("copies")), found.where(F.col("copies") < most).drop("copies")  # many: MANY rows at most
-    some = rows.where("n > 0")
-    out = some.join(many, "sid").unionByName(some.join(many, "sid", "left_anti").join(few, "sid")).select("id", "n", "component_id").unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    some = joined_by_size(rows.where("n > 0"), found, "sid", "copies", ids.count())
+    out = some.select("id", "n", "component_id").unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-#: Texts that fill more than 1 / MANY of all rows are joined apart from the others.
-MANY = 1000
-
-
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of the least id of each class; rows without shingles stay, and rows that share an id share a fate: they stay if one of them does."""
     name = fresh(docs, "dropped")

@@ -10,7 +10,7 @@ Equal payloads of at least `least` bytes are stored once: the row with the large
 others are revisit records that refer to it and hold the HTTP header only. Payload and digest of a revisit are
 those of the full payload. Null html is an empty payload; a null url has no target URI; line breaks in a
 url are percent-encoded in the archive and kept in the index; a null page_id is never the one referred to unless all are; repeated rows of the winner are
-responses each. An empty table gives no records. Other columns are ignored.
+responses each. Ids are whole numbers, as in record names; other types are refused. An empty table gives no records. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._store import new_path, written
+from ._store import MANY, new_path, written
 
 GAP, READ_BYTES, BLOCK_BYTES = 1 << 16, 1 << 23, 1 << 26
 DATE = "2024-01-01T00:00:00Z"
@@ -102,10 +102,17 @@ def _writer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each row into archives under folder and returns their index, a written table."""
+    if not isinstance(pages.schema[id_col].dataType, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} is no column of whole numbers")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html"))
     rows = rows.mapInArrow(_measured, "id long, url string, html binary, bytes long, digest string")
-    winners = written(rows.where(f"bytes >= {least}").groupBy("digest").agg(F.max("id").alias("winner")), "winners")
-    known = rows.join(winners, "digest", "left")
+    winners = written(rows.where(f"bytes >= {least}").groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("pages")), "winners")
+    # payloads of many pages are few and meet their pages by broadcast; the key of those pages in the other join is one of their own
+    often = winners.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0] // MANY + 1
+    many = F.broadcast(winners.where(F.col("pages") >= often).select("digest", F.col("winner").alias("first"), F.lit(True).alias("hot")))
+    few = winners.where(F.col("pages") < often).select(F.col("digest").alias("key"), "winner")
+    known = rows.join(many, "digest", "left").withColumn("key", F.when(F.col("hot"), F.concat(F.lit("#"), F.monotonically_increasing_id())).otherwise(F.col("digest")))
+    known = known.join(few, "key", "left").withColumn("winner", F.when(F.col("hot"), F.col("first")).otherwise(F.col("winner")))
     known = known.select("id", "url", "html", "digest", "winner", (F.lit(True) & (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("winner"))).alias("revisit"))
     return written(known.mapInArrow(_writer(folder), INDEX), "warc-index")
 
