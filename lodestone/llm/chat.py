@@ -3,7 +3,8 @@
 Method: schema fingerprinting. The nested field paths of a record (`messages[].role`), those that some
 known layout uses, are sorted and hashed; the hash selects a declarative mapping, an expression that yields
 an array of (role, text). A table has one fingerprint, found on the driver; a column of JSON records has
-one for each record. A record whose paths are those of no layout falls to the layout with the most paths
+one for each record, of its keys (those of all elements of a list), whatever their values: a null value is an empty text, an empty
+list has no turns and counts as having every field of its elements. Roles of records are matched in any case. A record whose paths are those of no layout falls to the layout with the most paths
 among those it has all of; with none it has null turns.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside roles and texts `<|` is written `<||`, and a line break in a role `<|n|>`, so
@@ -39,7 +40,7 @@ def _said(role: str, field: str) -> str:
 
 
 #: Source names of speakers that stand for a canonical role.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
+ROLES = {"user": "user", "assistant": "assistant", "system": "system", "tool": "tool", "human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 _ROLE = "coalesce(map({}), map())".format(", ".join(f"'{k}', '{v}'" for k, v in ROLES.items()))
 
 
@@ -103,10 +104,21 @@ def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, fingerprint, layout, turns) of a column of JSON records of mixed layouts."""
     layouts = [x for x in LAYOUTS if x.name != "turn rows"]
     known = sorted({p for x in layouts for p in x.paths})
-    rows = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json_col)).alias("v"))
-    present = F.array_compact(F.array(*[F.when(F.try_variant_get("v", "$." + p.replace("[]", "[0]"), "string").isNotNull(), F.lit(p)) for p in known]))
+    rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"), F.try_parse_json(F.col(json_col)).alias("v"))
+    lists = sorted({p.split("[]")[0] for p in known if "[]" in p})
+    rows = rows.withColumn("own", F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>")))
+    for x in lists:  # the keys of the elements; null where there is no element
+        held = F.try_variant_get("v", f"$.{x}", "array<map<string,variant>>")
+        rows = rows.withColumn(f"in_{x}", F.flatten(F.transform(F.filter(held, lambda m: m.isNotNull()), lambda m: F.map_keys(m))))
+
+    def has(path: str):
+        top, _, inner = path.partition("[].")
+        there = F.array_contains("own", top)
+        return there & F.coalesce((F.size(f"in_{top}") <= 0) | F.array_contains(f"in_{top}", inner), F.lit(True)) if inner else there
+
+    present = F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in known]))
     rows = rows.withColumn("paths", present).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
-    fields = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in _TYPES.items()]
+    fields = [F.coalesce(F.try_variant_get("v", f"$.{name}", kind), F.array().cast(kind)).alias(name) if "array" in kind else F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in _TYPES.items()]
     rows = rows.select("id", "paths", "fingerprint", *fields)
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for x in sorted(layouts, key=lambda x: len(x.paths)):
