@@ -4,12 +4,13 @@ Method: hosts are the nodes; an edge holds how many links pages of one host have
 personalised PageRank from the hosts that allowing rules name (and their subdomains), walked along links.
 Distrust is a personalised PageRank from those that blocking rules name, walked against the links: who
 links to a blocked host takes its share. Both run as rounds of joins and sums over the edges in Spark, until the
-ranks change by less than TOLERANCE in all and no further host is reached. A host with more distrust than
+ranks change by less than TOLERANCE in all and no further host is reached. Rank that comes to a host without links onwards
+returns to the seeds, so both ranks sum up to 1; that is the same as to leave it out of the rounds and to divide by the sum at the end. A host with more distrust than
 THRESHOLD times its trust is blocked, so a host that neither reaches is allowed. A url that a rule fits takes
 that rule's verdict.
 
 Results for odd input: a null url or one without `://` has empty host and path, fits no rule and is allowed; null html has no
-links; relative links and links to the own host make no edge; repeated pages count again as links; extra
+links; links with a scheme or that begin with `//` count, also behind white space; relative links and links to the own host make no edge; repeated pages count again as links; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -27,7 +28,7 @@ DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 1.0
 ROUNDS = ceil(log(TOLERANCE) / log(DAMPING))
 #: Rounds between tests of convergence, each on a table of its own.
 EVERY = 4
-_LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+_LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 #: Number of edges up to which the ranks of a round are sent to every task; they are at most two for each edge.
 SMALL = 100_000
 
@@ -74,7 +75,7 @@ def edges(pages: DataFrame) -> DataFrame:
 
 
 def propagated(links: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, small: bool = True) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, weight), weights of sum 1, along links (src, dst, share)."""
+    """(host, rank): personalised PageRank from seeds (host, weight), weights of sum 1, along links (src, dst, share); ranks of sum 1."""
     hint = F.broadcast if small else (lambda x: x)
     seeds = written(seeds, "seeds")
     ranks = seeds.select("host", F.col("weight").alias("rank"))
@@ -89,7 +90,8 @@ def propagated(links: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         both = both.groupBy("host").agg(F.abs(F.sum("rank")).alias("change"), F.sum("n").alias("n"))  # n is 1 for a host first reached
         change, reached = both.agg(F.coalesce(F.sum("change"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if change < tolerance and not reached:
-            return ranks
+            total = ranks.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+            return ranks.select("host", (F.col("rank") / F.lit(total or 1.0)).alias("rank"))
 
 
 def shares(links: DataFrame, source: str, target: str) -> DataFrame:
