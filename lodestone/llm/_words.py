@@ -26,7 +26,7 @@ GRAM = 5
 
 
 @lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
@@ -39,27 +39,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece(raw: np.ndarray, cuts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of raw; a word also ends at each of cuts (starts of texts)."""
-    solid = ~space[raw]
-    if not len(raw) or not solid.any():
+def runs(values: np.ndarray, solid: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each run of solid values; a run also ends at each of cuts (starts of texts)."""
+    if not len(values) or not solid.any():
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty
     first = solid.copy()
     first[1:] &= ~solid[:-1]
-    inner = cuts[(cuts > 0) & (cuts < len(raw))]
+    inner = cuts[(cuts > 0) & (cuts < len(values))]
     first[inner] = solid[inner]
     last = solid.copy()
     last[:-1] &= ~solid[1:]
     last[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = 1 << max(PIECE.bit_length(), int(len(raw)).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    size = 1 << max(PIECE.bit_length(), int(len(values)).bit_length())
+    up, down = powers(size)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _LENGTH), start, end
 
 
+def _piece(raw: np.ndarray, cuts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of raw."""
+    return runs(_BYTE[raw], ~space[raw], cuts)
+
+
 def letters_only() -> np.ndarray:
     """Separators for words of letters: every ASCII byte that is no letter."""
     space = np.zeros(256, bool)
@@ -72,7 +76,7 @@ def pieces_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tu
     count = np.maximum(end - start - n + 1, 0)
     word = np.repeat(np.arange(len(start)), count)
     at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + start[word]
-    up = _powers(1 << PIECE.bit_length())[0]
+    up = powers(1 << PIECE.bit_length())[0]
     x = np.full(len(at), n, np.uint64)
     for k in range(n):
         x += _BYTE[raw[at + k]] * up[k]

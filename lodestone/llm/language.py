@@ -1,11 +1,11 @@
 """Language identification, word first with back-off to shorter and shorter letter n-grams.
 
 Method: a word that the model knows scores by its log frequency in each language. A word that it doesn't
-know falls back to its 5-byte pieces, averaged over those that are known, then to 4 bytes, and so on to
-single bytes. A text's languages are compared by the sum over its words. Words are runs of letters, A-Z as
-a-z; each count is smoothed by a share of the whole.
+know falls back to its pieces of 5 characters, averaged over those that are known, then of 4, and so on to
+single characters. A text's languages are compared by the sum over its words. Words are runs of letters and marks of
+any script, lower-cased; each count is smoothed by a share of the whole.
 
-The fit takes at most 1.25 * SAMPLE rows (picked by a hash of the id) with text and language outside the held-out fold to the
+The fit takes at most 1.25 * SAMPLE distinct rows (picked by a hash of text and language) with text and language outside the held-out fold to the
 driver and keeps the MOST most frequent entries of each length, which bounds the model; what it leaves
 out is met by the back-off. Every row is scored, whole. A text that is null or has no letter is `und` with
 score 0, and so is every text where there is no row to learn from. Ties go to the language that comes first by code point.
@@ -19,13 +19,12 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from ._fit import fetched, hash_sample, held_out
-from ._words import letters_only, pieces_of, texts_of
+from ._letters import pieces, words_of
 
 SAMPLE = 6000
 MOST = 1 << 17
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-SPACE = letters_only()
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -45,8 +44,8 @@ class Model:
     def __init__(self, languages: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
         self.languages, self.tables = languages, tables
 
-    def word_rows(self, raw, h, start, end) -> np.ndarray:
-        """Log frequencies of words by language; zeros where not even a byte is known."""
+    def word_rows(self, values, h, start, end) -> np.ndarray:
+        """Log frequencies of words by language; zeros where not even a character is known."""
         out = np.zeros((len(h), len(self.languages)))
         known, table = self.tables[0]
         at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
@@ -56,7 +55,7 @@ class Model:
         for n, (known, table) in zip(LENGTHS, self.tables[1:], strict=True):
             if not len(open_) or not len(known):
                 continue
-            g, word = pieces_of(raw, start[open_], end[open_], n)
+            g, word = pieces(values, start[open_], end[open_], n)
             at = np.minimum(np.searchsorted(known, g), len(known) - 1)
             hit = known[at] == g
             count = np.bincount(word[hit], minlength=len(open_))
@@ -69,14 +68,14 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
-        for i, j, raw, h, start, end, first in texts_of(texts, SPACE):
+        for i, j, values, h, start, end, first in words_of(texts):
             if not len(h):
                 continue
             distinct, some, which = np.unique(h, return_index=True, return_inverse=True)
-            rows = self.word_rows(raw, distinct, start[some], end[some])
+            rows = self.word_rows(values, distinct, start[some], end[some])
             text = np.repeat(np.arange(j - i), np.diff(first))
             for k in range(len(self.languages)):
-                out[i:j, k] = np.bincount(text, rows[which, k], j - i)
+                out[i:j, k] += np.bincount(text, rows[which, k], j - i)
         return out
 
 
@@ -90,7 +89,7 @@ def fit(texts: pa.Array, languages: list[str], most: int = MOST) -> Model:
         if len(found[k]) > 40:
             found[k] = [_summed(*(np.concatenate(x) for x in zip(*found[k], strict=True)))]
 
-    for i, _, raw, h, start, end, first in texts_of(texts, SPACE):
+    for i, _, values, h, start, end, first in words_of(texts):
         if not len(h):
             continue
         one = np.eye(len(names), dtype=np.float32)[mine[i + np.repeat(np.arange(len(first) - 1), np.diff(first))]]
@@ -98,7 +97,7 @@ def fit(texts: pa.Array, languages: list[str], most: int = MOST) -> Model:
         rows = np.stack([np.bincount(which, one[:, k], len(distinct)) for k in range(len(names))], 1).astype(np.float32)
         add(0, distinct, rows)
         for k, n in enumerate(LENGTHS, 1):
-            g, word = pieces_of(raw, start[some], end[some], n)
+            g, word = pieces(values, start[some], end[some], n)
             add(k, g, rows[word])
     tables = []
     for k, parts in enumerate(found):
@@ -118,7 +117,7 @@ def fit(texts: pa.Array, languages: list[str], most: int = MOST) -> Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    got = fetched(hash_sample(rows, "id", sample, rows.count()).select("text", "lang"))
+    got = fetched(hash_sample(rows.select("text", "lang"), ["text", "lang"], sample, rows.count()).sort("text", "lang"))
     return fit(got["text"].combine_chunks(), got["lang"].to_pylist()) if len(got) else None
 
 

@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of the labelled rows outside the held-out fold; None without both classes."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
     counts = {int(r["y"] >= 1): r["count"] for r in known.groupBy(F.expr("if(y >= 1, 1, 0)").alias("y")).count().collect()}
-    toxic, clean = hash_sample(known.where("y >= 1"), "id", max_toxic, counts.get(1, 0)), hash_sample(known.where("y < 1"), "id", max_clean, counts.get(0, 0))
+    toxic, clean = hash_sample(known.where("y >= 1"), ["id"], max_toxic, counts.get(1, 0)), hash_sample(known.where("y < 1"), ["id"], max_clean, counts.get(0, 0))
     picked = F.broadcast(toxic.unionAll(clean))  # at most 1.25 * (max_toxic + max_clean) rows
     rows = fetched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("id", "text", "y").dropDuplicates(["id"]))
     rows = rows.sort_by("id")
