@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, exact_dedup, language, lm, mixing, toxicity, url_filter, warc
+from lodestone.llm import chat, decontamination, exact_dedup, language, lm, mixing, ngram_join, toxicity, url_filter, warc
 from lodestone.llm.url_filter import RULES
 
 DOCS = "doc_id long, text string, lang string, source string, k long, sid int, id string, score double"
@@ -72,6 +72,34 @@ def test_kept_rows(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] is not None) == sorted((r[0], r[1]) for r in [ODD[1], ODD[3], ODD[7], ODD[8], ODD[9], ODD[10]])
 
 
+CLASH = "doc_id long, text string, own string, winner int, digest int, turn int, dropped int, stays int, leak string, __id int, __own int, __leak int, s int, n int, v int"
+
+
+def test_kept_rows_of_clashing_names(spark):
+    d = spark.createDataFrame([(*r[:2], "a", *[7] * 5, "x", *[8] * 6) for r in ODD], CLASH)
+    for got in (exact_dedup.kept(d), ngram_join.kept(d), decontamination.decontaminated(d, spark.createDataFrame([(1, "x x x x x x x")], "item_id long, text string"))):
+        assert got.columns == d.columns and 0 < len(got.collect()) < len(ODD)
+
+
+def test_hot_null_ids(spark):
+    """A third of all rows has no id, and one text."""
+    rows = [(None, "same text", "en", "s")] * 600 + [(i, f"t {i % 500}", "en", "s") for i in range(1200)]
+    got = exact_dedup.exact_dedup(docs_of(spark, rows)).collect()
+    hot = [r for r in got if r["doc_id"] is None]
+    assert len(got) == 1800 and all((r["keep_id"], r["group_size"]) == (None, 600) for r in hot) and sum(r["kept"] for r in hot) == 1 and sum(r["kept"] for r in got) == 501
+    assert exact_dedup.kept(docs_of(spark, rows)).count() == 501
+    taken = mixing.mix(docs_of(spark, rows)).groupBy().sum("taken").first()[0]
+    assert abs(taken - 3600) <= 36
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        exact_dedup.exact_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError):
+        warc.archived(spark.createDataFrame([("a", "b", "c")], "page_id string, url string, html string"))
+    assert ngram_join.ngram_join(spark.createDataFrame([("a", "b"), ("c", "b")], "doc_id string, text string")).where("component_id = 'a'").count() == 2
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 20_000, dtype=np.uint64))
     h = exact_dedup.PerfectHash.build(keys)
@@ -83,14 +111,14 @@ def test_perfect_hash():
 
 def test_tied_placing_bits_are_kept_beside():
     a, b = b"\1" * 8 + b"\7" * 8 + b"\2" * 16, b"\3" * 8 + b"\7" * 8 + b"\4" * 16
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([a, b], pa.binary()), pa.array([5, 6]), pa.array([1, 2])], ["shard", "digest", "winner", "size"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([a, b], pa.binary()), pa.array([5, 6]), pa.array([0, 3]), pa.array([1, 2])], ["shard", "digest", "winner", "row", "size"])
     index = next(exact_dedup._indexed([batch]))
     ask = pa.RecordBatch.from_arrays(
-        [pa.array([0, 0, 0], pa.int32()), pa.array([0, 1, 1], pa.int32()), pa.array([None, a, b], pa.binary()), pa.array([0, 9, 1]), pa.array([0, 1, 1])] + [pa.array([index.column(c)[0].as_py(), None, None], index.column(c).type) for c in ("keys", "bits", "levels", "slots")],
-        ["shard", "kind", "digest", "winner", "size", "keys", "bits", "levels", "slots"],
+        [pa.array([0, 0, 0], pa.int32()), pa.array([0, 1, 1], pa.int32()), pa.array([None, a, b], pa.binary()), pa.array([0, 9, 6]), pa.array([0, 1, 2]), pa.array([0, 1, 1])] + [pa.array([index.column(c)[0].as_py(), None, None], index.column(c).type) for c in ("keys", "bits", "levels", "slots")],
+        ["shard", "kind", "digest", "winner", "row", "size", "keys", "bits", "levels", "slots"],
     )
-    got = {r["digest"]: (r["winner"], r["size"], r["member"]) for b_ in exact_dedup._looked_up([ask]) for r in b_.to_pylist()}
-    assert got == {a: (9, 2, True), b: (6, 3, True)}
+    got = {r["digest"]: (r["winner"], r["row"], r["size"], r["member"]) for b_ in exact_dedup._looked_up([ask]) for r in b_.to_pylist()}
+    assert got == {a: (9, 1, 2, True), b: (6, 3, 3, True)}
 
 
 # ---------------------------------------------------------------- toxicity and language
@@ -393,13 +421,17 @@ def judge(url):
     return host, path, max(fit, key=lambda r: len(r.name)) if fit else None
 
 
+LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+
+
 def rank_brute(links, seeds, rounds=url_filter.ROUNDS, damping=url_filter.DAMPING):
     total = {}
     for (s, _), n in links.items():
         total[s] = total.get(s, 0) + n
     rank = dict(seeds)
     for _ in range(rounds):
-        new = {h: (1 - damping) * w for h, w in seeds.items()}
+        lost = sum(r for h, r in rank.items() if h not in total)
+        new = {h: (1 - damping + damping * lost) * w for h, w in seeds.items()}
         for (s, d), n in links.items():
             if s in rank:
                 new[d] = new.get(d, 0) + damping * rank[s] * n / total[s]
@@ -413,6 +445,7 @@ def test_url_filter(spark):
         (1, "http://a.net/x", a("bad.info", "bad.info")), (2, "http://b.example.net/en/1", a("good.info", "mid.info")), (3, "https://WWW.Example.com/de/?q", a("worse.info")), (4, "http://x.org/fr/", a("mid.info", "good.info", "x.org")),
         (5, "http://mid.info/1", a("bad.info")), (6, "http://bad.info/", a("a.net", "evil.net")), (7, "http://good.info", None), (8, None, a("a.net")), (9, "no scheme", None), (10, "ftp://host?x#y", "<a HREF='HTTP://A.NET/'>"),
         (11, "http://example.net/en", ""), (12, "http://notnet/", ""), (13, "http://worse.info/#f", a("shop.example.com", "evil.net")), (1, "http://a.net/x", a("bad.info")), (14, "http://example.net/en/\nfoo", ""), (15, "http://", ""), (None, "http://net/", None),
+        (16, "http://plain.info/", '<a href="//bad.info/x">x</a>'), (17, "http://spaced.info/", "<a href=' https://bad.info/y'>x</a> <a href='path//none.info'>"), (18, "http://dead.info/", ""), (19, "http://b.example.net/en/2", a("dead.info")),
     ]
     d = spark.createDataFrame([(*p, "h", 0.5) for p in pages], "page_id long, url string, html string, host string, rank double")
     got = url_filter.url_filter(d).collect()
@@ -421,7 +454,7 @@ def test_url_filter(spark):
     links = {}
     for _, url, html in pages:
         s = judge(url)[0]
-        for t in re.findall(r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)""", html or ""):
+        for t in re.findall(LINK, html or ""):
             if s and lower(t) != s:
                 links[(s, lower(t))] = links.get((s, lower(t)), 0) + 1
     hosts = {judge(u)[0] for _, u, _ in pages} | {t for _, t in links}
@@ -442,7 +475,7 @@ def test_url_filter(spark):
         want.append((i, h, p, r.name if r else None, v))
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     by = {r["host"]: r for r in got}
-    assert by["worse.info"]["verdict"] == "block" and by["good.info"]["verdict"] == "allow" and by["bad.info"]["distrust"] == pytest.approx(distrust["bad.info"])
+    assert by["worse.info"]["verdict"] == by["plain.info"]["verdict"] == by["spaced.info"]["verdict"] == "block" and by["dead.info"]["verdict"] == "allow" and by["good.info"]["verdict"] == "allow" and by["bad.info"]["distrust"] == pytest.approx(distrust["bad.info"])
     assert url_filter.url_filter(d.limit(0)).collect() == []
 
 
@@ -450,7 +483,7 @@ def test_distrust_reaches_the_end_of_a_chain(spark):
     hops = 40
     pages = [(i, f"http://h{i}.info/", f'<a href="http://h{i - 1}.info/">x</a>' if i > 1 else '<a href="http://bad.net/">x</a>') for i in range(1, hops + 1)]
     got = {r["page_id"]: r for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.15 * 0.85**i) for i in range(1, hops + 1))
+    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.15 * 0.85**i / (1 - 0.85 ** (hops + 1))) for i in range(1, hops + 1))
 
 
 # ---------------------------------------------------------------- chat
@@ -486,6 +519,86 @@ def test_layouts(spark):
         chat.layout_of(table.select("id").schema)
 
 
+def test_records_with_nulls_keep_their_layout(spark):
+    js = ['{"instruction":"a","output":null}', '{"prompt":"","completion":null}', '{"messages":[{"role":"user","content":null},{"role":"Assistant","content":"b"}]}', '{"messages":[]}', '{"messages":[{"role":"user"},{"role":"assistant","content":"b"}]}', '{"messages":null}', '{"conversations":[{"from":"Human","value":"a"},{"from":"GPT","value":null}],"system":"s"}']
+    got = {r["id"]: r for r in chat.turns_of_json(spark.createDataFrame(list(enumerate(js)), "i int, j string"), "i", "j").collect()}
+    turns = [[tuple(x) for x in got[i]["turns"]] for i in range(len(js))]
+    assert turns[0] == [("user", "a"), ("assistant", None)] and turns[1] == [("user", ""), ("assistant", None)]
+    assert turns[2] == turns[4] == [("user", None), ("assistant", "b")] and turns[3] == turns[5] == []
+    assert turns[6] == [("system", "s"), ("user", "a"), ("assistant", None)] and got[3]["layout"] == "messages"
+    out = chat.formatted(spark.createDataFrame([(1, [("user", None), ("assistant", "b")])], "id int, turns array<struct<role:string,text:string>>")).withColumn("loss", chat.loss_text()).first()
+    assert out["loss"] == "b"
+
+
+def test_words_and_pieces_of_any_script():
+    from lodestone.llm import _letters
+
+    text = "Привет—МИР。你好，世界 naïve x1y ok हिन्दी"
+    *_, values, h, start, end, first = next(_letters.words_of(pa.array([text])))
+    assert [text[i:j].lower() for i, j in zip(start, end, strict=True)] == ["привет", "мир", "你好", "世界", "naïve", "x", "y", "ok", "हिन्दी"] and first.tolist() == [0, 9]
+    again = next(_letters.words_of(pa.array([text.lower()])))[3]
+    assert (again == h).all()
+    g, word = _letters.pieces(values, start[:1], end[:1], 3)
+    assert len(g) == 4 and word.tolist() == [0] * 4
+    long = pa.array(["é" * 3_000_000 + " " + "ab cd " * 200_000])
+    n = sum(int(x[-1][-1]) for x in _letters.words_of(long))
+    assert 400_000 < n < 400_020
+
+
+def test_language_by_hand():
+    """Scores against a plain version: log frequency of a known word, else the mean over the longest known pieces."""
+    from collections import Counter
+
+    texts, langs = ["aba aba cab", "xyz aba xyz"], ["p", "q"]
+    m = language.fit(pa.array(texts), langs)
+    counts = [Counter(), *[Counter() for _ in language.LENGTHS]]
+    for t, lang in zip(texts, langs, strict=True):
+        for w in t.split():
+            counts[0][w, lang] += 1
+            for k, n in enumerate(language.LENGTHS, 1):
+                for i in range(len(w) - n + 1):
+                    counts[k][w[i : i + n], lang] += 1
+    known = [{x for x, _ in c} for c in counts]
+    totals = [{lang: sum(v for (_, y), v in c.items() if y == lang) + 1 for lang in "pq"} for c in counts]
+    known[0] = {w for w in known[0] if counts[0][w, "p"] + counts[0][w, "q"] > 1}
+    totals[0] = {lang: sum(counts[0][w, lang] for w in known[0]) + 1 for lang in "pq"}
+
+    def logs(k, x, lang):
+        share = (counts[k][x, "p"] + counts[k][x, "q"] + 1) / sum(totals[k].values())
+        return np.log((counts[k][x, lang] + 2 * share) / (totals[k][lang] + 2))
+
+    def word(w, lang):
+        if w in known[0]:
+            return logs(0, w, lang)
+        for k, n in enumerate(language.LENGTHS, 1):
+            if hit := [w[i : i + n] for i in range(len(w) - n + 1) if w[i : i + n] in known[k]]:
+                return np.mean([logs(k, x, lang) for x in hit])
+        return 0.0
+
+    asked = ["aba xyzz cabx", "", "q abacab"]
+    got = m.scores(pa.array(asked))
+    assert got == pytest.approx(np.array([[sum(word(w, lang) for w in t.split()) for lang in "pq"] for t in asked]), abs=1e-4)
+
+
+def test_toxicity_by_hand():
+    """Logits against a plain version: mean over the subwords of a word, then over the words of the worst window."""
+    rows, labels = corpus(60)
+    m = toxicity.fit(pa.array([r[1] for r in rows]), np.array([x[2] for x in labels]), rounds=6)
+
+    def word(w):
+        raw, h, start, end = next((x[2], x[3], x[4], x[5]) for x in toxicity.texts_of(pa.array([w]), toxicity.SPACE))
+        ids, _ = toxicity.subwords(raw, h, start, end)
+        return float(np.mean(m.table[ids].astype(float)))
+
+    def logit(text):
+        v = [word(w) for w in text.split()]
+        at = range(0, max(len(v) - toxicity.WIDTH, 0) + toxicity.STRIDE, toxicity.STRIDE)
+        return max(np.mean(v[i : i + toxicity.WIDTH]) for i in at if v[i : i + toxicity.WIDTH]) + m.bias
+
+    texts = [r[1] for r in rows[:12]] + ["stupid", "thing er " * 9]
+    assert m.logits(pa.array(texts)) == pytest.approx(np.array([logit(t) for t in texts]), abs=1e-4)
+
+
 def test_column_functions_need_no_python(spark):
     d = docs_of(spark, [(1, "a b c d e f", "en", "s")])
     out = chat.formatted(chat.turns_of_table(spark.createDataFrame([(1, 1, "user", "x")], "conv_id int, turn int, role string, text string")))
