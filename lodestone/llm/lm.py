@@ -31,6 +31,8 @@ VOCAB, RARE = CLASSES * PER_CLASS, PER_CLASS
 WINDOW, DIM = 2, 16
 ROUNDS, STRIDE, BATCH, RATE = 2, 2, 2048, 0.1
 AVERAGED = 16
+#: Logits up to this size need no shift before the exponential in 32 bits.
+SAFE, ONES = 80.0, np.ones(PER_CLASS, np.float32)
 _SHAPES = {"embed": (2 * WINDOW, VOCAB + 1, DIM), "bias": (DIM,), "top": (CLASSES, DIM), "top_bias": (CLASSES,), "low": (CLASSES, PER_CLASS, DIM), "low_bias": (CLASSES, PER_CLASS)}
 
 
@@ -243,44 +245,54 @@ class Network:
         h = self.hidden(around)
         which, order, groups = self.by_class(ids)
 
-        def logs(z, own):
-            z -= z.max(1, keepdims=True)
-            return (z[np.arange(len(own)), own] - np.log(np.exp(z).sum(1))).astype(np.float64)
+        def logs(z, own, bound):
+            if bound > SAFE:
+                z -= z.max(1, keepdims=True)
+            said = z[np.arange(len(own)), own]
+            return (said - np.log(np.exp(z, out=z) @ ONES)).astype(np.float64)
 
-        out = logs(h @ self.top.T + self.top_bias, which)
-        out[order] += logs(self.low_logits(h[order], groups), ids[order] % PER_CLASS)
+        bounds = self.bounds()
+        out = logs(h @ self.top.T + self.top_bias, which, bounds[0])
+        out[order] += logs(self.low_logits(h[order], groups), ids[order] % PER_CLASS, bounds[1])
         return out
 
+    def bounds(self) -> tuple[float, float]:
+        """What no logit of classes, and of words in a class, exceeds in size: all of `hidden` is within -1 and 1."""
+        return float((np.abs(self.top) @ ONES[:DIM] + np.abs(self.top_bias)).max()), float((np.abs(self.low) @ ONES[:DIM] + np.abs(self.low_bias)).max())
+
     def step(self, ids: np.ndarray, around: np.ndarray, memory: Network, rate: float) -> None:
         """One AdaGrad step up the mean log-probability; memory holds the sums of squares."""
         h, n = self.hidden(around), len(ids)
         which, order, groups = self.by_class(ids)
 
-        def softmax(z, own):
-            z -= z.max(1, keepdims=True)
+        def softmax(z, own, bound):
+            if bound > SAFE:
+                z -= z.max(1, keepdims=True)
             e = np.exp(z, out=z)
-            e /= e.sum(1, keepdims=True)
-            e[np.arange(len(own)), own] -= 1
-            e /= n
+            e *= (1 / (n * (e @ ONES)))[:, None]
+            e[np.arange(len(own)), own] -= np.float32(1 / n)
             return e
 
         def move(name, at, grad):
             m = getattr(memory, name)
-            m[at] += grad**2
-            getattr(self, name)[at] -= rate * grad / np.sqrt(m[at] + 1e-8)
+            seen = m[at] + grad * grad
+            m[at] = seen
+            grad *= rate / np.sqrt(seen + 1e-8)
+            getattr(self, name)[at] -= grad
 
-        d = softmax(h @ self.top.T + self.top_bias, which)
+        bounds = self.bounds()
+        d = softmax(h @ self.top.T + self.top_bias, which, bounds[0])
         back = d @ self.top
         move("top", ..., d.T @ h)
         move("top_bias", ..., d.sum(0))
         own, low = h[order], np.zeros_like(self.low)
-        d = softmax(self.low_logits(own, groups), ids[order] % PER_CLASS)
+        d = softmax(self.low_logits(own, groups), ids[order] % PER_CLASS, bounds[1])
         through = np.empty_like(own)
         for c, i, j in groups:
             np.matmul(d[i:j], self.low[c], out=through[i:j])
             np.matmul(d[i:j].T, own[i:j], out=low[c])
         back[order] += through
-        held = [c for c, _, _ in groups]
+        held = [c for c, _, _ in groups] if len(groups) < CLASSES else slice(None)
         move("low", held, low[held])
         move("low_bias", held, np.add.reduceat(d, [i for _, i, _ in groups]))
         back *= 1 - h * h
