@@ -16,6 +16,24 @@ UMLAUTS = "äöüÄÖÜß"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+#: Ends of sentences by language, for cuts inside a section.
+SENTENCE_ENDS = {"zh": ("。", "！", "？", "；", "\n"), "de": (". ", "! ", "? ", "; ", "\n"), "en": (". ", "! ", "? ", "; ", "\n")}
+ANY_SENTENCE_END = ("。", "！", "？", "；", ". ", "! ", "? ", "; ", "\n")
+
+
+def sentence_ends(lang: str) -> tuple[str, ...]:
+    return SENTENCE_ENDS.get(lang, ANY_SENTENCE_END)
+
+
+def sentence_end_count(text: Column, lang: Column) -> Column:
+    """How many ends of sentences of its language a text has."""
+    count = lambda ends: sum(((F.length(text) - F.length(F.replace(text, F.lit(e), F.lit("")))) / len(e) for e in ends), F.lit(0.0))
+    out = count(ANY_SENTENCE_END)
+    for name, ends in SENTENCE_ENDS.items():
+        out = F.when(lang == name, count(ends)).otherwise(out)
+    return F.coalesce(out, F.lit(0.0)).cast("long")
+
+
 def normal_line_ends(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -9,13 +12,32 @@ from ..config import CHILD_SIZE, PARENT_SIZE, parent_and_child
 from ..functions import text as T
 from .splitting import PageMap, parents_and_children, profile, split, tiers
 
-RAW = "doc_id string, is_parent boolean, ord int, parent_ord int, start int, end int, prefix int, text string, breadcrumb string, page_start int, page_end int"
-_NAMES = ["doc_id", "is_parent", "ord", "parent_ord", "start", "end", "prefix", "text", "breadcrumb", "page_start", "page_end"]
-_KINDS = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+RAW = "doc_id string, is_parent boolean, ord int, parent_ord int, start int, end int, prefix int, text string, breadcrumb string, page_start int, page_end int, chunk_hash string, parent_hash string, seq int"
+_NAMES = [x.split()[0] for x in RAW.split(", ")]
+_KINDS = [pa.string(), pa.bool_(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+#: Runs of anything but Unicode white space, as in functions.text.word_list.
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def text_hash(text: str) -> str:
+    """What functions.text.chunk_hash gives."""
+    return hashlib.sha256(" ".join(_WORD.findall(text)).encode()).hexdigest()
+
+
+def numbered(rows: list[tuple[bool, str]]) -> list[int | None]:
+    """The seq of each (is_parent, hash), in order: the first of each hash stays, a parent before a child; dense, parents first."""
+    tops, lows = {}, {}
+    for i, (is_parent, hash_) in enumerate(rows):
+        (tops if is_parent else lows).setdefault(hash_, i)
+    out: list[int | None] = [None] * len(rows)
+    for k, i in enumerate([*tops.values(), *(i for h, i in lows.items() if h not in tops)]):
+        out[i] = k
+    return out
 
 
 def raw_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages_col: str | None = None, parent_size: int = PARENT_SIZE, child_size: int = CHILD_SIZE, strategy: str = "auto") -> DataFrame:
-    """Parents and children of each text, in order; one text at a time is split, with nothing shuffled."""
+    """Parents and children of each row's text, in order, hashed and numbered where the text is split: nothing is shuffled. seq is null for
+    rows that repeat another's hash; parent_hash is that of the parent of a child, if that stays."""
     parent, child = parent_and_child(parent_size, child_size, strategy)
     pages = F.col(pages_col) if pages_col else F.lit(None).cast("array<int>")
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), pages.alias("pages"))
@@ -28,12 +50,11 @@ def raw_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 doc, text, lines = (b.column(x)[i].as_py() for x in ("doc_id", "text", "pages"))
                 where = PageMap(text, lines)
                 tops, kept, children = parents_and_children(text, parent, child)
-                for k, c in enumerate(tops):
-                    if kept[k]:
-                        out.append((doc, True, k, None, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end)))
-                for k, x in enumerate(children):
-                    c = x.chunk
-                    out.append((doc, False, k, x.parent, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end)))
+                hashes = [text_hash(c.text) if kept[k] else None for k, c in enumerate(tops)]
+                rows_ = [(True, k, None, c, hashes[k], None) for k, c in enumerate(tops) if kept[k]]
+                rows_ += [(False, k, x.parent, x.chunk, text_hash(x.chunk.text), hashes[x.parent]) for k, x in enumerate(children)]
+                seqs = numbered([(x[0], x[4]) for x in rows_])
+                out += [(doc, top, k, parent_, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end), own, above, seq) for (top, k, parent_, c, own, above), seq in zip(rows_, seqs, strict=True)]
                 size += len(text)
                 if size > 1 << 22:
                     yield _batch(out)
@@ -57,14 +78,11 @@ def deduplicated(chunks: DataFrame) -> DataFrame:
 
 
 def chunked(docs: DataFrame, **options) -> DataFrame:
-    """Chunk rows as stored: ids from (doc_id, hash), children linked to parents that stayed, token estimates, heading paths."""
-    raw = raw_chunks(docs, **options).withColumn("chunk_hash", T.chunk_hash(F.col("text"))).withColumn("seq", F.col("ord"))
-    rows = deduplicated(raw).withColumn("id", T.chunk_id(F.col("doc_id"), F.col("chunk_hash")))
-    tops = raw.where("is_parent").select("doc_id", F.col("ord").alias("parent_ord"), T.chunk_id(F.col("doc_id"), F.col("chunk_hash")).alias("parent_id"))
-    rows = rows.join(tops, ["doc_id", "parent_ord"], "left")
-    child = ~F.col("is_parent")
+    """Chunk rows as stored: ids from (doc_id, hash), children linked to parents that stayed, token estimates, heading paths. One pass, no exchange; a row is a document."""
+    rows, child = raw_chunks(docs, **options).where("seq is not null"), ~F.col("is_parent")
     return rows.select(
-        "id", "doc_id", "chunk_hash", "parent_id", "is_parent", "seq", "page_start", "page_end", F.when(child, T.heading_path(F.col("breadcrumb"))).alias("heading_path"),
+        T.chunk_id(F.col("doc_id"), F.col("chunk_hash")).alias("id"), "doc_id", "chunk_hash", F.when(F.col("parent_hash").isNotNull(), T.chunk_id(F.col("doc_id"), F.col("parent_hash"))).alias("parent_id"),
+        "is_parent", "seq", "page_start", "page_end", F.when(child, T.heading_path(F.col("breadcrumb"))).alias("heading_path"),
         F.when(child, F.col("breadcrumb")).alias("header_breadcrumb"), "text", "start", "end", "prefix", F.greatest(F.lit(1), T.token_estimate(F.col("text"))).alias("token_count"),
     )
 
@@ -89,4 +107,4 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInPandas(run, PROFILE)
 
 
-__all__ = ["chunked", "deduplicated", "profiles", "raw_chunks", "split"]
+__all__ = ["chunked", "deduplicated", "numbered", "profiles", "raw_chunks", "split"]

@@ -9,16 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import TERMINAL_STATES
 
 
-def floor_percentile(values: Column, p: int) -> Column:
-    """Nearest rank rounded down: element (n - 1) * p / 100 of the sorted values; null without values.
-
-    Over a whole column this is an exact percentile of a group: collected values are those of one bucket.
-    """
-    x = F.sort_array(F.collect_list(values))
-    n = F.count(values)
-    return F.when(n > 0, F.element_at(x, (F.floor((n - 1) * p / 100)).cast("int") + 1))
-
-
 def percentiles(rows: DataFrame, keys: list[str], value: str, ps: dict[str, int]) -> DataFrame:
     """keys with floor percentiles of value, however many rows a key has: ranks instead of collected lists.
 

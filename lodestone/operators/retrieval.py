@@ -7,6 +7,7 @@ limit, so no window sees more than k rows. Ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,30 @@ def dense_top(rows: DataFrame, vector: Iterable[float], k: int, id_col: str = "i
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))
 
 
+def dense_top_groups(rows: DataFrame, vector: Iterable[float], k: int, group_col: str, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(group, id, distance, rank): dense_top of every group in one pass; a batch passes on k rows of each group, a task's share of a group is cut to k before the exchange."""
+    q = np.array(checked_vector(vector))
+    q = q / (np.linalg.norm(q) or 1.0)
+    schema = f"group {rows.schema[group_col].dataType.simpleString()}, id {rows.schema[id_col].dataType.simpleString()}, distance double"
+    rows = rows.select(F.col(group_col).alias("group"), F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.size("v") == len(q))
+
+    def nearest(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, len(q))
+            length = np.sqrt(np.einsum("ij,ij->i", m, m))
+            d = np.where(length > 0, 1.0 - (m @ q) / np.where(length > 0, length, 1.0), np.inf)
+            t = pa.table({"group": b.column("group"), "id": b.column("id"), "distance": d}).sort_by([("group", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+            codes = t["group"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            first = np.concatenate(([True], codes[1:] != codes[:-1]))
+            place = np.arange(len(codes)) - np.maximum.accumulate(np.where(first, np.arange(len(codes)), 0))
+            yield from t.filter(pa.array(place < k)).combine_chunks().to_batches()
+
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("distance", "id"))
+    return rows.mapInArrow(nearest, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
@@ -77,6 +102,36 @@ def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+BUCKETS = 64
+
+
+def write_index(rows: DataFrame, path: str, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS) -> None:
+    """An inverted index under path: `postings` (term, id, tf, dl) in folders by bucket of the term, sorted by term, so that a query reads
+    row groups of its terms only, and `lengths` (id, dl). Ranges of (bucket, term, id) are dealt, so a common term spreads over tasks."""
+    postings(rows, id_col, text_col).withColumn("bucket", (F.crc32("term") % buckets).cast("int")).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows.select(F.col(id_col).alias("id"), F.size(terms(F.col(text_col))).alias("dl")).write.parquet(f"{path}/lengths")
+
+
+def bm25_indexed(spark, path: str, query: str, k: int, among: DataFrame | None = None, buckets: int = BUCKETS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """What bm25_top gives, from an index of write_index; among: the ids (id) to search, whose counts are then the corpus."""
+    asked, lengths = query_terms(query), spark.read.parquet(f"{path}/lengths")
+    lengths = lengths if among is None else lengths.join(among.select("id"), "id", "left_semi")
+    if not asked:
+        top = lengths.select("id", F.lit(0.0).alias("score")).orderBy("id").limit(k)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy("id")))
+    n, mean = lengths.agg(F.count(F.lit(1)), F.avg(F.coalesce("dl", F.lit(0)))).first()
+    held = spark.read.parquet(f"{path}/postings")
+    where = sorted({crc32(t.encode()) % buckets for t in asked})
+    held = held.where(F.col("bucket").isin(where) & F.col("term").isin(asked))
+    held = held if among is None else held.join(among.select("id"), "id", "left_semi")
+    df = F.broadcast(held.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")))  # a row for each term asked
+    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    parts = held.join(df, "term").select("id", (idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))).alias("part"))
+    top = parts.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
 def _occurrences(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
@@ -127,14 +182,22 @@ def fused_legs(legs: list[tuple[DataFrame, float]], texts: DataFrame) -> DataFra
     return rows.groupBy("id").agg(F.sum("s").alias("score"), F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
 
 
+def _with_ids(rows: DataFrame, column: str, ids: list) -> DataFrame:
+    """The rows whose column is one of few ids: a filter that the scan gets."""
+    return rows.where(F.col(column).isin(sorted({x for x in ids if x is not None})))
+
+
 def enriched(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with their chunk, its parent's text ('' without) and its document; hits without a document go."""
-    own = chunks.select("id", "doc_id", "parent_id", "page_start", "page_end", F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"), "text")
-    parents = chunks.where("is_parent").select(F.col("id").alias("parent_id"), F.col("text").alias("parent"))
-    docs = documents.select(F.col("id").alias("doc_id"), "title", "completeness")
-    rows = F.broadcast(hits).join(own, "id")  # hits: at most k rows of each leg
-    rows = F.broadcast(rows).join(docs, "doc_id")
-    rows = rows.join(parents, "parent_id", "left")
+    """Hits with their chunk, its parent's text ('' without) and its document; hits without a document go.
+
+    The hits, at most k rows of each leg, are fetched once; their chunks, parents and documents are then read by id, and no text is dealt."""
+    spark, found = chunks.sparkSession, hits.select("id", "score").collect()
+    own = _with_ids(chunks, "id", [r["id"] for r in found]).select("id", "doc_id", "parent_id", "page_start", "page_end", F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"), "text")
+    links = own.select("doc_id", "parent_id").distinct().collect() if found else []
+    parents = _with_ids(chunks.where("is_parent"), "id", [r["parent_id"] for r in links]).select(F.col("id").alias("parent_id"), F.col("text").alias("parent"))
+    docs = _with_ids(documents, "id", [r["doc_id"] for r in links]).select(F.col("id").alias("doc_id"), "title", "completeness")
+    scores = spark.createDataFrame([tuple(r) for r in found], hits.select("id", "score").schema)
+    rows = own.join(F.broadcast(scores), "id").join(F.broadcast(docs), "doc_id").join(F.broadcast(parents), "parent_id", "left")
     return rows.select(
         F.col("id").alias("chunk_id"), "doc_id", "title", "page_start", "page_end", "heading_path", F.coalesce("parent", F.lit("")).alias("parent_text"), "text", "score",
         F.coalesce(F.col("completeness") < 1, F.lit(False)).alias("partial"), "completeness", F.lit(False).alias("reranked"),

@@ -445,13 +445,26 @@ def coalesced(chunks: list[Chunk], size: int) -> list[Chunk]:
     return out
 
 
+#: Strength of a boundary by its kind.
+PRIORITIES = {"form feed": 100, "numbered": 90, "chapter": 85, "capitals": 70, "separator": 60, "footer": 50, "blank": 40}
+
+
+def ranked_boundaries(text: str, p: Profile) -> list[tuple[int, int]]:
+    """(offset, priority) where a text without Markdown headings may be cut, the strongest kind of each offset."""
+    found = [(m.start(), "form feed") for m in re.finditer("\f", text)] + [(m.end(), "blank") for m in re.finditer(r"\n{3,}", text)]
+    kinds = [("chapter", CHAPTERS[k]) for k in (p.languages or tuple(CHAPTERS)) if k in CHAPTERS] + [("numbered", NUMBERED), ("capitals", ALL_CAPS), ("separator", SEPARATOR_LINE), ("footer", FOOTER)]
+    for at, line, fence in unfenced(text):
+        if fence is None and (kind := next((k for k, x in kinds if x.match(line)), None)):
+            found.append((at, kind))
+    regions, best = protected(text), {}
+    for at, kind in found:
+        if 0 < at < len(text) and not inside(regions, at):
+            best[at] = max(best.get(at, 0), PRIORITIES[kind])
+    return sorted(best.items())
+
+
 def boundaries(text: str, p: Profile) -> list[int]:
-    """Offsets where a text without Markdown headings may be cut."""
-    found = {m.start() for m in re.finditer("\f", text)} | {m.end() for m in re.finditer(r"\n{3,}", text)}
-    patterns = [CHAPTERS[k] for k in (p.languages or tuple(CHAPTERS)) if k in CHAPTERS] + [NUMBERED, ALL_CAPS, SEPARATOR_LINE, FOOTER]
-    found |= {at for at, line, fence in unfenced(text) if fence is None and any(x.match(line) for x in patterns)}
-    regions = protected(text)
-    return sorted(at for at in found if 0 < at < len(text) and not inside(regions, at))
+    return [at for at, _ in ranked_boundaries(text, p)]
 
 
 def by_structure(text: str, config: SplitConfig, p: Profile) -> list[Chunk]:
