@@ -1,7 +1,7 @@
 """Words of letters in any script and their character n-grams as 64-bit hashes, in numpy over code points.
 
-A word is a run of letters and marks (Unicode categories L and M), lower-cased one code point at a time. Long texts come in
-several pieces, which end at an ASCII character that is no letter, or after LONGEST bytes without one.
+A word is a run of letters and marks (Unicode categories L and M; with `digits` also N), lower-cased one code point at a time. Long texts are worked
+through in pieces, which end at an ASCII character that is no letter or digit, or after LONGEST bytes without one.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ POINTS = 0x110000
 LONGEST = 4 * PIECE
 
 
-@lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def tables(digits: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: whether it is part of words, and the hash of its lower case."""
-    word, lower = np.zeros(POINTS, bool), np.arange(POINTS, dtype=np.uint64)
+    word, lower, kinds = np.zeros(POINTS, bool), np.arange(POINTS, dtype=np.uint64), "LMN" if digits else "LM"
     for i in range(POINTS):
         c = chr(i)
-        if unicodedata.category(c)[0] in "LM":
+        if unicodedata.category(c)[0] in kinds:
             word[i] = True
             if len(x := c.lower()) == 1:
                 lower[i] = ord(x)
@@ -47,7 +47,7 @@ def _cut(raw: np.ndarray, i: int) -> int:
     if i + PIECE >= len(raw):
         return len(raw)
     ahead = raw[i + PIECE : i + LONGEST]
-    letter = ((ahead | 32) >= 97) & ((ahead | 32) <= 122) | (ahead >= 128)
+    letter = ((ahead | 32) >= 97) & ((ahead | 32) <= 122) | (ahead >= 128) | (ahead >= 48) & (ahead <= 57)
     if len(gap := np.flatnonzero(~letter)):
         return i + PIECE + int(gap[0])
     j = min(len(raw), i + LONGEST)
@@ -56,30 +56,37 @@ def _cut(raw: np.ndarray, i: int) -> int:
     return j
 
 
-def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of texts, or pieces of a long one: first and last index, hashes of code points, word hashes, starts, ends, and each text's first word (len + 1)."""
-    word, hashes = tables()
+def words_of(texts: pa.Array, digits: bool = False, whole: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts, or pieces of a long one (one run of all its pieces if whole): first and last index, code points, word hashes, starts, ends, and each text's first word (len + 1)."""
+    word, hashes = tables(digits)
     raw, at = buffers(texts)
     for i, j in groups(raw, at):
         part, cuts = raw[at[i] : at[j]], at[i : j + 1] - at[i]
-        k = 0
+        found, k, passed = [], 0, 0
         while True:
             end = _cut(part, k) if j == i + 1 else len(part)
             points, offsets = _points(part[k:end], cuts if j > i + 1 else np.array([0, end - k]))
             h, s, e = runs(hashes[points], word[points], offsets[:-1])
-            yield i, j, hashes[points], h, s, e, np.searchsorted(s, offsets)
+            if whole and j == i + 1:
+                found.append((points, h, s + passed, e + passed))
+                passed += len(points)
+            else:
+                yield i, j, points, h, s, e, np.searchsorted(s, offsets)
             k = end
             if k >= len(part):
                 break
+        if found:
+            points, h, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield i, j, points, h, s, e, np.array([0, len(h)])
 
 
-def pieces(values: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-character substrings of words values[start:end], and the index of each one's word."""
+def pieces(points: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-character substrings of words points[start:end], and the index of each one's word."""
     count = np.maximum(end - start - n + 1, 0)
     word = np.repeat(np.arange(len(start)), count)
     at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + start[word]
-    up = powers(1 << PIECE.bit_length())[0]
+    up, hashes = powers(1 << PIECE.bit_length())[0], tables()[1]  # the hashes of lower case differ for letters only
     x = np.full(len(at), n, np.uint64)
     for k in range(n):
-        x += values[at + k] * up[k]
+        x += hashes[points[at + k]] * up[k]
     return mixed(x), word

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Turns whose spans are gathered in one list.
+SLICE = 256
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -145,13 +147,16 @@ def formatted(turns: DataFrame) -> DataFrame:
     """(id, formatted, loss_spans) of (id, turns)."""
     head = f"concat('{OPEN}', {_ESCAPED_ROLE}, '\\n')"
     parts = turns.select("id", F.expr(f"transform(turns, t -> named_struct('head', {head}, 'text', {escaped('t.text')}, 'loss', t.role <=> 'assistant'))").alias("parts"))
-    end = f"acc.at + length(p.head) + length(p.text) + {len(CLOSE)}"
-    spans = (
-        "aggregate(parts, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>)), (acc, p) -> named_struct('at', " + end + ", "
-        "'spans', if(p.loss, concat(acc.spans, array(named_struct('start', acc.at + length(p.head), 'end', acc.at + length(p.head) + length(p.text)))), acc.spans)), acc -> acc.spans)"
-    )
+    step = f"length(p.head) + length(p.text) + {len(CLOSE)}"
+    # starts of slices of SLICE turns first, then spans within each: a list that grows is copied at every turn, so none grows far
+    slices = f"transform(sequence(0, (size(parts) - 1) div {SLICE}), i -> slice(parts, i * {SLICE} + 1, {SLICE}))"
+    sums = f"transform({slices}, s -> aggregate(s, 0, (n, p) -> n + {step}))"
+    starts = f"aggregate({sums}, named_struct('at', 0, 'list', cast(array() as array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'list', concat(acc.list, array(acc.at))), acc -> acc.list)"
+    one = "array(named_struct('start', acc.at + length(p.head), 'end', acc.at + length(p.head) + length(p.text)))"
+    inner = f"aggregate(s, named_struct('at', starts[i], 'spans', cast(array() as array<struct<start:int,end:int>>)), (acc, p) -> named_struct('at', acc.at + {step}, 'spans', if(p.loss, concat(acc.spans, {one}), acc.spans)), acc -> acc.spans)"
+    spans = f"flatten(transform({slices}, (s, i) -> {inner}))"
     text = f"array_join(transform(parts, p -> concat(p.head, p.text, '{CLOSE[:-1]}\\n')), '')"
-    return parts.select("id", F.expr(text).alias("formatted"), F.expr(spans).alias("loss_spans"))
+    return parts.withColumn("starts", F.expr(starts)).select("id", F.expr(text).alias("formatted"), F.expr(spans).alias("loss_spans"))
 
 
 def read_turns(text: Column | str) -> Column:

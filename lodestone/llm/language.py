@@ -44,7 +44,7 @@ class Model:
     def __init__(self, languages: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
         self.languages, self.tables = languages, tables
 
-    def word_rows(self, values, h, start, end) -> np.ndarray:
+    def word_rows(self, points, h, start, end) -> np.ndarray:
         """Log frequencies of words by language; zeros where not even a character is known."""
         out = np.zeros((len(h), len(self.languages)))
         known, table = self.tables[0]
@@ -55,7 +55,7 @@ class Model:
         for n, (known, table) in zip(LENGTHS, self.tables[1:], strict=True):
             if not len(open_) or not len(known):
                 continue
-            g, word = pieces(values, start[open_], end[open_], n)
+            g, word = pieces(points, start[open_], end[open_], n)
             at = np.minimum(np.searchsorted(known, g), len(known) - 1)
             hit = known[at] == g
             count = np.bincount(word[hit], minlength=len(open_))
@@ -68,11 +68,11 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
-        for i, j, values, h, start, end, first in words_of(texts):
+        for i, j, points, h, start, end, first in words_of(texts):
             if not len(h):
                 continue
             distinct, some, which = np.unique(h, return_index=True, return_inverse=True)
-            rows = self.word_rows(values, distinct, start[some], end[some])
+            rows = self.word_rows(points, distinct, start[some], end[some])
             text = np.repeat(np.arange(j - i), np.diff(first))
             for k in range(len(self.languages)):
                 out[i:j, k] += np.bincount(text, rows[which, k], j - i)
@@ -89,7 +89,7 @@ def fit(texts: pa.Array, languages: list[str], most: int = MOST) -> Model:
         if len(found[k]) > 40:
             found[k] = [_summed(*(np.concatenate(x) for x in zip(*found[k], strict=True)))]
 
-    for i, _, values, h, start, end, first in words_of(texts):
+    for i, _, points, h, start, end, first in words_of(texts):
         if not len(h):
             continue
         one = np.eye(len(names), dtype=np.float32)[mine[i + np.repeat(np.arange(len(first) - 1), np.diff(first))]]
@@ -97,7 +97,7 @@ def fit(texts: pa.Array, languages: list[str], most: int = MOST) -> Model:
         rows = np.stack([np.bincount(which, one[:, k], len(distinct)) for k in range(len(names))], 1).astype(np.float32)
         add(0, distinct, rows)
         for k, n in enumerate(LENGTHS, 1):
-            g, word = pieces(values, start[some], end[some], n)
+            g, word = pieces(points, start[some], end[some], n)
             add(k, g, rows[word])
     tables = []
     for k, parts in enumerate(found):

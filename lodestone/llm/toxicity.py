@@ -1,6 +1,6 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
-Method: a word is the bag of its own hash and of its letter n-grams (3 to 5 bytes, those at its beginning
+Method: a word, a run of letters and digits, is the bag of its own hash and of its character n-grams (3 to 5, those at its beginning
 apart), so that an unseen spelling shares most vectors with the known one. The vectors of a window of
 words are averaged and a linear softmax gives clean or toxic. A text's score is that of its most toxic
 window: a few words in a long text would vanish in an average over all of it. Embeddings and softmax are
@@ -19,25 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._fit import fetched, hash_sample, held_out
-from ._words import letters_only, mixed, pieces_of, texts_of
+from ._letters import pieces, words_of
+from ._words import mixed
 
 MAX_TOXIC, MAX_CLEAN = 2500, 5000
 BUCKETS = 1 << 18
 WIDTH, STRIDE = 16, 8
 CLEAN_WEIGHT = 1.0
 DIM = 4
-SPACE = letters_only()
 
 
-def subwords(raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def subwords(points: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of words and the word of each, in order of word."""
     ids, word = [h], [np.arange(len(h))]
     for n in (3, 4, 5):
-        g, w = pieces_of(raw, start, end, n)
+        g, w = pieces(points, start, end, n)
         ids.append(g)
         word.append(w)
         long = np.flatnonzero(end - start > n)
-        g, w = pieces_of(raw, start[long], start[long] + n, n)
+        g, w = pieces(points, start[long], start[long] + n, n)
         ids.append(mixed(g + np.uint64(77)))
         word.append(long[w])
     ids, word = np.concatenate(ids), np.concatenate(word)
@@ -60,11 +60,11 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias = table, bias
 
-    def word_scores(self, raw, h, start, end) -> np.ndarray:
+    def word_scores(self, points, h, start, end) -> np.ndarray:
         if not len(h):
             return np.zeros(0)
         _, some, which = np.unique(h, return_index=True, return_inverse=True)
-        ids, word = subwords(raw, h[some], start[some], end[some])
+        ids, word = subwords(points, h[some], start[some], end[some])
         return (np.bincount(word, self.table[ids], len(some)) / np.bincount(word, minlength=len(some)))[which]
 
     def text_logits(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -79,15 +79,15 @@ class Model:
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
-        for i, j, raw, h, start, end, first in texts_of(texts, SPACE):
-            out[i:j] = self.text_logits(self.word_scores(raw, h, start, end), first)
+        for i, j, points, h, start, end, first in words_of(texts, digits=True, whole=True):
+            out[i:j] = self.text_logits(self.word_scores(points, h, start, end), first)
         return out
 
 
 def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts as numbers by first occurrence, each text's first word (len + 1), and the subword buckets of the distinct words: flat, and how many each has."""
     hashes, firsts, flat, sizes, passed = [np.zeros(0, np.uint64)], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
-    for _, _, _, h, _, _, first in texts_of(texts, SPACE):
+    for _, _, _, h, _, _, first in words_of(texts, digits=True, whole=True):
         hashes.append(h)
         firsts += (first[1:] + firsts[-1]).tolist()
     _, seen_at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
@@ -95,10 +95,10 @@ def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order), dtype=np.int32)
     seen_at = seen_at[order]
-    for _, _, raw, h, start, end, _ in texts_of(texts, SPACE):
+    for _, _, points, h, start, end, _ in words_of(texts, digits=True, whole=True):
         lo, hi = np.searchsorted(seen_at, (passed, passed + len(h)))
         new = seen_at[lo:hi] - passed
-        ids, word = subwords(raw, h[new], start[new], end[new])
+        ids, word = subwords(points, h[new], start[new], end[new])
         flat.append(ids)
         sizes.append(np.bincount(word, minlength=len(new)))
         passed += len(h)

@@ -159,8 +159,8 @@ def test_toxicity(spark):
 def test_unseen_spelling_shares_subwords(spark):
     rows, labels = corpus(400)
     m = toxicity.fit(pa.array([r[1] for r in rows]), np.array([x[2] for x in labels]))
-    z = m.logits(pa.array(["stupidest", "xylophone", "", None]))
-    assert z[0] > 0 > z[2] == z[3] and z[0] > z[1]
+    z = m.logits(pa.array(["stupidest", "xylophone", "", None, "stup1dly"]))
+    assert z[0] > 0 > z[2] == z[3] and z[0] > z[1] and z[4] > z[1]
 
 
 def test_language(spark):
@@ -506,6 +506,14 @@ def test_chat_round_trip(spark):
     assert chat.formatted(chat.turns_of_table(d.limit(0))).collect() == []
 
 
+def test_spans_of_many_turns(spark):
+    n = 3 * chat.SLICE + 5
+    d = spark.createDataFrame([(1, t, "assistant" if t % 3 else "user", f"x{t}<|") for t in range(n)], "conv_id int, turn int, role string, text string")
+    got = chat.formatted(chat.turns_of_table(d)).withColumn("loss", chat.loss_text()).first()
+    assert got["loss"] == "".join(f"x{t}<|" for t in range(n) if t % 3) and len(got["loss_spans"]) == sum(t % 3 > 0 for t in range(n))
+    assert all(got["formatted"][s["start"] :].startswith("x") for s in got["loss_spans"])
+
+
 def test_layouts(spark):
     js = ['{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}],"other":1}', '{"prompt":"a","completion":"b"}', '{"instruction":"a","input":"","output":"b","id":3}', '{"instruction":"a","input":"x","output":"b"}', '{"question":"a","answer":"b"}', "broken", None, '{"odd":1}', '{"prompt":"a","completion":"b","system":"s"}']
     got = {r["id"]: r for r in chat.turns_of_json(spark.createDataFrame(list(enumerate(js)), "i int, j string"), "i", "j").collect()}
@@ -534,12 +542,15 @@ def test_words_and_pieces_of_any_script():
     from lodestone.llm import _letters
 
     text = "Привет—МИР。你好，世界 naïve x1y ok हिन्दी"
-    *_, values, h, start, end, first = next(_letters.words_of(pa.array([text])))
+    *_, points, h, start, end, first = next(_letters.words_of(pa.array([text])))
     assert [text[i:j].lower() for i, j in zip(start, end, strict=True)] == ["привет", "мир", "你好", "世界", "naïve", "x", "y", "ok", "हिन्दी"] and first.tolist() == [0, 9]
     again = next(_letters.words_of(pa.array([text.lower()])))[3]
     assert (again == h).all()
-    g, word = _letters.pieces(values, start[:1], end[:1], 3)
+    g, word = _letters.pieces(points, start[:1], end[:1], 3)
     assert len(g) == 4 and word.tolist() == [0] * 4
+    assert [len(next(_letters.words_of(pa.array(["1d10t idiot"]), digits=True))[3]), len(next(_letters.words_of(pa.array(["1d10t idiot"])))[3])] == [2, 3]
+    joined = list(_letters.words_of(pa.array(["ab cd " * 200_000]), whole=True))
+    assert len(joined) == 1 and joined[0][-1].tolist() == [0, 400_000] and (joined[0][3][::2] == joined[0][3][0]).all()
     long = pa.array(["é" * 3_000_000 + " " + "ab cd " * 200_000])
     n = sum(int(x[-1][-1]) for x in _letters.words_of(long))
     assert 400_000 < n < 400_020
@@ -586,8 +597,8 @@ def test_toxicity_by_hand():
     m = toxicity.fit(pa.array([r[1] for r in rows]), np.array([x[2] for x in labels]), rounds=6)
 
     def word(w):
-        raw, h, start, end = next((x[2], x[3], x[4], x[5]) for x in toxicity.texts_of(pa.array([w]), toxicity.SPACE))
-        ids, _ = toxicity.subwords(raw, h, start, end)
+        points, h, start, end = next(toxicity.words_of(pa.array([w]), True, True))[2:6]
+        ids, _ = toxicity.subwords(points, h, start, end)
         return float(np.mean(m.table[ids].astype(float)))
 
     def logit(text):
