@@ -19,17 +19,22 @@ POINTS = 0x110000
 LONGEST = 4 * PIECE
 
 
-@lru_cache(2)
-def tables(digits: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Of each code point: whether it is part of words, and the hash of its lower case."""
-    word, lower, kinds = np.zeros(POINTS, bool), np.arange(POINTS, dtype=np.uint64), "LMN" if digits else "LM"
+@lru_cache(1)
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    letter, number, lower = np.zeros(POINTS, bool), np.zeros(POINTS, bool), np.arange(POINTS, dtype=np.uint64)
     for i in range(POINTS):
         c = chr(i)
-        if unicodedata.category(c)[0] in kinds:
-            word[i] = True
-            if len(x := c.lower()) == 1:
-                lower[i] = ord(x)
-    return word, mixed(lower + np.uint64(0x51ED270B))
+        kind = unicodedata.category(c)[0]
+        letter[i], number[i] = kind in "LM", kind == "N"
+        if kind in "LN" and len(x := c.lower()) == 1:
+            lower[i] = ord(x)
+    return letter, letter | number, mixed(lower + np.uint64(0x51ED270B))
+
+
+def tables(digits: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: whether it is part of words, and the hash of its lower case."""
+    letter, both, hashes = _kinds()
+    return both if digits else letter, hashes
 
 
 def _points(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +90,7 @@ def pieces(points: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> tu
     count = np.maximum(end - start - n + 1, 0)
     word = np.repeat(np.arange(len(start)), count)
     at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + start[word]
-    up, hashes = powers(1 << PIECE.bit_length())[0], tables()[1]  # the hashes of lower case differ for letters only
+    up, hashes = powers(1 << PIECE.bit_length())[0], tables()[1]
     x = np.full(len(at), n, np.uint64)
     for k in range(n):
         x += hashes[points[at + k]] * up[k]

@@ -85,24 +85,30 @@ class Model:
 
 
 def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts as numbers by first occurrence, each text's first word (len + 1), and the subword buckets of the distinct words: flat, and how many each has."""
-    hashes, firsts, flat, sizes, passed = [np.zeros(0, np.uint64)], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
-    for _, _, _, h, _, _, first in words_of(texts, digits=True, whole=True):
-        hashes.append(h)
-        firsts += (first[1:] + firsts[-1]).tolist()
-    _, seen_at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    order = np.argsort(seen_at)
-    number = np.empty(len(order), np.int32)
-    number[order] = np.arange(len(order), dtype=np.int32)
-    seen_at = seen_at[order]
-    for _, _, points, h, start, end, _ in words_of(texts, digits=True, whole=True):
-        lo, hi = np.searchsorted(seen_at, (passed, passed + len(h)))
-        new = seen_at[lo:hi] - passed
-        ids, word = subwords(points, h[new], start[new], end[new])
+    """Words of all texts as numbers by first occurrence, each text's first word (len + 1), and the subword buckets of the distinct words: flat, and how many each has.
+
+    Beside four bytes a word it holds what is distinct: the driver fits the model."""
+    known = np.zeros(0, np.uint64)
+    part: list[np.ndarray] = []
+    for _, _, _, h, _, _, _ in words_of(texts, digits=True, whole=True):
+        part.append(np.unique(h))
+        if len(part) == 32:
+            known, part = np.unique(np.concatenate([known, *part])), []
+    known = np.unique(np.concatenate([known, *part]))
+    number, count = np.full(len(known), -1, np.int32), 0
+    words, firsts, flat, sizes = [np.zeros(0, np.int32)], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, _, points, h, start, end, first in words_of(texts, digits=True, whole=True):
+        at = np.searchsorted(known, h)
+        fresh, where = np.unique(at, return_index=True)
+        where = np.sort(where[number[fresh] < 0])
+        number[at[where]] = np.arange(count, count + len(where), dtype=np.int32)
+        count += len(where)
+        ids, word = subwords(points, h[where], start[where], end[where])
         flat.append(ids)
-        sizes.append(np.bincount(word, minlength=len(new)))
-        passed += len(h)
-    return number[which], np.array(firsts), np.concatenate(flat), np.concatenate(sizes)
+        sizes.append(np.bincount(word, minlength=len(where)))
+        words.append(number[at])
+        firsts += (first[1:] + firsts[-1]).tolist()
+    return np.concatenate(words), np.array(firsts), np.concatenate(flat), np.concatenate(sizes)
 
 
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5, seed: int = 7) -> Model:
@@ -151,8 +157,11 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5
         bias = bias - rate * d_bias / np.sqrt(g_bias) * 0.3
 
     def score_words():
-        table = embed @ (soft[:, 1] - soft[:, 0])
-        return np.add.reduceat(table[flat], at[:-1]) / size
+        table, out = embed @ (soft[:, 1] - soft[:, 0]), np.empty(len(size), np.float32)
+        for i in range(0, len(size), 16_384):
+            j = min(len(size), i + 16_384)
+            out[i:j] = np.add.reduceat(table[flat[at[i] : at[j]]], at[i:j] - at[i]) / size[i:j]
+        return out
 
     for r in range(rounds):
         if r < 4:
@@ -183,10 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(toxic.unionAll(clean))  # at most 1.25 * (max_toxic + max_clean) rows
     rows = fetched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("id", "text", "y").dropDuplicates(["id"]))
     rows = rows.sort_by("id")
-    y = (rows["y"].to_numpy() >= 1).astype(int)
-    if not 0 < y.sum() < len(y):
-        return None
-    return fit(rows["text"].combine_chunks(), y)
+    y, texts = (rows["y"].to_numpy() >= 1).astype(int), rows["text"].combine_chunks()
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver holds the texts once
+    return fit(texts, y) if 0 < y.sum() < len(y) else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
