@@ -137,7 +137,8 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5
         part, span, n = spans(lo, hi)
         kind, back = np.unique(part, return_inverse=True)
         bag, word, m = _bags(flat, at, kind)
-        vec = np.add.reduceat(embed[bag], np.concatenate(([0], np.cumsum(m)[:-1])), axis=0) / m[:, None]
+        head_ = np.concatenate(([0], np.cumsum(m)[:-1]))
+        vec = np.stack([np.add.reduceat(embed[bag, k], head_) for k in range(DIM)], 1) / m[:, None]
         mean = np.add.reduceat(vec[back], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None]
         z = mean @ soft + bias
         z -= z.max(1, keepdims=True)
@@ -147,8 +148,8 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5
         p *= w[:, None] / len(y)
         d_soft, d_bias, d_mean = mean.T @ p, p.sum(0), (p @ soft.T) / n[:, None]
         d_word = np.stack([np.bincount(back, d_mean[span, k], len(kind)) for k in range(DIM)], 1) / m[:, None]
-        hit, where = np.unique(bag, return_inverse=True)
-        d_hit = np.stack([np.bincount(where, d_word[word, k], len(hit)) for k in range(DIM)], 1)
+        hit = np.flatnonzero(np.bincount(bag, minlength=BUCKETS))
+        d_hit = np.stack([np.bincount(bag, d_word[word, k], BUCKETS)[hit] for k in range(DIM)], 1)
         g_embed[hit] += (d_hit**2).mean(1)
         embed[hit] -= (rate * d_hit / np.sqrt(g_embed[hit])[:, None]).astype(np.float32)
         g_soft[:] += d_soft**2
@@ -163,13 +164,22 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5
             out[i:j] = np.add.reduceat(table[flat[at[i] : at[j]]], at[i:j] - at[i]) / size[i:j]
         return out
 
+    def worst_windows():
+        """The window of each text with the largest mean, some texts at a time."""
+        scores, out = score_words(), []
+        for k in range(0, len(head), 512):
+            i, j = head[k], tail[min(k + 512, len(head)) - 1]
+            lo, hi = start[i:j] - start[i], end[i:j] - start[i]
+            total = np.concatenate(([0.0], np.cumsum(scores[words[start[i] : start[i] + hi.max()]], dtype=np.float64)))
+            mean = (total[hi] - total[lo]) / (hi - lo)
+            out += [x + int(np.argmax(mean[x - i : y - i])) for x, y in zip(head[k : k + 512].tolist(), tail[k : k + 512].tolist(), strict=True)]
+        return np.array(out, np.int64)
+
     for r in range(rounds):
         if r < 4:
             lo, hi, y, w = first[full], first[full + 1], labels[full], weight[full]
         else:
-            total = np.concatenate(([0.0], np.cumsum(score_words()[words], dtype=np.float64)))
-            mean = (total[end] - total[start]) / (end - start)
-            worst = np.array([i + int(np.argmax(mean[i:j])) for i, j in zip(head.tolist(), tail.tolist(), strict=True)])
+            worst = worst_windows()
             other = rng.integers(head, tail)[labels[full] == 0]  # a clean text is clean everywhere
             pick = np.concatenate([worst, other])
             lo, hi, y, w = start[pick], end[pick], labels[text[pick]], weight[text[pick]]
@@ -180,8 +190,11 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 24, rate: float = 0.5
 
 def _bags(flat, at, kind):
     m = at[kind + 1] - at[kind]
-    word = np.repeat(np.arange(len(kind)), m)
-    return flat[np.arange(m.sum()) - np.repeat(np.concatenate(([0], np.cumsum(m)[:-1])), m) + at[kind][word]], word, m
+    word = np.repeat(np.arange(len(kind), dtype=np.int32), m)
+    skip = (at[kind] - np.concatenate(([0], np.cumsum(m)[:-1]))).astype(np.int32)  # the driver's bags are well below 2^31
+    place = np.arange(m.sum(), dtype=np.int32)
+    place += skip[word]
+    return flat[place], word, m
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
