@@ -89,11 +89,11 @@ def settle_stream(done: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def consume(entries: DataFrame, handler: Callable[[DataFrame, int], None], quarantine: str, checkpoint: str) -> StreamingQuery:
-    """Runs handler on the good jobs of each batch, whose effects must be idempotent, and appends bad entries to quarantine."""
+    """Runs handler on the good jobs of each batch, whose effects must be idempotent, and writes bad entries to quarantine, by epoch."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         rows = decoded(df)
-        rows.where("bad").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(quarantine)
+        rows.where("bad").write.mode("overwrite").parquet(f"{quarantine.rstrip('/')}/epoch={epoch}")  # a batch that runs again replaces its own
         handler(rows.where("not bad").drop("bad"), epoch)
 
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
