@@ -33,6 +33,8 @@ ROUNDS, STRIDE, BATCH, RATE = 2, 2, 2048, 0.1
 AVERAGED = 16
 #: Logits up to this size need no shift before the exponential in 32 bits.
 SAFE, ONES = 80.0, np.ones(PER_CLASS, np.float32)
+#: The first 16 bits of a hash.
+HEAD = np.uint64(48)
 _SHAPES = {"embed": (2 * WINDOW, VOCAB + 1, DIM), "bias": (DIM,), "top": (CLASSES, DIM), "top_bias": (CLASSES,), "low": (CLASSES, PER_CLASS, DIM), "low_bias": (CLASSES, PER_CLASS)}
 
 
@@ -192,6 +194,8 @@ class Network:
     def __init__(self, words: np.ndarray, flat: np.ndarray | None = None, seed: int = 11):
         order = np.argsort(words)
         self.words, self.sorted, self.order = words, words[order], order
+        self.first = np.searchsorted(self.sorted >> HEAD, np.arange(2**16 + 1, dtype=np.uint64))
+        self.most = int(np.diff(self.first).max())  # words with the same head; some 3, as hashes are mixed
         if flat is None:
             rng = np.random.default_rng(seed)
             flat = rng.normal(0, 0.1, sum(int(np.prod(s)) for s in _SHAPES.values())).astype(np.float32)
@@ -200,13 +204,15 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
+        self.embed_rows, self.sides = self.embed.reshape(-1, DIM), np.arange(2 * WINDOW)[:, None] * (VOCAB + 1)
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         out = (VOCAB - RARE + h % np.uint64(RARE)).astype(np.int64)
         if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            hit = self.sorted[at] == h
-            out[hit] = self.order[at[hit]]
+            at = self.first.take((h >> HEAD).view(np.int64))
+            for k in range(self.most):
+                hit = np.flatnonzero(self.sorted.take(at + k, mode="clip") == h)
+                out[hit] = self.order.take(at[hit] + k, mode="clip")
         return out
 
     @staticmethod
@@ -222,10 +228,11 @@ class Network:
         return np.stack(out) if n else np.zeros((2 * WINDOW, 0), np.int64)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.embed[0][around[0]]
+        total = self.embed[0].take(around[0], 0)
         for k in range(1, len(around)):
-            total = total + self.embed[k][around[k]]
-        return np.tanh(total + self.bias)
+            total += self.embed[k].take(around[k], 0)
+        total += self.bias
+        return np.tanh(total, out=total)
 
     def by_class(self, ids):
         """The order of ids by class, and (class, start, end) in it of the classes that occur."""
@@ -253,7 +260,7 @@ class Network:
 
         bounds = self.bounds()
         out = logs(h @ self.top.T + self.top_bias, which, bounds[0])
-        out[order] += logs(self.low_logits(h[order], groups), ids[order] % PER_CLASS, bounds[1])
+        out[order] += logs(self.low_logits(h.take(order, 0), groups), ids[order] % PER_CLASS, bounds[1])
         return out
 
     def bounds(self) -> tuple[float, float]:
@@ -273,11 +280,20 @@ class Network:
             e[np.arange(len(own)), own] -= np.float32(1 / n)
             return e
 
+        def moved(seen, grad):  # seen becomes the sum of squares
+            seen += grad * grad
+            root = np.sqrt(seen + 1e-8)
+            grad *= np.divide(rate, root, out=root)
+            return grad
+
         def move(name, at, grad):
             m = getattr(memory, name)
-            seen = m[at] + grad * grad
-            m[at] = seen
-            grad *= rate / np.sqrt(seen + 1e-8)
+            if at is ...:
+                moved(m, grad)
+            else:
+                seen = m[at]
+                moved(seen, grad)
+                m[at] = seen
             getattr(self, name)[at] -= grad
 
         bounds = self.bounds()
@@ -285,23 +301,26 @@ class Network:
         back = d @ self.top
         move("top", ..., d.T @ h)
         move("top_bias", ..., d.sum(0))
-        own, low = h[order], np.zeros_like(self.low)
+        own, low = h.take(order, 0), np.zeros_like(self.low)
         d = softmax(self.low_logits(own, groups), ids[order] % PER_CLASS, bounds[1])
         through = np.empty_like(own)
         for c, i, j in groups:
             np.matmul(d[i:j], self.low[c], out=through[i:j])
             np.matmul(d[i:j].T, own[i:j], out=low[c])
         back[order] += through
-        held = [c for c, _, _ in groups] if len(groups) < CLASSES else slice(None)
+        held = [c for c, _, _ in groups] if len(groups) < CLASSES else ...
         move("low", held, low[held])
         move("low_bias", held, np.add.reduceat(d, [i for _, i, _ in groups]))
         back *= 1 - h * h
         move("bias", ..., back.sum(0))
-        for k in range(2 * WINDOW):
-            order = np.argsort(around[k].astype(np.uint16), kind="stable")  # by radix
-            own = around[k][order]
-            start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            move("embed", (k, own[start]), np.add.reduceat(back[order], start))
+        rows = (around + self.sides).astype(np.uint16).ravel()  # of embed, all sides in one
+        order = np.argsort(rows, kind="stable")  # by radix
+        rows = rows[order]
+        start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        grad, rows = np.add.reduceat(back.take(order % n, 0), start), rows[start]
+        seen = memory.embed_rows.take(rows, 0)
+        self.embed_rows[rows] -= moved(seen, grad)
+        memory.embed_rows[rows] = seen
 
 
 def due(first: np.ndarray, turn: int, stride: int) -> np.ndarray:
