@@ -633,6 +633,25 @@ def html_markdown(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", markdown(F.col("html")).alias("markdown"))
 
 
+@query("""WITH k AS (SELECT c_custkey AS id FROM customer), u AS (SELECT user_id AS id, max(ts) AS last_used_at FROM events GROUP BY user_id)
+    SELECT k.id, last_used_at, CASE WHEN k.id % 3 = 0 THEN TIMESTAMP '2024-01-01' WHEN EXISTS (SELECT 1 FROM events e WHERE e.user_id = k.id AND e.event_type = 'error') THEN TIMESTAMP '2024-02-01' END AS revoked_at FROM k LEFT JOIN u USING (id)""")
+def keys_revoked_and_touched(spark, sf_dir):
+    from .operators import tables
+
+    e, at = _table(spark, sf_dir, "events"), lambda day: F.lit(day).cast("timestamp_ntz")
+    keys = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), at(None).alias("last_used_at"), F.when(F.col("c_custkey") % 3 == 0, at("2024-01-01")).alias("revoked_at"))
+    out = tables.revoked(keys, e.where("event_type = 'error'").select(F.col("user_id").alias("id")), at("2024-02-01"))
+    return tables.touched(out, e.select(F.col("user_id").alias("api_key_id"), F.col("ts").alias("created_at")))
+
+
+@query("SELECT c_custkey AS id, CAST(c_custkey % 5 + (SELECT count(*) FROM events WHERE user_id = c_custkey AND event_type = 'error') AS INTEGER) AS shards_failed FROM customer")
+def failures_added(spark, sf_dir):
+    from .operators import tables
+
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5).cast("int").alias("shards_failed"))
+    return tables.added(docs, _table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("id"), F.lit(1).alias("shards_failed")), ["id"])
+
+
 @query("SELECT user_id AS doc_id, event_id AS idx FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-10'")
 def expired_leases(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("idx"), F.when(F.col("event_type") == "view", "running").otherwise("done").alias("state"), F.col("ts").alias("lease_until"))

@@ -37,6 +37,14 @@ def update_from(table: DataFrame, changes: DataFrame, keys: Iterable[str]) -> Da
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in new}).select(*table.columns)
 
 
+def added(table: DataFrame, amounts: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """table with the columns of amounts, summed by key, added to its own; rows without an amount and null amounts change nothing."""
+    keys = list(keys)
+    more = [c for c in amounts.columns if c not in keys]
+    joined = table.join(amounts.groupBy(*keys).agg(*[F.sum(c).alias(f"__{c}") for c in more]), keys, "left")
+    return joined.withColumns({c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).cast(table.schema[c].dataType) for c in more}).select(*table.columns)
+
+
 def delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
@@ -103,6 +111,18 @@ def valid_keys(keys: DataFrame, now: Column, scope: str | None = None, collectio
     return rows
 
 
+def revoked(keys: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """keys with those of ids (id) revoked; one revoked before keeps its time."""
+    rows = keys.join(ids.select("id", F.lit(True).alias("__gone")).distinct(), "id", "left")
+    return rows.withColumn("revoked_at", F.coalesce("revoked_at", F.when(F.col("__gone"), now))).select(*keys.columns)
+
+
+def touched(keys: DataFrame, used: DataFrame) -> DataFrame:
+    """keys last used at their latest row of used (api_key_id, created_at), if that is later."""
+    last = used.groupBy(F.col("api_key_id").alias("id")).agg(F.max("created_at").alias("__last"))
+    return keys.join(last, "id", "left").withColumn("last_used_at", F.greatest("last_used_at", "__last")).select(*keys.columns)
+
+
 def unreferenced(models: DataFrame, collections: DataFrame, column: str) -> DataFrame:
     """Models that no collection is bound to: those that may be deleted."""
     return models.join(collections.select(F.col(column).alias("id")).where("id is not null"), "id", "left_anti")

@@ -21,6 +21,9 @@ class Engine:
     shards: DataFrame | None = None
     embed: Callable[[str, str], list[float]] | None = None
     scope: list[str] | None = None
+    embedding_models: DataFrame | None = None
+    rerank_models: DataFrame | None = None
+    keys: DataFrame | None = None
 
     def _scoped(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.col("collection_id").isin(self.scope)) if self.scope else rows
@@ -45,6 +48,13 @@ class Engine:
         n = self.documents.groupBy(F.col("collection_id").alias("id")).agg(F.count(F.lit(1)).alias("documents"))
         return rows.join(n, "id", "left").na.fill(0, ["documents"]).orderBy("created_at", "id")
 
+    def list_models(self, rerank: bool = False) -> DataFrame:
+        return (self.rerank_models if rerank else self.embedding_models).orderBy("created_at", "id")
+
+    def list_keys(self) -> DataFrame:
+        """The keys without their hashes, last used first."""
+        return self.keys.drop("key_hash").orderBy(F.desc_nulls_last("last_used_at"), "id")
+
     def list_chunks(self, doc_id: str, page: int | None = None, size: int | None = None) -> DataFrame:
         limit, offset = page_of_list(page, size)
         rows = self._scoped(self.chunks).where(F.col("doc_id") == doc_id).orderBy("seq", "id").offset(offset).limit(limit)

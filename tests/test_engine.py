@@ -41,6 +41,14 @@ def test_verbs(engine):
     assert ids(scoped.search("alpha"), "chunk_id") == ["z"] and ids(scoped.get_document("d1")) == [] and scoped.search("alpha", ["c1"]).count() == 0
 
 
+def test_registries(spark, engine):
+    models = spark.createDataFrame([("m", 2), ("n", 1)], "id string, created_at int")
+    keys = spark.createDataFrame([("a", "h", None), ("b", "h", 1), ("c", "h", 5)], "id string, key_hash string, last_used_at int")
+    full = Engine(engine.documents, engine.chunks, engine.collections, embedding_models=models, rerank_models=models.where("id = 'n'"), keys=keys)
+    assert [r["id"] for r in full.list_models().collect()] == ["n", "m"] and [r["id"] for r in full.list_models(rerank=True).collect()] == ["n"]
+    assert [tuple(r) for r in full.list_keys().collect()] == [("c", 5), ("b", 1), ("a", None)]
+
+
 def test_ingest_plans(spark):
     from lodestone.operators.embedding import HashEmbedder
 

@@ -273,6 +273,13 @@ def test_tables(spark):
     assert sorted(rows(tables.upsert(t, new.where("x <> 'd'"), ["id"]))) == [(1, "a"), (2, "B"), (3, "c")]
     assert sorted(rows(tables.update_from(t, new.where("id = 2"), ["id"]))) == [(1, "a"), (2, "B")]
     assert rows(tables.duplicates(new, ["id"])) == [(3, 2)]
+    n = spark.createDataFrame([(1, 5), (2, 7)], "id int, n int")
+    assert sorted(rows(tables.added(n, spark.createDataFrame([(1, 2), (1, 1), (1, None), (3, 9)], "id int, n int"), ["id"]))) == [(1, 8), (2, 7)]
+    keys = spark.createDataFrame([("a", None, 3), ("b", 1, None), ("c", None, None)], "id string, revoked_at int, last_used_at int")
+    gone = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
+    assert sorted(rows(tables.revoked(keys, gone, F.lit(9)))) == [("a", 9, 3), ("b", 1, None), ("c", None, None)]
+    used = spark.createDataFrame([("a", 2), ("b", 4), ("b", 6)], "api_key_id string, created_at int")
+    assert sorted(rows(tables.touched(keys, used))) == [("a", None, 3), ("b", 1, 6), ("c", None, None)]
     shard = spark.createDataFrame([("d", 0, "pending", 0), ("d", 1, "done", 1)], "doc_id string, idx int, state string, attempts int").withColumn("worker_id", F.lit(None).cast("string")).withColumn("lease_until", F.lit(None).cast("timestamp"))
     got = {r["idx"]: r for r in tables.claimed(shard, shard.select("doc_id", "idx"), "w", F.lit("2024-01-01").cast("timestamp"), 600).collect()}
     assert got[0]["state"] == "running" and got[0]["attempts"] == 1 and got[1]["state"] == "done"
