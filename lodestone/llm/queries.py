@@ -12,6 +12,9 @@ from .language import language
 from .lm import scored
 from .mixing import mix
 from .ngram_join import ngram_join
+from .pii import KINDS, pii
+from .ranking import ranked
+from .repetition import repetitions
 from .toxicity import toxicity
 from .url_filter import url_filter
 from .warc import archived
@@ -73,15 +76,78 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "sale_lines")
+    one = F.coalesce(F.col("sale_id").isNotNull() & (F.crc32(F.col("sale_id").cast("string")) % 5 == 0), F.lit(False))
+    own = lambda c: F.when(one, F.lit(-1)).otherwise(c).cast("long")
+    rows = lines.select(
+        own(F.col("vendor_id")).alias("vendor_id"), own(F.coalesce(F.col("item_id") % 5, F.lit(-1))).alias("part"),
+        own(F.coalesce(100 * F.year("shipped_at") + F.month("shipped_at"), F.lit(-1))).alias("month"), (-F.floor(F.col("quantity") / 10)).alias("less"), F.floor(100 * F.col("discount") + 0.5).alias("percent"),
+        "sale_id", F.col("line_no").cast("long").alias("line_no"), F.col("quantity").cast("long").alias("quantity"), F.floor(100 * F.col("amount") + 0.5).alias("amount_cents"),
+    )
+    top = ranked(rows, ["vendor_id", "part", "month"], ["less", "percent"], ["sale_id", "line_no", "quantity", "amount_cents"], 2)
+    return top.select("vendor_id", "part", "month", "pos", F.col("pos").alias("place"), "sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text); the words of each tenth, by hash of its id, repeat a block from one of its words on."""
+    h, g, a = "crc32(cast(doc_id as string))", "(crc32(cast(doc_id as string)) div 10)", "(crc32(cast(doc_id as string)) div 10) % size(w)"
+    p = f"(1 + (size(w) - {a}) div (3 + {g} % 8))"
+    again = f"array_join(transform(w, (x, i) -> if(i < {a}, x, element_at(w, cast({a} + (i - {a}) % {p} + 1 as int)))), ' ')"
+    rows = docs.withColumn("w", F.expr(rf"if({h} % 10 = 0, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), null)"))
+    return rows.select("doc_id", F.expr(f"if(size(w) > 0, {again}, text)").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repetitions(periodic(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    better = "coalesce(nullif(int(sign(y.length * x.period - x.length * y.period)), 0), nullif(int(sign(x.start - y.start)), 0), int(sign(x.period - y.period)))"
+    top = rows.withColumn("top", F.expr(f"get(array_sort(runs, (x, y) -> {better}), 0)"))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii(_table(spark, sf_dir, "documents"))
+    joined = "array_join(transform({0}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{kind.name}')) as bigint)").alias(f"n_{kind.name}") for kind in KINDS if kind.base]
+    return rows.select("doc_id", *counts, F.sha2(F.expr(joined.format("filter(spans, x -> x.base)")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_mixing, op6_warc, op7_exact_dedup, op8_decontamination, op9_url_filter, op10_chat_formatting, pipeline)
+    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_mixing, op6_warc, op7_exact_dedup, op8_decontamination, op9_url_filter, op10_chat_formatting, op11_grouped_ranking, op12_periodic_runs, op13_pii, pipeline)
 }
 
+#: CRC-32 of decimal numbers, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+#: Kinds of personal data: name, pattern, what holds of a match v with digits d, whether words nearby are asked for (null: no), whether it is always kept.
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE", None, True),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0", None, True),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(d), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN c > '4' THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0", None, True),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15", None, True),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+     "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(v, 1, 4), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) = 1", None, False),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "substr(v, 1, 3) NOT IN ('000', '666') AND substr(v, 1, 1) <> '9' AND substr(v, 5, 2) <> '00' AND substr(v, 8) <> '0000'", "ssn|social security", False),
+    ("local_phone", r"\b[0-9]{3}[\x20.-][0-9]{3}[.-][0-9]{4}\b", "TRUE", "phone|call|tel|mobile|fax", False),
+)
+
+
+def _spans_sql() -> str:
+    each = []
+    for i, (name, pattern, valid, near, base) in enumerate(_KINDS):
+        words = rf"AND regexp_matches(lower(right(p[i + 1], 40) || ' ' || left(p[i + 2], 20)), '\b(?:{near})')" if near else ""
+        each.append(f"""SELECT doc_id, {i} AS k, '{name}' AS kind, {base} AS base, CAST(list_sum(list_transform(p[1 : i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i], lambda x: length(x))), 0) AS BIGINT) AS a, a + length(v) AS e
+            FROM (SELECT *, m[i + 1] AS v, regexp_replace(m[i + 1], '[^0-9]', '', 'g') AS d FROM (SELECT *, unnest(range(len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM docs))) WHERE {valid} {words}""")
+    return " UNION ALL ".join(each)
+
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLES: dict[str, str] = {
@@ -103,6 +169,19 @@ ORACLES: dict[str, str] = {
               coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
               sum(12 + length(replace(role, '<|', '<||')) + 1 + length(replace(text, '<|', '<||')) + 11) AS chars FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM a""",
+    "op11_grouped_ranking": f"""
+        WITH crc AS (SELECT sale_id, {_CRC.format('sale_id')} % 5 = 0 AS one FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL)),
+        l AS (SELECT CASE WHEN one THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN one THEN -1 ELSE coalesce(item_id % 5, -1) END AS part, CASE WHEN one THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,
+              CAST(floor(quantity / 10) AS BIGINT) AS tens, CAST(floor(100 * discount + 0.5) AS BIGINT) AS percent, l.sale_id, CAST(line_no AS BIGINT) AS line_no, CAST(quantity AS BIGINT) AS quantity, CAST(floor(100 * amount + 0.5) AS BIGINT) AS amount_cents
+              FROM sale_lines l LEFT JOIN crc ON crc.sale_id = l.sale_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, part, month ORDER BY tens DESC NULLS LAST, percent NULLS LAST, sale_id NULLS LAST, line_no NULLS LAST, quantity NULLS LAST, amount_cents NULLS LAST) AS pos, count(*) OVER (PARTITION BY vendor_id, part, month, tens, percent) AS tied FROM l)
+        SELECT CAST(vendor_id AS BIGINT) AS vendor_id, CAST(part AS BIGINT) AS part, CAST(month AS BIGINT) AS month, pos, pos AS place, sale_id, line_no, quantity, percent, amount_cents, tied FROM r WHERE pos <= 2""",
+    "op13_pii": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({_spans_sql()}),
+        s AS (SELECT * FROM found f WHERE base OR kind = 'iban' OR NOT EXISTS (SELECT 1 FROM found b WHERE b.base AND b.doc_id = f.doc_id AND b.a < f.e AND f.a < b.e))
+        SELECT docs.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+               sha256(coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k) FILTER (WHERE base), '')) AS base_sha256, coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k), '') AS spans
+        FROM docs LEFT JOIN s USING (doc_id) GROUP BY docs.doc_id""",
     "op8_decontamination": r"""
         WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
