@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .functions import text as T
 from .functions.metadata import metadata_filter
 from .operators import evaluation, events as event_rows, metrics, retrieval, shards
+from .operators.index import Index, clause
 from .plans import views
 from .plans.engine import Engine
-from .session import shared_path
+from .session import shared_folder, shared_path
 from .sources import formats, page_rows
+from .sources.versions import fingerprint
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,17 +49,16 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return list(_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents in the shared folder, under the digest of the table's files; written where that is absent, as `build_index` does."""
+    table = f"{sf_dir}/documents.parquet"
+    path = f"{shared_folder(spark)}/index-{fingerprint(spark, table)}"
+    found = Index(spark, path)
+    return found if found.version else Index.create(_chunk_rows(spark, sf_dir), path, "doc_id", ("text",), ("collection_id",))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> str:
-    """The inverted index of the documents, written once for a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        path = shared_path(spark, "postings")
-        retrieval.write_index(_table(spark, sf_dir, "documents"), path, "doc_id")
-        _INDEXES[key] = path
-    return _INDEXES[key]
+def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("collection_id"), "text")
 
 
 # ---------------------------------------------------------------- retrieval
@@ -94,7 +95,7 @@ def dense_topk_filtered(spark, sf_dir):
 
 @query(f"WITH {_bm25()} SELECT id AS doc_id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM bm ORDER BY round(score, 9) DESC, id LIMIT 25")
 def bm25_topk(spark, sf_dir):
-    top = retrieval.bm25_indexed(spark, _index(spark, sf_dir), ASKED, 25)
+    top = _index(spark, sf_dir).top(ASKED, 25)
     top = top.select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
@@ -107,6 +108,80 @@ def bm25_postings_stats(spark, sf_dir):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
+    SELECT (SELECT count(*) FROM documents) AS rows, count(*) AS words, count(DISTINCT term) AS terms, count(DISTINCT (term, doc_id)) AS entries FROM t""")
+def build_index(spark, sf_dir):
+    """A new index, and what it holds."""
+    made = Index.create(_chunk_rows(spark, sf_dir), shared_path(spark, "index"), "doc_id", ("text",), ("collection_id",))
+    return made.stats()
+
+
+def _best(top: DataFrame) -> DataFrame:
+    return top.select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+_BEST = "SELECT id AS doc_id, round(score, 9) AS score FROM bm ORDER BY score DESC, id LIMIT 25"
+
+
+@query(f"WITH {_bm25('doc_id % 5 <> 0')} {_BEST}")
+def search_after_changes(spark, sf_dir):
+    """An index of two loads, without the rows deleted since."""
+    rows = _chunk_rows(spark, sf_dir)
+    made = Index.create(rows.where("doc_id % 2 = 0"), shared_path(spark, "index"), "doc_id", ("text",), ("collection_id",))
+    made = made.insert(rows.where("doc_id % 2 = 1")).delete(rows.where("doc_id % 5 = 0").select("doc_id"))
+    return _best(made.top(ASKED, 25))
+
+
+@query(f"WITH {_bm25('doc_id % 5 <> 0')} {_BEST}")
+def search_after_merge(spark, sf_dir):
+    """The same after its segments have been merged into one without the deleted rows."""
+    rows = _chunk_rows(spark, sf_dir)
+    made = Index.create(rows.where("doc_id % 2 = 0"), shared_path(spark, "index"), "doc_id", ("text",), ("collection_id",))
+    made = made.insert(rows.where("doc_id % 2 = 1")).delete(rows.where("doc_id % 5 = 0").select("doc_id"))
+    return _best(made.merge().top(ASKED, 25))
+
+
+#: Lists of tokens, and the score of tf occurrences in a text of length dl where df of n texts have any.
+_TOKENS = r"""t AS (SELECT doc_id AS id, source, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t, regexp_extract_all(lower(source), '[\p{L}\p{N}]+') AS s FROM documents),
+    stat AS (SELECT count(*) AS n, avg(len(t)) AS mean, avg(len(t) + coalesce(len(s), 0)) AS mean2 FROM t)"""
+_IDF = "ln(1 + (n - {0} + 0.5) / ({0} + 0.5))"
+_WEIGHT = "{0} * 2.2 / ({0} + 1.2 * (0.25 + 0.75 * {1} / {2}))"
+_COUNT = "len(list_filter(t, lambda x: x = '{0}'))"
+
+
+def _phrase(a: str, b: str, slop: int) -> str:
+    """SQL for the places of a that a b follows with at most slop words between."""
+    return f"len(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{a}' AND list_contains(t[i + 1 : i + 1 + {slop}], '{b}')))"
+
+
+@query(f"""WITH {_TOKENS}, f AS (SELECT id, len(t) AS dl, {_COUNT.format('the')} AS a, {_COUNT.format('of')} AS b, {_phrase('the', 'of', 3)} AS tf FROM t),
+    d AS (SELECT count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM f)
+    SELECT id AS doc_id, round(({_IDF.format('da')} + {_IDF.format('db')}) * {_WEIGHT.format('tf', 'dl', 'mean')}, 9) AS score FROM f, d, stat WHERE tf > 0 ORDER BY score DESC, id LIMIT 25""")
+def phrase_search(spark, sf_dir):
+    """Two words in this order, at most three others between."""
+    return _best(_index(spark, sf_dir).top([clause("the of", slop=3)], 25))
+
+
+@query(f"""WITH {_TOKENS}, f AS (SELECT id, len(t) AS dl, {_COUNT.format('the')} AS a, {_COUNT.format('of')} AS b, {_COUNT.format('und')} AS c, {_COUNT.format('reand')} AS e FROM t),
+    d AS (SELECT count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE e > 0) AS de FROM f)
+    SELECT id AS doc_id, round({_IDF.format('da')} * {_WEIGHT.format('a', 'dl', 'mean')} + CASE WHEN b > 0 THEN 2.5 * {_IDF.format('db')} * {_WEIGHT.format('b', 'dl', 'mean')} ELSE 0 END + CASE WHEN e > 0 THEN {_IDF.format('de')} * {_WEIGHT.format('e', 'dl', 'mean')} ELSE 0 END, 9) AS score
+    FROM f, d, stat WHERE a > 0 AND c = 0 ORDER BY score DESC, id LIMIT 25""")
+def boolean_search(spark, sf_dir):
+    """One word must occur, one must not, two add to the score, one of them more."""
+    return _best(_index(spark, sf_dir).top([clause("the", "all"), clause("und", "none"), clause("of", boost=2.5), clause("reand")], 25))
+
+
+@query(f"""WITH {_TOKENS}, f AS (SELECT id, len(t) + len(s) AS dl, len(list_filter(s, lambda x: x = 'src1')) AS a, {_COUNT.format('thion')} AS b, {_phrase('the', 'of', 0)} AS p, {_COUNT.format('the')} AS c, {_COUNT.format('of')} AS e FROM t),
+    d AS (SELECT count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE c > 0) AS dc, count(*) FILTER (WHERE e > 0) AS de FROM f)
+    SELECT id AS doc_id, round({_IDF.format('da')} * {_WEIGHT.format('a', 'dl', 'mean2')} + CASE WHEN b > 0 THEN {_IDF.format('db')} * {_WEIGHT.format('b', 'dl', 'mean2')} ELSE 0 END + CASE WHEN p > 0 THEN ({_IDF.format('dc')} + {_IDF.format('de')}) * {_WEIGHT.format('p', 'dl', 'mean2')} ELSE 0 END, 9) AS score
+    FROM f, d, stat WHERE a > 0 ORDER BY score DESC, id LIMIT 25""")
+def field_search(spark, sf_dir):
+    """A word that must occur in one field, a word and a phrase in the other."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    made = Index.create(rows, shared_path(spark, "index"), "doc_id", ("source", "text"))
+    return _best(made.top([clause("src1", "all", field="source"), clause("thion", field="text"), clause("the of", slop=0, field="text")], 25))
+
+
 @query(f"""WITH {_DENSE}, {_bm25()},
     d AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS r FROM dist ORDER BY distance, id LIMIT {K}),
     b AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM bm ORDER BY round(score, 9) DESC, id LIMIT {K}),
@@ -116,8 +191,8 @@ def bm25_postings_stats(spark, sf_dir):
 def hybrid_rrf_topk(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     dense = retrieval.dense_top(_table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), K, "vec_id")
-    hits = retrieval.fused(dense, retrieval.bm25_indexed(spark, _index(spark, sf_dir), ASKED, K))
-    rows = docs.join(F.broadcast(hits), docs["doc_id"] == hits["id"]).orderBy(F.desc("score"), "doc_id").limit(K)  # 2 * K rows
+    hits = retrieval.fused(dense, _index(spark, sf_dir).top(ASKED, K))
+    rows = retrieval.with_rows(hits, docs, "doc_id").orderBy(F.desc("score"), "doc_id").limit(K)
     return rows.select("doc_id", F.round("score", 12).alias("score"), "dense_rank", "bm25_rank", "lang", F.substring("text", 1, 80).alias("head"))
 
 
@@ -128,9 +203,9 @@ def hybrid_rrf_topk(spark, sf_dir):
     SELECT u.id AS doc_id, round(sum(s), 12) AS score, any_value(octet_length(encode(text))) AS bytes FROM u JOIN documents ON doc_id = u.id GROUP BY u.id ORDER BY sum(s) DESC, u.id LIMIT {K}""")
 def multi_group_rrf(spark, sf_dir):
     docs, vectors, q = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)
-    legs = [(retrieval.bm25_indexed(spark, _index(spark, sf_dir), ASKED, K), 0.3), (retrieval.dense_top_groups(vectors, q, K, "label", "vec_id"), 1.0)]
-    top = retrieval.fused_legs(legs, docs.select(F.col("doc_id").alias("id"), "text")).orderBy(F.desc("score"), "id").limit(K)
-    return top.select(F.col("id").alias("doc_id"), F.round("score", 12).alias("score"), F.octet_length("text").cast("long").alias("bytes"))
+    legs = [(_index(spark, sf_dir).top(ASKED, K), 0.3), (retrieval.dense_top_groups(vectors, q, K, "label", "vec_id"), 1.0)]
+    top = retrieval.with_rows(retrieval.fused_legs(legs), docs, "doc_id").orderBy(F.desc("score"), "doc_id").limit(K)
+    return top.select("doc_id", F.round("score", 12).alias("score"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query(f"""WITH {_DENSE}, {_bm25()}, pool AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS r FROM dist ORDER BY distance, id LIMIT 30),
@@ -139,7 +214,7 @@ def multi_group_rrf(spark, sf_dir):
 def rerank_pool(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     pool = retrieval.dense_top(_table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 30, "vec_id")
-    hits = docs.join(F.broadcast(pool), docs["doc_id"] == pool["id"]).select(F.col("doc_id").alias("chunk_id"), "text", (-F.col("rank")).cast("double").alias("score"), F.lit(False).alias("reranked"))
+    hits = retrieval.with_rows(pool, docs, "doc_id").select(F.col("doc_id").alias("chunk_id"), "text", (-F.col("rank")).cast("double").alias("score"), F.lit(False).alias("reranked"))
     out = retrieval.reranked(hits, ASKED, lambda _, texts: [len(t) % 97 for t in texts], K)
     return out.select(F.col("chunk_id").alias("doc_id"), "score")
 
@@ -158,7 +233,7 @@ def _engine(spark, sf_dir) -> Engine:
     rows = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("title "), "doc_id").alias("title"), F.expr("if(doc_id % 3 = 0, 0.5D, 1D)").alias("completeness"), F.to_json(F.struct("lang")).alias("metadata"), F.col("source").alias("author"))
     cols = docs.select(F.col("source").alias("id")).distinct().withColumn("embedding_model_id", F.concat(F.lit("m"), F.expr("cast(substr(id, 4) as int) % 2")))
     given = {"m0": _vector(spark, sf_dir), "m1": _vector(spark, sf_dir, 1)}
-    return Engine(rows, low.unionByName(top), cols, embed=lambda model, _: given[model])
+    return Engine(rows, low.unionByName(top), cols, embed=lambda model, _: given[model], index=_index(spark, sf_dir))
 
 
 def _hits(rows: DataFrame) -> DataFrame:

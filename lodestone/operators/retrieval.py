@@ -7,7 +7,7 @@ limit, so no window sees more than k rows. Ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from zlib import crc32
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import BM25_B, BM25_K1, BM25_WEIGHT, DENSE_WEIGHT, DIM_MAX, RRF_K
 
+if TYPE_CHECKING:
+    from .index import Index
+
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -97,41 +100,11 @@ def query_terms(query: str) -> list[str]:
 
 
 def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, dl): the inverted index; written partitioned or bucketed by term, a query reads its terms only."""
+    """(term, id, tf, dl): a row for each term of each text."""
     split = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
     return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-BUCKETS = 64
-
-
-def write_index(rows: DataFrame, path: str, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS) -> None:
-    """An inverted index under path: `postings` (term, id, tf, dl) in folders by bucket of the term, sorted by term, so that a query reads
-    row groups of its terms only, and `lengths` (id, dl). Ranges of (bucket, term, id) are dealt, so a common term spreads over tasks."""
-    postings(rows, id_col, text_col).withColumn("bucket", (F.crc32("term") % buckets).cast("int")).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    rows.select(F.col(id_col).alias("id"), F.size(terms(F.col(text_col))).alias("dl")).write.parquet(f"{path}/lengths")
-
-
-def bm25_indexed(spark, path: str, query: str, k: int, among: DataFrame | None = None, buckets: int = BUCKETS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """What bm25_top gives, from an index of write_index; among: the ids (id) to search, whose counts are then the corpus."""
-    asked, lengths = query_terms(query), spark.read.parquet(f"{path}/lengths")
-    lengths = lengths if among is None else lengths.join(among.select("id"), "id", "left_semi")
-    if not asked:
-        top = lengths.select("id", F.lit(0.0).alias("score")).orderBy("id").limit(k)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy("id")))
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg(F.coalesce("dl", F.lit(0)))).first()
-    held = spark.read.parquet(f"{path}/postings")
-    where = sorted({crc32(t.encode()) % buckets for t in asked})
-    held = held.where(F.col("bucket").isin(where) & F.col("term").isin(asked))
-    held = held if among is None else held.join(among.select("id"), "id", "left_semi")
-    df = F.broadcast(held.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")))  # a row for each term asked
-    idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf").cast("double")
-    parts = held.join(df, "term").select("id", (idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))).alias("part"))
-    top = parts.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-
-
 def _occurrences(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
@@ -172,14 +145,20 @@ def fused(dense: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("id", "score", "dense_rank", "bm25_rank")
 
 
-def fused_legs(legs: list[tuple[DataFrame, float]], texts: DataFrame) -> DataFrame:
-    """(id, score, text): any number of legs (id, rank) with weights; an id's scores add up, its longest text in bytes stays."""
+def fused_legs(legs: list[tuple[DataFrame, float]]) -> DataFrame:
+    """(id, score): any number of legs (id, rank) with weights; an id's scores add up."""
     rows = None
     for leg, weight in legs:
         one = leg.select("id", rrf(F.col("rank"), weight).alias("s"))
         rows = one if rows is None else rows.unionByName(one)
-    rows = F.broadcast(rows).join(texts, "id")  # at most k rows of each leg
-    return rows.groupBy("id").agg(F.sum("s").alias("score"), F.max_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
+    return rows.groupBy("id").agg(F.sum("s").alias("score"))
+
+
+def with_rows(hits: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """rows of the hits, at most k of each leg, with the columns of hits (id, …): ids are fetched, and the scan filters by them."""
+    found = hits.collect()
+    known = rows.sparkSession.createDataFrame([tuple(r) for r in found], hits.schema)
+    return _with_ids(rows, id_col, [r["id"] for r in found]).join(F.broadcast(known.withColumnRenamed("id", "__hit")), F.col(id_col) == F.col("__hit")).drop("__hit")
 
 
 def _with_ids(rows: DataFrame, column: str, ids: list) -> DataFrame:
@@ -204,27 +183,35 @@ def enriched(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFr
     )
 
 
-def hybrid_search(chunks: DataFrame, documents: DataFrame, vector, query: str, k: int, **filters) -> DataFrame:
-    rows = candidates(chunks, documents=documents, **filters)
-    extra = "header_breadcrumb" if "header_breadcrumb" in chunks.columns else None
-    hits = fused(dense_top(rows, vector, k), bm25_top(rows, query, k, extra_col=extra))
+def _words_leg(rows: DataFrame, query: str, k: int, index: Index | None, among: DataFrame | None) -> DataFrame:
+    """The BM25 leg, over the index where there is one, else over the texts of rows."""
+    if index is not None:
+        return index.top(query, k, among)
+    return bm25_top(rows, query, k, extra_col="header_breadcrumb" if "header_breadcrumb" in rows.columns else None)
+
+
+def hybrid_search(chunks: DataFrame, documents: DataFrame, vector, query: str, k: int, collections: list[str] | None = None, scope: list[str] | None = None, metadata: Column | None = None, index: Index | None = None) -> DataFrame:
+    rows = candidates(chunks, collections, scope, documents, metadata)
+    among = index.among(collections, scope, documents, metadata) if index is not None else None
+    hits = fused(dense_top(rows, vector, k), _words_leg(rows, query, k, index, among))
     return enriched(hits, chunks, documents).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def multi_search(chunks: DataFrame, documents: DataFrame, collections: DataFrame, query: str, k: int, embed: Callable[[str, str], list[float]], targets: list[str] | None = None, scope: list[str] | None = None, metadata: Column | None = None) -> DataFrame:
+def multi_search(chunks: DataFrame, documents: DataFrame, collections: DataFrame, query: str, k: int, embed: Callable[[str, str], list[float]], targets: list[str] | None = None, scope: list[str] | None = None, metadata: Column | None = None, index: Index | None = None) -> DataFrame:
     """One BM25 leg over all targets within the scope and one dense leg for each embedding model bound to them, embedded once a model."""
-    rows = collections.select("id", "embedding_model_id").collect()  # the registry of collections
-    allowed = [r for r in rows if (not targets or r["id"] in targets) and (not scope or r["id"] in scope)]
-    if not allowed:
+    allowed = collections.select(F.col("id").alias("collection_id"), "embedding_model_id")
+    for some in (targets, scope):
+        allowed = allowed.where(F.col("collection_id").isin(some)) if some else allowed
+    models = [r[0] for r in allowed.select("embedding_model_id").distinct().collect()]  # a row for each model
+    if not models:
         return enriched(chunks.limit(0).select("id", F.lit(0.0).alias("score")), chunks, documents)
-    ids = [r["id"] for r in allowed]
-    base = candidates(chunks, ids, scope, documents, metadata)
-    legs = [(bm25_top(base, query, k), BM25_WEIGHT)]
-    for model in sorted({r["embedding_model_id"] for r in allowed if r["embedding_model_id"]}):
-        own = [r["id"] for r in allowed if r["embedding_model_id"] == model]
-        legs.append((dense_top(base.where(F.col("collection_id").isin(own)), embed(model, query), k), DENSE_WEIGHT))
-    hits = fused_legs(legs, chunks.select("id", "text")).select("id", "score")
-    return enriched(hits, chunks, documents).orderBy(F.desc("score"), "chunk_id").limit(k)
+    base = candidates(chunks, None, scope, documents, metadata)
+    within = lambda own: base.join(own.select("collection_id"), "collection_id", "left_semi")
+    among = index.among(allowed.select("collection_id"), scope, documents, metadata) if index is not None else None
+    legs = [(_words_leg(within(allowed), query, k, index, among), BM25_WEIGHT)]
+    for model in sorted(x for x in models if x):
+        legs.append((dense_top(within(allowed.where(F.col("embedding_model_id") == model)), embed(model, query), k), DENSE_WEIGHT))
+    return enriched(fused_legs(legs), chunks, documents).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def reranked(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]] | None, k: int, id_col: str = "chunk_id") -> DataFrame:
@@ -249,7 +236,7 @@ def reranked(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], lis
         rows["reranked"] = True
         yield rows.sort_values("score", ascending=False, kind="stable").head(k)
 
-    return hits.coalesce(1).mapInPandas(lambda it: run(list(it)), schema)  # a pool of hits, some 30 rows
+    return hits.repartition(1).mapInPandas(lambda it: run(list(it)), schema)  # a pool of hits, some 30 rows, behind an exchange: scans keep their tasks
 
 
 def neighbours(chunks: DataFrame, anchors: DataFrame, width: int = 2) -> DataFrame:

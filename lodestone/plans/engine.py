@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import page_of_list
 from ..functions.text import preview
 from ..operators import metrics, retrieval
+from ..operators.index import Index
 from .ingest import search
 
 
@@ -24,12 +25,14 @@ class Engine:
     embedding_models: DataFrame | None = None
     rerank_models: DataFrame | None = None
     keys: DataFrame | None = None
+    #: Of the child chunks, with collection_id and doc_id kept; without one, searches read texts.
+    index: Index | None = None
 
     def _scoped(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.col("collection_id").isin(self.scope)) if self.scope else rows
 
     def search(self, query: str, targets: list[str] | None = None, metadata: dict | None = None, top_k: int | None = None, scorer: Callable | None = None) -> DataFrame:
-        return search(self.chunks, self.documents, query, self.embed, self.collections, targets, self.scope, metadata, top_k, scorer)
+        return search(self.chunks, self.documents, query, self.embed, self.collections, targets, self.scope, metadata, top_k, scorer, self.index)
 
     def get_document(self, doc_id: str) -> DataFrame:
         return self._scoped(self.documents).where(F.col("id") == doc_id).limit(1)

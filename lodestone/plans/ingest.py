@@ -10,6 +10,7 @@ from ..config import RERANK_POOL, top_k
 from ..functions.metadata import metadata_filter
 from ..operators.chunks import chunked
 from ..operators.embedding import embedded
+from ..operators.index import Index
 from ..operators.retrieval import hybrid_search, multi_search, reranked
 from ..operators.stitch import stitch
 from ..sources.html import markdown
@@ -28,7 +29,7 @@ def with_vectors(chunks: DataFrame, make: Callable) -> DataFrame:
     return chunks.join(embedded(chunks, make), "id", "left")
 
 
-def search(chunks: DataFrame, documents: DataFrame, query: str, embed: Callable[[str, str], list[float]], collections: DataFrame, targets: list[str] | None = None, scope: list[str] | None = None, metadata: dict | None = None, k: int | None = None, scorer: Callable | None = None) -> DataFrame:
+def search(chunks: DataFrame, documents: DataFrame, query: str, embed: Callable[[str, str], list[float]], collections: DataFrame, targets: list[str] | None = None, scope: list[str] | None = None, metadata: dict | None = None, k: int | None = None, scorer: Callable | None = None, index: Index | None = None) -> DataFrame:
     """Hits with citations. One target takes the single path with a pool for the scorer, any other number the path over all models."""
     k, where = top_k(k), metadata_filter(metadata)
     if targets and scope:
@@ -38,7 +39,7 @@ def search(chunks: DataFrame, documents: DataFrame, query: str, embed: Callable[
     if targets and len(targets) == 1:
         model = collections.where(F.col("id") == targets[0]).select("embedding_model_id").first()
         pool = max(k, RERANK_POOL) if scorer else k
-        hits = hybrid_search(chunks, documents, embed(model[0] if model else "", query), query, pool, collections=targets, scope=scope, metadata=where)
+        hits = hybrid_search(chunks, documents, embed(model[0] if model else "", query), query, pool, targets, scope, where, index)
     else:
-        hits = multi_search(chunks, documents, collections, query, k, embed, targets, scope, where)
+        hits = multi_search(chunks, documents, collections, query, k, embed, targets, scope, where, index)
     return reranked(hits, query, scorer, k)
