@@ -14,6 +14,7 @@ from .functions import text as T
 from .functions.metadata import metadata_filter
 from .operators import evaluation, events as event_rows, metrics, retrieval, shards
 from .operators.index import Index, clause
+from .operators.vector_index import VectorIndex, nearest_of_each
 from .plans import views
 from .plans.engine import Engine
 from .session import shared_folder, shared_path
@@ -280,6 +281,64 @@ def list_collections(spark, sf_dir):
     return e.list_collections().select("id", "embedding_model_id", "documents")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The vector index of the embeddings in the shared folder, under the digest of the table's files."""
+    path = f"{shared_folder(spark)}/vectors-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}"
+    found = VectorIndex(spark, path)
+    return found if found.version else VectorIndex.create(_table(spark, sf_dir, "embeddings"), path, "vec_id", keep=("label",))
+
+
+@query("SELECT 64 AS dim, count(*) AS vectors, count(DISTINCT vec_id) AS ids FROM embeddings WHERE len(embedding) = 64")
+def build_vector_index(spark, sf_dir):
+    """A new vector index, and how many vectors its lists hold."""
+    made = VectorIndex.create(_table(spark, sf_dir, "embeddings"), shared_path(spark, "vectors"), "vec_id", keep=("label",))
+    return made.vectors(64).agg(F.lit(64).alias("dim"), F.count(F.lit(1)).alias("vectors"), F.count_distinct("id").alias("ids"))
+
+
+@query(f"WITH {_DENSE} SELECT id AS vec_id, round(distance, 9) + 0.0 AS distance, CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank FROM dist ORDER BY distance, id LIMIT 25")
+def vector_index_exact(spark, sf_dir):
+    top = _vectors(spark, sf_dir).nearest(_vector(spark, sf_dir), 25)
+    return top.select(F.col("id").alias("vec_id"), (F.round("distance", 9) + 0.0).alias("distance"), "rank")
+
+
+@query(f"""WITH {_DENSE}, f AS (SELECT * FROM dist WHERE id % 3 <> 0 OR id % 2 = 0), g AS (SELECT * FROM f WHERE label IS NULL OR label % 2 = 0)
+    SELECT id AS vec_id, round(distance, 9) + 0.0 AS distance, CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank FROM g ORDER BY distance, id LIMIT 25""")
+def vector_index_after_changes(spark, sf_dir):
+    """Two loads, rows deleted since, and a filter."""
+    rows = _table(spark, sf_dir, "embeddings")
+    made = VectorIndex.create(rows.where("vec_id % 2 = 0"), shared_path(spark, "vectors"), "vec_id", keep=("label",))
+    made = made.insert(rows.where("vec_id % 2 = 1")).delete(rows.where("vec_id % 3 = 0 and vec_id % 2 = 1").select("vec_id"))
+    top = made.nearest(_vector(spark, sf_dir), 25, among=rows.where("label is null or label % 2 = 0").select("vec_id"))
+    return top.select(F.col("id").alias("vec_id"), (F.round("distance", 9) + 0.0).alias("distance"), "rank")
+
+
+@query("""WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+    d AS (SELECT q.vec_id AS query_id, r.vec_id, round(1 - list_dot_product(q.v, r.v) / (q.n * r.n), 9) + 0.0 AS distance FROM u q, u r WHERE q.vec_id % 20 = 0)
+    SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10""")
+def batch_dense_search(spark, sf_dir):
+    """The ten nearest vectors of each twentieth one."""
+    rows = _table(spark, sf_dir, "embeddings")
+    top = nearest_of_each(rows.where("vec_id % 20 = 0"), rows, 10, "vec_id", "embedding", "vec_id", "embedding").toDF("query_id", "vec_id", "distance", "rank")
+    return top.withColumn("distance", F.round("distance", 9) + 0.0)
+
+
+#: A query for each twentieth document: its first six words.
+_FIRST_WORDS = "array_join(slice(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0), 1, 6), ' ')"
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+    stat AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS mean FROM t), p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT DISTINCT doc_id AS query_id, unnest(t[1:6]) AS term FROM t WHERE doc_id % 20 = 0),
+    s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score FROM q JOIN p USING (term) JOIN df USING (term), stat GROUP BY ALL)
+    SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def batch_bm25_search(spark, sf_dir):
+    """The ten best documents for the first words of each twentieth one."""
+    asked = _table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.expr(_FIRST_WORDS).alias("query"))
+    top = _index(spark, sf_dir).top_of_each(asked, 12).select("query_id", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+    # ties of rounded scores by id
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
+
+
 # ---------------------------------------------------------------- predicates and listings
 
 

@@ -32,6 +32,8 @@ BLOCK, FIELD = 10, 40
 #: Blocks scored without looking at bounds, and blocks times terms whose bounds one task may hold.
 FIRST, BOUNDS = 16, 200_000
 TRIES = 8
+#: Queries that one pass over the postings answers.
+QUERIES = 1024
 
 
 @dataclass(frozen=True)
@@ -301,6 +303,62 @@ class Index:
         both = known.unionByName(more).orderBy(F.desc("score"), "id").limit(k).drop("rank")
         return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
+    def top_of_each(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+        """(query_id, id, score, rank): what `top` gives for each row of a table of queries, in one pass over the postings of all their terms for each QUERIES of them.
+
+        A block of queries is sent to the tasks as its terms with the queries that ask for each. Postings are dealt by block of rows, so all terms of a row meet; a
+        block of rows passes on k rows of each query. Queries without terms have no rows here; a query id that repeats counts as one query for each row.
+        """
+        spark, out = self.spark, None
+        q = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("t"))
+        id_type, q_type = self.now["kind"], q.schema["q"].dataType.simpleString()
+        corpus = self.rows().agg(F.count(F.lit(1)), F.avg("dl")).first() if self.now["deleted"] else (self.count, sum(s["words"] for s in self.now["segments"]) / max(self.count, 1))
+        n, mean = corpus[0], corpus[1] or 0.0
+
+        def part(held: list) -> DataFrame:
+            asked: dict[str, list[int]] = {}
+            for i, r in enumerate(held):
+                for t in query_terms(r["t"] or ""):
+                    asked.setdefault(t, []).append(i)
+            terms_ = spark.createDataFrame([(t,) for t in asked], "own string")
+            entries = self._left(lambda segments: self._opened(self._entries(None, ["ids", "tfs", "dls"], segments).join(F.broadcast(terms_), F.col("term") == F.col("own"), "left_semi")), f"term string, block bigint, id {id_type}, tf int, dl int")  # a block's terms
+            df = {r["term"]: r["n"] for r in entries.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each of them
+            sent = spark.sparkContext.broadcast({t: (_idf(n, df[t]), np.array(asked[t])) for t in df})
+
+            def best(table: pa.Table) -> pa.Table:
+                held_, ids = sent.value, table["id"].combine_chunks().dictionary_encode()
+                row, word = ids.indices.to_numpy(), table["term"].combine_chunks().dictionary_encode()
+                part_ = weight(table["tf"].to_numpy().astype(np.float64), table["dl"].to_numpy(), mean)
+                code, names = word.indices.to_numpy(), word.dictionary.to_pylist()
+                score = np.zeros((len(held), len(ids.dictionary)))
+                for c in np.argsort(names):  # terms in order, so that sums are those of one search
+                    idf, who = held_[names[c]]
+                    at = np.flatnonzero(code == c)
+                    score[np.ix_(who, row[at])] += idf * part_[at]
+                asker, found = np.nonzero(score)
+                value = score[asker, found]
+                order = pa.compute.sort_indices(pa.table({"q": asker, "s": value, "id": ids.dictionary.take(pa.array(found))}), [("q", "ascending"), ("s", "descending"), ("id", "ascending")]).to_numpy()
+                asker, found, value = asker[order], found[order], value[order]
+                start = np.flatnonzero(np.append(True, asker[1:] != asker[:-1])) if len(asker) else np.zeros(0, np.int64)
+                keep = np.arange(len(asker)) - np.repeat(start, np.diff(np.append(start, len(asker)))) < k
+                return pa.table({"n": pa.array(asker[keep].astype(np.int32)), "id": ids.dictionary.take(pa.array(found[keep])), "score": value[keep]})
+
+            top = entries.groupBy("block").applyInArrow(best, f"n int, id {id_type}, score double")
+            rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "id"))
+            names = spark.createDataFrame([(i, r["q"]) for i, r in enumerate(held)], f"n int, q {q_type}")
+            return top.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "n").select(F.col("q").alias(query_id), "id", "score", "rank")  # a block's ids
+
+        held: list = []
+        for r in q.toLocalIterator():  # a block at a time
+            held.append(r)
+            if len(held) >= QUERIES:
+                one, held = part(held), []
+                out = one if out is None else out.unionByName(one)
+        if held:
+            one = part(held)
+            out = one if out is None else out.unionByName(one)
+        return spark.createDataFrame([], f"{query_id} {q_type}, id {id_type}, score double, rank int") if out is None else out
+
     def _by_clauses(self, asked: list[Clause], k: int, among: DataFrame | None) -> DataFrame:
         words = sorted({w for c in asked for w in c.words})
         corpus, entries = self.rows(), self._left_entries(words)

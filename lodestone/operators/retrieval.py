@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import BM25_B, BM25_K1, BM25_WEIGHT, DENSE_WEIGHT, DIM_MAX, RRF_K
+from ..functions.vectors import distances
 
 if TYPE_CHECKING:
     from .index import Index
@@ -55,8 +56,7 @@ def dense_top(rows: DataFrame, vector: Iterable[float], k: int, id_col: str = "i
             if not b.num_rows:
                 continue
             m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, len(q))
-            length = np.sqrt(np.einsum("ij,ij->i", m, m))
-            d = np.where(length > 0, 1.0 - (m @ q) / np.where(length > 0, length, 1.0), np.inf)
+            d = distances(m, q)
             ids = b.column("id")
             best = pa.compute.sort_indices(pa.table({"d": d, "id": ids}), [("d", "ascending"), ("id", "ascending")])[:k]
             yield pa.RecordBatch.from_arrays([ids.take(best), pa.array(d).take(best)], ["id", "distance"])
@@ -77,8 +77,7 @@ def dense_top_groups(rows: DataFrame, vector: Iterable[float], k: int, group_col
             if not b.num_rows:
                 continue
             m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, len(q))
-            length = np.sqrt(np.einsum("ij,ij->i", m, m))
-            d = np.where(length > 0, 1.0 - (m @ q) / np.where(length > 0, length, 1.0), np.inf)
+            d = distances(m, q)
             t = pa.table({"group": b.column("group"), "id": b.column("id"), "distance": d}).sort_by([("group", "ascending"), ("distance", "ascending"), ("id", "ascending")])
             codes = t["group"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             first = np.concatenate(([True], codes[1:] != codes[:-1]))
