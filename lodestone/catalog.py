@@ -19,8 +19,9 @@ from .plans import views
 from .plans.engine import Engine
 from .session import shared_folder, shared_path
 from .sources import formats, page_rows
+from .sources.tables import Change, Tables
 from .sources.versions import fingerprint
-from .streaming import jobs
+from .streaming import jobs, leases, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,6 +340,75 @@ def batch_bm25_search(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
 
 
+# ---------------------------------------------------------------- streams and tables in versions
+
+
+def _in_files(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """rows as a stream of one file for each condition, in their order."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "stream")
+    for part in parts:
+        rows.where(part).repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("""WITH e AS (SELECT date_trunc('minute', ts) AS bucket, user_id % 20 + 1 AS pages, event_type = 'error' AS failed, CAST(round(value * 100) AS BIGINT) AS ms, user_id % 700 AS rss FROM events)
+    SELECT bucket, CAST(sum(pages) AS BIGINT) AS pages_parsed, count(*) AS shards_done, count(*) FILTER (WHERE failed) AS shards_failed,
+    list_sort(list(ms) FILTER (WHERE NOT failed))[(count(ms) FILTER (WHERE NOT failed) - 1) * 50 // 100 + 1] AS parse_p50_ms, list_sort(list(ms) FILTER (WHERE NOT failed))[(count(ms) FILTER (WHERE NOT failed) - 1) * 95 // 100 + 1] AS parse_p95_ms,
+    list_sort(list(rss) FILTER (WHERE NOT failed))[(count(rss) FILTER (WHERE NOT failed) - 1) * 95 // 100 + 1] AS peak_rss_p95_mb FROM e GROUP BY bucket""")
+def rollup_stream(spark, sf_dir):
+    """The rollup of a stream of three batches that share their minutes, kept in a versioned table."""
+    events = _table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("done_at"), F.lit(1).alias("page_start"), (F.col("user_id") % 20 + 1).alias("page_end"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"),
+        F.round(F.col("value") * 100).cast("long").alias("duration_ms"), (F.col("user_id") % 700).cast("int").alias("peak_rss_mb"), "event_id",
+    )
+    path = shared_path(spark, "rollup")
+    rollup.keep_rollup(_in_files(events, [f"event_id % 3 = {i}" for i in range(3)]), path, shared_path(spark, "checkpoint"), late="60 days").awaitTermination()
+    return Tables(spark, path).read("rollup").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS doc_id, event_id % 3 AS idx, ts AS tm, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'renew' ELSE 'claim' END AS kind, 'w' || CAST(floor(value) AS BIGINT) % 2 AS w FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY tm, kind, w) AS n FROM e),
+    s AS (SELECT doc_id, idx, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS tm, CAST('' AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS w, 'pending' AS state, 0 AS attempts, CAST(NULL AS TIMESTAMP) AS until, CAST(NULL AS VARCHAR) AS worker, '' AS action, CAST(NULL AS TIMESTAMP) AS ended, CAST(NULL AS VARCHAR) AS ended_worker, 0 AS before FROM (SELECT DISTINCT doc_id, idx FROM e)
+        UNION ALL SELECT doc_id, idx, n, tm, kind, w, CASE WHEN action = 'claimed' THEN 'running' WHEN action IN ('done', 'failed') THEN action ELSE st END, CASE WHEN action = 'claimed' THEN attempts + 1 ELSE attempts END,
+            CASE WHEN action IN ('claimed', 'renewed') THEN tm + INTERVAL 10 HOUR ELSE until END, CASE WHEN action = 'claimed' THEN w WHEN action IN ('done', 'failed') THEN NULL ELSE wk END, action, ended, ended_worker, attempts
+        FROM (SELECT *, CASE WHEN kind = 'claim' AND st IN ('pending', 'failed') THEN 'claimed' WHEN kind <> 'claim' AND st = 'running' AND wk = w THEN CASE kind WHEN 'renew' THEN 'renewed' ELSE kind END ELSE 'refused' END AS action
+            FROM (SELECT o.doc_id, o.idx, o.n, o.tm, o.kind, o.w, s.attempts, s.until, CASE WHEN s.state = 'running' AND s.until <= o.tm THEN s.until END AS ended, CASE WHEN s.state = 'running' AND s.until <= o.tm THEN s.worker END AS ended_worker,
+                CASE WHEN s.state = 'running' AND s.until <= o.tm THEN CASE WHEN s.attempts >= 4 THEN 'failed' ELSE 'pending' END ELSE s.state END AS st, CASE WHEN s.state = 'running' AND s.until <= o.tm THEN NULL ELSE s.worker END AS wk
+                FROM s JOIN o ON s.doc_id = o.doc_id AND s.idx = o.idx AND o.n = s.n + 1))),
+    last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY n DESC) = 1),
+    t AS (SELECT doc_id, idx, tm, action, attempts, w AS worker_id FROM s WHERE n > 0
+        UNION ALL SELECT doc_id, idx, ended, CASE WHEN before >= 4 THEN 'escalated' ELSE 'requeued' END, before, ended_worker FROM s WHERE ended IS NOT NULL
+        UNION ALL SELECT doc_id, idx, until, CASE WHEN attempts >= 4 THEN 'escalated' ELSE 'requeued' END, attempts, worker FROM last WHERE state = 'running' AND until < date_trunc('millisecond', (SELECT max(tm) FROM e)))
+    SELECT doc_id, CAST(idx AS INTEGER) AS idx, tm AS "at", action, CAST(attempts AS INTEGER) AS attempts, worker_id FROM t""")
+def lease_transitions(spark, sf_dir):
+    """Claims, renewals, ends and lapses of leases over a stream of three batches in the order of time."""
+    kind = F.expr("case event_type when 'purchase' then 'done' when 'error' then 'failed' when 'signup' then 'renew' else 'claim' end")
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("idx"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.expr("concat('w', cast(floor(value) as bigint) % 2)").alias("worker_id"))
+    a, b = events.selectExpr("percentile_approx(at, array(0.33, 0.66)) as q").first()[0]
+    path = shared_path(spark, "transitions")
+    leases.keep_leases(_in_files(events, [f"at < timestamp'{a}'", f"at >= timestamp'{a}' and at < timestamp'{b}'", f"at >= timestamp'{b}'"]), path, shared_path(spark, "checkpoint"), lease_seconds=36_000).awaitTermination()
+    return spark.read.schema(leases.TRANSITIONS.format(kind="bigint")).parquet(path).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+_DOCS = ("doc_id bigint, source string, n_chars bigint", ("doc_id",))
+
+
+@query("""WITH n AS (SELECT doc_id, source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 = 0),
+    d AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 UNION ALL SELECT * FROM n),
+    k AS (SELECT * FROM d WHERE source IS DISTINCT FROM 'src1'), v AS (SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM d WHERE source = 'src1'))
+    SELECT doc_id, source, n_chars, label FROM k LEFT JOIN v ON vec_id = doc_id""")
+def tables_in_versions(spark, sf_dir):
+    """Inserts, an upsert that replaces and adds rows, and a delete that cascades, each one commit over two tables."""
+    docs, vectors = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    made = Tables(spark, shared_path(spark, "tables"), {"documents": _DOCS, "vectors": ("vec_id bigint, label int", ("vec_id",))})
+    made.commit({"documents": Change(upserts=docs.where("doc_id % 2 = 0")), "vectors": Change(upserts=vectors)})
+    made.commit({"documents": Change(upserts=docs.where("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1))})
+    made.cascade("documents", made.read("documents").where("source = 'src1'").select("doc_id"), {"vectors": "vec_id"})
+    kept = made.read("vectors").withColumnRenamed("vec_id", "own")
+    return made.read("documents").join(kept, F.col("doc_id") == F.col("own"), "left").drop("own")
+
+
 # ---------------------------------------------------------------- predicates and listings
 
 

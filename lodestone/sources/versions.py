@@ -63,6 +63,10 @@ class Versions:
             raise
         return number
 
+    def folders(self, name: str) -> list[str]:
+        """Names of what lies in a folder below this one."""
+        return sorted(x.getPath().getName() for x in self._system().listStatus(self._hadoop.fs.Path(f"{self.path}/{name}")))
+
     def remove(self, names: list[str]) -> None:
         """Deletes folders or files that no version needs any more."""
         for name in names:
