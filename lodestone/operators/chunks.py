@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import CHILD_SIZE, PARENT_SIZE, parent_and_child
 from ..functions import text as T
@@ -35,12 +36,24 @@ def numbered(rows: list[tuple[bool, str]]) -> list[int | None]:
     return out
 
 
+#: Bytes for each core up to which a table of few files is dealt over the cores before its texts are worked on.
+DEAL = 64 << 20
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs over all cores where few files hold them, as a file of one row group is one task whatever its rows cost. Tables of many files, or of more than
+    DEAL bytes for each core, whose scans have tasks enough, stay as they are: no text of theirs is moved."""
+    cores, files = docs.sparkSession.sparkContext.defaultParallelism, len(docs.inputFiles())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(2 * cores) if 0 < files < cores and size < DEAL * cores else docs
+
+
 def raw_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages_col: str | None = None, parent_size: int = PARENT_SIZE, child_size: int = CHILD_SIZE, strategy: str = "auto") -> DataFrame:
     """Parents and children of each row's text, in order, hashed and numbered where the text is split: nothing is shuffled. seq is null for
     rows that repeat another's hash; parent_hash is that of the parent of a child, if that stays."""
     parent, child = parent_and_child(parent_size, child_size, strategy)
     pages = F.col(pages_col) if pages_col else F.lit(None).cast("array<int>")
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), pages.alias("pages"))
+    rows = dealt(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), pages.alias("pages")))
 
     def run(batches):
         for b in batches:
@@ -70,11 +83,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def deduplicated(chunks: DataFrame) -> DataFrame:
-    """Of (doc_id, is_parent, chunk_hash, seq): the first of each hash and kind, children that repeat a parent gone, seq dense with parents first."""
-    by_hash = Window.partitionBy("doc_id", "chunk_hash")
-    first = F.row_number().over(Window.partitionBy("doc_id", "chunk_hash", "is_parent").orderBy("seq"))
-    rows = chunks.withColumn("__n", first).withColumn("__p", F.max("is_parent").over(by_hash)).where("__n = 1 and is_parent = __p").drop("__n", "__p")
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("is_parent"), "seq")) - 1)
+    """Of (doc_id, is_parent, chunk_hash, seq): what `numbered` keeps of each document's rows in the order of seq, with the new seq."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq", kind="stable")
+        f["new"] = pd.array(numbered(list(zip(f["is_parent"], f["chunk_hash"], strict=True))), "Int32")
+        return f[f["new"].notna()][["doc_id", "seq", "new"]]
+
+    kept = chunks.select("doc_id", "is_parent", "chunk_hash", "seq").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, seq {chunks.schema['seq'].dataType.simpleString()}, new int")
+    return chunks.join(kept, ["doc_id", "seq"]).withColumn("seq", F.col("new")).drop("new")
 
 
 def chunked(docs: DataFrame, **options) -> DataFrame:
@@ -92,11 +110,9 @@ PROFILE = "doc_id string, total_chars int, total_lines int, headings int, headin
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Structure signals of each text and the tiers that they call for."""
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = dealt(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
     def run(frames):
-        import pandas as pd
-
         for f in frames:
             out = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):

@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import heading_hit, is_junk, rank_class, titles_match
 
 CATEGORIES = ("exact", "conceptual", "drift")
 
 
+def numbered_lines(spark, path: str) -> DataFrame:
+    """(file, line, value) of text files: lines from 1 in each file, also where a file is read in many splits. Lines are counted for each split, which a
+    line belongs to where it begins, and sums of the counts before a split say where it starts; a row for each split is all that is moved."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("own_file").orderBy("own_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = lines.groupBy(F.col("file").alias("own_file"), F.col("split").alias("own_split")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).select("own_file", "own_split", "first", before.alias("before"))
+    return lines.join(splits, (F.col("file") == F.col("own_file")) & (F.col("split") == F.col("own_split"))).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def load_cases(spark, path: str, categories=CATEGORIES) -> tuple[DataFrame, DataFrame]:
-    """(cases, faults) of a JSON lines file: faults has a row (line, fault) for each broken rule."""
-    schema = "id string, query string, expected_doc_titles array<string>, category string, expected_headings array<string>, notes string, _corrupt_record string"
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).cache()
+    """(cases, faults) of JSON lines: cases (file, line, id, query, …) of every line that isn't blank, faults a row (file, line, id, fault) for each broken rule. An id
+    that another line had before is a fault of the later lines."""
     from ..functions.text import normal_title
 
+    schema = "id string, query string, expected_doc_titles array<string>, category string, expected_headings array<string>, notes string, _corrupt_record string"
+    lines = numbered_lines(spark, path).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+    raw = lines.select("file", "line", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j")).select("file", "line", "j.*")
+    empty = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     short = F.exists("expected_doc_titles", lambda t: F.length(F.replace(normal_title(t), F.lit(" "), F.lit(""))) < 8)
+    no_titles = (F.coalesce(F.size("expected_doc_titles"), F.lit(0)) < 1) | F.coalesce(F.exists("expected_doc_titles", lambda t: F.trim(F.coalesce(t, F.lit(""))) == ""), F.lit(False))
     rules = [
-        (F.col("_corrupt_record").isNotNull(), "not JSON"), (F.coalesce(F.col("id"), F.lit("")) == "", "no id"), (F.coalesce(F.col("query"), F.lit("")) == "", "no query"),
-        (F.coalesce(F.size("expected_doc_titles"), F.lit(0)) < 1, "no titles"), (~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "unknown category"), (F.coalesce(short, F.lit(False)), "a title under 8 characters"),
+        (F.col("_corrupt_record").isNotNull(), "not JSON"), (empty("id"), "no id"), (empty("query"), "no query"), (no_titles, "no titles"),
+        (~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "unknown category"), (F.coalesce(short, F.lit(False)), "a title under 8 characters"),
     ]
-    faults = raw.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))).alias("fault"))
-    twice = raw.where("id is not null").groupBy("id").count().where("count > 1").select("id", F.lit("id used twice").alias("fault"))
+    faults = raw.select("file", "line", "id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))).alias("fault"))
+    # of each id that occurs twice, the first place; ids that occur once move nothing but themselves
+    first = raw.where(~empty("id")).groupBy(F.col("id").alias("own")).agg(F.min(F.struct("file", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = raw.join(first, F.col("id") == F.col("own")).where(F.struct("file", "line") != F.col("first")).select("file", "line", "id", F.lit("id used twice").alias("fault"))
     return raw.drop("_corrupt_record"), faults.unionByName(twice)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,12 +27,14 @@ class Engine:
     keys: DataFrame | None = None
     #: Of the child chunks, with collection_id and doc_id kept; without one, searches read texts.
     index: Index | None = None
+    #: Scorers of rerank models by their ids.
+    scorers: Mapping[str, Callable] | None = None
 
     def _scoped(self, rows: DataFrame) -> DataFrame:
         return rows.where(F.col("collection_id").isin(self.scope)) if self.scope else rows
 
-    def search(self, query: str, targets: list[str] | None = None, metadata: dict | None = None, top_k: int | None = None, scorer: Callable | None = None) -> DataFrame:
-        return search(self.chunks, self.documents, query, self.embed, self.collections, targets, self.scope, metadata, top_k, scorer, self.index)
+    def search(self, query: str, targets: list[str] | None = None, metadata: dict | None = None, top_k: int | None = None, scorer: Callable | None = None, rerank: bool | str | None = None) -> DataFrame:
+        return search(self.chunks, self.documents, query, self.embed, self.collections, targets, self.scope, metadata, top_k, scorer, self.index, self.embedding_models, self.scorers, rerank)
 
     def get_document(self, doc_id: str) -> DataFrame:
         return self._scoped(self.documents).where(F.col("id") == doc_id).limit(1)
@@ -51,6 +53,17 @@ class Engine:
         n = self.documents.groupBy(F.col("collection_id").alias("id")).agg(F.count(F.lit(1)).alias("documents"))
         return rows.join(n, "id", "left").na.fill(0, ["documents"]).orderBy("created_at", "id")
 
+    def get_shard(self, doc_id: str, idx: int) -> DataFrame:
+        return self.shards.where((F.col("doc_id") == doc_id) & (F.col("idx") == idx)).limit(1)
+
+    def get_model(self, model_id: str, rerank: bool = False) -> DataFrame:
+        return (self.rerank_models if rerank else self.embedding_models).where(F.col("id") == model_id).limit(1)
+
+    def get_key(self, key_hash: str) -> DataFrame:
+        """The key of a hash, if it is not revoked, without the hash."""
+        rows = self.keys.where(F.col("key_hash") == key_hash)
+        return (rows.where(F.col("revoked_at").isNull()) if "revoked_at" in rows.columns else rows).drop("key_hash").limit(1)
+
     def list_models(self, rerank: bool = False) -> DataFrame:
         return (self.rerank_models if rerank else self.embedding_models).orderBy("created_at", "id")
 

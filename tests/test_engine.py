@@ -74,3 +74,59 @@ def test_registry():
     assert R.allowed([], ["a"]) == ["a"] and R.allowed(["a"], None) == ["a"]
     with pytest.raises(PermissionError):
         R.allowed(["a"], ["b"])
+
+
+def test_prefix_dimension_and_bound_reranker(spark, engine):
+    import dataclasses
+
+    from lodestone.plans.ingest import DimensionMismatch
+
+    asked = []
+
+    def embed(model, text):
+        asked.append((model, text))
+        return [1.0, 0.0]
+
+    models = spark.createDataFrame([("m", "search_query: ", 2), ("n", "", 3)], "id string, query_prefix string, vector_dim int")
+    bound = engine.collections.selectExpr("*", "if(id = 'c1', 'r', null) as rerank_model_id")
+    full = dataclasses.replace(engine, collections=bound, embed=embed, embedding_models=models, scorers={"r": lambda q, t: [x == "beta" for x in t], "s": lambda q, t: [x == "alpha" for x in t]})
+    first = lambda **more: full.search("alpha", ["c1"], top_k=1, **more).first()["chunk_id"]
+    assert first() == "y" and first(rerank=False) == "x" and first(rerank="s") == "x" and asked[0] == ("m", "search_query: alpha")
+    assert {r["chunk_id"] for r in full.search("alpha").collect()} == {"x", "y", "z"} and not full.search("alpha").first()["reranked"]
+    for bad in ({"rerank": "unknown"}, {"targets": ["c2"], "rerank": True}, {"rerank": True}):
+        with pytest.raises(ValueError):
+            full.search("alpha", **bad)
+    with pytest.raises(DimensionMismatch):
+        dataclasses.replace(full, collections=bound.selectExpr("id", "'n' as embedding_model_id", "created_at", "rerank_model_id")).search("alpha", ["c1"])
+
+
+def test_lookups(spark, engine):
+    keys = spark.createDataFrame([("a", "h1", None), ("b", "h2", 1)], "id string, key_hash string, revoked_at int")
+    models = spark.createDataFrame([("m", 2), ("n", 1)], "id string, created_at int")
+    shards = spark.createDataFrame([("d1", 0, "done"), ("d1", 1, "failed")], "doc_id string, idx int, state string")
+    full = Engine(engine.documents, engine.chunks, engine.collections, shards, embedding_models=models, rerank_models=models.limit(0), keys=keys)
+    assert full.get_shard("d1", 1).first()["state"] == "failed" and full.get_shard("d2", 1).count() == 0
+    assert full.get_model("n").first()["created_at"] == 1 and full.get_model("n", rerank=True).count() == 0
+    assert [tuple(r) for r in full.get_key("h1").collect()] == [("a", None)] and full.get_key("h2").count() == 0
+
+
+def test_search_by_index_equals_search_by_texts(spark, engine, tmp_path):
+    import dataclasses
+
+    from lodestone.operators.index import Index
+
+    made = Index.create(engine.chunks.where("not is_parent"), f"file://{tmp_path}/ix", "id", ("text",), ("collection_id", "doc_id"))
+    with_index = dataclasses.replace(engine, index=made)
+    for targets, scope in ((["c1"], None), (None, None), (["c1", "c2"], ["c2"])):
+        a, b = (dataclasses.replace(x, scope=scope).search("alpha beta", targets).select("chunk_id", "score").collect() for x in (engine, with_index))
+        assert a == b and a
+    plan = with_index.search("alpha", ["c1"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
+
+
+def test_scan_keeps_its_tasks_under_a_reranker(spark):
+    from lodestone.operators.retrieval import reranked
+
+    rows = spark.range(0, 100, 1, 8).selectExpr("id as chunk_id", "cast(id as string) as text", "cast(id as double) as score", "false as reranked")
+    plan = reranked(rows, "q", lambda q, t: [1.0] * len(t), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" in plan

@@ -318,7 +318,7 @@ def test_evaluation(spark, tmp_path):
     total = evaluation.summary(evaluation.ranked_hits(cases, res, 8), 8).where("category is null").first()
     assert total["hit_3"] == 0.5 and total["mrr"] == pytest.approx(1 / 3)
     (tmp_path / "c.jsonl").write_text('{"id":"1","query":"q","expected_doc_titles":["Long enough title"],"category":"exact"}\n{"id":"1","query":"","expected_doc_titles":["Go"],"category":"odd"}\nnope\n')
-    faults = {tuple(r) for r in evaluation.load_cases(spark, str(tmp_path / "c.jsonl"))[1].collect()}
+    faults = {(r["id"], r["fault"]) for r in evaluation.load_cases(spark, str(tmp_path / "c.jsonl"))[1].collect()}
     assert {("1", "no query"), ("1", "a title under 8 characters"), ("1", "unknown category"), ("1", "id used twice"), (None, "not JSON")} <= faults
     assert "| overall | 2 |" in evaluation.report([r.asDict() for r in evaluation.summary(evaluation.ranked_hits(cases, res, 8), 8).collect()])
 
@@ -369,3 +369,39 @@ def test_config():
     assert config.SplitConfig(0, 0).normalised() == config.SplitConfig(512, 80) and config.SplitConfig(100, 90).normalised().overlap == 50
     with pytest.raises(ValueError):
         config.top_k(-1)
+
+
+def test_line_numbers_of_files_in_many_splits(spark, tmp_path):
+    import json
+
+    from lodestone.operators import evaluation
+
+    good = lambda i: json.dumps({"id": f"q{i}", "query": "x " * (i % 7 + 1), "expected_doc_titles": ["A Long Enough Title"], "category": "exact"})
+    lines = [good(i) if i % 13 else "" for i in range(900)]
+    lines[500], lines[700], lines[701], lines[702] = "{broken", good(3), good(4).replace("exact", "odd"), good(5).replace("A Long Enough Title", "short")
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text("\n".join(lines if name == "a.jsonl" else ["", good(5000)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        numbered = evaluation.numbered_lines(spark, str(tmp_path))
+        assert numbered.rdd.getNumPartitions() > 5
+        got = {(r["file"].rpartition("/")[2], r["line"]): r["value"] for r in numbered.collect()}
+        assert got == {("a.jsonl", i + 1): x for i, x in enumerate(lines)} | {("b.jsonl", 1): "", ("b.jsonl", 2): good(5000)}
+        cases, faults = evaluation.load_cases(spark, str(tmp_path))
+        assert cases.count() == sum(x != "" for x in lines) + 1
+        found = sorted((r["line"], r["fault"]) for r in faults.collect())
+        assert [x for x in found if x[0] == 501][0] == (501, "no id") and (501, "not JSON") in found and [x for x in found if x[0] > 600] == [(701, "id used twice"), (702, "id used twice"), (702, "unknown category"), (703, "a title under 8 characters"), (703, "id used twice")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_texts_of_few_files_are_dealt(spark, tmp_path):
+    from lodestone.operators.chunks import chunked, dealt
+
+    spark.range(40).selectExpr("cast(id as string) as doc_id", "repeat('word word. ', 50) as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    assert dealt(d).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and dealt(spark.range(3)).rdd.getNumPartitions() == spark.range(3).rdd.getNumPartitions()
+    many = d.repartition(9)
+    many.write.parquet(str(tmp_path / "many"))
+    assert "RoundRobin" not in dealt(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().executedPlan().toString()
+    assert chunked(d).groupBy("doc_id").count().count() == 40
