@@ -5,7 +5,7 @@ known layout uses, are sorted and hashed; the hash selects a declarative mapping
 an array of (role, text). A table has one fingerprint, found on the driver; a column of JSON records has
 one for each record, of its keys (those of all elements of a list), whatever their values: a null value is an empty text, an empty
 list has no turns and counts as having every field of its elements. Roles of records are matched in any case. A record whose paths are those of no layout falls to the layout with the most paths
-among those it has all of; with none it has null turns.
+among those it has all of; with none, or with values that its layout can't read, it has null turns.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside roles and texts `<|` is written `<||`, and a line break in a role `<|n|>`, so
 neither a marker nor a role's end can arise from content, and both read back exactly. The loss mask is a list of spans [start, end) in
@@ -102,16 +102,48 @@ def turns_of_table(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return rows.select("id", F.expr("transform(x, t -> named_struct('role', t.role, 'text', t.text))").cast(TURNS).alias("turns"))
 
 
+def _parts(c: str) -> str:
+    """SQL for the texts of a list of parts, null if c is none: objects count by their `text` (none: empty), strings as they are."""
+    return f"transform(try_variant_get({c}, '$', 'array<variant>'), p -> if(schema_of_variant(p) like 'OBJECT%', coalesce(try_variant_get(p, '$.text', 'string'), ''), try_variant_get(p, '$', 'string')))"
+
+
+def _text(c: str) -> str:
+    """SQL for the text of a JSON value: a list of parts is joined, null and what can't be read as text is null."""
+    return f"case when schema_of_variant({c}) like 'OBJECT%' then null when schema_of_variant({c}) like 'ARRAY%' then array_join({_parts(c)}, '') else try_variant_get({c}, '$', 'string') end"
+
+
+def _unread(c: str) -> str:
+    """SQL for whether a JSON value is there that can't be read as text."""
+    return f"coalesce(schema_of_variant({c}) like 'OBJECT%' or schema_of_variant({c}) like 'ARRAY%' and exists(try_variant_get({c}, '$', 'array<variant>'), p -> schema_of_variant(p) like 'ARRAY%'), false)"
+
+
 def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, fingerprint, layout, turns) of a column of JSON records of mixed layouts."""
+    """(id, fingerprint, layout, turns) of a column of JSON records of mixed layouts.
+
+    A record whose values can't be read as its layout says (a list that is none, elements that are no objects, an object for a text) has null layout and turns. Of a key that repeats the
+    last value counts; in such records a text that is an object or a list is its JSON.
+    """
     layouts = [x for x in LAYOUTS if x.name != "turn rows"]
     known = sorted({p for x in layouts for p in x.paths})
     rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"), F.try_parse_json(F.col(json_col)).alias("v"))
     lists = sorted({p.split("[]")[0] for p in known if "[]" in p})
-    rows = rows.withColumn("own", F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>")))
-    for x in lists:  # the keys of the elements; null where there is no element
-        held = F.try_variant_get("v", f"$.{x}", "array<map<string,variant>>")
-        rows = rows.withColumn(f"in_{x}", F.flatten(F.transform(F.filter(held, lambda m: m.isNotNull()), lambda m: F.map_keys(m))))
+    names = sorted(_TYPES)
+    # a record with a key twice is no variant; its fields are read one by one
+    raw = F.expr("if(v is null, from_json(json, '{}'), null)".format(", ".join(f"{x} string" for x in names)))
+    rows = rows.withColumn("own", F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>"))).withColumn("raw", raw)
+    rows = rows.withColumns({f"v_{x}": F.expr(f"coalesce(try_variant_get(v, '$.{x}', 'variant'), try_parse_json(raw.{x}))" if x in lists else f"try_variant_get(v, '$.{x}', 'variant')") for x in names})
+    rows = rows.withColumns({f"e_{x}": F.expr(f"try_variant_get(v_{x}, '$', 'array<map<string,variant>>')") for x in lists})
+    fields, unread = {}, {}
+    for x in names:
+        if x not in lists:
+            fields[x], unread[x] = F.expr(f"coalesce({_text(f'v_{x}')}, raw.{x})"), F.expr(_unread(f"v_{x}"))
+            continue
+        own = [f.split(":")[0] for f in _TYPES[x].removeprefix("array<struct<").removesuffix(">>").split(",")]
+        at = {f: f"try_element_at(m, '{f}')" for f in own}
+        fields[x] = F.expr(f"coalesce(transform(e_{x}, m -> named_struct({', '.join(f"'{f}', {_text(at[f])}" for f in own)})), array())")
+        unread[x] = F.expr(f"coalesce(if(e_{x} is null, not is_variant_null(v_{x}) or v_{x} is null and raw.{x} is not null, exists(e_{x}, m -> m is null or {' or '.join(_unread(at[f]) for f in own)})), false)")
+        # the keys of the elements
+        rows = rows.withColumn(f"in_{x}", F.expr(f"flatten(transform(filter(e_{x}, m -> m is not null), m -> map_keys(m)))"))
 
     def has(path: str):
         top, _, inner = path.partition("[].")
@@ -120,15 +152,21 @@ def turns_of_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
     present = F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in known]))
     rows = rows.withColumn("paths", present).withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
-    fields = [F.coalesce(F.try_variant_get("v", f"$.{name}", kind), F.array().cast(kind)).alias(name) if "array" in kind else F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in _TYPES.items()]
-    rows = rows.select("id", "paths", "fingerprint", *fields)
+    rows = rows.select("id", "paths", "fingerprint", *[c.alias(x) for x, c in fields.items()], *[c.alias(f"un_{x}") for x, c in unread.items()])
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+
+    def chosen(x: Layout, condition: Column) -> None:
+        nonlocal turns, name
+        bad = F.lit(False)
+        for top in sorted({p.split("[]")[0] for p in x.paths}):
+            bad = bad | F.col(f"un_{top}")
+        turns = F.when(condition & ~bad, F.expr(x.turns).cast(TURNS)).when(condition, F.lit(None).cast(TURNS)).otherwise(turns)
+        name = F.when(condition & ~bad, F.lit(x.name)).when(condition, F.lit(None).cast("string")).otherwise(name)
+
     for x in sorted(layouts, key=lambda x: len(x.paths)):
-        within = F.size(F.array_except(F.array(*map(F.lit, x.paths)), "paths")) == 0
-        turns, name = F.when(within, F.expr(x.turns).cast(TURNS)).otherwise(turns), F.when(within, F.lit(x.name)).otherwise(name)
+        chosen(x, F.size(F.array_except(F.array(*map(F.lit, x.paths)), "paths")) == 0)
     for x in layouts:
-        same = F.col("fingerprint") == fingerprint(x.paths)
-        turns, name = F.when(same, F.expr(x.turns).cast(TURNS)).otherwise(turns), F.when(same, F.lit(x.name)).otherwise(name)
+        chosen(x, F.col("fingerprint") == fingerprint(x.paths))
     return rows.select("id", "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 

@@ -76,6 +76,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON records of two layouts, some with a key that repeats and some with texts in parts, read back."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    rows = _table(spark, sf_dir, "conversations").where("conv_id is not null").groupBy("conv_id").agg(turns.alias("t"))
+    messages = "concat('{\"messages\":', to_json(transform(t, x -> named_struct('role', x.role, 'content', x.text))), '}')"
+    parts = "concat('{\"messages\":', to_json(transform(t, x -> named_struct('role', x.role, 'content', array(named_struct('type', 'text', 'text', x.text))))), '}')"
+    twice = "concat('{\"messages\":[],\"messages\":', to_json(transform(t, x -> named_struct('role', x.role, 'content', x.text))), '}')"
+    others = "concat('{\"conversations\":', to_json(transform(t, x -> named_struct('from', x.role, 'value', x.text))), ',\"n\":1}')"
+    records = rows.select("conv_id", F.expr(f"case conv_id % 4 when 0 then {messages} when 1 then {parts} when 2 then {twice} else {others} end").alias("record"))
+    digest = F.sha2(F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')"), 256)
+    return chat.turns_of_json(records, "conv_id", "record").select(F.col("id").alias("conv_id"), "layout", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"))
+
+
 def op11_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "sale_lines")
     one = F.coalesce(F.col("sale_id").isNotNull() & (F.crc32(F.col("sale_id").cast("string")) % 5 == 0), F.lit(False))
@@ -121,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_mixing, op6_warc, op7_exact_dedup, op8_decontamination, op9_url_filter, op10_chat_formatting, op11_grouped_ranking, op12_periodic_runs, op13_pii, pipeline)
+    for f in (op1_toxicity, op2_ngram_jaccard_join, op3_lm_scoring, op4_language_id, op5_mixing, op6_warc, op7_exact_dedup, op8_decontamination, op9_url_filter, op10_chat_formatting, chat_records, op11_grouped_ranking, op12_periodic_runs, op13_pii, pipeline)
 }
 
 #: CRC-32 of decimal numbers, bit by bit.
@@ -169,6 +182,10 @@ ORACLES: dict[str, str] = {
               coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
               sum(12 + length(replace(role, '<|', '<||')) + 1 + length(replace(text, '<|', '<||')) + 11) AS chars FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM a""",
+    "chat_records": """
+        SELECT conv_id, CASE WHEN conv_id % 4 = 3 THEN 'conversations' ELSE 'messages' END AS layout, count(*) AS n_turns,
+               sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, coalesce(role, ''), coalesce(text, ''))) AS turns_sha256
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""",
     "op11_grouped_ranking": f"""
         WITH crc AS (SELECT sale_id, {_CRC.format('sale_id')} % 5 = 0 AS one FROM (SELECT DISTINCT sale_id FROM sale_lines WHERE sale_id IS NOT NULL)),
         l AS (SELECT CASE WHEN one THEN -1 ELSE vendor_id END AS vendor_id, CASE WHEN one THEN -1 ELSE coalesce(item_id % 5, -1) END AS part, CASE WHEN one THEN -1 ELSE coalesce(100 * year(shipped_at) + month(shipped_at), -1) END AS month,

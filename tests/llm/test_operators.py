@@ -538,6 +538,19 @@ def test_records_with_nulls_keep_their_layout(spark):
     assert out["loss"] == "b"
 
 
+def test_records_that_are_hard_to_read(spark):
+    js = [
+        '{"prompt":"a","completion":"b","prompt":"c"}', '{"messages":"hi"}', '{"messages":[{"role":"user","content":[{"type":"text","text":"hi"},{"type":"image"},{"type":"text","text":" you"}]},{"role":"assistant","content":["x","y"]}]}',
+        '{"messages":[null,{"role":"user","content":"a"}]}', '{"prompt":{"x":1},"completion":"b"}', '{"prompt":7,"completion":true}', '{"messages":["a"]}', '{"messages":[{"role":"user","content":"a"}],"messages":[{"role":"user","content":"b"}]}',
+        '{"messages":[{"role":"user","content":{"text":"a"}}]}', '{"prompt":["a","b"],"completion":"[c]"}', '{"conversations":{"from":"human","value":"a"}}', '[{"prompt":"a"}]', '{"prompt":"a","prompt":null,"completion":"b"}',
+    ]
+    got = {r["id"]: (r["layout"], r["turns"] and [tuple(x) for x in r["turns"]]) for r in chat.turns_of_json(spark.createDataFrame(list(enumerate(js)), "i int, j string"), "i", "j").collect()}
+    pair = lambda a, b: ("prompt completion", [("user", a), ("assistant", b)])
+    assert got[0] == pair("c", "b") and got[5] == pair("7", "true") and got[9] == pair("ab", "[c]") and got[12] == pair(None, "b")
+    assert got[2] == ("messages", [("user", "hi you"), ("assistant", "xy")]) and got[7] == ("messages", [("user", "b")])
+    assert all(got[i] == (None, None) for i in (1, 3, 4, 6, 8, 10, 11)), got
+
+
 def test_words_and_pieces_of_any_script():
     from lodestone.llm import _letters
 
