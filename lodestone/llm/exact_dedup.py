@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ._blocks import tidied
 from ._store import fresh, joined_by_size, written
 from ._words import mixed
 
@@ -123,7 +124,7 @@ def _sharded(groups: DataFrame, shards: int) -> DataFrame:
 
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
     """The index of (digest, winner, row, size) with distinct digests, one row a shard."""
-    return _sharded(groups, shards).repartition("shard").mapInArrow(_indexed, INDEX)
+    return _sharded(groups, shards).repartition("shard").mapInArrow(tidied(_indexed), INDEX)
 
 
 LOOKED = "digest binary, winner long, row long, size long, member boolean"
@@ -185,7 +186,7 @@ def merged_groups(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame
     empty = F.lit(None)
     held = index.select("shard", F.lit(0).alias("kind"), empty.cast("binary").alias("digest"), *[F.lit(0).cast("long").alias(x) for x in _FIELDS], "keys", "bits", "levels", "slots")
     new = _sharded(groups, shards).select("shard", F.lit(1).alias("kind"), "digest", *_FIELDS, empty.cast("binary").alias("keys"), empty.cast("binary").alias("bits"), empty.cast("array<long>").alias("levels"), empty.cast("binary").alias("slots"))
-    return held.unionAll(new).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, LOOKED)
+    return held.unionAll(new).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(tidied(_looked_up), LOOKED)
 
 
 def _whole(docs: DataFrame, id_col: str) -> None:
@@ -201,7 +202,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _whole(docs, id_col)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    digests = written(docs.mapInArrow(_digests, "id long, row long, digest binary"), "digests")  # the numbers of rows are settled once
+    digests = written(docs.mapInArrow(tidied(_digests), "id long, row long, digest binary"), "digests")  # the numbers of rows are settled once
     load = F.pmod(F.xxhash64("id"), F.lit(loads))
     groups = written(digest_groups(digests.where(load == 0)), "groups")
     total = digests.count()
@@ -228,7 +229,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             digests = pa.array([text_digest(x.as_py()) for x in b.column(text_col).cast(pa.large_binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, digests], [*b.schema.names, own])
 
-    rows = docs.mapInArrow(run, schema)
+    rows = docs.mapInArrow(tidied(run), schema)
     rows = rows.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(winner)) & (F.col(own) == F.col(digest)), "left_semi")
     if docs.select(id_col).groupBy(id_col).count().where("count > 1").isEmpty():
         return rows.drop(own)

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ._blocks import tidied
 from ._graph import components
 from ._store import TASK_ROWS, fresh, joined_by_size, sized, written
 from ._words import buffers, grams, groups, hashed
@@ -166,7 +167,7 @@ def _dealt(batches):
 
 def candidates(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(s, n) of the sets that may have a partner: by the shingles dealt they hold few enough alone, and some with others."""
-    ends = docs.select("text").mapInArrow(_dealt, "token long, s long").groupBy("token").agg(F.min("s").alias("s"), F.max("s").alias("other"))
+    ends = docs.select("text").mapInArrow(tidied(_dealt), "token long, s long").groupBy("token").agg(F.min("s").alias("s"), F.max("s").alias("other"))
     alone = ends.where("s = other").groupBy("s").agg(F.count(F.lit(1)).alias("alone"), F.count_if(F.expr(f"token >= 0 and token < {int(LOW)}L")).alias("alone_low"))
     # two sequences with the same 64 bits both stay: their counts are one
     keys = ids.where("n > 0").groupBy("s").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.sum("n").alias("of_copies"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sent").alias("sent"))
@@ -243,9 +244,9 @@ def candidate_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     known = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = min(MOST_BITS, 1 << max(16, (FILTER_EACH * known[0]).bit_length()))
     chunks = known[1] // CHUNK_SHINGLES + 1
-    sets = docs.select("text").mapInArrow(_picked(docs.sparkSession.sparkContext.broadcast(_filter_bits(keys, size)), chunks), PICKED)
+    sets = docs.select("text").mapInArrow(tidied(_picked(docs.sparkSession.sparkContext.broadcast(_filter_bits(keys, size)), chunks)), PICKED)
     wanted = keys.select(F.expr(f"cast(pmod(s, {chunks}) as int)").alias("chunk"), F.lit(0).alias("kind"), "s", F.lit(None).cast("binary").alias("sid"), F.lit(None).cast("binary").alias("shingles"))
-    return written(wanted.unionAll(sets).repartition("chunk").sortWithinPartitions("chunk", "kind", "sid").mapInArrow(_numbered, SETS), "sets")
+    return written(wanted.unionAll(sets).repartition("chunk").sortWithinPartitions("chunk", "kind", "sid").mapInArrow(tidied(_numbered), SETS), "sets")
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -311,11 +312,11 @@ def _prefix_rows(shared: np.ndarray, many: np.ndarray, sets: pa.RecordBatch) ->
 
 def prefixes_of(sets: DataFrame) -> DataFrame:
     """PREFIXES of candidate_sets: what each set's prefix shares with other sets."""
-    counts = sets.select("chunk", "shingles").mapInArrow(_counts, "chunk int, token long, n long")
+    counts = sets.select("chunk", "shingles").mapInArrow(tidied(_counts), "chunk int, token long, n long")
     held = counts.withColumn("held", F.sum("n").over(Window.partitionBy("token"))).where("held > 1")  # at most a row for each batch of sets
     answers = held.select("chunk", F.lit(0).alias("kind"), "token", "held", F.lit(None).cast("long").alias("v"), F.lit(None).cast("binary").alias("shingles"))
     asked = sets.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("held"), "v", "shingles")
-    return written(answers.unionAll(asked).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_prefixes, PREFIXES), "prefixes")
+    return written(answers.unionAll(asked).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidied(_prefixes), PREFIXES), "prefixes")
 
 
 def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -474,7 +475,7 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     heads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     leads = sets.select(F.col("v").alias("b"), "shingles").join(hint(heads), "b").select("b", "salt", F.lit(0).alias("member"), F.col("b").alias("a"), "shingles")
     rows = leads.unionAll(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
-    return written(rows.mapInArrow(_compared, "a long, b long"), "links")
+    return written(rows.mapInArrow(tidied(_compared), "a long, b long"), "links")
 
 
 def _blocked(batches):
@@ -505,7 +506,7 @@ def _verified_in_blocks(sets: DataFrame, guests: DataFrame, labels: DataFrame) -
     own = labels.join(counts, "label").select("label", F.expr("cast(pmod(xxhash64(v), blocks) as int)").alias("block"), F.lit(0).alias("guest"), F.col("v").alias("a"))
     others = guests.join(counts, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("guest"), "a")
     rows = own.unionAll(others).join(sets.select(F.col("v").alias("a"), "shingles"), "a").repartition("label", "block").sortWithinPartitions("label", "block", "guest")
-    return written(rows.mapInArrow(_blocked, "a long, b long"), "links")
+    return written(rows.mapInArrow(tidied(_blocked), "a long, b long"), "links")
 
 
 def linked_sets(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -536,7 +537,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, n_shingles, component_id) for each row: the size of its set and the least id reachable by links."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    ids = written(docs.mapInArrow(_ids, f"id {kind}, {IDS}"), "ids")
+    ids = written(docs.mapInArrow(tidied(_ids), f"id {kind}, {IDS}"), "ids")
     sets, labels = linked_sets(docs, ids)
     least = ids.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = sets.select("sid", "v").join(labels, "v").select("sid", "label")

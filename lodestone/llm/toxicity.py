@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._blocks import tidied
 from ._fit import fetched, hash_sample, held_out
 from ._letters import pieces, words_of
 from ._words import mixed
@@ -223,7 +224,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             p = np.zeros(b.num_rows) if own is None else 1 / (1 + np.exp(-np.clip(own.logits(b.column("text")), -700, 700)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,4 +240,4 @@ def kept(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFr
         for b in batches:
             yield b if own is None else b.filter(pa.array(own.logits(b.column(text_col)) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
