@@ -6,22 +6,23 @@ and queue entries, labels for completeness, conversations for shards of Markdown
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as T
 from .functions.metadata import metadata_filter
-from .operators import evaluation, events as event_rows, metrics, retrieval, shards
+from .operators import evaluation, events as event_rows, index, metrics, retrieval, shards, vector_index
 from .operators.index import Index, clause
 from .operators.vector_index import VectorIndex, nearest_of_each
 from .plans import views
 from .plans.engine import Engine
 from .session import shared_folder, shared_path
-from .sources import formats, page_rows
+from .sources import feeds, formats, page_rows
 from .sources.tables import Change, Tables
 from .sources.versions import fingerprint
-from .streaming import jobs, leases, rollup
+from .streaming import event_log, jobs, leases, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +55,7 @@ def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
 def _index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the documents in the shared folder, under the digest of the table's files; written where that is absent, as `build_index` does."""
     table = f"{sf_dir}/documents.parquet"
-    path = f"{shared_folder(spark)}/index-{fingerprint(spark, table)}"
+    path = f"{shared_folder(spark)}/index-{index.FORMAT}-{fingerprint(spark, table)}"
     found = Index(spark, path)
     return found if found.version else Index.create(_chunk_rows(spark, sf_dir), path, "doc_id", ("text",), ("collection_id",))
 
@@ -284,7 +285,7 @@ def list_collections(spark, sf_dir):
 
 def _vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """The vector index of the embeddings in the shared folder, under the digest of the table's files."""
-    path = f"{shared_folder(spark)}/vectors-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}"
+    path = f"{shared_folder(spark)}/vectors-{vector_index.FORMAT}-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}"
     found = VectorIndex(spark, path)
     return found if found.version else VectorIndex.create(_table(spark, sf_dir, "embeddings"), path, "vec_id", keep=("label",))
 
@@ -409,6 +410,39 @@ def tables_in_versions(spark, sf_dir):
     return made.read("documents").join(kept, F.col("doc_id") == F.col("own"), "left").drop("own")
 
 
+@query("SELECT doc_id AS id, CAST(doc_id % 4 AS INTEGER) AS feed_no, CAST(doc_id // 4 % 3 AS INTEGER) AS page_no, CAST(row_number() OVER (PARTITION BY doc_id % 4, doc_id // 4 % 3 ORDER BY doc_id) - 1 AS INTEGER) AS entry_no, source AS title, CASE WHEN doc_id % 5 > 0 THEN 'https://host/' || doc_id || '.epub' END AS href FROM documents")
+def feed_pages(spark, sf_dir):
+    """Entries of four feeds of three pages each, made of the documents, read through the data source."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id") % 4, F.expr("doc_id div 4 % 3"), F.coalesce("source", F.lit(""))).toDF("doc_id", "feed", "page", "source")
+    link = F.expr(f"""if(doc_id % 5 > 0, concat('<link rel="{feeds.RELATION}" href="https://host/', doc_id, '.pdf" type="application/pdf"/><link rel="{feeds.RELATION}" href="https://host/', doc_id, '.epub" type="application/epub+zip"/>'), '')""")
+    entry = F.concat(F.lit("<entry><id>"), "doc_id", F.lit("</id><title>"), "source", F.lit("</title>"), link, F.lit("</entry>"))
+    pages = docs.groupBy("feed", "page").agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("x"))
+    after = F.expr("if(page < 2, concat('<link rel=\"next\" href=\"page=', page + 1, '\"/>'), '')")
+    path = shared_path(spark, "feeds")
+    pages.select("feed", "page", F.concat(F.lit("<feed>"), after, F.array_join("x.e", ""), F.lit("</feed>")).alias("value")).write.partitionBy("feed", "page").text(path)
+    spark.dataSource.register(feeds.FeedSource)
+    at = path if ":/" in path else f"file://{path}"
+    rows = spark.read.format("feed").option("urls", json.dumps([f"{at}/feed={i}/page=0" for i in range(4)])).load()
+    return rows.select(F.col("id").cast("long").alias("id"), F.regexp_extract("feed", r"feed=(\d+)", 1).cast("int").alias("feed_no"), "page_no", "entry_no", "title", "href")
+
+
+@query("SELECT count(*) AS requests, count(*) FILTER (WHERE event_type = 'view') AS searches, CAST(sum(CASE WHEN event_type = 'view' THEN user_id END) // nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS BIGINT) AS search_mean_ms FROM events")
+def observed_counters(spark, sf_dir):
+    """The counters of requests, taken while they are written into a log of theirs."""
+    requests = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", "search").otherwise("ingest").alias("kind"), F.col("user_id").alias("milliseconds"))
+    passed, seen = event_log.counted(requests)
+    passed.write.parquet(shared_path(spark, "requests"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("requests", "searches", "search_mean_ms"))], "requests bigint, searches bigint, search_mean_ms bigint")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS line FROM documents")
+def dataset_lines(spark, sf_dir):
+    """Numbers of the lines of a file, read in splits."""
+    path = shared_path(spark, "lines")
+    _table(spark, sf_dir, "documents").orderBy("doc_id").select(F.to_json(F.struct("doc_id", "source", "text"))).coalesce(1).write.text(path)
+    return evaluation.numbered_lines(spark, path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "line")
+
+
 # ---------------------------------------------------------------- predicates and listings
 
 

@@ -32,6 +32,8 @@ BLOCK, FIELD = 10, 40
 #: Blocks scored without looking at bounds, and blocks times terms whose bounds one task may hold.
 FIRST, BOUNDS = 16, 200_000
 TRIES = 8
+#: Goes up with the form of what is written.
+FORMAT = 1
 #: Queries that one pass over the postings answers.
 QUERIES = 1024
 

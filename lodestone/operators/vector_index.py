@@ -28,6 +28,8 @@ SAMPLE, LISTS, ROUNDS = 64, 2048, 8
 BLOCK = 1 << 22
 #: Lists read before any bound is known, and slack for rounding.
 FIRST, SLACK = 4, 1e-6
+#: Goes up with the form of what is written.
+FORMAT = 1
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
