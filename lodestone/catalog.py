@@ -22,7 +22,7 @@ from .session import shared_folder, shared_path
 from .sources import feeds, formats, page_rows
 from .sources.tables import Change, Tables
 from .sources.versions import fingerprint
-from .streaming import event_log, jobs, leases, rollup
+from .streaming import event_log, intake, jobs, leases, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -410,6 +410,26 @@ def tables_in_versions(spark, sf_dir):
     return made.read("documents").join(kept, F.col("doc_id") == F.col("own"), "left").drop("own")
 
 
+@query("""WITH j AS (SELECT event_type AS stream, user_id AS doc_id, event_id % 3 AS idx, min(ts) AS first FROM events GROUP BY ALL)
+    SELECT stream, doc_id, CAST(idx AS INTEGER) AS idx, CAST((row_number() OVER (PARTITION BY stream ORDER BY first, CAST(doc_id AS VARCHAR), idx) - 1) // 300 AS INTEGER) AS round FROM j""")
+def queue_intake(spark, sf_dir):
+    """A flood of jobs, many of them repeated, into queues of 300 jobs at most, and the round in which each is queued when consumers finish all that is queued."""
+    jobs = _table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("user_id").cast("string").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("idx"), F.col("ts").cast("timestamp").alias("at"), F.lit("{}").alias("job"))
+    a = jobs.selectExpr("percentile_approx(at, 0.5) as q").first()[0]
+    path = shared_path(spark, "queue")
+    intake.intake(_in_files(jobs, [f"at < timestamp'{a}'", f"at >= timestamp'{a}'"]), path, shared_path(spark, "checkpoint"), cap=300, late="60 days").awaitTermination()
+    tables, out = intake.queue_tables(spark, path), None
+    for n in range(100):
+        version = tables.latest()
+        queued = tables.read("queued", version)
+        if queued.isEmpty():
+            break
+        one = queued.select("stream", F.col("doc_id").cast("long").alias("doc_id"), "idx", F.lit(n).alias("round"))
+        out = one if out is None else out.unionByName(one)
+        intake.admit(tables, done=queued, cap=300)
+    return out
+
+
 @query("SELECT doc_id AS id, CAST(doc_id % 4 AS INTEGER) AS feed_no, CAST(doc_id // 4 % 3 AS INTEGER) AS page_no, CAST(row_number() OVER (PARTITION BY doc_id % 4, doc_id // 4 % 3 ORDER BY doc_id) - 1 AS INTEGER) AS entry_no, source AS title, CASE WHEN doc_id % 5 > 0 THEN 'https://host/' || doc_id || '.epub' END AS href FROM documents")
 def feed_pages(spark, sf_dir):
     """Entries of four feeds of three pages each, made of the documents, read through the data source."""
