@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DIM_MAX, EMBED_CHARS, EMBED_TEXTS, EMBED_TOKENS
 from ..functions.text import embedding_text
+from .registry import EmbeddingModel
 
 
 def batches(texts: list[str], tokens: int = EMBED_TOKENS, most: int = EMBED_TEXTS) -> Iterator[list[tuple[int, str]]]:
@@ -48,48 +52,133 @@ class HashEmbedder:
         return (out / np.where(length > 0, length, 1)).tolist()
 
 
-class Guarded:
-    """A client with retries and a breaker: after `threshold` failures in a row it refuses for `cooldown` seconds, then lets one try pass."""
+class Unavailable(ConnectionError):
+    """An endpoint that can't answer now; another try may."""
+
+
+class Refused(RuntimeError):
+    """An answer that another try won't change."""
+
 
-    def __init__(self, call: Callable[[list[str]], list[list[float]]], dim: int, retries: int = 3, threshold: int = 5, cooldown: float = 30.0, pause: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
-        self.call, self.dim, self.retries, self.threshold, self.cooldown, self.pause, self.clock = call, dim, retries, threshold, cooldown, pause, clock
-        self.failures, self.opened = 0, 0.0
+class Guarded:
+    """A client with retries and a breaker: after `threshold` failures in a row it refuses for `cooldown` seconds, then lets one caller try, while others are still refused; if
+    that try fails, it refuses again. Pauses double from half a second to 30, and are longer by `chance` (0 to 1) times a half, so that tasks that failed together don't come back together."""
+
+    def __init__(
+        self, call: Callable[[list[str]], list[list[float]]], dim: int, retries: int = 3, threshold: int = 5, cooldown: float = 30.0, pause: Callable[[float], None] = time.sleep,
+        clock: Callable[[], float] = time.monotonic, chance: Callable[[], float] = lambda: 0.0,
+    ):
+        self.call, self.dim, self.retries, self.threshold, self.cooldown, self.pause, self.clock, self.chance = call, dim, retries, threshold, cooldown, pause, clock, chance
+        self.failures, self.opened, self.trying, self.lock = 0, 0.0, False, threading.Lock()
+
+    def _enter(self) -> None:
+        with self.lock:
+            if self.failures >= self.threshold:
+                if self.trying or self.clock() - self.opened < self.cooldown:
+                    raise Unavailable("the breaker is open")
+                self.trying = True
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         for attempt in range(self.retries + 1):
-            if self.failures >= self.threshold and self.clock() - self.opened < self.cooldown:
-                raise ConnectionError("the breaker is open")
+            self._enter()
             try:
                 got = self.call(texts)
-            except (ConnectionError, TimeoutError, OSError):
-                self.failures += 1
-                if self.failures >= self.threshold:
-                    self.opened = self.clock()
-                if attempt == self.retries or self.failures >= self.threshold:
+            except OSError:  # connections and time limits
+                with self.lock:
+                    self.failures, self.trying = self.failures + 1, False
+                    if self.failures >= self.threshold:
+                        self.opened = self.clock()
+                        raise
+                if attempt == self.retries:
                     raise
-                self.pause(min(30.0, 0.5 * 2**attempt))
+                self.pause(min(30.0, 0.5 * 2**attempt) * (1 + self.chance() / 2))
                 continue
-            self.failures = 0
+            except BaseException:
+                with self.lock:
+                    self.trying = False
+                raise
+            with self.lock:
+                self.failures, self.trying = 0, False
             if len(got) != len(texts) or any(len(v) != self.dim for v in got):
                 raise ValueError(f"expected {len(texts)} vectors of {self.dim}")
             return got
         raise AssertionError
 
 
-def embedded(chunks: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], id_col: str = "id") -> DataFrame:
-    """(id, embedding) for child chunks; make builds a client in each task. Vectors are tied to ids by the row, not by order."""
+#: Where each provider takes texts, and under which name.
+ENDPOINTS = {"tei": ("/embed", "inputs"), "ollama": ("/api/embed", "input"), "openai": ("/v1/embeddings", "input")}
+
+
+def vectors_of(answer: object) -> list[list[float]]:
+    """The vectors of a provider's answer: a list, or what lies under `embeddings` or `data`; anything else is an error, with the provider's message where it gives one."""
+    if isinstance(answer, dict):
+        if isinstance(answer.get("embeddings"), list):
+            answer = answer["embeddings"]
+        elif isinstance(answer.get("data"), list):
+            answer = [x.get("embedding") if isinstance(x, dict) else None for x in answer["data"]]
+        else:
+            error = answer.get("error")
+            raise Refused(f"provider error: {error['message']}" if isinstance(error, dict) and isinstance(error.get("message"), str) else f"not an answer with vectors: {str(answer)[:100]}")
+    if not isinstance(answer, list) or not all(isinstance(v, list) and all(isinstance(x, int | float) and not isinstance(x, bool) for x in v) for v in answer):
+        raise Refused("not an answer with vectors")
+    return [[float(x) for x in v] for v in answer]
+
+
+def _post(url: str, body: bytes, headers: dict[str, str]) -> tuple[int, bytes]:
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, body, headers), timeout=60) as answer:  # noqa: S310
+            return answer.status, answer.read()
+    except HTTPError as e:
+        return e.code, e.read(200)
+
+
+class Endpoint:
+    """A client of a model's endpoint for ingestion or for queries; send posts a body and returns (status, body)."""
+
+    def __init__(self, model: EmbeddingModel, plane: str = "ingest", key: str | None = None, send: Callable[[str, bytes, dict[str, str]], tuple[int, bytes]] = _post):
+        if model.provider not in ENDPOINTS or plane not in ("ingest", "query"):
+            raise ValueError(f"no such endpoint: {model.provider}, {plane}")
+        path, self.field = ENDPOINTS[model.provider]
+        self.model, self.send = model, send
+        self.url = (model.query_url if plane == "query" else model.ingest_url).rstrip("/") + path
+        self.headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key and model.provider == "openai" else {})
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        most = self.model.truncate_chars
+        body = {self.field: [t[:most] if most else t for t in texts]} | ({} if self.model.provider == "tei" else {"model": self.model.model_id})
+        status, answer = self.send(self.url, json.dumps(body).encode(), self.headers)
+        if status in (429, 503):
+            raise Unavailable(f"status {status}")
+        if status >= 400:
+            raise Refused(f"status {status}: {answer[:200].decode(errors='replace')}")
+        try:
+            found = json.loads(answer)
+        except ValueError as e:
+            raise Unavailable("an answer that is no JSON") from e
+        return vectors_of(found)
+
+
+def embedded(chunks: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], id_col: str = "id", model: EmbeddingModel | None = None) -> DataFrame:
+    """(id, embedding) for child chunks; make builds a client in each task. Vectors are tied to ids by the row, not by order. With a model the client is guarded, and its
+    batches and texts have the model's bounds."""
+    tokens, most, chars = (model.ctx_budget, model.batch_size, model.truncate_chars) if model else (EMBED_TOKENS, EMBED_TEXTS, EMBED_CHARS)
     kind = chunks.schema[id_col].dataType.simpleString()
     child = chunks.where(~F.col("is_parent")) if "is_parent" in chunks.columns else chunks
     crumb = F.col("header_breadcrumb") if "header_breadcrumb" in chunks.columns else F.lit("")
-    rows = child.select(F.col(id_col).alias("id"), F.substring(embedding_text(crumb, F.col("text")), 1, EMBED_CHARS).alias("text"))
+    rows = child.select(F.col(id_col).alias("id"), (F.substring(embedding_text(crumb, F.col("text")), 1, chars) if chars else embedding_text(crumb, F.col("text"))).alias("text"))
 
     def run(frames):
         import pandas as pd
 
-        client = make()
+        client = Guarded(make(), model.vector_dim, chance=random.random) if model else make()
         for f in frames:
             vectors: list = [None] * len(f)
-            for part in batches(f["text"].tolist()):
+            for part in batches(f["text"].tolist(), tokens, most):
                 for (i, _), v in zip(part, client([t for _, t in part]), strict=True):
                     vectors[i] = v
             yield pd.DataFrame({"id": f["id"], "embedding": vectors})
