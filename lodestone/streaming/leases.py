@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +13,7 @@ from ..config import LEASE_SECONDS, MAX_ATTEMPTS
 from .rollup import rocks
 
 TRANSITIONS = "doc_id {kind}, idx int, at timestamp, action string, attempts int, worker_id string"
+_STEPS = TRANSITIONS.replace("at timestamp", "us bigint")
 OPEN = ("pending", "failed")
 
 
@@ -74,11 +75,13 @@ class Leases(StatefulProcessor):
             self.handle.registerTimer(int(min(ends)) + 1)
 
     def _lines(self, key, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], i, at, action, n, worker) for i, at, action, n, worker in found], columns=["doc_id", "idx", "at", "action", "attempts", "worker_id"])
+        return pd.DataFrame([(key[0], i, int(at.value // 1000), action, n, worker) for i, at, action, n, worker in found], columns=["doc_id", "idx", "us", "action", "attempts", "worker_id"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, found = self._held(), []
-        whole = pd.concat(list(rows)).sort_values(["idx", "at", "kind", "worker_id"], kind="stable")
+        whole = pd.concat(list(rows))
+        whole["at"] = pd.to_datetime(whole["us"], unit="us")  # times since 1970, whatever the session's zone
+        whole = whole.sort_values(["idx", "at", "kind", "worker_id"], kind="stable")
         for idx, own in whole.groupby("idx"):
             shard = held.setdefault(int(idx), {"state": "pending", "attempts": 0, "until": pd.Timestamp(0), "worker": None})
             events = [(at, kind, None if pd.isna(w) else w) for at, kind, w in zip(own["at"], own["kind"], own["worker_id"], strict=True)]
@@ -101,8 +104,9 @@ def lease_stream(events: DataFrame, lease_seconds: int = LEASE_SECONDS, most: in
     """(doc_id, idx, at, action, attempts, worker_id) of a stream of (doc_id, idx, at, kind, worker_id): each event with what came of it, and each lease that ended. The
     transitions do not depend on how the stream falls into batches, as long as the events of a shard come in the order of their time."""
     kind = events.schema["doc_id"].dataType.simpleString()
-    rows = events.withWatermark("at", late)
-    return rows.groupBy("doc_id").transformWithStateInPandas(Leases(lease_seconds, most), TRANSITIONS.format(kind=kind), "Append", "EventTime")
+    rows = events.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    found = rows.groupBy("doc_id").transformWithStateInPandas(Leases(lease_seconds, most), _STEPS.format(kind=kind), "Append", "EventTime")
+    return found.select("doc_id", "idx", F.timestamp_micros("us").alias("at"), "action", "attempts", "worker_id")
 
 
 def keep_leases(events: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -113,7 +117,5 @@ def keep_leases(events: DataFrame, path: str, checkpoint: str, **options) -> Str
 
 def events_of(transitions: DataFrame) -> DataFrame:
     """A log line for each shard that failed for its attempts."""
-    from pyspark.sql import functions as F
-
     gone = transitions.where("action = 'escalated'")
     return gone.select("doc_id", F.col("idx").alias("shard_idx"), F.lit("error").alias("level"), F.lit("parse").alias("stage"), F.lit("SHARD_TIMEOUT").alias("code"), F.concat(F.lit("shard escalated to failed after "), "attempts", F.lit(" attempts")).alias("message"), F.col("at").alias("created_at"))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..sources.tables import Change, Tables
 
+_LINES = "us bigint, pages_parsed bigint, shards_done bigint, shards_failed bigint, parse_p50_ms bigint, parse_p95_ms bigint, peak_rss_p95_mb bigint"
 ROLLUP = "bucket timestamp, pages_parsed bigint, shards_done bigint, shards_failed bigint, parse_p50_ms bigint, parse_p95_ms bigint, peak_rss_p95_mb bigint"
 _PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,10 +67,10 @@ class Rollup(StatefulProcessor):
         self.seen = handle.getValueState("seen", "minute array<bigint>, what array<string>, value array<bigint>, n array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        day = pd.Timestamp(key[0])
+        day = int(key[0])  # times are microseconds since 1970 here, whatever the session's zone
         new = pd.concat(list(rows))
-        new["minute"] = ((new["bucket"] - day).dt.total_seconds() // 60).astype("int64")
-        start = int(day.timestamp() * 1000)
+        new["minute"] = (new["us"] - day) // 60_000_000
+        start = day // 1000
         new = new[start + (new["minute"] + 1) * 60_000 + self.late > timerValues.getCurrentWatermarkInMs()]
         if new.empty:
             return
@@ -87,7 +88,7 @@ class Rollup(StatefulProcessor):
             out[name] = out[name].fillna(0).astype("int64")
         for name, what, p in (("parse_p50_ms", "t", 50), ("parse_p95_ms", "t", 95), ("peak_rss_p95_mb", "r", 95)):
             out[name] = floor_percentiles(own[own["what"] == what], p).astype("Int64")
-        out.insert(0, "bucket", day + pd.to_timedelta(out.index, unit="m"))
+        out.insert(0, "us", day + out.index.to_numpy() * 60_000_000)
         yield out.reset_index(drop=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -102,7 +103,9 @@ def rollup_stream(shards: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The lines of the minutes that a batch of the stream changes: what `metrics.minute_rollup` gives for all rows so far."""
     ms = int(pd.Timedelta(late).total_seconds() * 1000)
     rows = counted(shards).withWatermark("bucket", late)
-    return rows.withColumn("day", F.date_trunc("day", "bucket")).groupBy("day").transformWithStateInPandas(Rollup(ms), ROLLUP, "Update", "EventTime")
+    rows = rows.withColumns({"us": F.unix_micros("bucket"), "day": F.unix_micros(F.date_trunc("day", "bucket"))})
+    lines = rows.groupBy("day").transformWithStateInPandas(Rollup(ms), _LINES, "Update", "EventTime")
+    return lines.select(F.timestamp_micros("us").alias("bucket"), *[c for c in lines.columns if c != "us"])
 
 
 def keep_rollup(shards: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", name: str = "rollup") -> StreamingQuery:
