@@ -25,15 +25,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import BM25_B, BM25_K1
 from ..sources.versions import Conflict, Versions
+from .chunks import dealt
 from .retrieval import query_terms, terms
 
 #: Powers of two: rows of a block, and words of a field.
 BLOCK, FIELD = 10, 40
-#: Blocks scored without looking at bounds, and blocks times terms whose bounds one task may hold.
-FIRST, BOUNDS = 16, 200_000
+#: Blocks scored without looking at bounds.
+FIRST = 16
 TRIES = 8
 #: Goes up with the form of what is written.
-FORMAT = 1
+FORMAT = 2
+#: Bytes of a row group of postings.
+GROUP = 1 << 20
 #: Queries that one pass over the postings answers.
 QUERIES = 1024
 
@@ -135,6 +138,7 @@ class Index:
 
     def _segment(self, rows: DataFrame) -> dict:
         fields, keep = self.now["fields"], [x.split(" ")[0] for x in self.now["keep"]]
+        rows = dealt(rows.select(*dict.fromkeys([self.now["id"], *keep, *fields])))
         at = rows.select(F.col(self.now["id"]).alias("id"), *keep, *[terms(F.col(f)).alias(f"f{i}") for i, f in enumerate(fields)])
         dl = sum((F.coalesce(F.size(f"f{i}"), F.lit(0)) for i in range(len(fields))), F.lit(0))
 
@@ -154,7 +158,8 @@ class Index:
     def _written(self, posted: DataFrame, lengths: DataFrame) -> dict:
         """A segment of postings and rows, and its part of the manifest."""
         name = f"s-{uuid.uuid4().hex}"
-        posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/{name}/postings")
+        # small row groups: a query decodes those of its terms
+        posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", GROUP).parquet(f"{self.path}/{name}/postings")
         lengths.write.parquet(f"{self.path}/{name}/rows")
         spark = self.spark
         files = spark.read.schema("term string").parquet(f"{self.path}/{name}/postings").groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last"))
@@ -287,7 +292,10 @@ class Index:
         heads = self._entries(words, ["n", "max_tf", "min_dl"])
         blocks = (n >> BLOCK) + len(self.now["segments"]) + 8
         if blocks <= FIRST:
-            idf = {r["term"]: _idf(n, r["df"]) for r in heads.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row for each word asked
+            df: dict[str, int] = {}
+            for r in heads.select("term", "n").collect():  # FIRST rows for each word asked
+                df[r["term"]] = df.get(r["term"], 0) + r["n"]
+            idf = {t: _idf(n, df[t]) for t in sorted(df)}
             return self._scored(self._opened(self._entries(words, ["ids", "tfs", "dls"])), idf, mean, k)
         idf = {r["term"]: _idf(n, r["df"]) for r in heads.groupBy("term").agg(F.sum("n").alias("df")).collect()}
         of = F.lit(0.0)
