@@ -12,7 +12,7 @@ from test_operators import corpus, leaks_brute, lower, words
 import corpus_pipeline
 from lodestone.llm import queries, toxicity
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents pages benchmark labels conversations sale_lines".split()
 
 
 @pytest.fixture(scope="module")
