@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as T
 from .functions.metadata import metadata_filter
-from .operators import evaluation, events as event_rows, index, metrics, retrieval, shards, vector_index
+from .operators import evaluation, events as event_rows, index, metrics, retrieval, shards, structure, vector_index
 from .operators.index import Index, clause
 from .operators.vector_index import VectorIndex, nearest_of_each
 from .plans import views
@@ -593,7 +593,7 @@ def script_counts(spark, sf_dir):
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
     SELECT doc_id, count(*) AS lines, round(avg(length(line)), 9) AS mean, round(stddev_pop(length(line)), 6) AS sd, count(*) FILTER (WHERE regexp_matches(line, '^#{1,6}[ \t]')) AS headings FROM l GROUP BY doc_id""")
 def line_profile(spark, sf_dir):
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = structure.lines(_table(spark, sf_dir, "documents").where("text is not null"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg(F.length("line")), 9).alias("mean"), F.round(F.stddev_pop(F.length("line")), 6).alias("sd"), F.count_if(F.rlike("line", F.lit(r"^#{1,6}[ \t]"))).alias("headings"))
 
 
@@ -840,18 +840,112 @@ def chunk_pages_markdown(spark, sf_dir):
     return from_html(_table(spark, sf_dir, "pages")).select("id", "doc_id", "is_parent", "seq", "heading_path", "header_breadcrumb", "text")
 
 
-@query()
+_WS = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Lines of d (doc_id, text) with their places, whether they bound code or are inside it, and their level as a heading.
+_LINES = rf"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+    l1 AS (SELECT *, regexp_matches(line, '^{_WS}*```') AS fence, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at" FROM l0),
+    l2 AS (SELECT *, sum(CAST(fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k) % 2 = 1 AS inside FROM l1),
+    l AS (SELECT *, NOT fence AND NOT inside AS plain, CASE WHEN fence OR inside OR NOT regexp_matches(line, '^#{{1,6}}[ \t\f\r]+') OR regexp_matches(line, '^#{{1,6}}[ \t\f\r]+{_WS}*#*{_WS}*$') THEN 0 ELSE length(regexp_extract(line, '^#+')) END AS level FROM l2)"""
+#: The script label of the first 4096 bytes of each text of d.
+_OWN = """x AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 4096), '(?s).')) AS ch, generate_subscripts(regexp_extract_all(substr(text, 1, 4096), '(?s).'), 1) AS i FROM d WHERE octet_length(encode(text)) > 4096),
+    y AS (SELECT *, sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM x), z AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS head FROM y WHERE upto <= 4096 GROUP BY doc_id),
+    e AS (SELECT d.doc_id, coalesce(z.head, text) AS head FROM d LEFT JOIN z USING (doc_id)),
+    s AS (SELECT doc_id, len(regexp_extract_all(head, '[\\p{Han}\\p{Hangul}\\p{Hiragana}\\p{Katakana}]')) AS cjk, len(regexp_extract_all(head, '[äöüÄÖÜß]')) AS um, len(regexp_extract_all(head, '[a-zA-Z]')) + um AS latin,
+        lower(substr(head, 1, coalesce(list_max(list_filter(range(1, 513), lambda n: octet_length(encode(substr(head, 1, n))) <= 512)), 0))) AS h FROM e),
+    o AS (SELECT doc_id, CASE WHEN cjk + latin = 0 OR (cjk / (cjk + latin) >= 0.15 AND latin / (cjk + latin) >= 0.15) THEN 'mixed' WHEN cjk / (cjk + latin) > 0.3 THEN 'zh' WHEN um > 0 OR %s THEN 'de' ELSE 'en' END AS own FROM s)""" % " OR ".join(f"contains(h, '{w}')" for w in T.GERMAN_WORDS)
+_TEXTS = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def _lines_like(pattern: str) -> str:
+    return f"CAST(count(*) FILTER (plain AND level = 0 AND regexp_matches(line, '{pattern}')) AS INTEGER)"
+
+
+@query(rf"""WITH {_TEXTS}, {_LINES}, {_OWN},
+    n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS lines, CAST(count(*) FILTER (level > 0) AS INTEGER) AS headings, {", ".join(f"count(*) FILTER (level = {k}) AS h{k}" for k in range(1, 7))},
+        {_lines_like(structure.NUMBERED)} AS numbered, {" + ".join(_lines_like(p) for p in structure.CHAPTERS.values())} AS chapters, {_lines_like(structure.ALL_CAPS)} AS all_caps, {_lines_like(structure.SEPARATOR_LINE)} AS separators,
+        {_lines_like(structure.FOOTER)} AS footers, bool_or(fence) AS has_code, count(*) FILTER (plain AND level = 0 AND regexp_matches(line, '^{_WS}*\|(.*\|)?{_WS}*$')) > 0 AS has_tables,
+        coalesce(sum(length(line)) FILTER (inside AND NOT fence), 0) AS code, coalesce(avg(length(line)) FILTER (plain), 0) AS mean, coalesce(stddev_pop(length(line)) FILTER (plain), 0) AS sd FROM l GROUP BY doc_id),
+    p AS (SELECT *, CAST(length(text) AS INTEGER) AS total_chars, CAST(length(text) - length(replace(text, chr(12), '')) AS INTEGER) AS form_feeds, CAST((length(text) - length(replace(text, repeat(chr(10), 3), ''))) / 3 AS INTEGER) AS blank_breaks,
+        CASE {" ".join(f"WHEN h{k} >= 3 THEN {k}" for k in range(1, 7))} {" ".join(f"WHEN h{k} > 0 THEN {k}" for k in range(6, 0, -1))} ELSE 0 END AS dominant_level FROM n JOIN d USING (doc_id) JOIN o USING (doc_id))
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, total_chars, CASE WHEN total_chars > 0 THEN lines ELSE 0 END AS total_lines, headings, concat_ws(',', {", ".join(f"CASE WHEN h{k} > 0 THEN '{k}:' || h{k} END" for k in range(1, 7))}) AS levels, dominant_level,
+    numbered, chapters, all_caps, separators, footers, form_feeds, blank_breaks, has_code, has_tables, round(CASE WHEN total_chars > 0 THEN code / total_chars ELSE 0 END, 9) AS code_ratio, round(mean, 9) AS mean_line, round(sd, 6) AS sd_line,
+    CASE WHEN total_chars = 0 THEN '' WHEN own = 'mixed' THEN 'en,de,zh' ELSE own END AS languages,
+    concat_ws(',', CASE WHEN headings >= 3 AND headings / lines > 0.005 THEN 'heading' END, CASE WHEN numbered + chapters + all_caps + separators + footers + form_feeds >= 5 OR form_feeds > 0 OR chapters > 0 THEN 'heuristic' END, 'legacy') AS tiers FROM p""")
 def document_profiles(spark, sf_dir):
-    from .operators.chunks import profiles
-
-    return profiles(_table(spark, sf_dir, "documents")).drop("heading_counts")
+    """All signals of each text, and the tiers they call for."""
+    found = structure.profiles(_table(spark, sf_dir, "documents"))
+    levels = F.array_join(F.transform(F.array_sort(F.map_entries("heading_counts")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    shown = {"levels": levels, "code_ratio": F.round("code_ratio", 9), "mean_line": F.round("mean_line", 9), "sd_line": F.round("sd_line", 6), "languages": F.array_join("languages", ","), "tiers": F.array_join("tiers", ",")}
+    return found.withColumns(shown).drop("heading_counts")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS total_chars, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(12), '')) AS INTEGER) AS form_feeds FROM documents")
 def profile_counts(spark, sf_dir):
-    from .operators.chunks import profiles
+    return structure.profiles(_table(spark, sf_dir, "documents")).select("doc_id", "total_chars", "form_feeds")
+
+
+def _turns_sql(title: str, turn: str, between: str) -> str:
+    """SQL for d, one text of each conversation: a title, then its turns."""
+    return f"""d AS (SELECT conv_id AS doc_id, {title} || string_agg({turn}, {between} ORDER BY turn, role, text) AS text
+    FROM (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str, title: Column, turn: Callable[[Column], Column], between: str) -> DataFrame:
+    """The same as a DataFrame."""
+    c = _table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), turn)
+    return c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.concat(title, F.array_join(turns, between)).alias("text"))
+
+
+_OUTLINED = _turns_sql("'# Conversation ' || conv_id || chr(10)", "repeat('#', CAST(2 + turn % 3 AS INTEGER)) || ' ' || role || chr(10) || text", "chr(10)")
+#: Turns by pages, numbered lines, chapters and rules, with blank lines between.
+_MARKED = _turns_sql("''", "CASE turn % 4 WHEN 0 THEN '1.' || (turn + 1) || ' ' || role WHEN 1 THEN chr(12) || upper(role) WHEN 2 THEN 'Chapter ' || turn || ': ' || role ELSE '---' END || chr(10) || text", "repeat(chr(10), 3)")
+
+
+@query(rf"""WITH {_OUTLINED}, {_LINES},
+    h AS (SELECT doc_id, k - 1 AS line_no, "at", level, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^#+[ \t\f\r]+', ''), '^{_WS}+|{_WS}+$', '', 'g'), '#+$', ''), '{_WS}+$', '') AS title FROM l WHERE level > 0)
+    SELECT a.doc_id, CAST(a.line_no AS INTEGER) AS line_no, CAST(a."at" AS BIGINT) AS "at", CAST(a.level AS INTEGER) AS level, a.title, string_agg(repeat('#', CAST(g.level AS INTEGER)) || ' ' || g.title, chr(10) ORDER BY g.line_no) AS breadcrumb
+    FROM h a JOIN h g ON g.doc_id = a.doc_id AND (g.line_no = a.line_no OR (g.line_no < a.line_no AND g.level < a.level))
+    WHERE NOT EXISTS (SELECT 1 FROM h m WHERE m.doc_id = a.doc_id AND m.line_no > g.line_no AND m.line_no <= a.line_no AND m.level <= g.level) GROUP BY ALL""")
+def conversation_outline(spark, sf_dir):
+    """The headings of conversations as texts, a heading a turn, with those in force above them."""
+    turn = lambda t: F.concat(F.repeat(F.lit("#"), (t["turn"] % 3 + 2).cast("int")), F.lit(" "), t["role"], F.lit("\n"), t["text"])
+    return structure.headings(_turns(spark, sf_dir, F.concat(F.lit("# Conversation "), F.col("conv_id"), F.lit("\n")), turn, "\n"))
+
+
+def _kind_of_line() -> str:
+    chapters = " OR ".join(f"(own IN ('{k}', 'mixed') AND regexp_matches(line, '{p}'))" for k, p in structure.CHAPTERS.items())
+    rest = (("numbered", structure.NUMBERED), ("capitals", structure.ALL_CAPS), ("separator", structure.SEPARATOR_LINE), ("footer", structure.FOOTER))
+    return f"CASE WHEN {chapters} THEN 'chapter' " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in rest) + " END"
+
+
+@query(rf"""WITH {_MARKED}, {_LINES}, {_OWN},
+    f AS (SELECT doc_id, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS "at" FROM (SELECT doc_id, unnest(string_split(text, chr(12))) AS p, generate_subscripts(string_split(text, chr(12)), 1) AS k FROM d)),
+    g AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n{{3,}}')) AS p, generate_subscripts(regexp_split_to_array(text, '\n{{3,}}'), 1) AS k FROM d),
+    m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\n{{3,}}')) AS q, generate_subscripts(regexp_extract_all(text, '\n{{3,}}'), 1) AS k FROM d),
+    b AS (SELECT doc_id, q, sum(length(p) + coalesce(length(q), 0)) OVER (PARTITION BY doc_id ORDER BY k) AS "at" FROM g LEFT JOIN m USING (doc_id, k)),
+    a AS (SELECT doc_id, "at", {_kind_of_line()} AS kind FROM l JOIN o USING (doc_id) WHERE plain UNION ALL SELECT doc_id, "at", 'form feed' FROM f UNION ALL SELECT doc_id, "at", 'blank' FROM b WHERE q IS NOT NULL),
+    r AS (SELECT a.*, CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in structure.PRIORITIES.items())} END AS priority FROM a JOIN d USING (doc_id) WHERE kind IS NOT NULL AND "at" > 0 AND "at" < length(text))
+    SELECT doc_id, CAST("at" AS BIGINT) AS "at", arg_max(kind, priority) AS kind, CAST(max(priority) AS INTEGER) AS priority FROM r GROUP BY ALL""")
+def conversation_boundaries(spark, sf_dir):
+    """Where conversations as texts may be cut, with the strongest kind of each place."""
+    kind = lambda t: t["turn"] % 4
+    head = lambda t: F.when(kind(t) == 0, F.concat(F.lit("1."), t["turn"] + 1, F.lit(" "), t["role"])).when(kind(t) == 1, F.concat(F.lit("\f"), F.upper(t["role"]))).when(kind(t) == 2, F.concat(F.lit("Chapter "), t["turn"], F.lit(": "), t["role"])).otherwise("---")
+    return structure.boundaries(_turns(spark, sf_dir, F.lit(""), lambda t: F.concat(head(t), F.lit("\n"), t["text"]), "\n\n\n"))
+
+
+#: Size that conversations are checked for as if their turns were chunks.
+CHECKED_SIZE = 150
+
 
-    return profiles(_table(spark, sf_dir, "documents")).select("doc_id", "total_chars", "form_feeds")
+@query(f"""WITH r AS (SELECT conv_id, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 0) DESC, length(coalesce(text, '')) DESC) AS back FROM conversations WHERE conv_id IS NOT NULL),
+    g AS (SELECT conv_id, count(*) AS n, sum(n) AS total, max(n) AS most, count(*) FILTER (n < 50 AND back > 1) AS tiny FROM r GROUP BY conv_id)
+    SELECT conv_id AS doc_id, n, CASE WHEN n = 1 AND total > {2 * CHECKED_SIZE} THEN 'one chunk for a long text' WHEN tiny > n // 4 AND tiny > 2 THEN 'too many tiny chunks' WHEN most < {CHECKED_SIZE // 4} AND total > {CHECKED_SIZE} THEN 'all far below size'
+    WHEN most > {2 * CHECKED_SIZE} THEN 'a chunk over twice the size' END AS fault FROM g""")
+def chunk_checks(spark, sf_dir):
+    """Whether the turns of each conversation would do as its chunks, and why not."""
+    turns = _table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("doc_id"), F.coalesce("turn", F.lit(0)).alias("start"), F.coalesce("text", F.lit("")).alias("text"))
+    return structure.chunk_faults(turns, turns.groupBy("doc_id").agg(F.sum(F.length("text")).alias("total")), CHECKED_SIZE)
 
 
 def _shard_rows(spark, sf_dir) -> DataFrame:

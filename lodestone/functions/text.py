@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 #: Characters a token by language.
 CHARS_PER_TOKEN = {"en": 4.0, "de": 4.5, "zh": 1.7, "mixed": 3.0}
@@ -49,14 +48,24 @@ def chars_for_tokens(tokens: int, lang: str = "mixed") -> int:
     return int(tokens * CHARS_PER_TOKEN.get(lang, 3.0) * 0.9) if tokens > 0 else 0
 
 
-@pandas_udf(StringType())
-def _head_bytes(text: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else t.encode()[: max(int(k), 0)].decode("utf-8", "ignore") for t, k in zip(text, n, strict=True)])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, wherever it stands: inside functions of arrays no common part is found."""
+    return F.transform(F.array(value), body)[0]
 
 
 def truncated_bytes(text: Column, n: int) -> Column:
-    """The longest beginning of at most n bytes that cuts no code point. Texts that are short enough don't reach Python."""
-    return F.when(F.octet_length(text) <= n, text).when(F.lit(n <= 0), F.lit("")).otherwise(_head_bytes(F.substring(text, 1, max(n, 1)), F.lit(n)))
+    """The longest beginning of at most n bytes that cuts no code point."""
+    if n <= 0:
+        return F.when(text.isNotNull(), "")
+
+    def cut(held: Column) -> Column:
+        begins = lambda at: ~F.substring(F.hex(F.substring(held, at + 1, 1)), 1, 1).isin("8", "9", "A", "B")  # noqa: E731  not in the midst of a code point
+        at = F.when(begins(n), n)
+        for back in range(1, min(n, 3) + 1):
+            at = at.when(begins(n - back), n - back)
+        return F.decode(F.substring(held, F.lit(1), at.otherwise(0)), "UTF-8")
+
+    return F.when(F.octet_length(text) <= n, text).otherwise(let(F.encode(F.substring(text, 1, n + 1), "UTF-8"), cut))
 
 
 def preview(text: Column, n: int = 500) -> Column:
@@ -65,18 +74,22 @@ def preview(text: Column, n: int = 500) -> Column:
 
 def language(text: Column) -> Column:
     """Coarse label by script: mixed, zh, de or en."""
-    kept = lambda c: F.length(F.regexp_replace(text, f"[^{c}]+", ""))  # noqa: E731  runs of the rest go in one match each
-    cjk, umlaut = kept(CJK.strip("[]")), kept(UMLAUTS)
-    latin = umlaut + kept("a-zA-Z")
-    total = cjk + latin
-    head = F.lower(truncated_bytes(text, 512))
-    german = F.lit(False)
-    for w in GERMAN_WORDS:
-        german = german | head.contains(w)
-    return (
-        F.when(total == 0, "mixed").when((cjk / total >= 0.15) & (latin / total >= 0.15), "mixed").when(cjk / total > 0.3, "zh")
-        .when((umlaut > 0) | german, "de").otherwise("en")
-    )
+
+    def counts(text: Column) -> Column:
+        kept = lambda c: F.length(F.regexp_replace(text, f"[^{c}]+", ""))  # noqa: E731  runs of the rest go in one match each
+        german = lambda head: F.exists(F.array(*map(F.lit, GERMAN_WORDS)), lambda w: head.contains(w))
+        umlaut = kept(UMLAUTS)
+        return F.struct(kept(CJK.strip("[]")).alias("cjk"), umlaut.alias("umlaut"), kept("a-zA-Z").alias("ascii"), let(F.lower(truncated_bytes(text, 512)), german).alias("german"))
+
+    def label(n: Column) -> Column:
+        cjk, latin = n["cjk"], n["umlaut"] + n["ascii"]
+        total = cjk + latin
+        return (
+            F.when(total == 0, "mixed").when((cjk / total >= 0.15) & (latin / total >= 0.15), "mixed").when(cjk / total > 0.3, "zh")
+            .when((n["umlaut"] > 0) | n["german"], "de").otherwise("en")
+        )
+
+    return F.when(text.isNotNull(), let(let(text, counts), label)).otherwise("en")
 
 
 def word_list(text: Column) -> Column:

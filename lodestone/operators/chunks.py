@@ -7,11 +7,13 @@ import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CHILD_SIZE, PARENT_SIZE, parent_and_child
 from ..functions import text as T
-from .splitting import PageMap, parents_and_children, profile, split, tiers
+from ..functions.text import let
+from .splitting import Chunk, PageMap, Signals, children_of, split
+from .structure import chain, dealt, profile, profiles
 
 RAW = "doc_id string, is_parent boolean, ord int, parent_ord int, start int, end int, prefix int, text string, breadcrumb string, page_start int, page_end int, chunk_hash string, parent_hash string, seq int"
 _NAMES = [x.split()[0] for x in RAW.split(", ")]
@@ -36,45 +38,70 @@ def numbered(rows: list[tuple[bool, str]]) -> list[int | None]:
     return out
 
 
-#: Bytes for each core up to which a table of few files is dealt over the cores before its texts are worked on.
-DEAL = 64 << 20
-
-
-def dealt(docs: DataFrame) -> DataFrame:
-    """docs over all cores where few files hold them, as a file of one row group is one task whatever its rows cost. Tables of many files, or of more than
-    DEAL bytes for each core, whose scans have tasks enough, stay as they are: no text of theirs is moved."""
-    cores, files = docs.sparkSession.sparkContext.defaultParallelism, len(docs.inputFiles())
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return docs.repartition(2 * cores) if 0 < files < cores and size < DEAL * cores else docs
-
-
 def raw_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages_col: str | None = None, parent_size: int = PARENT_SIZE, child_size: int = CHILD_SIZE, strategy: str = "auto") -> DataFrame:
     """Parents and children of each row's text, in order, hashed and numbered where the text is split: nothing is shuffled. seq is null for
-    rows that repeat another's hash; parent_hash is that of the parent of a child, if that stays."""
+    rows that repeat another's hash; parent_hash is that of the parent of a child, if that stays. The signals of texts, and then of their parents, are expressions (`structure.profile`); Python only packs."""
     parent, child = parent_and_child(parent_size, child_size, strategy)
     pages = F.col(pages_col) if pages_col else F.lit(None).cast("array<int>")
     rows = dealt(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), pages.alias("pages")))
-
-    def run(batches):
-        for b in batches:
-            out: list[tuple] = []
-            size = 0
-            for i in range(b.num_rows):
-                doc, text, lines = (b.column(x)[i].as_py() for x in ("doc_id", "text", "pages"))
-                where = PageMap(text, lines)
-                tops, kept, children = parents_and_children(text, parent, child)
-                hashes = [text_hash(c.text) if kept[k] else None for k, c in enumerate(tops)]
-                rows_ = [(True, k, None, c, hashes[k], None) for k, c in enumerate(tops) if kept[k]]
-                rows_ += [(False, k, x.parent, x.chunk, text_hash(x.chunk.text), hashes[x.parent]) for k, x in enumerate(children)]
-                seqs = numbered([(x[0], x[4]) for x in rows_])
-                out += [(doc, top, k, parent_, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end), own, above, seq) for (top, k, parent_, c, own, above), seq in zip(rows_, seqs, strict=True)]
-                size += len(text)
-                if size > 1 << 22:
-                    yield _batch(out)
-                    out, size = [], 0
-            yield _batch(out)
-
-    return rows.mapInArrow(run, RAW)
+    tops = rows.withColumn("signals", signals(F.col("text"), strategy)).mapInArrow(lambda batches: _parents(batches, parent), _TOPS)
+    known = F.transform("tops", lambda t: F.struct(*[t[x].alias(x) for x in _CHUNK], signals(t["text"], strategy).alias("signals")))
+    return tops.withColumn("tops", known).mapInArrow(lambda batches: _children(batches, child), RAW)
+
+
+_CHUNK = ("text", "start", "end", "prefix", "breadcrumb")
+_TOPS = "doc_id string, text string, pages array<int>, tops array<struct<text:string,start:int,end:int,prefix:int,breadcrumb:string>>"
+#: Characters of texts whose rows go on together.
+PASSED_ON = 1 << 22
+
+
+def signals(text: Column, strategy: str) -> Column:
+    """What the splitter asks of a text's profile."""
+    return let(profile(text), lambda p: F.struct(chain(p, strategy).alias("tiers"), p["dominant_level"].alias("level"), p["languages"].alias("languages")))
+
+
+def _signals(x: dict) -> Signals:
+    return Signals(tuple(x["tiers"]), x["level"], tuple(x["languages"]))
+
+
+def _parents(batches, config):
+    """Rows of texts with their parents; the text goes on where its lines have pages, which the children need."""
+    kinds = pa.schema([("doc_id", pa.string()), ("text", pa.string()), ("pages", pa.list_(pa.int32())), ("tops", pa.list_(pa.struct(list(zip(_CHUNK, (pa.string(), *[pa.int32()] * 3, pa.string()), strict=True)))))])
+    for b in batches:
+        out, size = [], 0
+        for r in b.to_pylist():
+            tops = split(r["text"], config, _signals(r["signals"]))[0]
+            out.append({"doc_id": r["doc_id"], "text": r["text"] if r["pages"] else None, "pages": r["pages"], "tops": [{x: getattr(c, x) for x in _CHUNK} for c in tops]})
+            size += len(r["text"])
+            if size > PASSED_ON:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+                out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, kinds)
+
+
+def _children(batches, config):
+    """The parents that stay and all children of each text, hashed and numbered."""
+    for b in batches:
+        out: list[tuple] = []
+        size = 0
+        for r in b.to_pylist():
+            doc, where = r["doc_id"], PageMap(r["text"] or "", r["pages"])
+            rows_, lows, hashes = [], [], []
+            for k, t in enumerate(r["tops"]):
+                top = Chunk(*[t[x] for x in _CHUNK])
+                stays, found = children_of(top, config, _signals(t["signals"]))
+                hashes.append(text_hash(top.text) if stays else None)
+                if stays:
+                    rows_.append((True, k, None, top, hashes[k], None))
+                lows += [(k, c) for c in found]
+                size += len(top.text)
+            rows_ += [(False, i, k, c, text_hash(c.text), hashes[k]) for i, (k, c) in enumerate(lows)]
+            seqs = numbered([(x[0], x[4]) for x in rows_])
+            out += [(doc, top, k, parent_, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end), own, above, seq) for (top, k, parent_, c, own, above), seq in zip(rows_, seqs, strict=True)]
+            if size > PASSED_ON:
+                yield _batch(out)
+                out, size = [], 0
+        yield _batch(out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -105,22 +132,4 @@ def chunked(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-PROFILE = "doc_id string, total_chars int, total_lines int, headings int, heading_counts map<int,int>, dominant_level int, numbered int, chapters int, all_caps int, separators int, footers int, form_feeds int, blank_breaks int, has_code boolean, has_tables boolean, code_ratio double, mean_line double, sd_line double, languages array<string>, tiers array<string>"
-
-
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Structure signals of each text and the tiers that they call for."""
-    rows = dealt(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for doc, text in zip(f["doc_id"], f["text"], strict=True):
-                p = profile(text)
-                out.append((doc, p.total_chars, p.total_lines, p.headings, p.heading_counts, p.dominant_level, p.numbered, sum(p.chapters.values()), p.all_caps, p.separators, p.footers, p.form_feeds, p.blank_breaks, p.has_code, p.has_tables, p.code_ratio, p.mean_line, p.sd_line, list(p.languages), tiers(p)))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in PROFILE.split(", ")])
-
-    return rows.mapInPandas(run, PROFILE)
-
-
 __all__ = ["chunked", "deduplicated", "numbered", "profiles", "raw_chunks", "split"]

@@ -1,4 +1,6 @@
-"""Splits one Markdown text into chunks: by headings, by other structure, or by separators. Plain Python on code points.
+"""Splits one Markdown text into chunks: by headings, by other structure, or by separators. Plain Python on code points, for one text at a time.
+
+The signals that choose among them are expressions of `structure`; what comes after (hashes, numbers, links) is in `chunks`.
 
 Every chunk is a slice of the source, `source[start:end]`, after `prefix` characters of a repeated table header.
 """
@@ -8,10 +10,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
-from statistics import fmean, pstdev
+from dataclasses import dataclass, replace
 
 from ..config import SplitConfig
+from .structure import ALL_CAPS, CHAPTERS, FOOTER, NUMBERED, SEPARATOR_LINE
 
 #: Longest unit that is kept whole, and how far back a forced cut looks for white space.
 HARD, LOOK_BACK = 7500, 200
@@ -28,18 +30,9 @@ PROTECTED = (
     re.compile(r"`[^`\r\n]+`"),
 )
 TABLE_START = re.compile(r"\A[ \t\n\f\r]*(?:\|[^|\n]*)+[\r\n]+[ \t\n\f\r]*(?:\|[ \t\n\f\r]*:?-{3,}:?[ \t\n\f\r]*)+\|?[\r\n]+\Z")
-NUMBERED = re.compile(r"^[ \t]*(?:\d+(?:\.\d+){1,3}\.?|(?:\d+|[IVX]{1,5})\.)[ \t]+\S.{0,200}$", re.A)
-ALL_CAPS = re.compile(r"^[ \t]*([A-ZÄÖÜ][A-ZÄÖÜ \-]{3,80}):?[ \t\f\r]*$")
-SEPARATOR_LINE = re.compile(r"^[ \t]*(?:-{3,}|={3,}|\*{3,}|_{3,})[ \t]*$")
-FOOTER = re.compile(r"^[ \t]*(?:Seite|Page|页码?)[ \t\f\r]+\d+(?:[ \t\f\r]*(?:von|of|/)[ \t\f\r]*\d+)?[ \t]*$", re.I | re.A)
-CHAPTERS = {
-    "de": re.compile(r"^[ \t]*(?:Kapitel|Abschnitt|Teil)[ \t\f\r]+(?:[0-9]+|[IVX]{1,5})[\.: ].{0,200}$"),
-    "en": re.compile(r"^[ \t]*(?:Chapter|Section|Part)[ \t\f\r]+(?:[0-9]+|[IVX]{1,5})[\.: ].{0,200}$"),
-    "zh": re.compile(r"^[ \t]*第[ \t]*[一二三四五六七八九十百千零〇0-9]+[ \t]*(?:章|节|節|部分|篇)[ \t]?.{0,200}$"),
-}
-GERMAN = (" der ", " die ", " das ", " und ", " ist ", " nicht ", " mit ", " auf ")
-_CJK = re.compile("[ᄀ-ᇿ぀-ヿ㄰-㆏ㇰ-ㇿ㐀-䶿一-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
 _HEADING = re.compile(r"^(#{1,6})[ \t\f\r]+(.+)$")
+_LINE_KINDS = tuple(re.compile(x, re.A) for x in (NUMBERED, ALL_CAPS, SEPARATOR_LINE, FOOTER))
+_CHAPTERS = {k: re.compile(x) for k, x in CHAPTERS.items()}
 
 
 @dataclass(frozen=True)
@@ -247,20 +240,7 @@ def plain(text: str, config: SplitConfig) -> list[Chunk]:
     return merged(units(text, config.size), config.size, config.overlap)
 
 
-# ---------------------------------------------------------------- profile
-
-
-def language(text: str) -> str:
-    cjk = len(_CJK.findall(text))
-    umlaut = sum(c in "äöüÄÖÜß" for c in text)
-    latin = umlaut + sum(c.isascii() and c.isalpha() for c in text)
-    total = cjk + latin
-    if not total or (cjk / total >= 0.15 and latin / total >= 0.15):
-        return "mixed"
-    if cjk / total > 0.3:
-        return "zh"
-    head = text.encode()[:512].decode("utf-8", "ignore").lower()
-    return "de" if umlaut or any(w in head for w in GERMAN) else "en"
+# ---------------------------------------------------------------- lines
 
 
 def heading(line: str) -> tuple[int, str] | None:
@@ -270,42 +250,13 @@ def heading(line: str) -> tuple[int, str] | None:
     return (len(m[1]), title) if title else None
 
 
-@dataclass
-class Profile:
-    total_chars: int = 0
-    total_lines: int = 0
-    heading_counts: dict[int, int] = field(default_factory=dict)
-    numbered: int = 0
-    chapters: dict[str, int] = field(default_factory=lambda: dict.fromkeys(CHAPTERS, 0))
-    all_caps: int = 0
-    separators: int = 0
-    footers: int = 0
-    form_feeds: int = 0
-    blank_breaks: int = 0
-    has_code: bool = False
-    has_tables: bool = False
-    code_ratio: float = 0.0
-    mean_line: float = 0.0
-    sd_line: float = 0.0
-    languages: tuple[str, ...] = ()
-
-    @property
-    def headings(self) -> int:
-        return sum(self.heading_counts.values())
-
-    @property
-    def heading_density(self) -> float:
-        return self.headings / self.total_lines if self.total_lines else 0.0
-
-    @property
-    def dominant_level(self) -> int:
-        """The shallowest level with three headings, else the deepest there is, else 0."""
-        many = [k for k, n in sorted(self.heading_counts.items()) if n >= 3]
-        return many[0] if many else max(self.heading_counts, default=0)
+@dataclass(frozen=True)
+class Signals:
+    """What `structure.profile` found in a text, as far as the splitter asks for it: the tiers to try, the dominant level of headings and the languages."""
 
-    @property
-    def markers(self) -> int:
-        return self.numbered + sum(self.chapters.values()) + self.all_caps + self.separators + self.footers + self.form_feeds
+    tiers: tuple[str, ...] = ("legacy",)
+    level: int = 0
+    languages: tuple[str, ...] = ()
 
 
 def unfenced(text: str):
@@ -320,46 +271,7 @@ def unfenced(text: str):
         at += len(line) + 1
 
 
-def profile(text: str) -> Profile:
-    p = Profile()
-    if not text:
-        return p
-    lengths: list[int] = []
-    code = 0
-    for _, line, fence in unfenced(text):
-        p.total_lines += 1
-        if fence:
-            p.has_code = True
-            code += len(line) if fence == "code" else 0
-            continue
-        lengths.append(len(line))
-        if (h := heading(line)) is not None:
-            p.heading_counts[h[0]] = p.heading_counts.get(h[0], 0) + 1
-            continue
-        p.numbered += bool(NUMBERED.match(line))
-        for k, pattern in CHAPTERS.items():
-            p.chapters[k] += bool(pattern.match(line))
-        p.all_caps += bool(ALL_CAPS.match(line))
-        p.separators += bool(SEPARATOR_LINE.match(line))
-        p.footers += bool(FOOTER.match(line))
-        trimmed = line.strip()
-        p.has_tables |= trimmed.startswith("|") and trimmed.endswith("|")
-    p.total_chars, p.form_feeds, p.blank_breaks = len(text), text.count("\f"), text.count("\n\n\n")
-    p.code_ratio = code / len(text)
-    if lengths:
-        p.mean_line, p.sd_line = fmean(lengths), pstdev(lengths)
-    own = language(text.encode()[:4096].decode("utf-8", "ignore"))
-    p.languages = ("en", "de", "zh") if own == "mixed" else (own,)
-    return p
-
-
-def tiers(p: Profile) -> list[str]:
-    out = []
-    if p.headings >= 3 and p.heading_density > 0.005 and p.dominant_level > 0:
-        out.append("heading")
-    if p.markers >= 5 or p.form_feeds or sum(p.chapters.values()):
-        out.append("heuristic")
-    return [*out, "legacy"]
+# ---------------------------------------------------------------- tiers
 
 
 def fault(chunks: list[Chunk], total: int, size: int) -> str | None:
@@ -377,9 +289,6 @@ def fault(chunks: list[Chunk], total: int, size: int) -> str | None:
     return "a chunk over twice the size" if max(lengths) > 2 * size else None
 
 
-# ---------------------------------------------------------------- tiers
-
-
 class HeadingStack:
     """The headings in force."""
 
@@ -404,9 +313,9 @@ def common(a: str, b: str) -> str:
     return "\n".join(out)
 
 
-def by_headings(text: str, config: SplitConfig, p: Profile) -> list[Chunk]:
+def by_headings(text: str, config: SplitConfig, dominant: int) -> list[Chunk]:
     marks = [(at, *h) for at, line, fence in unfenced(text) if fence is None and (h := heading(line))]
-    starts = sorted({0, *(at for at, level, _ in marks if level <= p.dominant_level)})
+    starts = sorted({0, *(at for at, level, _ in marks if level <= dominant)})
     if len(starts) == 1:
         return plain(text, config)
     out: list[Chunk] = []
@@ -445,31 +354,18 @@ def coalesced(chunks: list[Chunk], size: int) -> list[Chunk]:
     return out
 
 
-#: Strength of a boundary by its kind.
-PRIORITIES = {"form feed": 100, "numbered": 90, "chapter": 85, "capitals": 70, "separator": 60, "footer": 50, "blank": 40}
+def boundaries(text: str, languages: tuple[str, ...]) -> list[int]:
+    """Where a text without Markdown headings may be cut; their kinds and strengths (`structure.boundaries`) don't matter to the packer."""
+    found = {m.start() for m in re.finditer("\f", text)} | {m.end() for m in re.finditer(r"\n{3,}", text)}
+    kinds = [_CHAPTERS[k] for k in languages or _CHAPTERS if k in _CHAPTERS] + list(_LINE_KINDS)
+    found |= {at for at, line, fence in unfenced(text) if fence is None and any(x.match(line) for x in kinds)}
+    regions = protected(text)
+    return sorted(at for at in found if 0 < at < len(text) and not inside(regions, at))
 
 
-def ranked_boundaries(text: str, p: Profile) -> list[tuple[int, int]]:
-    """(offset, priority) where a text without Markdown headings may be cut, the strongest kind of each offset."""
-    found = [(m.start(), "form feed") for m in re.finditer("\f", text)] + [(m.end(), "blank") for m in re.finditer(r"\n{3,}", text)]
-    kinds = [("chapter", CHAPTERS[k]) for k in (p.languages or tuple(CHAPTERS)) if k in CHAPTERS] + [("numbered", NUMBERED), ("capitals", ALL_CAPS), ("separator", SEPARATOR_LINE), ("footer", FOOTER)]
-    for at, line, fence in unfenced(text):
-        if fence is None and (kind := next((k for k, x in kinds if x.match(line)), None)):
-            found.append((at, kind))
-    regions, best = protected(text), {}
-    for at, kind in found:
-        if 0 < at < len(text) and not inside(regions, at):
-            best[at] = max(best.get(at, 0), PRIORITIES[kind])
-    return sorted(best.items())
-
-
-def boundaries(text: str, p: Profile) -> list[int]:
-    return [at for at, _ in ranked_boundaries(text, p)]
-
-
-def by_structure(text: str, config: SplitConfig, p: Profile) -> list[Chunk]:
+def by_structure(text: str, config: SplitConfig, languages: tuple[str, ...]) -> list[Chunk]:
     size, lap = config.size, config.overlap
-    cuts = boundaries(text, p) if len(text) > size else []
+    cuts = boundaries(text, languages) if len(text) > size else []
     if not cuts:
         return plain(text, config)
     out: list[Chunk] = []
@@ -501,17 +397,14 @@ def by_structure(text: str, config: SplitConfig, p: Profile) -> list[Chunk]:
     return out
 
 
-def split(text: str, config: SplitConfig, p: Profile | None = None) -> tuple[list[Chunk], list[tuple[str, str | None]]]:
+def split(text: str, config: SplitConfig, signals: Signals) -> tuple[list[Chunk], list[tuple[str, str | None]]]:
     """Chunks of the first tier whose output is sound, and what each tier tried came to; plain splitting as the net."""
-    config = config.normalised()
     if not text:
         return [], []
-    p = p or profile(text)
-    run: dict[str, Callable] = {"heading": lambda: by_headings(text, config, p), "heuristic": lambda: by_structure(text, config, p), "legacy": lambda: plain(text, config)}
-    chain = {"heading": ["heading", "legacy"], "heuristic": ["heuristic", "legacy"], "recursive": ["legacy"], "legacy": ["legacy"]}.get(config.strategy) or tiers(p)
+    run: dict[str, Callable] = {"heading": lambda: by_headings(text, config, signals.level), "heuristic": lambda: by_structure(text, config, signals.languages), "legacy": lambda: plain(text, config)}
     tried: list[tuple[str, str | None]] = []
     chunks: list[Chunk] = []
-    for tier in chain:
+    for tier in signals.tiers:
         chunks = run[tier]()
         tried.append((tier, fault(chunks, len(text), config.size)))
         if tried[-1][1] is None:
@@ -522,30 +415,19 @@ def split(text: str, config: SplitConfig, p: Profile | None = None) -> tuple[lis
 # ---------------------------------------------------------------- parents and children
 
 
-@dataclass(frozen=True)
-class Child:
-    chunk: Chunk
-    parent: int
-
-
 def joined_crumbs(parent: str, child: str) -> str:
     a, b = parent.split("\n") if parent else [], child.split("\n") if child else []
     return "\n".join(a + (b[1:] if a and b and a[-1] == b[0] else b))
 
 
-def parents_and_children(text: str, parent: SplitConfig, child: SplitConfig) -> tuple[list[Chunk], list[bool], list[Child]]:
-    """Parents, whether each stays (not if its one child is the same text), and the children of all."""
-    tops, _ = split(text, parent)
-    kept, children = [], []
-    for i, top in enumerate(tops):
-        found = []
-        for c in split(top.text, child)[0]:
-            move = lambda x: top.start + max(0, x - top.prefix)
-            extra = min(max(top.prefix - c.start, 0), c.end - c.start)
-            found.append(Chunk(c.text, move(c.start), move(c.end), c.prefix + extra, joined_crumbs(top.breadcrumb, c.breadcrumb)))
-        kept.append(not (len(found) == 1 and found[0].text == top.text))
-        children += [Child(c, i) for c in found]
-    return tops, kept, children
+def children_of(top: Chunk, config: SplitConfig, signals: Signals) -> tuple[bool, list[Chunk]]:
+    """Whether a parent stays (not if its one child is the same text), and its children, placed in the text that it is from."""
+    found = []
+    for c in split(top.text, config, signals)[0]:
+        move = lambda x: top.start + max(0, x - top.prefix)
+        extra = min(max(top.prefix - c.start, 0), c.end - c.start)
+        found.append(Chunk(c.text, move(c.start), move(c.end), c.prefix + extra, joined_crumbs(top.breadcrumb, c.breadcrumb)))
+    return not (len(found) == 1 and found[0].text == top.text), found
 
 
 class PageMap:
