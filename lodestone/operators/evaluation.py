@@ -45,14 +45,17 @@ def ranked_hits(cases: DataFrame, results: DataFrame, top_k: int) -> DataFrame:
 
     results: (id, rank, doc_title, heading_path); a case without results keeps null rank.
     """
-    rows = results.where(F.col("rank") <= top_k).join(F.broadcast(cases.select("id", "expected_doc_titles", "expected_headings", "category")), "id") if _few(cases) else results.where(F.col("rank") <= top_k).join(cases, "id")
+    # the size of compressed files says little about rows: a table of many cases must not be sent whole to the driver and the tasks
+    few = _few(cases)
+    asked = cases.select("id", "expected_doc_titles", "expected_headings", "category")
+    rows = results.where(F.col("rank") <= top_k).join(F.broadcast(asked) if few else asked.hint("merge"), "id")
     match = F.col("doc_title").isNotNull() & F.exists("expected_doc_titles", lambda t: titles_match(F.col("doc_title"), t))
     hit = rows.withColumn("hit", match).withColumn("junk", is_junk(F.col("heading_path"), F.col("doc_title")))
     found = hit.groupBy("id").agg(
         F.min(F.when(F.col("hit"), F.struct("rank", heading_hit(F.col("expected_headings"), F.col("heading_path")).alias("heading")))).alias("first"),
         F.count(F.lit(1)).alias("results"), F.count_if("junk").alias("junk"),
     )
-    return cases.select("id", "category", F.coalesce(F.size("expected_headings"), F.lit(0)).alias("headings")).join(found, "id", "left").select(
+    return cases.select("id", "category", F.coalesce(F.size("expected_headings"), F.lit(0)).alias("headings")).join(found if few else found.hint("merge"), "id", "left").select(
         "id", "category", F.col("first.rank").alias("rank"), F.when(F.col("headings") > 0, F.coalesce("first.heading", F.lit(False))).alias("heading_hit"),
         F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("junk", F.lit(0)).alias("junk"),
     )
@@ -79,7 +82,7 @@ def summary(ranked: DataFrame, top_k: int) -> DataFrame:
 def compared(base: DataFrame, candidate: DataFrame, top_k: int) -> DataFrame:
     """(id, base_rank, candidate_rank, verdict): shared cases by rank, others base_only or candidate_only."""
     b, c = base.select("id", F.col("rank").alias("base_rank"), F.lit(True).alias("in_base")), candidate.select("id", F.col("rank").alias("candidate_rank"), F.lit(True).alias("in_candidate"))
-    rows = b.join(c, "id", "full")
+    rows = b.join(c.hint("merge"), "id", "full")  # neither side fits one machine
     verdict = F.when(F.col("in_candidate").isNull(), "base_only").when(F.col("in_base").isNull(), "candidate_only").otherwise(rank_class(F.col("base_rank"), F.col("candidate_rank"), top_k))
     return rows.select("id", "base_rank", "candidate_rank", verdict.alias("verdict"))
 
