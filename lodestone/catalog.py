@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions import text as T
 from .functions.metadata import metadata_filter
@@ -344,13 +345,13 @@ def batch_bm25_search(spark, sf_dir):
 # ---------------------------------------------------------------- streams and tables in versions
 
 
-def _in_files(rows: DataFrame, parts: list[str]) -> DataFrame:
-    """rows as a stream of one file for each condition, in their order."""
+def _in_loads(rows: DataFrame, parts: list[str], run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs a stream of rows that come in loads, one for each condition, in their order: each is a batch, in as many files as tasks wrote it, however large it is."""
     spark = rows.sparkSession
     path = shared_path(spark, "stream")
     for part in parts:
-        rows.where(part).repartition(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(part).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 @query("""WITH e AS (SELECT date_trunc('minute', ts) AS bucket, user_id % 20 + 1 AS pages, event_type = 'error' AS failed, CAST(round(value * 100) AS BIGINT) AS ms, user_id % 700 AS rss FROM events)
@@ -363,8 +364,8 @@ def rollup_stream(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("done_at"), F.lit(1).alias("page_start"), (F.col("user_id") % 20 + 1).alias("page_end"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"),
         F.round(F.col("value") * 100).cast("long").alias("duration_ms"), (F.col("user_id") % 700).cast("int").alias("peak_rss_mb"), "event_id",
     )
-    path = shared_path(spark, "rollup")
-    rollup.keep_rollup(_in_files(events, [f"event_id % 3 = {i}" for i in range(3)]), path, shared_path(spark, "checkpoint"), late="60 days").awaitTermination()
+    path, checkpoint = shared_path(spark, "rollup"), shared_path(spark, "checkpoint")
+    _in_loads(events, [f"event_id % 3 = {i}" for i in range(3)], lambda stream: rollup.keep_rollup(stream, path, checkpoint, late="60 days"))
     return Tables(spark, path).read("rollup").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
@@ -387,8 +388,8 @@ def lease_transitions(spark, sf_dir):
     kind = F.expr("case event_type when 'purchase' then 'done' when 'error' then 'failed' when 'signup' then 'renew' else 'claim' end")
     events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("idx"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.expr("concat('w', cast(floor(value) as bigint) % 2)").alias("worker_id"))
     a, b = events.selectExpr("percentile_approx(at, array(0.33, 0.66)) as q").first()[0]
-    path = shared_path(spark, "transitions")
-    leases.keep_leases(_in_files(events, [f"at < timestamp'{a}'", f"at >= timestamp'{a}' and at < timestamp'{b}'", f"at >= timestamp'{b}'"]), path, shared_path(spark, "checkpoint"), lease_seconds=36_000).awaitTermination()
+    path, checkpoint = shared_path(spark, "transitions"), shared_path(spark, "checkpoint")
+    _in_loads(events, [f"at < timestamp'{a}'", f"at >= timestamp'{a}' and at < timestamp'{b}'", f"at >= timestamp'{b}'"], lambda stream: leases.keep_leases(stream, path, checkpoint, lease_seconds=36_000))
     return spark.read.schema(leases.TRANSITIONS.format(kind="bigint")).parquet(path).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
@@ -416,18 +417,9 @@ def queue_intake(spark, sf_dir):
     """A flood of jobs, many of them repeated, into queues of 300 jobs at most, and the round in which each is queued when consumers finish all that is queued."""
     jobs = _table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), F.col("user_id").cast("string").alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("idx"), F.col("ts").cast("timestamp").alias("at"), F.lit("{}").alias("job"))
     a = jobs.selectExpr("percentile_approx(at, 0.5) as q").first()[0]
-    path = shared_path(spark, "queue")
-    intake.intake(_in_files(jobs, [f"at < timestamp'{a}'", f"at >= timestamp'{a}'"]), path, shared_path(spark, "checkpoint"), cap=300, late="60 days").awaitTermination()
-    tables, out = intake.queue_tables(spark, path), None
-    for n in range(100):
-        version = tables.latest()
-        queued = tables.read("queued", version)
-        if queued.isEmpty():
-            break
-        one = queued.select("stream", F.col("doc_id").cast("long").alias("doc_id"), "idx", F.lit(n).alias("round"))
-        out = one if out is None else out.unionByName(one)
-        intake.admit(tables, done=queued, cap=300)
-    return out
+    path, checkpoint = shared_path(spark, "queue"), shared_path(spark, "checkpoint")
+    _in_loads(jobs, [f"at < timestamp'{a}'", f"at >= timestamp'{a}'"], lambda stream: intake.intake(stream, path, checkpoint, cap=300, late="60 days"))
+    return intake.rounds(intake.queue_tables(spark, path), cap=300).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @query("SELECT doc_id AS id, CAST(doc_id % 4 AS INTEGER) AS feed_no, CAST(doc_id // 4 % 3 AS INTEGER) AS page_no, CAST(row_number() OVER (PARTITION BY doc_id % 4, doc_id // 4 % 3 ORDER BY doc_id) - 1 AS INTEGER) AS entry_no, source AS title, CASE WHEN doc_id % 5 > 0 THEN 'https://host/' || doc_id || '.epub' END AS href FROM documents")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..config import BACKLOG_CAP
+from ..session import shared_path
 from ..sources.tables import Change, Tables
 
 KEY = ("stream", "doc_id", "idx")
@@ -49,6 +50,23 @@ def admit(tables: Tables, jobs: DataFrame | None = None, done: DataFrame | None
             x.unpersist()
 
 
+def rounds(tables: Tables, cap: int = BACKLOG_CAP) -> DataFrame:
+    """(stream, doc_id, idx, round) of all jobs that are queued (round 0) or wait: the round in which each is queued where consumers finish all that is queued before the next
+    `admit`. That is what `admit(done=queued)` gives one commit after the other, worked out at once: jobs are sorted over the tasks, and counts of the tasks before say where
+    each task's jobs of a stream begin, so no stream is one task's."""
+    spark, order = tables.spark, ("stream", "at", *KEY[1:])
+    version = tables.latest()
+    path = shared_path(spark, "rounds")  # written, so that the tasks that are counted are those that are numbered
+    waiting = tables.read("waiting", version).repartitionByRange(*order).sortWithinPartitions(*order)
+    waiting.select(*KEY, F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("nth")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("own").orderBy("own_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(F.col("stream").alias("own"), F.col("task").alias("own_task")).agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first")).select("own", "own_task", "first", before.alias("before"))
+    placed = rows.join(F.broadcast(starts), F.col("stream").eqNullSafe(F.col("own")) & (F.col("task") == F.col("own_task")))  # a row for each stream of a task
+    later = placed.select(*KEY, (F.floor((F.col("before") + F.col("nth") - F.col("first")) / cap) + 1).cast("int").alias("round"))
+    return tables.read("queued", version).select(*KEY, F.lit(0).alias("round")).unionByName(later)
+
+
 def intake(entries: DataFrame, path: str, checkpoint: str, cap: int = BACKLOG_CAP, late: str = "10 minutes", name: str = "intake") -> StreamingQuery:
     """Runs a stream of jobs (JOBS) into the queue until it has read what there is. A job that comes again within `late` is dropped by the stream's own state, one that is queued
     or waits whenever it comes; a batch that runs again changes nothing."""

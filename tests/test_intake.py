@@ -53,3 +53,17 @@ def test_a_stream_of_jobs_with_restart(spark, tmp_path):
     before = tables.latest()
     assert intake.admit(tables, frame, None, 7, ("intake", 1)) == before  # a batch that ran already
     assert sum(x[2] for x in lag.seen) == 70 and lag.rows_a_second() > 0 and lag.rows_a_second("other") is None
+
+
+def test_rounds_are_those_of_one_commit_after_the_other(spark, tmp_path):
+    tables = intake.queue_tables(spark, f"file://{tmp_path}/q")
+    flood = [("a", f"d{i % 37}", i % 3, 100 + i % 11) for i in range(400)] + [("b", "x", None, 5), ("b", None, 1, 6), (None, "y", 0, 7), (None, "z", 0, 8), (None, "y", 1, 9)]
+    intake.admit(tables, jobs(spark, flood), cap=2)
+    got = sorted(((r["round"], r["stream"], r["doc_id"], r["idx"]) for r in intake.rounds(tables, 2).collect()), key=str)
+    want, n = [], 0
+    while n < 3:
+        queued = tables.read("queued", tables.latest())
+        want += [(n, *k) for k in ((r["stream"], r["doc_id"], r["idx"]) for r in queued.collect())]
+        intake.admit(tables, done=queued, cap=2)
+        n += 1
+    assert [x for x in got if x[0] < 3] == sorted(want, key=str) and len(got) == 111 + 5 and max(x[0] for x in got) == 55
