@@ -55,9 +55,9 @@ def floor_percentiles(counts: pd.DataFrame, p: int) -> pd.Series:
 
 
 class Rollup(StatefulProcessor):
-    """State of a day: for each of its minutes how often each value of each kind was seen. A batch gives the new lines of the minutes that it has rows of; a timer
-    drops the state `late` after the day. Rows of a minute that ended longer than `late` before the watermark are left out. Each state that a batch asks for is some
-    calls from Python to the store, so a day is one state, not 1440."""
+    """State of an hour: for each of its minutes how often each value of each kind was seen. A batch gives the new lines of the minutes that it has rows of; a timer
+    drops the state `late` after the hour. Rows of a minute that ended longer than `late` before the watermark are left out. Each state that a batch asks for is some
+    calls from Python to the store, so an hour is one state, not 60; a worker holds the values of one hour, where a day's grew with the events past its memory."""
 
     def __init__(self, late_ms: int) -> None:
         self.late = late_ms
@@ -67,10 +67,10 @@ class Rollup(StatefulProcessor):
         self.seen = handle.getValueState("seen", "minute array<bigint>, what array<string>, value array<bigint>, n array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        day = int(key[0])  # times are microseconds since 1970 here, whatever the session's zone
+        hour = int(key[0])  # times are microseconds since 1970 here, whatever the session's zone
         new = pd.concat(list(rows))
-        new["minute"] = (new["us"] - day) // 60_000_000
-        start = day // 1000
+        new["minute"] = (new["us"] - hour) // 60_000_000
+        start = hour // 1000
         new = new[start + (new["minute"] + 1) * 60_000 + self.late > timerValues.getCurrentWatermarkInMs()]
         if new.empty:
             return
@@ -79,7 +79,7 @@ class Rollup(StatefulProcessor):
             new = pd.concat([pd.DataFrame(dict(zip(new.columns, map(list, self.seen.get()), strict=True))), new])
         whole = new.groupby(["minute", "what", "value"], as_index=False)["n"].sum()
         self.seen.update(tuple(whole[c].tolist() for c in ("minute", "what", "value", "n")))
-        self.handle.registerTimer(start + 86_400_000 + self.late)
+        self.handle.registerTimer(start + 3_600_000 + self.late)
         own = whole[whole["minute"].isin(touched)]
         totals = own.groupby(["what", "minute"])["n"].sum()
         out = pd.DataFrame(index=pd.Index(touched, name="minute"))
@@ -88,7 +88,7 @@ class Rollup(StatefulProcessor):
             out[name] = out[name].fillna(0).astype("int64")
         for name, what, p in (("parse_p50_ms", "t", 50), ("parse_p95_ms", "t", 95), ("peak_rss_p95_mb", "r", 95)):
             out[name] = floor_percentiles(own[own["what"] == what], p).astype("Int64")
-        out.insert(0, "us", day + out.index.to_numpy() * 60_000_000)
+        out.insert(0, "us", hour + out.index.to_numpy() * 60_000_000)
         yield out.reset_index(drop=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -103,8 +103,8 @@ def rollup_stream(shards: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The lines of the minutes that a batch of the stream changes: what `metrics.minute_rollup` gives for all rows so far."""
     ms = int(pd.Timedelta(late).total_seconds() * 1000)
     rows = counted(shards).withWatermark("bucket", late)
-    rows = rows.withColumns({"us": F.unix_micros("bucket"), "day": F.unix_micros(F.date_trunc("day", "bucket"))})
-    lines = rows.groupBy("day").transformWithStateInPandas(Rollup(ms), _LINES, "Update", "EventTime")
+    rows = rows.withColumns({"us": F.unix_micros("bucket"), "hour": F.unix_micros(F.date_trunc("hour", "bucket"))})
+    lines = rows.groupBy("hour").transformWithStateInPandas(Rollup(ms), _LINES, "Update", "EventTime")
     return lines.select(F.timestamp_micros("us").alias("bucket"), *[c for c in lines.columns if c != "us"])
 
 
