@@ -428,10 +428,14 @@ def feed_pages(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id") % 4, F.expr("doc_id div 4 % 3"), F.coalesce("source", F.lit(""))).toDF("doc_id", "feed", "page", "source")
     link = F.expr(f"""if(doc_id % 5 > 0, concat('<link rel="{feeds.RELATION}" href="https://host/', doc_id, '.pdf" type="application/pdf"/><link rel="{feeds.RELATION}" href="https://host/', doc_id, '.epub" type="application/epub+zip"/>'), '')""")
     entry = F.concat(F.lit("<entry><id>"), "doc_id", F.lit("</id><title>"), "source", F.lit("</title>"), link, F.lit("</entry>"))
-    pages = docs.groupBy("feed", "page").agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("x"))
+    # a page is a folder of files whose lines are its parts in turn, so none is put together in one place
     after = F.expr("if(page < 2, concat('<link rel=\"next\" href=\"page=', page + 1, '\"/>'), '')")
-    path = shared_path(spark, "feeds")
-    pages.select("feed", "page", F.concat(F.lit("<feed>"), after, F.array_join("x.e", ""), F.lit("</feed>")).alias("value")).write.partitionBy("feed", "page").text(path)
+    ends = docs.select("feed", "page").distinct()
+    begun = ends.select("feed", "page", F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("<feed>"), after).alias("value"))
+    ended = ends.select("feed", "page", F.lit(2).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit("</feed>").alias("value"))
+    lines = docs.select("feed", "page", F.lit(1).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), entry.alias("value")).unionByName(begun).unionByName(ended)
+    order, path = ("feed", "page", "part", "doc_id"), shared_path(spark, "feeds")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("feed", "page", "value").write.partitionBy("feed", "page").text(path)
     spark.dataSource.register(feeds.FeedSource)
     at = path if ":/" in path else f"file://{path}"
     rows = spark.read.format("feed").option("urls", json.dumps([f"{at}/feed={i}/page=0" for i in range(4)])).load()

@@ -10,7 +10,7 @@ the last page names a next one. `fetch` reads http(s) and file addresses; anothe
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
@@ -20,24 +20,31 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 ENTRIES = "feed string, page string, page_no int, entry_no int, id string, title string, summary string, authors array<string>, href string, type string, links array<struct<href:string,type:string>>"
 #: Types that are acquisitions whatever their relation says, best first, and the relation that says it.
 ACQUIRED, RELATION = ("application/epub+zip", "application/pdf", "text/html", "text/plain"), "http://opds-spec.org/acquisition"
-MOST_BYTES, MOST_PAGES = 8 << 20, 10_000
+#: Bytes that are read at once, bytes of a page without an entry that ends, pages of a feed.
+PIECE, MOST_BYTES, MOST_PAGES = 1 << 16, 8 << 20, 10_000
 
 
-def fetch(url: str) -> bytes:
-    """The body behind an address, at most MOST_BYTES of it; of a folder, that of its parts."""
+def fetch(url: str) -> Iterator[bytes]:
+    """The body behind an address in pieces, whole; of a folder, that of its parts in turn."""
     from urllib.request import urlopen
 
     if urlsplit(url).scheme not in ("http", "https", "file"):
         raise ValueError(f"no address to fetch: {url}")
+    return _pieces(url, urlopen)
+
+
+def _pieces(url: str, urlopen) -> Iterator[bytes]:
     if urlsplit(url).scheme == "file":
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(url)
         if system.get_file_info(path).type == fs.FileType.Directory:  # a page as Spark writes it
-            parts = sorted(x.path for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("part-"))
-            return b"".join(system.open_input_stream(x).read(MOST_BYTES) for x in parts)
+            for part in sorted(x.path for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("part-")):
+                with system.open_input_stream(part) as body:
+                    yield from iter(lambda body=body: body.read(PIECE), b"")
+            return
     with urlopen(url, timeout=30) as body:  # noqa: S310
-        return body.read(MOST_BYTES)
+        yield from iter(lambda: body.read(PIECE), b"")
 
 
 def _plain(tag: str) -> str:
@@ -59,32 +66,58 @@ def _address(base: str, href: str | None) -> str | None:
     return out if urlsplit(out).scheme in ("http", "https", "file") else None
 
 
-def parsed(url: str, body: bytes) -> tuple[list[tuple], str | None]:
-    """(entries, next page) of a page of a feed: (id, title, summary, authors, href, type, links), with the best acquisition link, null without any. What is no feed is an error."""
+def entries_of(url: str, body: bytes | Iterable[bytes]) -> Iterator[tuple | str]:
+    """Entries of a page of a feed as its pieces come: (id, title, summary, authors, href, type, links), with the best acquisition link, null without any; and, as a
+    string, the address of each next page that is named. An entry is dropped once it is read, so a page may be of any size; what is no feed, or shows no end of an entry for
+    MOST_BYTES, is an error."""
+    parser, root, depth, unread = ElementTree.XMLPullParser(("start", "end")), None, 0, 0
     try:
-        root = ElementTree.fromstring(body)
+        for piece in (body,) if isinstance(body, bytes) else body:
+            parser.feed(piece)
+            unread += len(piece)
+            for event, node in parser.read_events():
+                if event == "start":
+                    depth += 1
+                    if root is None:
+                        root = node
+                        if _plain(root.tag) != "feed":
+                            raise ValueError(f"{url}: not a feed")
+                    continue
+                depth -= 1
+                if depth != 1:
+                    continue
+                unread, name = 0, _plain(node.tag)
+                if name == "link" and node.get("rel") == "next":
+                    after = _address(url, node.get("href"))
+                    if after:
+                        yield after
+                if name == "entry":
+                    yield _entry(url, node)
+                root.clear()
+            if unread > MOST_BYTES and not isinstance(body, bytes):
+                raise ValueError(f"{url}: an entry of more than {MOST_BYTES} bytes")
+        parser.close()
     except ElementTree.ParseError as e:
         raise ValueError(f"{url}: not a feed") from e
-    if _plain(root.tag) != "feed":
-        raise ValueError(f"{url}: not a feed")
-    out, after = [], None
-    for node in root:
-        name = _plain(node.tag)
-        if name == "link" and node.get("rel") == "next":
-            after = _address(url, node.get("href")) or after
-        if name != "entry":
-            continue
-        links = []
-        for x in node:
-            rel, kind = x.get("rel") or "", x.get("type")
-            if _plain(x.tag) == "link" and (rel == RELATION or rel.startswith(RELATION + "/") or kind in ACQUIRED):
-                href = _address(url, x.get("href"))
-                if href:
-                    links.append((href, kind))
-        best = min(links, key=lambda x: ACQUIRED.index(x[1]) if x[1] in ACQUIRED else len(ACQUIRED), default=(None, None))
-        first = lambda *path, node=node: next(iter(_texts(node, *path)), None)
-        out.append((first("id"), first("title"), first("summary"), [a for a in _texts(node, "author", "name") if a], *best, links))
-    return out, after
+
+
+def _entry(url: str, node: ElementTree.Element) -> tuple:
+    links = []
+    for x in node:
+        rel, kind = x.get("rel") or "", x.get("type")
+        if _plain(x.tag) == "link" and (rel == RELATION or rel.startswith(RELATION + "/") or kind in ACQUIRED):
+            href = _address(url, x.get("href"))
+            if href:
+                links.append((href, kind))
+    best = min(links, key=lambda x: ACQUIRED.index(x[1]) if x[1] in ACQUIRED else len(ACQUIRED), default=(None, None))
+    first = lambda *path: next(iter(_texts(node, *path)), None)
+    return first("id"), first("title"), first("summary"), [a for a in _texts(node, "author", "name") if a], *best, links
+
+
+def parsed(url: str, body: bytes | Iterable[bytes]) -> tuple[list[tuple], str | None]:
+    """(entries, next page) of a page of a feed."""
+    found = list(entries_of(url, body))
+    return [x for x in found if not isinstance(x, str)], next((x for x in reversed(found) if isinstance(x, str)), None)
 
 
 @dataclass
@@ -101,20 +134,28 @@ class _Reading:
     def __init__(self, options: dict, get) -> None:
         self.urls, self.fetch = list(dict.fromkeys(json.loads(options["urls"]))), get
 
-    def walked(self, url: str, most: int = MOST_PAGES) -> Iterator[tuple[str, list[tuple]]]:
-        """(address, entries) of a page and those that follow it, each once."""
+    def walked(self, url: str, most: int = MOST_PAGES) -> Iterator[tuple[int, str, tuple | None]]:
+        """(number, address, entry) of the entries of a page and of those that follow it, each page once; a page begins with the entry None."""
         seen: set[str] = set()
         while url and url not in seen and len(seen) < most:
+            n, own, after = len(seen), url, None
             seen.add(url)
-            entries, after = parsed(url, self.fetch(url))
-            yield url, entries
+            yield n, own, None
+            for x in entries_of(own, self.fetch(own)):
+                if isinstance(x, str):
+                    after = x
+                else:
+                    yield n, own, x
             url = after
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        most = MOST_PAGES if partition.last < 0 else partition.last - partition.first
-        for n, (page, entries) in enumerate(self.walked(partition.url, most), partition.first):
-            for k, entry in enumerate(entries):
-                yield (partition.feed, page, n, k, *entry)
+        most, k = MOST_PAGES if partition.last < 0 else partition.last - partition.first, 0
+        for n, page, entry in self.walked(partition.url, most):
+            if entry is None:
+                k = 0
+                continue
+            yield (partition.feed, page, partition.first + n, k, *entry)
+            k += 1
 
 
 class FeedReader(_Reading, DataSourceReader):
@@ -135,7 +176,7 @@ class FeedStreamReader(_Reading, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         for u in self.urls:  # the last known page may name a next one by now
             known = self.pages.setdefault(u, [])
-            ahead = [page for page, _ in self.walked(known[-1] if known else u)]
+            ahead = [page for _, page, entry in self.walked(known[-1] if known else u) if entry is None]
             known += [p for p in ahead if p not in known]
         return {u: len(p) for u, p in self.pages.items()}
 

@@ -1,8 +1,14 @@
 """Work that has to grow with its tables, seen on small ones."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from lodestone import catalog
-from lodestone.operators import evaluation
+from lodestone.functions.vectors import distances
+from lodestone.operators import evaluation, vector_index
+from lodestone.sources import feeds
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,3 +22,39 @@ def test_many_cases_are_not_sent_whole(spark, monkeypatch):
     for name in ("title_match_rank", "hit_mrr_summary", "run_compare"):
         assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, SMALL)), name
     assert catalog._evaluated(spark, SMALL).count() > 0
+
+
+def test_pages_of_feeds_of_any_size(tmp_path):
+    body = tmp_path / "big.xml"
+    with body.open("w") as f:
+        f.write('<feed><link rel="next" href="after.xml"/>')
+        for i in range(3000):
+            f.write(f"<entry><id>{i}</id><summary>{'x' * 4000}</summary></entry>")
+        f.write("</feed>")
+    assert body.stat().st_size > feeds.MOST_BYTES
+    entries, after = feeds.parsed(f"file://{body}", feeds.fetch(f"file://{body}"))
+    assert [x[0] for x in entries] == [str(i) for i in range(3000)] and after == f"file://{tmp_path}/after.xml"
+    body.write_text("<feed><entry><id>1</id></entry>")  # cut
+    with pytest.raises(ValueError):
+        feeds.parsed(f"file://{body}", feeds.fetch(f"file://{body}"))
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    spark.range(50).selectExpr("cast(id as string) as value").repartitionByRange(4, F.length("value"), "value").sortWithinPartitions(F.length("value"), "value").write.text(f"{tmp_path}/lines")
+    got = evaluation.numbered_lines(spark, f"{tmp_path}/lines", whole=True)
+    assert got.select("file").distinct().count() > 1 and sorted((r["line"], int(r["value"])) for r in got.collect()) == [(i + 1, i) for i in range(50)]
+
+
+def test_products_of_vectors_are_held_in_parts(spark, monkeypatch):
+    rng, k = np.random.default_rng(1), 4
+    m = rng.normal(size=(300, 5)).astype("float32")
+    m[7], m[9], m[100:110] = 0, m[8], m[50]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>").repartition(2)
+    want = vector_index.nearest_of_each(rows.where("id % 3 = 0"), rows, k, "id", "embedding", "id", "embedding").collect()
+    monkeypatch.setattr(vector_index, "HELD", 1)  # parts of 16 rows
+    parts = vector_index.nearest_of_each(rows.where("id % 3 = 0"), rows, k, "id", "embedding", "id", "embedding").collect()
+    assert sorted(map(tuple, parts)) == sorted(map(tuple, want)) and len(want) == 100 * k
+    for q, i, d, rank in want:
+        if q != 0 and np.linalg.norm(m[q]) > 0:
+            d_ = distances(m.astype(float), m[q].astype(float) / np.linalg.norm(m[q].astype(float)))
+            assert sorted(range(300), key=lambda j: (round(d_[j], 12), j))[rank - 1] == i
