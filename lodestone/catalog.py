@@ -453,10 +453,10 @@ def observed_counters(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS line FROM documents")
 def dataset_lines(spark, sf_dir):
-    """Numbers of the lines of a file, read in splits."""
+    """Numbers of the lines of a set of files, read in splits."""
     path = shared_path(spark, "lines")
-    _table(spark, sf_dir, "documents").orderBy("doc_id").select(F.to_json(F.struct("doc_id", "source", "text"))).coalesce(1).write.text(path)
-    return evaluation.numbered_lines(spark, path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "line")
+    _table(spark, sf_dir, "documents").orderBy("doc_id").select(F.to_json(F.struct("doc_id", "source", "text"))).write.text(path)
+    return evaluation.numbered_lines(spark, path, whole=True).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "line")
 
 
 # ---------------------------------------------------------------- predicates and listings

@@ -9,13 +9,13 @@ from ..functions.text import heading_hit, is_junk, rank_class, titles_match
 CATEGORIES = ("exact", "conceptual", "drift")
 
 
-def numbered_lines(spark, path: str) -> DataFrame:
-    """(file, line, value) of text files: lines from 1 in each file, also where a file is read in many splits. Lines are counted for each split, which a
+def numbered_lines(spark, path: str, whole: bool = False) -> DataFrame:
+    """(file, line, value) of text files: lines from 1 in each file, or with whole from 1 over all files in the order of their names, also where a file is read in many splits. Lines are counted for each split, which a
     line belongs to where it begins, and sums of the counts before a split say where it starts; a row for each split is all that is moved."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("own_file").orderBy("own_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over((Window.orderBy("own_file", "own_split") if whole else Window.partitionBy("own_file").orderBy("own_split")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = lines.groupBy(F.col("file").alias("own_file"), F.col("split").alias("own_split")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).select("own_file", "own_split", "first", before.alias("before"))
-    return lines.join(splits, (F.col("file") == F.col("own_file")) & (F.col("split") == F.col("own_split"))).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+    return lines.join(F.broadcast(splits), (F.col("file") == F.col("own_file")) & (F.col("split") == F.col("own_split"))).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def load_cases(spark, path: str, categories=CATEGORIES) -> tuple[DataFrame, DataFrame]:
