@@ -26,6 +26,8 @@ from .retrieval import checked_vector, dense_top
 SAMPLE, LISTS, ROUNDS = 64, 2048, 8
 #: Numbers of a block of queries: what is sent to every task, 32 MB at most.
 BLOCK = 1 << 22
+#: Numbers of a product of rows and queries that a task holds at once.
+HELD = 1 << 20
 #: Lists read before any bound is known, and slack for rounding.
 FIRST, SLACK = 4, 1e-6
 #: Goes up with the form of what is written.
@@ -239,16 +241,26 @@ def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str =
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, ids, asked, distance = sent.value, None, np.zeros(0, np.int64), np.zeros(0)
+            worst, step, part_ = np.full(len(block), np.inf), max(16, HELD // max(len(block), 1)), max(16, HELD // dim)
             for b in batches:
-                for i in range(0, b.num_rows, 2048):
-                    own = b.slice(i, 2048)
-                    u, length = _unit(matrix(own.column("v"), dim))
-                    d = np.where(length[:, None] > 0, 1.0 - u @ block.T, np.inf)
-                    limit = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
+                for i in range(0, b.num_rows, step):
+                    own = b.slice(i, step)
+                    m = matrix(own.column("v"), dim)
+                    u, length = _unit(m)
+                    d = u @ block.T
+                    np.subtract(1.0, d, out=d)
+                    d[length == 0] = np.inf
+                    # of a query with k rows already, only what may be among them
+                    limit = np.minimum(np.partition(d, k - 1, axis=0)[k - 1] if len(d) > k and np.isinf(worst).any() else np.inf, worst)
                     row, col = np.nonzero(d <= limit + SLACK)
-                    new, exact = own.column("id").take(pa.array(row)), distances(matrix(own.column("v"), dim)[row], block[col])
+                    if not len(row):
+                        continue
+                    near = np.concatenate([distances(m[row[j : j + part_]], block[col[j : j + part_]]) for j in range(0, len(row), part_)])
+                    new = own.column("id").take(pa.array(row))
                     ids = new if ids is None else pa.concat_arrays([ids, new])
-                    ids, asked, distance = _best(ids, np.concatenate([asked, col]), np.concatenate([distance, exact]), k)
+                    ids, asked, distance = _best(ids, np.concatenate([asked, col]), np.concatenate([distance, near]), k)
+                    full = np.bincount(asked, minlength=len(block)) >= k
+                    worst[full] = np.maximum.reduceat(distance, np.flatnonzero(np.append(True, asked[1:] != asked[:-1])))[full[np.unique(asked)]]
             if ids is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(asked.astype(np.int32)), ids, pa.array(distance)], ["n", "id", "distance"])
 
