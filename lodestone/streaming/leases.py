@@ -1,8 +1,9 @@
-"""Claims and leases of shards as a stream: a state for each document with timers, instead of sweeps over tables."""
+"""Claims and leases of shards as a stream: a state for each group of documents with timers, instead of sweeps over tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,11 +14,13 @@ from ..config import LEASE_SECONDS, MAX_ATTEMPTS
 from .rollup import rocks
 
 TRANSITIONS = "doc_id {kind}, idx int, at timestamp, action string, attempts int, worker_id string"
-_STEPS = TRANSITIONS.replace("at timestamp", "us bigint")
+_STEPS = TRANSITIONS.format(kind="string").replace("at timestamp", "us bigint")
+#: States that the documents of a stream share.
+GROUPS = 4096
 OPEN = ("pending", "failed")
 
 
-def steps(shard: dict, events: list[tuple[pd.Timestamp, str, str | None]], lease: pd.Timedelta, most: int, now: pd.Timestamp | None = None) -> list[tuple]:
+def steps(shard: dict, events: list[tuple[pd.Timestamp | int, str, str | None]], lease: pd.Timedelta | int, most: int, now: pd.Timestamp | int | None = None) -> list[tuple]:
     """What happens to a shard: (at, action, attempts, worker) for its events (at, kind, worker) in order, and for leases that end at `now` or before.
 
     Kinds: claim, renew, done, failed. A claim of a shard that is pending or failed starts a lease and counts an attempt, any other claim is refused. A lease that ends
@@ -25,7 +28,7 @@ def steps(shard: dict, events: list[tuple[pd.Timestamp, str, str | None]], lease
     """
     out = []
 
-    def end(until: pd.Timestamp | None) -> None:
+    def end(until: pd.Timestamp | int | None) -> None:
         if shard["state"] == "running" and (until is None or shard["until"] <= until):
             over = shard["attempts"] >= most
             out.append((shard["until"], "escalated" if over else "requeued", shard["attempts"], shard["worker"]))
@@ -51,50 +54,51 @@ def steps(shard: dict, events: list[tuple[pd.Timestamp, str, str | None]], lease
 
 
 class Leases(StatefulProcessor):
-    """State of a document: its shards. One timer stands at the end of each running lease; it fires once the watermark has passed it, whether rows come or not."""
+    """State of a group of documents: their shards. One timer stands at the end of the lease that ends first; it fires once the watermark has passed it, whether rows come
+    or not. Each state that a batch asks for is some calls from Python to the store, so documents share GROUPS states at most. Times are microseconds since 1970, whatever
+    the session's zone."""
 
     def __init__(self, lease_seconds: int, most: int) -> None:
-        self.lease, self.most = pd.Timedelta(seconds=lease_seconds), most
+        self.lease, self.most = lease_seconds * 1_000_000, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.shards = handle.getValueState("shards", "idx array<int>, state array<string>, attempts array<int>, until array<bigint>, worker array<string>")
+        self.shards = handle.getValueState("shards", "doc_id array<string>, idx array<int>, state array<string>, attempts array<int>, until array<bigint>, worker array<string>")
 
-    def _held(self) -> dict[int, dict]:
+    def _held(self) -> dict[tuple[str | None, int], dict]:
         if not self.shards.exists():
             return {}
-        return {i: {"state": s, "attempts": n, "until": pd.Timestamp(u, unit="us"), "worker": w} for i, s, n, u, w in zip(*self.shards.get(), strict=True)}
+        return {(d, i): {"state": s, "attempts": n, "until": u, "worker": w} for d, i, s, n, u, w in zip(*self.shards.get(), strict=True)}
 
-    def _keep(self, held: dict[int, dict]) -> None:
-        rows = sorted(held.items())
-        self.shards.update(([i for i, _ in rows], *([x[c] for _, x in rows] for c in ("state", "attempts")), [int(x["until"].value // 1000) for _, x in rows], [x["worker"] for _, x in rows]))
+    def _keep(self, held: dict[tuple[str | None, int], dict]) -> None:
+        self.shards.update(([d for d, _ in held], [i for _, i in held], *([x[c] for x in held.values()] for c in ("state", "attempts", "until", "worker"))))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        ends = [x["until"].value // 1_000_000 for _, x in rows if x["state"] == "running"]
+        ends = [x["until"] // 1000 for x in held.values() if x["state"] == "running"]
         if ends:
-            self.handle.registerTimer(int(min(ends)) + 1)
+            self.handle.registerTimer(min(ends) + 1)
 
-    def _lines(self, key, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], i, int(at.value // 1000), action, n, worker) for i, at, action, n, worker in found], columns=["doc_id", "idx", "us", "action", "attempts", "worker_id"])
+    def _lines(self, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["doc_id", "idx", "us", "action", "attempts", "worker_id"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, found = self._held(), []
-        whole = pd.concat(list(rows))
-        whole["at"] = pd.to_datetime(whole["us"], unit="us")  # times since 1970, whatever the session's zone
-        whole = whole.sort_values(["idx", "at", "kind", "worker_id"], kind="stable")
-        for idx, own in whole.groupby("idx"):
-            shard = held.setdefault(int(idx), {"state": "pending", "attempts": 0, "until": pd.Timestamp(0), "worker": None})
-            events = [(at, kind, None if pd.isna(w) else w) for at, kind, w in zip(own["at"], own["kind"], own["worker_id"], strict=True)]
-            found += [(int(idx), *x) for x in steps(shard, events, self.lease, self.most)]
+        whole = pd.concat(list(rows)).dropna(subset=["idx"])
+        whole = whole.sort_values(["doc_id", "idx", "us", "kind", "worker_id"], kind="stable")
+        known = lambda x: None if pd.isna(x) else x
+        each = zip(map(known, whole["doc_id"]), whole["idx"].astype("int64").tolist(), whole["us"].tolist(), whole["kind"], map(known, whole["worker_id"]), strict=True)
+        for shard_id, own in groupby(each, lambda x: x[:2]):
+            shard = held.setdefault(shard_id, {"state": "pending", "attempts": 0, "until": 0, "worker": None})
+            found += [(*shard_id, *x) for x in steps(shard, [x[2:] for x in own], self.lease, self.most)]
         self._keep(held)
-        yield self._lines(key, found)
+        yield self._lines(found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, found, now = self._held(), [], pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        for idx, shard in sorted(held.items()):
-            found += [(idx, *x) for x in steps(shard, [], self.lease, self.most, now)]
+        held, found, now = self._held(), [], timerValues.getCurrentWatermarkInMs() * 1000
+        for shard_id, shard in held.items():
+            found += [(*shard_id, *x) for x in steps(shard, [], self.lease, self.most, now)]
         self._keep(held)
-        yield self._lines(key, found)
+        yield self._lines(found)
 
     def close(self) -> None:
         pass
@@ -104,9 +108,9 @@ def lease_stream(events: DataFrame, lease_seconds: int = LEASE_SECONDS, most: in
     """(doc_id, idx, at, action, attempts, worker_id) of a stream of (doc_id, idx, at, kind, worker_id): each event with what came of it, and each lease that ended. The
     transitions do not depend on how the stream falls into batches, as long as the events of a shard come in the order of their time."""
     kind = events.schema["doc_id"].dataType.simpleString()
-    rows = events.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
-    found = rows.groupBy("doc_id").transformWithStateInPandas(Leases(lease_seconds, most), _STEPS.format(kind=kind), "Append", "EventTime")
-    return found.select("doc_id", "idx", F.timestamp_micros("us").alias("at"), "action", "attempts", "worker_id")
+    rows = events.withWatermark("at", late).withColumns({"us": F.unix_micros("at"), "group": F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS)), "doc_id": F.col("doc_id").cast("string")})
+    found = rows.groupBy("group").transformWithStateInPandas(Leases(lease_seconds, most), _STEPS, "Append", "EventTime")
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "idx", F.timestamp_micros("us").alias("at"), "action", "attempts", "worker_id")
 
 
 def keep_leases(events: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:

@@ -1,14 +1,16 @@
 """Work that has to grow with its tables, seen on small ones."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestone import catalog
 from lodestone.functions.vectors import distances
-from lodestone.operators import evaluation, vector_index
+from lodestone.operators import evaluation, index, vector_index
 from lodestone.sources import feeds
+from lodestone.streaming import leases
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -58,3 +60,44 @@ def test_products_of_vectors_are_held_in_parts(spark, monkeypatch):
         if q != 0 and np.linalg.norm(m[q]) > 0:
             d_ = distances(m.astype(float), m[q].astype(float) / np.linalg.norm(m[q].astype(float)))
             assert sorted(range(300), key=lambda j: (round(d_[j], 12), j))[rank - 1] == i
+
+
+@pytest.mark.parametrize("deleted", [False, True])
+def test_queries_are_scored_in_parts(spark, tmp_path, monkeypatch, deleted):
+    monkeypatch.setattr(index, "ASKERS", 3)
+    rows = spark.createDataFrame([(i, f"all w{i % 7} w{i % 11} " + "x " * (i % 5)) for i in range(200)], "id long, text string")
+    made = index.Index.create(rows, f"file://{tmp_path}/i")
+    made = made.delete(rows.where("id % 9 = 0").select("id")) if deleted else made
+    asked = [(q, f"all w{q} w{q + 1}") for q in range(8)]
+    got = made.top_of_each(spark.createDataFrame(asked, "query_id long, query string"), 5).collect()
+    assert [x["score"] for x in got if x["query_id"] == 7 and x["rank"] == 1]
+    for q, text in asked[::3]:
+        want = [(r["id"], r["rank"], r["score"]) for r in made.top(text, 5).orderBy("rank").collect()]
+        own = sorted(((r["id"], r["rank"], r["score"]) for r in got if r["query_id"] == q), key=lambda x: x[1])
+        assert [x[:2] for x in own] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(own, want, strict=True))
+
+
+def test_documents_share_states_of_leases():
+    kept, timers = [], []
+
+    class Held:
+        exists = lambda self: bool(kept)
+        get = lambda self: kept[-1]
+        update = lambda self, x: kept.append(x)
+
+    class Handle:
+        getValueState = lambda self, *_: Held()
+        listTimers = lambda self: list(timers)
+        deleteTimer = timers.remove
+        registerTimer = timers.append
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 20_000
+
+    p = leases.Leases(10, 4)
+    p.init(Handle())
+    frame = pd.DataFrame([("a", 0, 5_000_000, "claim", "w"), ("b", 0, 1_000_000, "claim", None), ("a", 0, 6_000_000, "done", "w")], columns=["doc_id", "idx", "us", "kind", "worker_id"])
+    (out,) = p.handleInputRows((1,), iter([frame]), None)
+    assert [tuple(r)[:4] for r in out.itertuples(index=False)] == [("a", 0, 5_000_000, "claimed"), ("a", 0, 6_000_000, "done"), ("b", 0, 1_000_000, "claimed")] and timers == [11_001]
+    (out,) = p.handleExpiredTimer((1,), Now(), None)
+    assert [tuple(r)[:4] for r in out.itertuples(index=False)] == [("b", 0, 11_000_000, "requeued")] and timers == []
