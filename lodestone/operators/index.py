@@ -37,8 +37,8 @@ TRIES = 8
 FORMAT = 2
 #: Bytes of a row group of postings.
 GROUP = 1 << 20
-#: Queries that one pass over the postings answers.
-QUERIES = 1024
+#: Queries that one pass over the postings answers, and those whose scores a task holds at once.
+QUERIES, ASKERS = 1 << 14, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,30 @@ def _idf(n: float, df: float) -> float:
     return float(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block of batches that are sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                if held and held[0].column("block")[0].as_py() != block[i]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """Of rows (n, score, id) the k best of each n, ties by id, sorted."""
+    rows = rows.take(pa.compute.sort_indices(rows, [("n", "ascending"), ("score", "descending"), ("id", "ascending")])).combine_chunks()
+    n = rows["n"].to_numpy()
+    start = np.flatnonzero(np.append(True, n[1:] != n[:-1])) if len(n) else np.zeros(0, np.int64)
+    return rows.filter(pa.array(np.arange(len(n)) - np.repeat(start, np.diff(np.append(start, len(n)))) < k))
+
+
 class Index:
     """The latest version of an index under a path, as of when it was opened."""
 
@@ -317,7 +341,7 @@ class Index:
         """(query_id, id, score, rank): what `top` gives for each row of a table of queries, in one pass over the postings of all their terms for each QUERIES of them.
 
         A block of queries is sent to the tasks as its terms with the queries that ask for each. Postings are dealt by block of rows, so all terms of a row meet; a
-        block of rows passes on k rows of each query. Queries without terms have no rows here; a query id that repeats counts as one query for each row.
+        task passes on k rows of each query. Queries without terms have no rows here; a query id that repeats counts as one query for each row.
         """
         spark, out = self.spark, None
         q = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("t"))
@@ -326,34 +350,53 @@ class Index:
         n, mean = corpus[0], corpus[1] or 0.0
 
         def part(held: list) -> DataFrame:
-            asked: dict[str, list[int]] = {}
+            asked: list[dict[str, list[int]]] = [{} for _ in range(0, len(held), ASKERS)]
             for i, r in enumerate(held):
                 for t in query_terms(r["t"] or ""):
-                    asked.setdefault(t, []).append(i)
-            terms_ = spark.createDataFrame([(t,) for t in asked], "own string")
-            entries = self._left(lambda segments: self._opened(self._entries(None, ["ids", "tfs", "dls"], segments).join(F.broadcast(terms_), F.col("term") == F.col("own"), "left_semi")), f"term string, block bigint, id {id_type}, tf int, dl int")  # a block's terms
-            df = {r["term"]: r["n"] for r in entries.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each of them
-            sent = spark.sparkContext.broadcast({t: (_idf(n, df[t]), np.array(asked[t])) for t in df})
-
-            def best(table: pa.Table) -> pa.Table:
-                held_, ids = sent.value, table["id"].combine_chunks().dictionary_encode()
-                row, word = ids.indices.to_numpy(), table["term"].combine_chunks().dictionary_encode()
-                part_ = weight(table["tf"].to_numpy().astype(np.float64), table["dl"].to_numpy(), mean)
-                code, names = word.indices.to_numpy(), word.dictionary.to_pylist()
-                score = np.zeros((len(held), len(ids.dictionary)))
-                for c in np.argsort(names):  # terms in order, so that sums are those of one search
-                    idf, who = held_[names[c]]
-                    at = np.flatnonzero(code == c)
-                    score[np.ix_(who, row[at])] += idf * part_[at]
-                asker, found = np.nonzero(score)
-                value = score[asker, found]
-                order = pa.compute.sort_indices(pa.table({"q": asker, "s": value, "id": ids.dictionary.take(pa.array(found))}), [("q", "ascending"), ("s", "descending"), ("id", "ascending")]).to_numpy()
-                asker, found, value = asker[order], found[order], value[order]
-                start = np.flatnonzero(np.append(True, asker[1:] != asker[:-1])) if len(asker) else np.zeros(0, np.int64)
-                keep = np.arange(len(asker)) - np.repeat(start, np.diff(np.append(start, len(asker)))) < k
-                return pa.table({"n": pa.array(asker[keep].astype(np.int32)), "id": ids.dictionary.take(pa.array(found[keep])), "score": value[keep]})
-
-            top = entries.groupBy("block").applyInArrow(best, f"n int, id {id_type}, score double")
+                    asked[i // ASKERS].setdefault(t, []).append(i % ASKERS)
+            terms_ = F.broadcast(spark.createDataFrame([(t,) for t in sorted(set().union(*asked))], "own string"))  # a block's terms
+            of_terms = lambda rows: rows.join(terms_, F.col("term") == F.col("own"), "left_semi")
+            if self.now["deleted"]:
+                schema = f"term string, block bigint, id {id_type}, tf int, dl int"
+                left = self._left(lambda segments: self._opened(of_terms(self._entries(None, ["ids", "tfs", "dls"], segments))), schema)
+                lists = left.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("e"))  # rows of a block
+                posted = lists.select("term", "block", F.size("e").alias("n"), *[F.col(f"e.{x}").alias(f"{x}s") for x in ("id", "tf", "dl")])
+            else:
+                posted = of_terms(self._entries(None, ["n", "ids", "tfs", "dls"]))
+            df = {r["term"]: r["n"] for r in posted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each of them
+            sent = spark.sparkContext.broadcast([{t: (_idf(n, df[t]), np.array(who)) for t, who in some.items() if t in df} for some in asked])
+
+            def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                found: list[pa.Table | None] = [None] * len(sent.value)
+                least = [np.zeros(ASKERS) for _ in sent.value]
+                for table in _blocks(batches):
+                    ids = table["ids"].combine_chunks()
+                    ends = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+                    ids, names = ids.flatten().dictionary_encode(), table["term"].to_pylist()
+                    row, flat = ids.indices.to_numpy(), lambda c, table=table: table[c].combine_chunks().flatten().to_numpy()
+                    part_ = weight(flat("tfs").astype(np.float64), flat("dls"), mean)
+                    order = sorted(range(len(names)), key=names.__getitem__)  # terms in order, so that sums are those of one search
+                    for c, some in enumerate(sent.value):
+                        score = np.zeros((ASKERS, len(ids.dictionary)))
+                        for x in order:
+                            if names[x] in some:
+                                idf, who = some[names[x]]
+                                at = slice(ends[x], ends[x + 1])
+                                score[np.ix_(who, row[at])] += idf * part_[at]
+                        asker, at = np.nonzero((score > 0) & (score >= least[c][:, None]))
+                        if len(asker):
+                            new = pa.table({"n": asker, "score": score[asker, at], "id": ids.dictionary.take(pa.array(at))})
+                            found[c] = _first(new if found[c] is None else pa.concat_tables([found[c], new]), k)
+                            n_ = found[c]["n"].to_numpy()
+                            last = np.flatnonzero(np.append(n_[1:] != n_[:-1], True))
+                            full = np.diff(np.append(-1, last)) == k
+                            least[c][n_[last[full]]] = found[c]["score"].to_numpy()[last[full]]
+                for c, one in enumerate(found):
+                    if one is not None:
+                        yield from pa.table({"n": pa.array((one["n"].to_numpy() + c * ASKERS).astype(np.int32)), "id": one["id"], "score": one["score"]}).to_batches()
+
+            dealt_ = posted.select("block", "term", "ids", "tfs", "dls").repartition(2 * spark.sparkContext.defaultParallelism, "block").sortWithinPartitions("block")
+            top = dealt_.mapInArrow(best, f"n int, id {id_type}, score double")
             rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "id"))
             names = spark.createDataFrame([(i, r["q"]) for i, r in enumerate(held)], f"n int, q {q_type}")
             return top.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "n").select(F.col("q").alias(query_id), "id", "score", "rank")  # a block's ids
