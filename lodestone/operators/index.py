@@ -1,11 +1,14 @@
 """A search index: postings with positions in blocks of rows, in segments that are never changed, and BM25 over them.
 
-A segment holds `postings`, one row for each term and block of at most 1024 rows (term, block, n, max_tf, min_dl, and arrays of ids, occurrences, lengths and
-places), sorted by term, and `rows` (id, dl and the columns to filter by). The manifest (`sources.versions`) lists the segments, the terms at the ends of each of
+A segment holds `postings`, one row for each term and block of at most 1024 rows (term, block, n, max_tf, min_dl, and arrays of ids, occurrences, lengths,
+starts and places: those of an entry are as many as it has occurrences, from its start on), sorted by term, and `rows` (id, dl and the columns to filter by). The manifest (`sources.versions`) lists the segments, the terms at the ends of each of
 their files, numbers of rows and words, and the deleted ids. So a query opens the files of its terms only, and no text.
 
 * `insert` adds a segment, `delete` a table of ids, `merge` makes one segment of all, from the postings; each is one commit, and a writer that loses to
   another repeats its commit on the newer version. Readers keep the version that they began with.
+* Postings are dealt by ranges of terms once, where rows are inserted. The ends of the ranges come from the terms of about SAMPLE rows: they decide how much a file holds,
+  not what is in the index. A merge copies postings, still in order, without the deleted rows; a term's then lie in as many places as there were segments.
+  Places are read only for clauses that ask for a field or a phrase.
 * Best k over everything: a block can give a row at most the sum over terms of idf * f(max_tf, min_dl). Where there are many blocks, those with the largest
   bounds are scored first, and of the others only such are read whose bound reaches the k-th score found.
 * With a filter, or with deleted ids, the rows left are the corpus: their number, mean length and terms are counted in the same pass over the postings.
@@ -16,6 +19,7 @@ Places tell fields apart (field * 2^40 + word), so clauses may ask for a field,
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +38,13 @@ BLOCK, FIELD = 10, 40
 FIRST = 16
 TRIES = 8
 #: Goes up with the form of what is written.
-FORMAT = 2
+FORMAT = 3
 #: Bytes of a row group of postings.
 GROUP = 1 << 20
+#: Entries of a file of postings, and rows whose terms give the ends of the files.
+FILE, SAMPLE = 1 << 20, 1 << 10
+#: Deleted ids that a merge sends to its tasks; more are joined.
+GONE = 1 << 20
 #: Queries that one pass over the postings answers, and those whose scores a task holds at once.
 QUERIES, ASKERS = 1 << 14, 1 << 10
 
@@ -63,7 +71,7 @@ def clause(text: str, need: str = "any", slop: int | None = None, field: str | N
     return Clause(tuple(regex.findall(r"[\p{L}\p{N}]+", text.lower())) if slop is not None else tuple(query_terms(text)), need, slop, field, boost)
 
 
-def _inverted(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
+def _inverted(batch: pa.RecordBatch, fields: int, ends_: list[str]) -> pa.RecordBatch:
     """The postings of the rows (id, block, f0, f1, …: lists of terms) of one block."""
     rows, values, row, place = batch.num_rows, [], [], []
     for f in range(fields):
@@ -80,19 +88,65 @@ def _inverted(batch: pa.RecordBatch, fields: int) -> pa.RecordBatch:
     entry = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(code) else np.zeros(0, np.int64)
     tf, who = np.diff(np.append(entry, len(code))), row[entry]
     term = np.flatnonzero(np.append(True, code[entry][1:] != code[entry][:-1])) if len(code) else np.zeros(0, np.int64)
-    ends = np.append(term, len(entry)).astype(np.int32)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), x)
-    places = pa.ListArray.from_arrays(pa.array(np.append(entry, len(code)).astype(np.int32)), pa.array(place, pa.int64()))
-    most, least = (np.maximum.reduceat(tf, term), np.minimum.reduceat(length[who], term)) if len(term) else (tf, tf)
+    return _posted(coded.dictionary.take(pa.array(code[entry][term])), np.full(len(term), batch.column("block")[0].as_py() if rows else 0), np.append(term, len(entry)), batch.column("id").take(pa.array(who)), tf, length[who], place, ends_)
+
+
+def _posted(term: pa.Array, block: np.ndarray, ends: np.ndarray, ids: pa.Array, tf: np.ndarray, dl: np.ndarray, place: np.ndarray, ends_: list[str]) -> pa.RecordBatch:
+    """Rows of postings, each with the entries from one of ends to the next, and the file that each goes to."""
+    entry = np.append(0, np.cumsum(tf))  # of an entry's places
+    first = ends[:-1]
+    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first)) if len(first) else (tf, dl)
+    lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), x)
+    starts = entry[:-1] - np.repeat(entry[first], np.diff(ends))
     return pa.RecordBatch.from_arrays(
-        [coded.dictionary.take(pa.array(code[entry][term])), pa.array(np.full(len(term), batch.column("block")[0].as_py() if rows else 0)), *(pa.array(x.astype(np.int32)) for x in (np.diff(ends), most, least)),
-         lists(batch.column("id").take(pa.array(who))), lists(pa.array(tf.astype(np.int32))), lists(pa.array(length[who].astype(np.int32))), lists(places)],
-        ["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls", "places"],
+        [term, pa.array(block), *(pa.array(x.astype(np.int32)) for x in (np.diff(ends), most, least)), lists(ends, ids), *(lists(ends, pa.array(x.astype(np.int32))) for x in (tf, dl, starts)), lists(entry[ends], pa.array(place, pa.int64())), _file(term, block, ends_)],
+        ["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls", "starts", "places", "file"],
     )
 
 
+def _file(term: pa.Array, block: np.ndarray, ends: list[str]) -> pa.Array:
+    """Numbers of files that the last terms of the others part; a term that ends several is dealt over them by block."""
+    many = {t for t, u in zip(ends, ends[1:], strict=False) if t == u}
+    out = []
+    for t, b in zip(term.to_pylist(), block.tolist(), strict=True):
+        i = bisect_left(ends, t)
+        out.append(i + b % (bisect_right(ends, t) - i + 1) if t in many else i)
+    return pa.array(out, pa.int32())
+
+
+def _repacked(batch: pa.RecordBatch, gone: pa.Array | None) -> pa.RecordBatch:
+    """Postings (term, block, ids, tfs, dls, places) without the entries of gone ids."""
+    ids, tf, dl, place = (batch.column(x).flatten() for x in ("ids", "tfs", "dls", "places"))
+    tf, dl, place = (x.to_numpy(zero_copy_only=False) for x in (tf, dl, place))
+    of = np.repeat(np.arange(batch.num_rows), batch.column("ids").value_lengths().to_numpy(zero_copy_only=False))
+    if gone is not None:
+        stays = ~pa.compute.is_in(ids, value_set=gone).to_numpy(zero_copy_only=False)
+        ids, tf, dl, of, place = ids.filter(pa.array(stays)), tf[stays], dl[stays], of[stays], place[np.repeat(stays, tf)]
+    n = np.bincount(of, minlength=batch.num_rows)
+    some = np.flatnonzero(n)
+    return _posted(batch.column("term").take(pa.array(some)), batch.column("block").to_numpy()[some], np.append(0, np.cumsum(n[some])), ids, tf, dl, place, []).drop_columns("file")
+
+
+def _ends(counts: DataFrame, share: float, cores: int) -> list[str]:
+    """The last terms of all files but one, from the entries (term, n) of a share of the rows: ever so many terms apart that files hold about FILE entries."""
+    found = sorted((r["term"], r["n"]) for r in counts.collect())  # the terms of a bounded sample
+    upto = np.cumsum([n for _, n in found]) if found else np.zeros(1, np.int64)
+    entries = int(upto[-1] / share)
+    files = max(-(-entries // FILE), min(cores, entries // 2048 + 1))
+    return [found[i][0] for i in np.searchsorted(upto, [upto[-1] * k / files for k in range(1, files)])] if found else []
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last term of each file (own, term) of a batch."""
+    for batch in batches:
+        own = batch.column("own")
+        for one in own.unique():
+            ends = pa.compute.min_max(batch.column("term").filter(pa.compute.equal(own, one))).as_py()
+            yield pa.RecordBatch.from_pylist([{"own": one.as_py(), "first": ends["min"], "last": ends["max"]}])
+
+
 def _postings_schema(kind: str) -> str:
-    return f"term string, block bigint, n int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>, places array<array<bigint>>"
+    return f"term string, block bigint, n int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>, starts array<int>, places array<bigint>"
 
 
 def weight(tf: Column | float, dl: Column | float, mean: float, k1: float = BM25_K1, b: float = BM25_B):
@@ -165,6 +219,11 @@ class Index:
         rows = dealt(rows.select(*dict.fromkeys([self.now["id"], *keep, *fields])))
         at = rows.select(F.col(self.now["id"]).alias("id"), *keep, *[terms(F.col(f)).alias(f"f{i}") for i, f in enumerate(fields)])
         dl = sum((F.coalesce(F.size(f"f{i}"), F.lit(0)) for i in range(len(fields))), F.lit(0))
+        share = min(1.0, SAMPLE / max(rows.count(), 1))
+        # terms are looked for in the rows of the sample only
+        some = rows.sample(share, 0) if share < 1 else rows
+        words = F.array_distinct(F.flatten(F.array(*[F.coalesce(terms(F.col(f)), F.array().cast("array<string>")) for f in fields])))
+        ends = _ends(some.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), share, self.spark.sparkContext.defaultParallelism)
 
         def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -172,23 +231,28 @@ class Index:
                 cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     if j > i:
-                        yield _inverted(batch.slice(i, j - i), len(fields))
+                        yield _inverted(batch.slice(i, j - i), len(fields), ends)
 
         own = uuid.uuid4().int >> 66  # segments number their blocks apart
         split = at.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK).bitwiseXOR(F.lit(own)))
-        posted = split.select("id", "block", *[f"f{i}" for i in range(len(fields))]).mapInArrow(inverted, _postings_schema(self.now["kind"]))
-        return self._written(posted, at.select("id", dl.alias("dl"), *keep))
+        posted = split.select("id", "block", *[f"f{i}" for i in range(len(fields))]).mapInArrow(inverted, f"{_postings_schema(self.now['kind'])}, file int")
+        # small files: a task sorts a bounded number of entries
+        return self._written(posted.repartitionById(len(ends) + 1, "file").drop("file").sortWithinPartitions("term", "block"), at.select("id", dl.alias("dl"), *keep))
 
     def _written(self, posted: DataFrame, lengths: DataFrame) -> dict:
-        """A segment of postings and rows, and its part of the manifest."""
+        """A segment of postings, in order in each of their partitions, and rows, and its part of the manifest."""
         name = f"s-{uuid.uuid4().hex}"
         # small row groups: a query decodes those of its terms
-        posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.block.size", GROUP).parquet(f"{self.path}/{name}/postings")
+        posted.write.option("parquet.block.size", GROUP).parquet(f"{self.path}/{name}/postings")
         lengths.write.parquet(f"{self.path}/{name}/rows")
         spark = self.spark
-        files = spark.read.schema("term string").parquet(f"{self.path}/{name}/postings").groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last"))
+        # a task passes on a row for each file of a batch; a least string by groups would sort all terms first
+        own = F.xxhash64(F.substring_index(F.input_file_name(), "/", -1)).alias("own")
+        ranges = spark.read.schema("term string").parquet(f"{self.path}/{name}/postings").select(own, "term").mapInArrow(_ranges, "own bigint, first string, last string").groupBy("own").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        names = spark.createDataFrame([(x,) for x in self.versions.folders(f"{name}/postings") if x.endswith(".parquet")], "file string")
+        files = names.join(ranges, F.xxhash64("file") == F.col("own")).select("file", "first", "last").orderBy("file")
         rows, words = spark.read.schema("dl int").parquet(f"{self.path}/{name}/rows").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return {"name": name, "rows": rows, "words": words, "files": [[r["file"].rpartition("/")[2], r["first"], r["last"]] for r in files.collect()]}  # a row for each file
+        return {"name": name, "rows": rows, "words": words, "files": [list(r) for r in files.collect()]}  # a row for each file
 
     def insert(self, rows: DataFrame) -> Index:
         """With rows, whose ids the index doesn't hold."""
@@ -205,9 +269,24 @@ class Index:
         """One segment where there are more than `most` or ids are deleted; made of postings, no text is read. Older versions can still be read."""
         if len(self.now["segments"]) <= most and not self.now["deleted"]:
             return self
-        # rows stay in their block
-        posted = self._left_entries(None).groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl", "places"))).alias("e"))
-        posted = posted.select("term", "block", F.size("e").alias("n"), F.array_max("e.tf").alias("max_tf"), F.array_min("e.dl").alias("min_dl"), F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"), F.col("e.dl").alias("dls"), F.col("e.places").alias("places"))
+        # rows stay in their block, and segments number their blocks apart: no postings are joined
+        columns, schema = ["ids", "tfs", "dls", "starts", "places"], _postings_schema(self.now["kind"])
+        posted = None
+        for segments, deleted in self._groups():
+            held = self._entries(None, columns, segments)
+            gone = self._gone(deleted)
+            if deleted and gone is None:
+                left = self._without(self._opened(held), deleted)
+                lists = left.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl", "places"))).alias("e"))  # rows of a block
+                held = lists.select("term", "block", *[F.col(f"e.{x}").alias(f"{x}s") for x in ("id", "tf", "dl")], F.flatten("e.places").alias("places")).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+
+            def repacked(batches: Iterator[pa.RecordBatch], gone=gone) -> Iterator[pa.RecordBatch]:
+                ids = gone.value if gone is not None else None
+                for batch in batches:
+                    yield _repacked(batch, ids)
+
+            one = held.mapInArrow(repacked, schema)
+            posted = one if posted is None else posted.unionByName(one)
         old = {s["name"] for s in self.now["segments"]}
         segment = self._written(posted, self.rows())
 
@@ -219,6 +298,15 @@ class Index:
 
         return self._committed(change)
 
+    def _gone(self, deleted: list[str]):
+        """The ids of tables of deleted ones, for tasks; None where there are none, or more than GONE."""
+        if not deleted:
+            return None
+        ids = self.spark.read.schema(f"id {self.now['kind']}").parquet(*[f"{self.path}/{name}" for name in deleted])
+        if ids.count() > GONE:
+            return None
+        return self.spark.sparkContext.broadcast(ids.toArrow()["id"].combine_chunks())
+
     # ------------------------------------------------------------ reading
 
     def _groups(self) -> list[tuple[list[dict], list[str]]]:
@@ -232,13 +320,16 @@ class Index:
         """What read gives for the segments of each group, with the column id, without the deleted ids."""
         out = None
         for segments, deleted in self._groups():
-            rows = read(segments)
-            for name in deleted:
-                gone = self.spark.read.schema(f"id {self.now['kind']}").parquet(f"{self.path}/{name}").withColumnRenamed("id", "gone")
-                rows = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+            rows = self._without(read(segments), deleted)
             out = rows if out is None else out.unionByName(rows)
         return self.spark.createDataFrame([], schema) if out is None else out
 
+    def _without(self, rows: DataFrame, deleted: list[str]) -> DataFrame:
+        for name in deleted:
+            gone = self.spark.read.schema(f"id {self.now['kind']}").parquet(f"{self.path}/{name}").withColumnRenamed("id", "gone")
+            rows = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+        return rows
+
     def rows(self) -> DataFrame:
         """(id, dl, kept columns) of the rows that are not deleted."""
         schema = ", ".join([f"id {self.now['kind']}", "dl int", *self.now["keep"]])
@@ -256,13 +347,20 @@ class Index:
     @staticmethod
     def _opened(rows: DataFrame) -> DataFrame:
         """(term, block, id, tf, dl) of postings, and places where they have them."""
-        names = [c for c in ("ids", "tfs", "dls", "places") if c in rows.columns]
-        each = rows.select("term", "block", F.explode(F.arrays_zip(*names)).alias("e"))
-        return each.select("term", "block", *[F.col(f"e.{c}").alias({"ids": "id", "tfs": "tf", "dls": "dl"}.get(c, c)) for c in names])
-
-    def _left_entries(self, asked: list[str] | None) -> DataFrame:
-        """(term, block, id, tf, dl, places) of the rows that are not deleted."""
-        return self._left(lambda segments: self._opened(self._entries(asked, ["ids", "tfs", "dls", "places"], segments)), f"term string, block bigint, id {self.now['kind']}, tf int, dl int, places array<bigint>")
+        names, own = ["ids", "tfs", "dls"], [F.col("e.ids").alias("id")]
+        if "places" not in rows.columns:
+            each = rows.select("term", "block", F.explode(F.arrays_zip(*names)).alias("e"))
+            return each.select("term", "block", *own, F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"))
+        # an entry takes its own places along, not all of its row's
+        parts = F.zip_with("starts", "tfs", lambda start, tf: F.slice(F.col("places"), start + 1, tf))
+        each = rows.select("term", "block", F.explode(F.arrays_zip(*names, parts.alias("parts"))).alias("e"))
+        return each.select("term", "block", *own, F.col("e.tfs").alias("tf"), F.col("e.dls").alias("dl"), F.col("e.parts").alias("places"))
+
+    def _left_entries(self, asked: list[str] | None, places: bool = True) -> DataFrame:
+        """(term, block, id, tf, dl) of the rows that are not deleted, and their places if asked for."""
+        more = ["starts", "places"] if places else []
+        schema = f"term string, block bigint, id {self.now['kind']}, tf int, dl int" + (", places array<bigint>" if places else "")
+        return self._left(lambda segments: self._opened(self._entries(asked, ["ids", "tfs", "dls", *more], segments)), schema)
 
     def among(self, collections: DataFrame | list[str] | None = None, scope: list[str] | None = None, documents: DataFrame | None = None, metadata: Column | None = None) -> DataFrame | None:
         """Ids of the rows in the collections (a list, or a table with one column) within the scope, of documents (id) that the metadata predicate holds for; None
@@ -414,7 +512,8 @@ class Index:
 
     def _by_clauses(self, asked: list[Clause], k: int, among: DataFrame | None) -> DataFrame:
         words = sorted({w for c in asked for w in c.words})
-        corpus, entries = self.rows(), self._left_entries(words)
+        placed = any(c.slop is not None or c.field is not None for c in asked)
+        corpus, entries = self.rows(), self._left_entries(words, placed)
         if among is not None:
             own = among.toDF("own")
             corpus, entries = (x.join(own, F.col("id") == F.col("own"), "left_semi") for x in (corpus, entries))
@@ -423,7 +522,7 @@ class Index:
         if unknown:
             raise ValueError(f"the index has no field {unknown[0]}")
         need = sorted({(w, c.field) for c in asked for w in c.words}, key=str)
-        counts = entries.agg(*[F.count_if((F.col("term") == w) & (F.size(within(F.col("places"), f)) > 0)).alias(f"d{i}") for i, (w, f) in enumerate(need)])
+        counts = entries.agg(*[F.count_if((F.col("term") == w) & (F.lit(True) if f is None else F.size(within(F.col("places"), f)) > 0)).alias(f"d{i}") for i, (w, f) in enumerate(need)])
         if among is None and not self.now["deleted"]:
             n, mean, found = self.count, sum(s["words"] for s in self.now["segments"]) / max(self.count, 1), counts.first()
         else:
@@ -431,9 +530,10 @@ class Index:
             n, mean, found = both["n"], both["mean"] or 0.0, both
         idf = {x: _idf(n, found[f"d{i}"]) for i, x in enumerate(need)}
         # at most a row for each word asked is collected for an id
-        rows = entries.groupBy("id").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m"))
+        rows = entries.groupBy("id").agg(F.first("dl").alias("dl"), F.map_from_entries(F.collect_list(F.struct("term", "places" if placed else "tf"))).alias("m"))
         none = F.array().cast("array<bigint>")
         at = lambda w, f: within(F.coalesce(F.try_element_at("m", F.lit(w)), none), f)
+        times = lambda w, f: F.size(at(w, f)) if placed else F.coalesce(F.try_element_at("m", F.lit(w)), F.lit(0))
 
         def phrase(c: Clause) -> Column:
             def next_(w: str, last: Column) -> Column:
@@ -451,7 +551,7 @@ class Index:
         for c in asked:
             if not c.words:
                 continue
-            parts = [(phrase(c), sum(idf[w, c.field] for w in c.words))] if c.slop is not None else [(F.size(at(w, c.field)), idf[w, c.field]) for w in c.words]
+            parts = [(phrase(c), sum(idf[w, c.field] for w in c.words))] if c.slop is not None else [(times(w, c.field), idf[w, c.field]) for w in c.words]
             for tf, x in parts:
                 if c.need == "none":
                     keep = keep & (tf == 0)

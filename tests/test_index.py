@@ -170,3 +170,53 @@ def test_fingerprint(spark, tmp_path):
     assert before != fingerprint(spark, path)
     versions = Versions(spark, f"file://{tmp_path}/v")
     assert versions.read() == (0, {}) and versions.commit(1, {"a": "é"}) == 1 and versions.read() == (1, {"a": "é"})
+
+
+def test_ranges_without_a_second_inversion(spark, rows, tmp_path, monkeypatch):
+    def none(*_):
+        raise AssertionError("a sort by range inverts its rows twice")
+
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", none)
+    ix = made(spark, rows, tmp_path).insert(spark.createDataFrame([(900, "d", "c1", None, "w3 w9")], SCHEMA))
+    gone = ix.delete(spark.createDataFrame([(i,) for i in range(0, 402, 4)], "id long")).merge()
+    left = [r for r in [*rows, (900, "d", "c1", None, "w3 w9")] if r[0] % 4 or r[0] >= 402]
+    assert pairs(gone.top("w3 w9", 20)) == scanned(spark, left, "w3 w9", 20)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_merged_places(spark, rows, tmp_path, monkeypatch, most):
+    """Deleted ids that are sent and that are joined: phrases are found as before, and nothing of a deleted row is left."""
+    monkeypatch.setattr(index_module, "GONE", most)
+    asked, left = [clause("w0 w1", slop=3), clause("w2")], [r for r in rows if r[0] % 3]
+    ix = made(spark, rows, tmp_path).delete(spark.createDataFrame([(r[0],) for r in rows if r[0] % 3 == 0], "id long"))
+    merged = ix.merge()
+    assert pairs(merged.top(asked, 12)) == by_hand(left, ("text",), asked, 12)
+    held = merged._entries(None, ["n", "max_tf", "min_dl", "ids", "tfs", "dls", "starts", "places"]).collect()
+    assert all(len(r["ids"]) == len(r["tfs"]) == r["n"] and len(r["places"]) == sum(r["tfs"]) and r["max_tf"] == max(r["tfs"]) and r["min_dl"] == min(r["dls"]) and all(i % 3 for i in r["ids"]) for r in held)
+
+
+def test_words_alone(spark, rows, tmp_path):
+    ix = made(spark, rows, tmp_path)
+    among = spark.createDataFrame([(r[0],) for r in rows if r[0] % 2], "id long")
+    assert "places" not in ix.top("w0 w7", 5, among)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_term_of_many_files():
+    import numpy as np
+    import pyarrow as pa
+
+    blocks = np.arange(40)
+    files = lambda t: set(index_module._file(pa.array([t] * 40), blocks, ["b", "m", "m", "m", "t"]).to_pylist())
+    assert [files(t) for t in ("a", "b", "c", "m", "n", "z")] == [{0}, {0}, {1}, {1, 2, 3, 4}, {4}, {5}]
+
+
+def test_ranges_of_files(spark, rows, tmp_path, monkeypatch):
+    """The ends of files are those of their terms, and no task sorts the terms to find them."""
+    plans, collect = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    ix = made(spark, rows, tmp_path)
+    assert not [p for p in plans if "input_file_name" in p and "MapInArrow" not in p]
+    (segment,) = ix.now["segments"]
+    for file, first, last in segment["files"]:
+        terms = [r["term"] for r in spark.read.parquet(f"{ix.path}/{segment['name']}/postings/{file}").select("term").collect()]
+        assert (min(terms), max(terms)) == (first, last)
