@@ -51,8 +51,14 @@ def raw_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 _CHUNK = ("text", "start", "end", "prefix", "breadcrumb")
 _TOPS = "doc_id string, text string, pages array<int>, tops array<struct<text:string,start:int,end:int,prefix:int,breadcrumb:string>>"
-#: Characters of texts whose rows go on together.
-PASSED_ON = 1 << 22
+#: Characters of texts whose rows go on together, and rows of a batch that are objects at a time.
+PASSED_ON, AT_ONCE = 1 << 22, 1 << 6
+
+
+def _rows(b: pa.RecordBatch):
+    """The rows of a batch as objects, few at a time: a batch of ten thousand texts is never whole twice."""
+    for i in range(0, b.num_rows, AT_ONCE):
+        yield from b.slice(i, AT_ONCE).to_pylist()
 
 
 def signals(text: Column, strategy: str) -> Column:
@@ -69,7 +75,7 @@ def _parents(batches, config):
     kinds = pa.schema([("doc_id", pa.string()), ("text", pa.string()), ("pages", pa.list_(pa.int32())), ("tops", pa.list_(pa.struct(list(zip(_CHUNK, (pa.string(), *[pa.int32()] * 3, pa.string()), strict=True)))))])
     for b in batches:
         out, size = [], 0
-        for r in b.to_pylist():
+        for r in _rows(b):
             tops = split(r["text"], config, _signals(r["signals"]))[0]
             out.append({"doc_id": r["doc_id"], "text": r["text"] if r["pages"] else None, "pages": r["pages"], "tops": [{x: getattr(c, x) for x in _CHUNK} for c in tops]})
             size += len(r["text"])
@@ -84,7 +90,7 @@ def _children(batches, config):
     for b in batches:
         out: list[tuple] = []
         size = 0
-        for r in b.to_pylist():
+        for r in _rows(b):
             doc, where = r["doc_id"], PageMap(r["text"] or "", r["pages"])
             rows_, lows, hashes = [], [], []
             for k, t in enumerate(r["tops"]):

@@ -396,3 +396,33 @@ def test_texts_of_few_files_are_dealt(spark, tmp_path):
     many.write.parquet(str(tmp_path / "many"))
     assert "RoundRobin" not in dealt(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().executedPlan().toString()
     assert chunked(d).groupBy("doc_id").count().count() == 40
+
+
+def test_few_texts_are_objects_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.operators import chunks
+    from lodestone.sources import html
+
+    seen = []
+
+    class Batch:
+        def __init__(self, values):
+            self.values = values
+
+        def slice(self, i, n):
+            return Batch(self.values[i : i + n])
+
+        def to_pylist(self):
+            seen.append(len(self.values))
+            return self.values
+
+        def __len__(self):
+            return len(self.values)
+
+        num_rows = property(__len__)
+
+    assert list(chunks._rows(Batch(list(range(1000))))) == list(range(1000)) and max(seen) <= chunks.AT_ONCE
+    pages = [f"<p>{i}</p>" if i % 7 else None for i in range(500)]
+    assert html._in_parts(Batch(pages)).to_pylist() == [html.to_markdown(x) for x in pages] and max(seen) <= html.AT_ONCE
+    assert html._in_parts(pa.array([], pa.string())).to_pylist() == []
