@@ -108,8 +108,7 @@ def bm25_topk(spark, sf_dir):
     p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL)
     SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(tf) AS BIGINT) AS max_tf FROM p GROUP BY term""")
 def bm25_postings_stats(spark, sf_dir):
-    p = retrieval.postings(_table(spark, sf_dir, "documents"), "doc_id")
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return retrieval.term_stats(_table(spark, sf_dir, "documents"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)

@@ -104,6 +104,25 @@ def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_stats(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df, cf, max_tf): in how many rows a term is, how often in all, and how often in one at most. A row's terms are counted where it is read, so a task passes on a row for each term of a batch."""
+
+    def counted(batches):
+        for b in batches:
+            lists = b.column("t").fill_null([])
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            n = len(coded.dictionary)
+            pair, tf = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+            code = pair % max(n, 1)
+            most = np.zeros(n, np.int64)
+            np.maximum.at(most, code, tf)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(code, minlength=n)), pa.array(np.bincount(code, tf, n).astype(np.int64)), pa.array(most)], ["term", "df", "cf", "max_tf"])
+
+    counts = rows.select(terms(F.col(text_col)).alias("t")).mapInArrow(counted, "term string, df long, cf long, max_tf long")
+    return counts.groupBy("term").agg(*[f(x).alias(x) for f, x in ((F.sum, "df"), (F.sum, "cf"), (F.max, "max_tf"))])
+
+
 def _occurrences(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 

@@ -426,3 +426,11 @@ def test_few_texts_are_objects_at_a_time(spark, monkeypatch):
     pages = [f"<p>{i}</p>" if i % 7 else None for i in range(500)]
     assert html._in_parts(Batch(pages)).to_pylist() == [html.to_markdown(x) for x in pages] and max(seen) <= html.AT_ONCE
     assert html._in_parts(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_term_stats(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "B c b b"), (5, "a")], "doc_id long, text string").repartition(3)
+    stats = retrieval.term_stats(docs)
+    assert sorted(map(tuple, stats.collect())) == [("a", 2, 3, 2), ("b", 2, 4, 3), ("c", 1, 1, 1)]
+    assert "hashpartitioning(term" in (plan := stats._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(term, id" not in plan
+    assert retrieval.term_stats(docs.where("doc_id in (2, 3)")).collect() == []
