@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -13,18 +14,26 @@ from ..config import CHILD_SIZE, PARENT_SIZE, parent_and_child
 from ..functions import text as T
 from ..functions.text import let
 from .splitting import Chunk, PageMap, Signals, children_of, split
-from .structure import chain, dealt, profile, profiles
+from .structure import calls, dealt, profiles
 
-RAW = "doc_id string, is_parent boolean, ord int, parent_ord int, start int, end int, prefix int, text string, breadcrumb string, page_start int, page_end int, chunk_hash string, parent_hash string, seq int"
+RAW = "doc_id string, is_parent boolean, ord int, parent_ord int, start int, end int, prefix int, text string, breadcrumb string, page_start int, page_end int, chunk_hash string, parent_hash string, seq int, first boolean"
 _NAMES = [x.split()[0] for x in RAW.split(", ")]
-_KINDS = [pa.string(), pa.bool_(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+_KINDS = [pa.string(), pa.bool_(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
 #: Runs of anything but Unicode white space, as in functions.text.word_list.
 _WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+_BLANK = " \t\n\v\f\r"
+
 
 def text_hash(text: str) -> str:
     """What functions.text.chunk_hash gives."""
-    return hashlib.sha256(" ".join(_WORD.findall(text)).encode()).hexdigest()
+    if text.isascii():
+        line = text.strip(_BLANK).replace("\n", " ")
+        if "  " not in line and "\t" not in line and "\r" not in line and "\f" not in line and "\v" not in line:  # words with one space between
+            return hashlib.sha256(line.encode()).hexdigest()
+    # str.split differs by the four separators only, which are no white space of Unicode's
+    words = _WORD.findall(text) if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split()
+    return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
 
 def numbered(rows: list[tuple[bool, str]]) -> list[int | None]:
@@ -40,7 +49,8 @@ def numbered(rows: list[tuple[bool, str]]) -> list[int | None]:
 
 def raw_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages_col: str | None = None, parent_size: int = PARENT_SIZE, child_size: int = CHILD_SIZE, strategy: str = "auto") -> DataFrame:
     """Parents and children of each row's text, in order, hashed and numbered where the text is split: nothing is shuffled. seq is null for
-    rows that repeat another's hash; parent_hash is that of the parent of a child, if that stays. The signals of texts, and then of their parents, are expressions (`structure.profile`); Python only packs."""
+    rows that repeat another's hash; parent_hash is that of the parent of a child, if that stays; first tells of a child whether no child before it has its hash. The signals of texts, and then of their parents, are expressions
+    (`structure.calls`); Python only packs."""
     parent, child = parent_and_child(parent_size, child_size, strategy)
     pages = F.col(pages_col) if pages_col else F.lit(None).cast("array<int>")
     rows = dealt(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), pages.alias("pages")))
@@ -62,12 +72,17 @@ def _rows(b: pa.RecordBatch):
 
 
 def signals(text: Column, strategy: str) -> Column:
-    """What the splitter asks of a text's profile."""
-    return let(profile(text), lambda p: F.struct(chain(p, strategy).alias("tiers"), p["dominant_level"].alias("level"), p["languages"].alias("languages")))
+    """`calls` of a text, with lists as strings."""
+    return let(calls(text, strategy), lambda x: F.struct(F.array_join(x["tiers"], ",").alias("tiers"), x["level"].alias("level"), F.array_join(x["languages"], ",").alias("languages")))
+
+
+@lru_cache(1 << 10)
+def _known(tiers: str, level: int, languages: str) -> Signals:
+    return Signals(tuple(tiers.split(",")), level, tuple(languages.split(",")) if languages else ())
 
 
 def _signals(x: dict) -> Signals:
-    return Signals(tuple(x["tiers"]), x["level"], tuple(x["languages"]))
+    return _known(x["tiers"], x["level"], x["languages"])
 
 
 def _parents(batches, config):
@@ -92,7 +107,7 @@ def _children(batches, config):
         size = 0
         for r in _rows(b):
             doc, where = r["doc_id"], PageMap(r["text"] or "", r["pages"])
-            rows_, lows, hashes = [], [], []
+            rows_, lows, hashes, seen = [], [], [], set()
             for k, t in enumerate(r["tops"]):
                 top = Chunk(*[t[x] for x in _CHUNK])
                 stays, found = children_of(top, config, _signals(t["signals"]))
@@ -103,7 +118,7 @@ def _children(batches, config):
                 size += len(top.text)
             rows_ += [(False, i, k, c, text_hash(c.text), hashes[k]) for i, (k, c) in enumerate(lows)]
             seqs = numbered([(x[0], x[4]) for x in rows_])
-            out += [(doc, top, k, parent_, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end), own, above, seq) for (top, k, parent_, c, own, above), seq in zip(rows_, seqs, strict=True)]
+            out += [(doc, top, k, parent_, c.start, c.end, c.prefix, c.text, c.breadcrumb, *where.of(c.start, c.end), own, above, seq, None if top else own not in seen and not seen.add(own)) for (top, k, parent_, c, own, above), seq in zip(rows_, seqs, strict=True)]
             if size > PASSED_ON:
                 yield _batch(out)
                 out, size = [], 0

@@ -23,12 +23,17 @@ CHAPTERS = {
 #: Strength of a boundary by its kind.
 PRIORITIES = {"form feed": 100, "numbered": 90, "chapter": 85, "capitals": 70, "separator": 60, "footer": 50, "blank": 40}
 
+# Kinds of lines that are counted, where they are no heading.
+_KINDS = (NUMBERED, *CHAPTERS.values(), ALL_CAPS, SEPARATOR_LINE, FOOTER)
+
 WS = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A line that opens or closes code, without its line feed.
 FENCE = f"(?dm)^{WS}*```[^\\n]*"
 HEADING = f"(?d)^(#{{1,6}})[ \\t\\f\\r]+(?!{WS}*#*{WS}*$)(.+)$"
 TABLE_ROW = f"(?ds)^{WS}*\\|(.*\\|)?{WS}*$"
 LANGUAGES = ("en", "de", "zh")
+#: Begins whatever may be a heading, or is a line of another kind but a row of a table; a line without it adds nothing to their counts.
+MARKED = "^(?:#{1,6}[ \\t\\f\\r]|" + "|".join(f"(?:{p})" for p in _KINDS) + ")"
 
 
 #: Bytes for each core up to which a table of few files is dealt over the cores before its texts are worked on.
@@ -56,7 +61,12 @@ def pieces_of_lines(text: Column) -> Column:
         lines = lambda p, i: let(F.split(p, "\n"), lambda x: F.slice(x, F.when(i > 0, 2).otherwise(1), F.size(x) - (i > 0).cast("int") - (i < n - 1).cast("int")))
         return F.transform(pieces, lines)
 
-    return let(F.split(text, FENCE), inner)
+    return F.when(F.contains(text, F.lit("```")), let(F.split(text, FENCE), inner)).otherwise(F.array(F.split(text, "\n")))
+
+
+def _outside(pieces: Column) -> Column:
+    """The lines outside code."""
+    return F.flatten(F.filter(pieces, lambda _, i: i % 2 == 0))
 
 
 def heading_level(line: Column) -> Column:
@@ -78,24 +88,37 @@ def _line(line: Column) -> Column:
 
     def fields(level: Column) -> Column:
         plain = lambda pattern: F.when((level == 0) & is_like(line, pattern), 1).otherwise(0)
-        patterns = (NUMBERED, *CHAPTERS.values(), ALL_CAPS, SEPARATOR_LINE, FOOTER, TABLE_ROW)
-        counts = [plain(p).alias(name) for name, p in zip(_COUNTED, patterns, strict=True)]
-        return F.struct(F.length(line).alias("length"), *[F.when(level == k, 1).otherwise(0).alias(h) for k, h in enumerate(_LEVELS, 1)], *counts)
+        counts = [plain(p).alias(name) for name, p in zip(_COUNTED, (*_KINDS, TABLE_ROW), strict=True)]
+        return F.struct(*[F.when(level == k, 1).otherwise(0).alias(h) for k, h in enumerate(_LEVELS, 1)], *counts)
 
     return let(heading_level(line), fields)
 
 
 def _counts(lines: Column) -> Column:
-    """The sums of what lines add."""
+    """The sums of what lines add; most lines of prose add nothing and are left out at once."""
     names = (*_LEVELS, *_COUNTED)
     zero = F.struct(*[F.lit(0).alias(x) for x in names])
-    return F.aggregate(lines, zero, lambda acc, x: F.struct(*[(acc[n] + x[n]).alias(n) for n in names]))
+    found = F.filter(lines, lambda x: F.contains(x, F.lit("|")) | is_like(x, MARKED))
+    return F.aggregate(F.transform(found, _line), zero, lambda acc, x: F.struct(*[(acc[n] + x[n]).alias(n) for n in names]))
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
+def _many(text: Column, part: str) -> Column:
+    """How often a text holds a part."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def _languages(own: Column) -> Column:
+    return F.when(own == "mixed", F.array(*map(F.lit, LANGUAGES))).otherwise(F.array(own))
+
+
+def _own(text: Column) -> Column:
+    return T.language(T.truncated_bytes(text, 4096))
+
+
 def profile(text: Column) -> Column:
     """The structure signals of a text, and under `tiers` what they call for, as one struct.
 
@@ -105,39 +128,70 @@ def profile(text: Column) -> Column:
 
     def finished(text: Column, own: Column, lines: Column, code: Column, pieces: Column) -> Column:
         n, size = F.length(text), F.size(lines)
-        lengths = F.transform(lines, lambda x: x["length"])
+        lengths = F.transform(lines, F.length)
         mean = F.when(size > 0, _total(lengths) / size).otherwise(0.0)
         sd = let(mean, lambda m: F.when(size > 0, F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / size)).otherwise(0.0))
-        count = lambda part: ((n - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+        count = lambda part: _many(text, part)
         shared = F.struct(
             n.alias("total_chars"), F.when(n > 0, count("\n") + 1).otherwise(0).alias("total_lines"), count("\f").alias("form_feeds"), count("\n\n\n").alias("blank_breaks"),
             (F.size(pieces) > 1).alias("has_code"), F.when(n > 0, code / n).otherwise(0.0).alias("code_ratio"), mean.alias("mean_line"), sd.alias("sd_line"),
-            F.when(n == 0, F.array().cast("array<string>")).when(own == "mixed", F.array(*map(F.lit, LANGUAGES))).otherwise(F.array(own)).alias("languages"),
+            F.when(n == 0, F.array().cast("array<string>")).otherwise(_languages(own)).alias("languages"),
         )
         return let(F.struct(shared.alias("of"), _counts(lines).alias("n")), _signals)
 
     def inner(pieces: Column) -> Column:
         code = F.aggregate(F.flatten(F.filter(pieces, lambda _, i: i % 2 == 1)), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-        lines = F.transform(F.flatten(F.filter(pieces, lambda _, i: i % 2 == 0)), _line)
-        own = T.language(T.truncated_bytes(text, 4096))
-        return let(F.struct(text.alias("text"), own.alias("own"), F.when(F.length(text) > 0, lines).otherwise(F.slice(lines, 1, 0)).alias("lines"), code.alias("code"), pieces.alias("pieces")), lambda x: finished(*[x[k] for k in ("text", "own", "lines", "code", "pieces")]))
+        lines = _outside(pieces)
+        return let(F.struct(text.alias("text"), _own(text).alias("own"), F.when(F.length(text) > 0, lines).otherwise(F.slice(lines, 1, 0)).alias("lines"), code.alias("code"), pieces.alias("pieces")), lambda x: finished(*[x[k] for k in ("text", "own", "lines", "code", "pieces")]))
 
     return let(pieces_of_lines(text), inner)
 
 
-def _signals(x: Column) -> Column:
-    of, n = x["of"], x["n"]
+def _headings(n: Column) -> tuple[list[tuple[int, Column]], Column, Column]:
+    """Of counts: those of each level, of all headings, and the dominant level."""
     levels = [(k, n[h]) for k, h in enumerate(_LEVELS, 1)]
-    headings, chapters = sum((c for _, c in levels), F.lit(0)), sum((n[c] for c in CHAPTERS), F.lit(0))
     dominant = F.coalesce(*[F.when(c >= 3, k) for k, c in levels], *[F.when(c > 0, k) for k, c in reversed(levels)], F.lit(0))
+    return levels, sum((c for _, c in levels), F.lit(0)), dominant
+
+
+def _tiers(of: Column, n: Column) -> Column:
+    """The tiers that counts of lines call for; of has form_feeds and total_lines."""
+    chapters, (_, headings, dominant) = sum((n[c] for c in CHAPTERS), F.lit(0)), _headings(n)
     markers = n["numbered"] + chapters + n["capitals"] + n["separators"] + n["footers"] + of["form_feeds"]
     chosen = F.when((headings >= 3) & (headings / of["total_lines"] > 0.005) & (dominant > 0), "heading"), F.when((markers >= 5) | (of["form_feeds"] > 0) | (chapters > 0), "heuristic"), F.lit("legacy")
+    return F.array_compact(F.array(*chosen))
+
+
+def calls(text: Column, strategy: str = "auto") -> Column:
+    """What the splitter asks for of `profile`, as a struct: tiers (`chain`), level (the dominant one) and languages.
+
+    One look over a text tells whether it has a line of any kind; most prose has none, and its lines are not counted. Languages choose among chapters, so they are empty where the heuristic tier isn't tried.
+    """
+
+    def counted(x: Column) -> Column:
+        return F.struct(_tiers(x["of"], x["n"]).alias("tiers"), _headings(x["n"])[2].alias("level"))
+
+    prose = F.struct(F.when(F.contains(text, F.lit("\f")), F.array(F.lit("heuristic"), F.lit("legacy"))).otherwise(F.array(F.lit("legacy"))).alias("tiers"), F.lit(0).alias("level"))
+    of = F.struct(_many(text, "\f").alias("form_feeds"), (_many(text, "\n") + 1).alias("total_lines"))
+    lines = F.struct(of.alias("of"), _counts(_outside(pieces_of_lines(text))).alias("n"))
+    found = F.when(F.rlike(text, F.lit("(?dm)" + MARKED)), let(lines, counted)).otherwise(prose)
+
+    def finished(x: Column) -> Column:
+        tiers = chain(x, strategy)
+        return F.struct(tiers.alias("tiers"), x["level"].alias("level"), F.when(F.array_contains(tiers, "heuristic"), let(_own(text), _languages)).otherwise(F.array().cast("array<string>")).alias("languages"))
+
+    return let(found, finished)
+
+
+def _signals(x: Column) -> Column:
+    of, n = x["of"], x["n"]
+    chapters, (levels, headings, dominant) = sum((n[c] for c in CHAPTERS), F.lit(0)), _headings(n)
     return F.struct(
         of["total_chars"].alias("total_chars"), of["total_lines"].alias("total_lines"), headings.alias("headings"),
         F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("n")) for k, c in levels]), lambda e: e["n"] > 0)).alias("heading_counts"),
         dominant.alias("dominant_level"), n["numbered"].alias("numbered"), chapters.alias("chapters"), n["capitals"].alias("all_caps"), n["separators"].alias("separators"), n["footers"].alias("footers"),
         of["form_feeds"].alias("form_feeds"), of["blank_breaks"].alias("blank_breaks"), of["has_code"].alias("has_code"), (n["tables"] > 0).alias("has_tables"), of["code_ratio"].alias("code_ratio"),
-        of["mean_line"].alias("mean_line"), of["sd_line"].alias("sd_line"), of["languages"].alias("languages"), F.array_compact(F.array(*chosen)).alias("tiers"),
+        of["mean_line"].alias("mean_line"), of["sd_line"].alias("sd_line"), of["languages"].alias("languages"), _tiers(of, n).alias("tiers"),
     )
 
 

@@ -101,3 +101,58 @@ def test_documents_share_states_of_leases():
     assert [tuple(r)[:4] for r in out.itertuples(index=False)] == [("a", 0, 5_000_000, "claimed"), ("a", 0, 6_000_000, "done"), ("b", 0, 1_000_000, "claimed")] and timers == [11_001]
     (out,) = p.handleExpiredTimer((1,), Now(), None)
     assert [tuple(r)[:4] for r in out.itertuples(index=False)] == [("b", 0, 11_000_000, "requeued")] and timers == []
+
+
+def test_prose_is_read_by_no_pattern(spark, monkeypatch):
+    from lodestone.operators import chunks, splitting
+
+    read, prose = [], "Some words, and | more of $ them. " * 300 + "\n" + "A line [of] its own.\n" * 200
+    counting = type("Counting", (), {"finditer": lambda self, text: read.append(text) or iter(())})()
+    monkeypatch.setattr(splitting, "PROTECTED", {k: (counting,) * len(v) for k, v in splitting.PROTECTED.items()} if isinstance(splitting.PROTECTED, dict) else (counting,) * len(splitting.PROTECTED))
+    assert splitting.split(prose, splitting.SplitConfig(384, 76), splitting.Signals())[0] and read == []
+    rows = spark.createDataFrame([(0, prose), (1, prose + "\fx"), (2, None)], "i int, text string").select("i", chunks.signals(F.coalesce("text", F.lit("")), "auto").alias("s")).collect()
+    assert {r["i"]: len(r["s"]["languages"]) > 0 for r in rows} == {0: False, 1: True, 2: False}  # languages are worked out where chapters are looked for
+
+
+def test_signals_are_those_of_the_profile(spark):
+    from lodestone.operators import structure
+
+    bits = ["# H\n", "## Sub #\n", "# \n", "#no\n", "\n\n\n", "Word word. ", "中文。", "```\n# a\n```\n", "\f", "1. Intro\n", "1.2.3 x\n", "ALL CAPS HEADING\n", "Chapter 3: x\n", "第三章 z\n", "---\n", "Seite 3 von 4\n", "| a | b |\n", "ü", " ```\n"]
+    rng = np.random.default_rng(3)
+    texts = ["", "# a\n# b\n# c", *["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(200)]]
+    p = structure.profile(F.col("text"))
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", structure.calls(F.col("text")).alias("c"), p["tiers"].alias("tiers"), p["dominant_level"].alias("level"), p["languages"].alias("languages")).collect()
+    for r in found:
+        assert (r["c"]["tiers"], r["c"]["level"]) == (r["tiers"], r["level"]) and r["c"]["languages"] == (r["languages"] if "heuristic" in r["tiers"] else []), r["text"]
+    assert {tuple(r["tiers"]) for r in found} == {("legacy",), ("heuristic", "legacy"), ("heading", "legacy"), ("heading", "heuristic", "legacy")}
+
+
+def test_hashes_of_chunks_by_any_white_space():
+    import hashlib
+
+    from lodestone.operators.chunks import _WORD, text_hash
+
+    spaces = [" ", "  ", "\n", "\t", "\r\n", "\v", "\f", "\x1c", "\x1f", "\x85", "\xa0", "　", "​", ""]
+    for a in spaces:
+        for b in spaces:
+            for text in (f"{a}one{b}two{a}", f"one{a}{b}two", f"{a}é{b}"):
+                assert text_hash(text) == hashlib.sha256(" ".join(_WORD.findall(text)).encode()).hexdigest(), repr(text)
+
+
+def test_rows_of_tables_are_found_as_before():
+    import random
+    import re
+
+    from lodestone.operators import splitting
+
+    slow = r"[ ]*(?:\|[^|\n]*)+\|[\r\n]+"
+    head = re.compile(slow + r"[ \t\n\f\r]*(?:\|[ \t\n\f\r]*:?-{3,}:?[ \t\n\f\r]*)+\|[\r\n]+")
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice(["|", "|", "-", "---", " ", "\n", "|\n", "\r", "a", ":", "|---|\n"]) for _ in range(rng.randint(2, 30)))
+        found = sorted((m.span() for p in (head, re.compile(slow)) for m in p.finditer(text)), key=lambda s: (s[0], -s[1]))
+        out = []
+        for a, b in found:
+            if not out or a >= out[-1][1]:
+                out.append((a, b))
+        assert splitting.protected(text) == out, repr(text)
