@@ -969,9 +969,11 @@ def embed_documents(spark, sf_dir):
     from .operators.chunks import raw_chunks
     from .operators.embedding import HashEmbedder, embedded
 
-    raw = raw_chunks(_table(spark, sf_dir, "documents")).where("not is_parent")
-    first = raw.groupBy("doc_id", "chunk_hash").agg(F.min_by(F.struct("breadcrumb", "text"), "ord").alias("c"))  # children that repeat a parent too: parents have no vectors
-    return embedded(first.select(T.chunk_id(F.col("doc_id"), F.col("chunk_hash")).alias("id"), F.col("c.breadcrumb").alias("header_breadcrumb"), "c.text"), HashEmbedder)
+    docs = _table(spark, sf_dir, "documents")
+    first = raw_chunks(docs).where("not is_parent and first").select("doc_id", "chunk_hash", "ord", "breadcrumb", "text")  # children that repeat a parent too: parents have no vectors
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # only where ids repeat do chunks of several rows have to meet
+        first = first.groupBy("doc_id", "chunk_hash").agg(F.min_by(F.struct("breadcrumb", "text"), "ord").alias("c")).select("doc_id", "chunk_hash", "c.*")
+    return embedded(first.select(T.chunk_id(F.col("doc_id"), F.col("chunk_hash")).alias("id"), F.col("breadcrumb").alias("header_breadcrumb"), "text"), HashEmbedder)
 
 
 @query()

@@ -8,8 +8,10 @@ import random
 import threading
 import time
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DIM_MAX, EMBED_CHARS, EMBED_TEXTS, EMBED_TOKENS
@@ -34,22 +36,52 @@ def batches(texts: list[str], tokens: int = EMBED_TOKENS, most: int = EMBED_TEXT
         yield out
 
 
+#: The state that hashes of words start from.
+_EMPTY = hashlib.blake2b(digest_size=8)
+
+
+class _Slots(dict):
+    """2 * dimension + sign of words, from their hashes. At most twice MOST are kept: of those before the last MOST, the ones that came up again since."""
+
+    MOST = 1 << 18
+
+    def __init__(self, dim: int):
+        self.dim, self.before = dim, {}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.before = dict(self)
+            self.clear()
+        slot = self.before.get(word)
+        if slot is None:
+            state = _EMPTY.copy()
+            state.update(word.encode())
+            h = int.from_bytes(state.digest(), "little")
+            slot = (h & 0xFFFFFFFF) % self.dim * 2 + (h >> 32 & 1)
+        self[word] = slot
+        return slot
+
+
 class HashEmbedder:
     """Deterministic vectors from word hashes, for tests and runs without a model."""
 
     def __init__(self, dim: int = 64):
         if not 1 <= dim <= DIM_MAX:
             raise ValueError(f"dimension {dim} is outside 1..{DIM_MAX}")
-        self.dim = dim
+        self.dim, self.slots = dim, _Slots(dim)
+
+    def array(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: its words counted by dimension and sign, all texts at once."""
+        words = [text.lower().split() for text in texts]
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(words)), np.int64)
+        slots += np.repeat(np.arange(len(texts)) * 2 * self.dim, [len(w) for w in words])
+        counts = np.bincount(slots, minlength=len(texts) * 2 * self.dim).reshape(len(texts), self.dim, 2)
+        out = (counts[:, :, 1] - counts[:, :, 0]).astype(np.float32)
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(length > 0, length, 1)
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for i, text in enumerate(texts):
-            for w in text.lower().split():
-                h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-                out[i, int.from_bytes(h[:4], "little") % self.dim] += 1 if h[4] & 1 else -1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(length > 0, length, 1)).tolist()
+        return self.array(texts).tolist()
 
 
 class Unavailable(ConnectionError):
@@ -163,24 +195,32 @@ class Endpoint:
         return vectors_of(found)
 
 
+def _arrow(parts: list) -> pa.Array:
+    """Vectors as lists, or as tables of numbers, as one column."""
+    kind = pa.list_(pa.float32())
+    if not parts or not isinstance(parts[0], np.ndarray):
+        return pa.array([v for part in parts for v in part], kind)
+    table = np.concatenate(parts)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * table.shape[1], pa.int32()), pa.array(table.ravel(), pa.float32()))
+
+
 def embedded(chunks: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], id_col: str = "id", model: EmbeddingModel | None = None) -> DataFrame:
     """(id, embedding) for child chunks; make builds a client in each task. Vectors are tied to ids by the row, not by order. With a model the client is guarded, and its
-    batches and texts have the model's bounds."""
+    batches and texts have the model's bounds. Without one, a client's `array`, which gives a table of numbers, is preferred to lists of them."""
     tokens, most, chars = (model.ctx_budget, model.batch_size, model.truncate_chars) if model else (EMBED_TOKENS, EMBED_TEXTS, EMBED_CHARS)
     kind = chunks.schema[id_col].dataType.simpleString()
     child = chunks.where(~F.col("is_parent")) if "is_parent" in chunks.columns else chunks
     crumb = F.col("header_breadcrumb") if "header_breadcrumb" in chunks.columns else F.lit("")
     rows = child.select(F.col(id_col).alias("id"), (F.substring(embedding_text(crumb, F.col("text")), 1, chars) if chars else embedding_text(crumb, F.col("text"))).alias("text"))
 
-    def run(frames):
-        import pandas as pd
-
+    def run(rows):
         client = Guarded(make(), model.vector_dim, chance=random.random) if model else make()
-        for f in frames:
-            vectors: list = [None] * len(f)
-            for part in batches(f["text"].tolist(), tokens, most):
-                for (i, _), v in zip(part, client([t for _, t in part]), strict=True):
-                    vectors[i] = v
-            yield pd.DataFrame({"id": f["id"], "embedding": vectors})
-
-    return rows.mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+        call = getattr(client, "array", client)
+        for b in rows:
+            # positions rise through the parts, so vectors come in the order of the rows
+            parts = [(part, call([t for _, t in part])) for part in batches(b.column("text").to_pylist(), tokens, most)]
+            if any(len(part) != len(found) for part, found in parts):
+                raise ValueError("not a vector for each text")
+            yield pa.RecordBatch.from_arrays([b.column("id"), _arrow([found for _, found in parts])], ["id", "embedding"])
+
+    return rows.mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)

@@ -156,3 +156,33 @@ def test_rows_of_tables_are_found_as_before():
             if not out or a >= out[-1][1]:
                 out.append((a, b))
         assert splitting.protected(text) == out, repr(text)
+
+
+def test_chunks_are_embedded_where_they_are_split(spark, tmp_path):
+    text = "\n\n".join(f"Sentence {i % 5} is one of some. " * 12 for i in range(40))
+    for name, ids in (("once", range(6)), ("again", [0, 1, 1, None, None, 2])):
+        spark.createDataFrame([(i, text + "x" * k) for k, i in enumerate(ids)], "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    once, again = (catalog.embed_documents(spark, f"{tmp_path}/{name}") for name in ("once", "again"))
+    assert "hashpartitioning" not in plan(once) and "hashpartitioning" in plan(again)
+    got = [r["id"] for r in once.collect()]
+    assert len(got) == len(set(got)) > 12
+    found = [r["id"] for r in again.select("id").where("id <> ''").collect()]
+    assert len(found) == len(set(found)) > 6
+
+
+def test_slots_of_words_are_bounded_and_right(monkeypatch):
+    import hashlib
+
+    from lodestone.operators.embedding import HashEmbedder, _Slots
+
+    def plain(text, dim):
+        out = np.zeros(dim, np.float32)
+        for w in text.lower().split():
+            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            out[int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
+        return out / (np.linalg.norm(out) or 1)
+
+    monkeypatch.setattr(_Slots, "MOST", 5)
+    e, texts = HashEmbedder(7), ["", "One two", "one TWO three four", " ".join(f"w{i % 13}" for i in range(60)), "ÄÖ two"]
+    assert np.allclose(e(texts), [plain(t, 7) for t in texts], atol=1e-7) and len(e.slots) <= 5 and len(e.slots.before) <= 5
+    assert e([]) == [] and np.allclose(e(texts[::-1]), [plain(t, 7) for t in texts[::-1]], atol=1e-7)
