@@ -125,6 +125,7 @@ def chunk_id(doc_id: Column, hash_: Column) -> Column:
 
 
 def embedding_text(breadcrumb: Column, content: Column) -> Column:
+    content = F.col(content) if isinstance(content, str) else content
     edges = F.concat(F.substring(content, 1, 1), F.substring(content, -1, 1))  # few chunks have white space there
     body = F.when(F.rlike(edges, F.lit(r"(?U)\s")), F.regexp_replace(content, r"(?U)^\s+|\s+$", "")).otherwise(content)
     return F.when(F.coalesce(breadcrumb, F.lit("")) == "", body).otherwise(F.concat(breadcrumb, F.lit("\n\n"), body))
