@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -14,6 +17,8 @@ from ..sources.tables import Change, Tables
 
 KEY = ("stream", "doc_id", "idx")
 JOBS = "stream string, doc_id string, idx int, at timestamp, job string"
+#: Rows of a task's batch that are held besides one of each job.
+HELD = 1 << 20
 
 
 def queue_tables(spark: SparkSession, path: str) -> Tables:
@@ -41,10 +46,10 @@ def admit(tables: Tables, jobs: DataFrame | None = None, done: DataFrame | None
     place = F.row_number().over(Window.partitionBy("stream").orderBy("at", *KEY[1:]))
     ranked = waiting_now.withColumn("place", place).where(F.col("place") <= cap)
     taken = ranked.join(depth, F.col("stream").eqNullSafe(F.col("own")), "left").where(F.col("place") <= cap - F.coalesce("depth", F.lit(0))).select(*waiting.columns)
-    held = [taken.persist(), waiting_now.persist()]  # a commit reads its rows more than once
+    held = [waiting_now.persist(), taken.persist()]  # a commit reads its rows more than once; the second is made of the first
     try:
-        rest = _apart(held[1], held[0])
-        return tables.commit({"queued": Change(upserts=held[0], deletes=None if done is None else done.select(*KEY)), "waiting": Change(upserts=rest, deletes=held[0].select(*KEY))}, applied)
+        rest = _apart(held[0], held[1])
+        return tables.commit({"queued": Change(upserts=held[1], deletes=None if done is None else done.select(*KEY)), "waiting": Change(upserts=rest, deletes=held[1].select(*KEY))}, applied)
     finally:
         for x in held:
             x.unpersist()
@@ -67,15 +72,38 @@ def rounds(tables: Tables, cap: int = BACKLOG_CAP) -> DataFrame:
     return tables.read("queued", version).select(*KEY, F.lit(0).alias("round")).unionByName(later)
 
 
+def _of_each_job(rows: pa.Table) -> pa.Table:
+    """The earliest row of each job, with the latest time that it came at."""
+    rows = rows.take(pc.sort_indices(rows, [("at", "ascending"), ("job", "ascending")], null_placement="at_start"))
+    found = rows.append_column("nth", pa.array(range(len(rows)), pa.int64())).group_by(list(KEY)).aggregate([("nth", "min"), ("last", "max")])
+    return rows.take(found["nth_min"]).drop_columns("last").append_column("last", found["last_max"])
+
+
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n, most = [], 0, HELD
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n > most:
+            held = _of_each_job(pa.Table.from_batches(held)).combine_chunks().to_batches()
+            n = sum(x.num_rows for x in held)
+            most = HELD + 2 * n
+    if n:
+        yield from _of_each_job(pa.Table.from_batches(held)).to_batches(1 << 14)
+
+
 def intake(entries: DataFrame, path: str, checkpoint: str, cap: int = BACKLOG_CAP, late: str = "10 minutes", name: str = "intake") -> StreamingQuery:
     """Runs a stream of jobs (JOBS) into the queue until it has read what there is. A job that comes again within `late` is dropped by the stream's own state, one that is queued
-    or waits whenever it comes; a batch that runs again changes nothing."""
+    or waits whenever it comes; a batch that runs again changes nothing. Of a job's rows in a batch the earliest counts: the state would keep the one that reaches it first, so
+    each batch brings it one row of a job."""
     tables = queue_tables(entries.sparkSession, path)
 
     def batch(df: DataFrame, epoch: int) -> None:
         admit(tables, df, None, cap, (name, epoch))
 
-    rows = entries.withWatermark("at", late).dropDuplicatesWithinWatermark(list(KEY))
+    # a job is late where all its rows are, so the state goes by the latest
+    once = entries.select(*KEY, "at", "job", F.col("at").alias("last")).repartition(*KEY).mapInArrow(_earliest, f"{JOBS}, last timestamp")
+    rows = once.withWatermark("last", late).dropDuplicatesWithinWatermark(list(KEY)).drop("last")
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

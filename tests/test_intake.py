@@ -67,3 +67,31 @@ def test_rounds_are_those_of_one_commit_after_the_other(spark, tmp_path):
         intake.admit(tables, done=queued, cap=2)
         n += 1
     assert [x for x in got if x[0] < 3] == sorted(want, key=str) and len(got) == 111 + 5 and max(x[0] for x in got) == 55
+
+
+def test_a_job_that_comes_more_than_once_in_a_batch_has_its_earliest_time(spark, tmp_path):
+    some = [("a", f"d{i % 40}", i % 2, 1_700_000_000 + i * 37 % 1009) for i in range(1009)] + [(None, "x", None, 1_700_000_000 - i) for i in range(20)]
+    jobs(spark, some).repartition(9, "at").write.parquet(f"{tmp_path}/in")  # a job's rows lie in several files, in no order
+    source = spark.readStream.schema(intake.JOBS).parquet(f"{tmp_path}/in")
+    intake.intake(source, f"file://{tmp_path}/q", f"file://{tmp_path}/checkpoint", cap=7).awaitTermination()
+    tables, first = intake.queue_tables(spark, f"file://{tmp_path}/q"), {}
+    for s, d, i, at in some:
+        first[s, d, i] = min(at, first.get((s, d, i), at))
+    got = [((r["stream"], r["doc_id"], r["idx"]), r["s"]) for r in tables.read("queued").unionByName(tables.read("waiting")).withColumn("s", F.unix_seconds("at")).collect()]
+    assert len(got) == len(first) and dict(got) == first
+    order = sorted((k for k in first if k[0] == "a"), key=lambda k: (first[k], *k[1:]))
+    assert keys(tables.read("queued").where("stream = 'a'")) == sorted(order[:7])
+
+
+def test_rows_of_a_job_are_held_as_one(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(intake, "HELD", 10)
+    rows = [{"stream": "a", "doc_id": None if i % 7 == 0 else f"d{i % 7}", "idx": 0, "at": (i * 37) % 211, "job": "{}", "last": (i * 37) % 211} for i in range(211)]
+    got = pa.Table.from_batches(intake._earliest(iter(pa.Table.from_pylist(rows).to_batches(3)))).to_pylist()
+    want = {}
+    for r in rows:
+        at = [r["at"], *want.get(r["doc_id"], [])]
+        want[r["doc_id"]] = [min(at), max(at)]
+    assert {r["doc_id"]: [r["at"], r["last"]] for r in got} == want and len(got) == 7
+    assert list(intake._earliest(iter([]))) == []
