@@ -45,8 +45,8 @@ GROUP = 1 << 20
 FILE, SAMPLE = 1 << 20, 1 << 10
 #: Deleted ids that a merge sends to its tasks; more are joined.
 GONE = 1 << 20
-#: Queries that one pass over the postings answers, and those whose scores a task holds at once.
-QUERIES, ASKERS = 1 << 14, 1 << 10
+#: Queries that one pass over the postings answers, those whose scores a task holds at once, and entries that it adds up at once for them.
+QUERIES, ASKERS, ADDED = 1 << 18, 1 << 10, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -181,6 +181,140 @@ def _first(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(np.arange(len(n)) - np.repeat(start, np.diff(np.append(start, len(n)))) < k))
 
 
+class _Block:
+    """The entries of a block's terms that queries ask for, by term and row."""
+
+    def __init__(self, table: pa.Table, of: dict[str, int], idf: np.ndarray, mean: float, askers: int) -> None:
+        ids = table["ids"].combine_chunks()
+        term = np.repeat(np.array([of.get(t, -1) for t in table["term"].to_pylist()], np.int64), ids.value_lengths().to_numpy(zero_copy_only=False))
+        ids = ids.flatten().dictionary_encode()
+        part = weight(*(table[c].combine_chunks().flatten().to_numpy().astype(np.float64) for c in ("tfs", "dls")), mean)
+        asked = np.flatnonzero(term >= 0)
+        self.ids, self.rows, self.idf = ids.dictionary, len(ids.dictionary), idf
+        self.key = term[asked] * self.rows + ids.indices.to_numpy()[asked]
+        order = np.argsort(self.key)
+        self.key, self.part = self.key[order], part[asked][order]
+        term, self.row = np.divmod(self.key, max(self.rows, 1))
+        self.start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(term)))
+        self.most = np.maximum.reduceat(self.part, self.start) if len(term) else self.part
+        #: Where a term lies, -1 for one that the block doesn't have.
+        self.at = np.full(len(idf), -1, np.int64)
+        self.at[term[self.start]] = np.arange(len(self.start))
+        # terms of many rows are looked up by row: as many numbers as 8 times their entries at most
+        many = np.flatnonzero(8 * self.size >= self.rows)
+        self.many, self.of_many = np.full(len(self.start), -1, np.int64), np.zeros((len(many), self.rows))
+        self.many[many] = np.arange(len(many))
+        own = np.repeat(self.many, self.size)
+        self.of_many[own[own >= 0], self.row[own >= 0]] = self.part[own >= 0]
+        #: Sums of rows for one query after the other; zeros between uses.
+        self.sums = np.zeros(askers * self.rows)
+
+    def weighed(self, term: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """What a term of the block adds to a row's score."""
+        own = self.many[self.at[term]]
+        out, few = self.of_many[own, row] if len(self.of_many) else np.zeros(len(row)), np.flatnonzero(own < 0)
+        key = term[few] * self.rows + row[few]
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        out[few] = np.where(self.key[i] == key, self.part[i], 0.0)
+        return self.idf[term] * out
+
+
+class _Best:
+    """The k best rows of each query of a group, over blocks that come one after the other.
+
+    `least` is a score that k rows of a query are known to reach. Terms of a query that together can't add as much in a block are weak: rows that hold no others are not looked at,
+    and of the others only those are scored whole that can reach it. A score is the sum over the query's terms in their order, so equal rows have equal scores.
+    """
+
+    def __init__(self, asked: list[np.ndarray], k: int) -> None:
+        """asked: numbers of the terms of each query, in order."""
+        self.k, self.n = k, len(asked)
+        self.ends = np.cumsum([0, *map(len, asked)])
+        self.q, self.t = np.repeat(np.arange(self.n), np.diff(self.ends)), np.concatenate(asked).astype(np.int64)
+        self.least, self.found, self.new, self.waiting = np.zeros(self.n), None, [], 0
+
+    def add(self, block: _Block) -> None:
+        at = block.at[self.t]
+        here = np.flatnonzero(at >= 0)
+        if not len(here):
+            return
+        q, t, at = self.q[here], self.t[here], at[here]
+        bound = block.idf[t] * block.most[at]
+        order = np.lexsort((bound, q))
+        upto, first = np.cumsum(bound[order]), np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        upto -= np.repeat(upto[first] - bound[order][first], np.diff(np.append(first, len(q))))
+        weak = upto < self.least[q] * (1 - 1e-9) - 1e-6  # q is in order already
+        strong, weak = np.sort(order[~weak]), order[weak]
+        less = np.cumsum(np.append(0, np.bincount(q[weak], minlength=self.n))), t[weak], bound[weak]  # the weak terms of each query, the weakest first
+        q, t, at = q[strong], t[strong], at[strong]
+        # queries in turn, as many as have about ADDED entries
+        entries = np.bincount(q, block.size[at], self.n)
+        cuts = np.searchsorted((np.cumsum(entries) - entries) // ADDED, np.arange(entries.sum() // ADDED + 2))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i, j = np.searchsorted(q, (a, b))
+            if j > i:
+                self._added(block, a, b, q[i:j], t[i:j], at[i:j], less)
+
+    def _added(self, block: _Block, a: int, b: int, q: np.ndarray, t: np.ndarray, at: np.ndarray, less: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        n = block.size[at]
+        entry = np.repeat(block.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        asker = np.repeat(q - a, n)
+        cell = asker * block.rows + block.row[entry]
+        score = block.sums[: (b - a) * block.rows]
+        np.add.at(score, cell, np.repeat(block.idf[t], n) * block.part[entry])  # in the order of terms
+        if block.rows >= self.k and 8 * len(cell) >= len(score):  # many rows: the k-th of the block is worth knowing
+            kth = np.partition(score.reshape(b - a, -1), block.rows - self.k, axis=1)[:, block.rows - self.k]
+            self.least[a:b] = np.maximum(self.least[a:b], kth * (1 - 1e-9))
+        ends, term, bound = less
+        rest = np.diff(np.append(0, np.cumsum(bound))[ends])
+        reach = self.least * (1 - 1e-9) - 1e-6  # a whole score may be another sum than that of its parts
+        found = cell[score[cell] >= (reach - rest)[a:b][asker]]
+        nth, last = np.arange(len(found), dtype=np.int32), np.empty(len(score), np.int32)
+        last[found] = nth
+        found = found[last[found] == nth]  # each once
+        asker, row = np.divmod(found, block.rows)
+        asker, known = asker + a, score[found]
+        score[cell] = 0
+        # what weak terms add at most gives way to what they add, the strongest first
+        most, had = known + rest[asker], (ends[asker + 1] - ends[asker]).copy()
+        for i in range(int(had.max(initial=0))):
+            more = np.flatnonzero(i < had)
+            j = ends[asker[more] + 1] - 1 - i
+            most[more] += block.weighed(term[j], row[more]) - bound[j]
+            stays = most >= reach[asker]
+            asker, row, known, most, had = asker[stays], row[stays], known[stays], most[stays], had[stays]
+        some = np.flatnonzero(had)
+        score = known
+        score[some] = self._whole(block, asker[some], row[some])
+        stays = score >= self.least[asker]
+        if stays.any():
+            self.new.append(pa.table({"n": asker[stays], "score": score[stays], "id": block.ids.take(pa.array(row[stays]))}))
+            self.waiting += self.new[-1].num_rows
+            if self.waiting >= self.k * self.n:
+                self.best()
+
+    def _whole(self, block: _Block, asker: np.ndarray, row: np.ndarray) -> np.ndarray:
+        score, first, last = np.zeros(len(asker)), self.ends[asker], self.ends[asker + 1]
+        for i in range(int((last - first).max(initial=0))):
+            more = np.flatnonzero(first + i < last)
+            term = self.t[first[more] + i]
+            here = block.at[term] >= 0
+            score[more[here]] += block.weighed(term[here], row[more[here]])
+        return score
+
+    def best(self) -> pa.Table | None:
+        """(n, score, id) of the k best rows of each query so far."""
+        if self.new:
+            self.found = _first(pa.concat_tables([*self.new, *([] if self.found is None else [self.found])]), self.k)
+            self.new, self.waiting = [], 0
+            n = self.found["n"].to_numpy()
+            last = np.flatnonzero(np.append(n[1:] != n[:-1], True))
+            full = last[np.diff(np.append(-1, last)) == self.k]
+            self.least[n[full]] = np.maximum(self.least[n[full]], self.found["score"].to_numpy()[full])
+        return self.found
+
+
 class Index:
     """The latest version of an index under a path, as of when it was opened."""
 
@@ -438,75 +572,67 @@ class Index:
     def top_of_each(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
         """(query_id, id, score, rank): what `top` gives for each row of a table of queries, in one pass over the postings of all their terms for each QUERIES of them.
 
-        A block of queries is sent to the tasks as its terms with the queries that ask for each. Postings are dealt by block of rows, so all terms of a row meet; a
-        task passes on k rows of each query. Queries without terms have no rows here; a query id that repeats counts as one query for each row.
+        A block of queries is sent to the tasks as the numbers of their terms. Postings are dealt by block of rows, so all terms of a row meet; a
+        task passes on k rows of each query. Where there are several blocks of queries, all postings are dealt, once for all of them. Queries without terms have no rows here; a query id
+        that repeats counts as one query for each row.
         """
-        spark, out = self.spark, None
+        spark = self.spark
         q = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("t"))
         id_type, q_type = self.now["kind"], q.schema["q"].dataType.simpleString()
         corpus = self.rows().agg(F.count(F.lit(1)), F.avg("dl")).first() if self.now["deleted"] else (self.count, sum(s["words"] for s in self.now["segments"]) / max(self.count, 1))
         n, mean = corpus[0], corpus[1] or 0.0
 
-        def part(held: list) -> DataFrame:
-            asked: list[dict[str, list[int]]] = [{} for _ in range(0, len(held), ASKERS)]
-            for i, r in enumerate(held):
-                for t in query_terms(r["t"] or ""):
-                    asked[i // ASKERS].setdefault(t, []).append(i % ASKERS)
-            terms_ = F.broadcast(spark.createDataFrame([(t,) for t in sorted(set().union(*asked))], "own string"))  # a block's terms
+        def posted(of_terms) -> DataFrame:
+            if not self.now["deleted"]:
+                return of_terms(self._entries(None, ["n", "ids", "tfs", "dls"]))
+            schema = f"term string, block bigint, id {id_type}, tf int, dl int"
+            left = self._left(lambda segments: self._opened(of_terms(self._entries(None, ["ids", "tfs", "dls"], segments))), schema)
+            lists = left.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("e"))  # rows of a block
+            return lists.select("term", "block", F.size("e").alias("n"), *[F.col(f"e.{x}").alias(f"{x}s") for x in ("id", "tf", "dl")])
+
+        def dealt_(rows: DataFrame) -> DataFrame:
+            return rows.select("block", "term", "ids", "tfs", "dls").repartition(2 * spark.sparkContext.defaultParallelism, "block")
+
+        def part(own: list, words: list[list[str]], alone: bool) -> DataFrame:
+            names = sorted({t for x in words for t in x})
+            terms_ = F.broadcast(spark.createDataFrame(pa.table({"own": pa.array(names, pa.string())})))  # a block's terms
             of_terms = lambda rows: rows.join(terms_, F.col("term") == F.col("own"), "left_semi")
-            if self.now["deleted"]:
-                schema = f"term string, block bigint, id {id_type}, tf int, dl int"
-                left = self._left(lambda segments: self._opened(of_terms(self._entries(None, ["ids", "tfs", "dls"], segments))), schema)
-                lists = left.groupBy("term", "block").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("e"))  # rows of a block
-                posted = lists.select("term", "block", F.size("e").alias("n"), *[F.col(f"e.{x}").alias(f"{x}s") for x in ("id", "tf", "dl")])
-            else:
-                posted = of_terms(self._entries(None, ["n", "ids", "tfs", "dls"]))
-            df = {r["term"]: r["n"] for r in posted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each of them
-            sent = spark.sparkContext.broadcast([{t: (_idf(n, df[t]), np.array(who)) for t, who in some.items() if t in df} for some in asked])
+            df = {r["term"]: r["n"] for r in posted(of_terms).groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each of them
+            known = [t for t in names if t in df]
+            of = {t: i for i, t in enumerate(known)}
+            asked = [np.array([of[t] for t in sorted(x) if t in of], np.int32) for x in words]
+            sent = spark.sparkContext.broadcast((known, np.array([_idf(n, df[t]) for t in known]), np.cumsum([0, *map(len, asked)]), np.concatenate(asked)))
 
             def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                found: list[pa.Table | None] = [None] * len(sent.value)
-                least = [np.zeros(ASKERS) for _ in sent.value]
+                known, idf, ends, numbers = sent.value
+                of = {t: i for i, t in enumerate(known)}
+                groups = [_Best([numbers[ends[j] : ends[j + 1]] for j in range(i, min(i + ASKERS, len(ends) - 1))], k) for i in range(0, len(ends) - 1, ASKERS)]
                 for table in _blocks(batches):
-                    ids = table["ids"].combine_chunks()
-                    ends = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
-                    ids, names = ids.flatten().dictionary_encode(), table["term"].to_pylist()
-                    row, flat = ids.indices.to_numpy(), lambda c, table=table: table[c].combine_chunks().flatten().to_numpy()
-                    part_ = weight(flat("tfs").astype(np.float64), flat("dls"), mean)
-                    order = sorted(range(len(names)), key=names.__getitem__)  # terms in order, so that sums are those of one search
-                    for c, some in enumerate(sent.value):
-                        score = np.zeros((ASKERS, len(ids.dictionary)))
-                        for x in order:
-                            if names[x] in some:
-                                idf, who = some[names[x]]
-                                at = slice(ends[x], ends[x + 1])
-                                score[np.ix_(who, row[at])] += idf * part_[at]
-                        asker, at = np.nonzero((score > 0) & (score >= least[c][:, None]))
-                        if len(asker):
-                            new = pa.table({"n": asker, "score": score[asker, at], "id": ids.dictionary.take(pa.array(at))})
-                            found[c] = _first(new if found[c] is None else pa.concat_tables([found[c], new]), k)
-                            n_ = found[c]["n"].to_numpy()
-                            last = np.flatnonzero(np.append(n_[1:] != n_[:-1], True))
-                            full = np.diff(np.append(-1, last)) == k
-                            least[c][n_[last[full]]] = found[c]["score"].to_numpy()[last[full]]
-                for c, one in enumerate(found):
-                    if one is not None:
-                        yield from pa.table({"n": pa.array((one["n"].to_numpy() + c * ASKERS).astype(np.int32)), "id": one["id"], "score": one["score"]}).to_batches()
-
-            dealt_ = posted.select("block", "term", "ids", "tfs", "dls").repartition(2 * spark.sparkContext.defaultParallelism, "block").sortWithinPartitions("block")
-            top = dealt_.mapInArrow(best, f"n int, id {id_type}, score double")
+                    block = _Block(table, of, idf, mean, ASKERS)
+                    for one in groups:
+                        one.add(block)
+                for c, one in enumerate(groups):
+                    found = one.best()
+                    if found is not None:
+                        yield from pa.table({"n": pa.array((found["n"].to_numpy() + c * ASKERS).astype(np.int32)), "id": found["id"], "score": found["score"]}).to_batches()
+
+            # the same postings for every block of queries, so that their exchange is one
+            top = dealt_(posted(of_terms if alone else lambda rows: rows)).sortWithinPartitions("block").mapInArrow(best, f"n int, id {id_type}, score double")
             rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "id"))
-            names = spark.createDataFrame([(i, r["q"]) for i, r in enumerate(held)], f"n int, q {q_type}")
-            return top.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "n").select(F.col("q").alias(query_id), "id", "score", "rank")  # a block's ids
+            ids = spark.createDataFrame(list(enumerate(own)), f"n int, q {q_type}")
+            return top.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(ids), "n").select(F.col("q").alias(query_id), "id", "score", "rank")  # a block's ids
 
-        held: list = []
+        out, own, words = None, [], []
         for r in q.toLocalIterator():  # a block at a time
-            held.append(r)
-            if len(held) >= QUERIES:
-                one, held = part(held), []
+            found = query_terms(r["t"] or "")
+            if found and len(own) >= QUERIES:
+                one, own, words = part(own, words, False), [], []
                 out = one if out is None else out.unionByName(one)
-        if held:
-            one = part(held)
+            if found:
+                own.append(r["q"])
+                words.append(found)
+        if own:
+            one = part(own, words, out is None)
             out = one if out is None else out.unionByName(one)
         return spark.createDataFrame([], f"{query_id} {q_type}, id {id_type}, score double, rank int") if out is None else out
 

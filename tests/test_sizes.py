@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,46 @@ def test_queries_are_scored_in_parts(spark, tmp_path, monkeypatch, deleted):
         assert [x[:2] for x in own] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(own, want, strict=True))
 
 
+def test_blocks_of_queries_share_the_exchange_of_postings(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, f"all w{i % 7} w{i % 11} " + "x " * (i % 5)) for i in range(200)], "id long, text string")
+    made = index.Index.create(rows, f"file://{tmp_path}/i")
+    asked = spark.createDataFrame([(q, f"all w{q} w{q + 1}") for q in range(8)] + [(8, ""), (9, "none")], "query_id long, query string")
+    one = made.top_of_each(asked, 5)
+    want = sorted(map(tuple, one.collect()))
+    monkeypatch.setattr(index, "QUERIES", 3)
+    several = made.top_of_each(asked, 5)
+    assert sorted(map(tuple, several.collect())) == want and len(want) == 40
+    final = several._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 2 and final.count("+- Exchange hashpartitioning(block") == 1
+
+
+@pytest.mark.parametrize("added", [1 << 20, 50])
+def test_weak_terms_leave_out_no_row(monkeypatch, added):
+    monkeypatch.setattr(index, "ADDED", added)
+    rng, n, k, askers = np.random.default_rng(3), 600, 4, 20
+    texts = [[f"w{x:02d}" for x in np.minimum(rng.zipf(1.3, rng.integers(1, 40)), 60)] for _ in range(n)]
+    texts[300:320] = [texts[0]] * 20  # ties
+    df = {t: sum(t in set(x) for x in texts) for t in {t for x in texts for t in x}}
+    known = sorted(t for t in df if t != "w03")  # a term that no query asks for
+    of, idf, mean = {t: i for i, t in enumerate(known)}, np.array([index._idf(n, df[t]) for t in known]), float(np.mean([*map(len, texts)]))
+    queries = [sorted({x for x in texts[i * 7][:6] if x in of}) for i in range(askers)]
+    best = index._Best([np.array([of[t] for t in q], np.int32) for q in queries], k)
+    for start in range(0, n, 50):
+        posted = [(t, i, x.count(t), len(x)) for i, x in enumerate(texts[start : start + 50], start) for t in set(x)]
+        lists = []
+        for half in (0, 25):  # a term of a block may have several rows
+            for t in df:
+                own = [p for p in posted if p[0] == t and half <= p[1] - start < half + 25]
+                lists += [{"block": start, "term": t, "ids": [p[1] for p in own], "tfs": [p[2] for p in own], "dls": [p[3] for p in own]}] if own else []
+        best.add(index._Block(pa.Table.from_pylist(lists), of, idf, mean, askers))
+    got = [(r["n"], r["id"], r["score"]) for r in best.best().to_pylist()]
+    want = []
+    for j, q in enumerate(queries):
+        scores = [(sum((idf[of[t]] * index.weight(float(x.count(t)), float(len(x)), mean) for t in q if t in x), 0.0), i) for i, x in enumerate(texts)]
+        want += [(j, i, s) for s, i in sorted((-s, i) for s, i in scores if s > 0)[:k] for s in [-s]]
+    assert got == want
+
+
 def test_documents_share_states_of_leases():
     kept, timers = [], []
 
