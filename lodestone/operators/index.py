@@ -370,8 +370,11 @@ class Index:
         own = uuid.uuid4().int >> 66  # segments number their blocks apart
         split = at.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK).bitwiseXOR(F.lit(own)))
         posted = split.select("id", "block", *[f"f{i}" for i in range(len(fields))]).mapInArrow(inverted, f"{_postings_schema(self.now['kind'])}, file int")
-        # small files: a task sorts a bounded number of entries
-        return self._written(posted.repartitionById(len(ends) + 1, "file").drop("file").sortWithinPartitions("term", "block"), at.select("id", dl.alias("dl"), *keep))
+        # small files: a task sorts a bounded number of entries; what the lists tell is not sent
+        sent = posted.drop("n", "max_tf", "min_dl").repartitionById(len(ends) + 1, "file").drop("file").sortWithinPartitions("term", "block")
+        told = {"n": F.size("ids"), "max_tf": F.array_max("tfs"), "min_dl": F.array_min("dls")}
+        names = [x.split(" ")[0] for x in _postings_schema(self.now["kind"]).split(", ")]
+        return self._written(sent.select(*[told[x].alias(x) if x in told else x for x in names]), at.select("id", dl.alias("dl"), *keep))
 
     def _written(self, posted: DataFrame, lengths: DataFrame) -> dict:
         """A segment of postings, in order in each of their partitions, and rows, and its part of the manifest."""
